@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..plans.slices import shift
 from ..session import prepare
 
+# counts to engineering units; also keeps means of two-digit numbers off exact rounding ties, where
+# the order of a floating-point sum would decide the last digit
+UNIT = 1.7
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
@@ -47,7 +51,7 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
         F.element_at(F.array(F.lit("T"), F.lit("M"), F.lit("B")), (F.floor(user / 4) % 3 + 1).cast("int")).alias("location"),
         (F.floor(user / 12) % 3 + 1).cast("string").alias("depth"),
         names[F.col("event_type")].alias("variable"),
-        F.col("value"),
+        (F.col("value") / UNIT).alias("value"),
         F.col("event_id").alias("row_no"),
     )
 
@@ -58,7 +62,7 @@ READINGS = """readings AS (
     CAST((user_id // 12) % 3 + 1 AS VARCHAR) AS depth,
     CASE event_type WHEN 'click' THEN 'VWC' WHEN 'view' THEN 'precip' WHEN 'purchase' THEN 'EC'
       WHEN 'error' THEN 'BattV_Min' ELSE 'T' END AS variable,
-    value, event_id AS row_no
+    value / 1.7::DOUBLE AS value, event_id AS row_no
   FROM events)"""
 
 
@@ -71,7 +75,7 @@ def irrigation(spark: SparkSession, sf: str) -> DataFrame:
         F.element_at(F.array(F.lit("T"), F.lit("M"), F.lit("B")), (F.floor(user / 4) % 3 + 1).cast("int")).alias("location"),
         F.col("ts").alias("start"),
         shift("ts", (F.floor(F.col("value")) % 12 + 1) * 3600).alias("end"),
-        (F.col("value") * 1000.0).alias("gallons_strip"),
+        (F.col("value") / UNIT * 1000.0).alias("gallons_strip"),
         F.year("ts").alias("year"),
     )
 
@@ -80,7 +84,7 @@ IRRIGATION = """irrigation AS (
   SELECT event_id, 'S' || CAST(user_id % 4 + 1 AS VARCHAR) AS strip,
     CASE (user_id // 4) % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'M' ELSE 'B' END AS location,
     ts AS start, ts + to_hours(CAST(floor(value) AS BIGINT) % 12 + 1) AS "end",
-    value * 1000.0 AS gallons_strip, year(ts) AS year
+    value / 1.7::DOUBLE * 1000.0 AS gallons_strip, year(ts) AS year
   FROM events WHERE event_type = 'purchase')"""
 
 
@@ -92,12 +96,12 @@ def order_times(spark: SparkSession, sf: str) -> DataFrame:
         shift("o_orderdate", key % 24 * 3600 + F.floor(key / 24) % 4 * 900).alias("ts"),
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("variable"),
-        F.col("o_totalprice").alias("value"),
+        (F.col("o_totalprice") / 7.0).alias("value"),
     )
 
 
 ORDER_TIMES = """order_times AS (
   SELECT o_orderkey AS row_no,
     o_orderdate + to_hours(o_orderkey % 24) + to_minutes((o_orderkey // 24) % 4 * 15) AS ts,
-    o_orderstatus AS status, o_orderpriority AS variable, o_totalprice AS value
+    o_orderstatus AS status, o_orderpriority AS variable, o_totalprice / 7.0::DOUBLE AS value
   FROM orders)"""

@@ -65,10 +65,10 @@ def gs_03(spark, sf):
     return seasons.season_summary(order_times(spark, sf), YEARS, CUSTOM, ["status", "variable"])
 
 
-@query("GS-03:rain", summary_sql("order_times", CUSTOM_SQL, "greatest(value - 100000, 0)", "true"))
+@query("GS-03:rain", summary_sql("order_times", CUSTOM_SQL, "greatest(value - 10000, 0)", "true"))
 def gs_03_rain(spark, sf):
     """Rain-like increments: negatives count as 0 and the season takes the sum."""
-    rows = order_times(spark, sf).withColumn("value", F.col("value") - 100000)
+    rows = order_times(spark, sf).withColumn("value", F.col("value") - 10000)
     return seasons.season_summary(rows, YEARS, CUSTOM, ["status", "variable"], is_sum=F.lit(True), clip=True)
 
 

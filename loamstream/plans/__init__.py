@@ -2,10 +2,13 @@
 
 from .ordered import lag_in_time, running_total, true_runs
 from .ranges import interval_join, latest_before, nearest_join
-from .reduce import exact_quantiles, keep_latest, pair_values, top_rows
+from .reduce import (
+    column_quantiles, exact_quantiles, keep_latest, null_safe_join, pair_values, top_rows,
+)
 from .slices import micros, seconds_between, slice_of
 
 __all__ = [
+    "column_quantiles", "null_safe_join",
     "exact_quantiles", "interval_join", "keep_latest", "lag_in_time", "latest_before", "micros",
     "nearest_join", "pair_values", "running_total", "seconds_between", "slice_of", "top_rows",
     "true_runs",

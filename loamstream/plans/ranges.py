@@ -20,13 +20,11 @@ def interval_join(
     end: str,
     width: int = 6 * HOUR,
     closed: bool = True,
-    how: str = "inner",
 ) -> DataFrame:
     """Points with every interval that holds them: equi-join on (keys, slice), then the exact test.
 
     Each interval is copied once per slice it touches (length / width + 1 copies); a point lives in
     one slice, so a pair meets once. No side is broadcast by hint; Spark decides on measured size.
-    `how='left'` keeps intervals without points (one row, point columns NULL).
     """
     cut = intervals.filter(F.col(start) <= F.col(end))
     spread = cut.withColumn(
@@ -36,15 +34,7 @@ def interval_join(
     inside = inside & ((F.col(ts) <= F.col(end)) if closed else (F.col(ts) < F.col(end)))
     located = points.withColumn("_slice", slice_of(ts, width))
     pairs = located.join(spread, [*keys, "_slice"], "inner").filter(inside).drop("_slice")
-    if how == "inner":
-        return pairs
-    extra = [c for c in points.columns if c not in keys]
-    own = [c for c in intervals.columns if c not in keys]
-    matched = pairs.select(*keys, *own).distinct()
-    missing = intervals.join(matched, [*keys, *own], "left_anti")
-    return pairs.select(*keys, *own, *extra).unionByName(
-        missing.select(*keys, *own, *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in extra])
-    )
+    return pairs
 
 
 def _merge_order(

@@ -53,6 +53,13 @@ def pair_values(
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys; the right side's keys are dropped."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -91,7 +98,7 @@ def exact_quantiles(
         Window.unboundedPreceding, 0
     )
     hits = (
-        counted.join(wanted, [*keys, "_slice"])
+        null_safe_join(counted, wanted, [*keys, "_slice"])
         .withColumn("_hi", F.col("_base") + F.sum("_n").over(inside))
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
         .withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi"))))
@@ -105,3 +112,20 @@ def exact_quantiles(
         frac = F.max(pos - F.floor(pos))
         out.append((lo + (hi - lo) * frac).alias(name))
     return hits.groupBy(*keys).agg(*out)
+
+
+def column_quantiles(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: dict[str, float], width: float = 1.0,
+) -> DataFrame:
+    """Exact quantiles of several columns in one pass, named `{prob}_{column}`; all-NULL stays NULL.
+
+    The columns are stacked, so one set of shuffles serves them all.
+    """
+    stacked = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in columns
+    ])).alias("_m")).select(*keys, "_m._c", "_m._x")
+    found = exact_quantiles(stacked, [*keys, "_c"], "_x", probs, width)
+    wide = found.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_c") == c, F.col(p))).alias(f"{p}_{c}") for p in probs for c in columns
+    ])
+    return null_safe_join(df.select(*keys).distinct(), wide, keys, "left")
