@@ -15,31 +15,36 @@ def _order_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
+def _slice(order: Sequence[str], width: int | None, by: Column | None) -> Column:
+    return by if by is not None else slice_of(order[0], width)
+
+
 def lag_in_time(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     take: dict[str, str],
     width: int | None = DAY,
-    slice_ts: str | None = None,
+    by: Column | None = None,
     lead: bool = False,
 ) -> DataFrame:
     """Add the previous row's values (`take` maps source column to new name) per key.
 
-    `order[0]` is the time column unless `slice_ts` names it. With a width the rows are windowed
-    inside (key, slice); the first row of a slice takes the last row of the nearest earlier slice,
-    which comes from a one-row-per-slice summary. `width=None` is for groups with a known bound.
+    Slices are `width` seconds of `order[0]`, or `by`, any column that never falls along the order
+    (a row-number block for file order). Rows are windowed inside (key, slice); the first row of a
+    slice takes the last row of the nearest earlier slice, which comes from a one-row-per-slice
+    summary. `width=None` without `by` is for groups with a known bound.
     With `lead` the following row is taken instead. Keys must not be NULL.
     """
     picked = F.struct(*[F.col(src).alias(dst) for src, dst in take.items()])
     direction = [F.col(c).desc() if lead else F.col(c).asc() for c in order]
-    if width is None:
+    if width is None and by is None:
         w = Window.partitionBy(*keys).orderBy(*direction)
-        return df.withColumn("_prev", F.lag(picked).over(w)).select(
-            "*", *[F.col(f"_prev.{n}").alias(n) for n in take.values()]
-        ).drop("_prev")
+        return df.withColumn("_lagged", F.lag(picked).over(w)).select(
+            "*", *[F.col(f"_lagged.{n}").alias(n) for n in take.values()]
+        ).drop("_lagged")
 
-    sliced = df.withColumn("_slice", slice_of(slice_ts or order[0], width))
+    sliced = df.withColumn("_slice", _slice(order, width, by))
     edge = F.min_by if lead else F.max_by
     by_key = Window.partitionBy(*keys).orderBy(F.col("_slice").desc() if lead else F.col("_slice"))
     carry = (
@@ -50,8 +55,8 @@ def lag_in_time(
     inside = Window.partitionBy(*keys, "_slice").orderBy(*direction)
     return (
         sliced.join(carry, [*keys, "_slice"], "left")
-        .withColumn("_prev", F.coalesce(F.lag(picked).over(inside), F.col("_carry")))
-        .select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in take.values()])
+        .withColumn("_lagged", F.coalesce(F.lag(picked).over(inside), F.col("_carry")))
+        .select(*df.columns, *[F.col(f"_lagged.{n}").alias(n) for n in take.values()])
     )
 
 
@@ -62,13 +67,13 @@ def running_total(
     value: Column,
     name: str,
     width: int | None = DAY,
-    slice_ts: str | None = None,
+    by: Column | None = None,
 ) -> DataFrame:
     """Running sum of `value` in order per key: prefix inside the slice plus the slices before."""
-    if width is None:
+    if width is None and by is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(value).over(w))
-    sliced = df.withColumn("_slice", slice_of(slice_ts or order[0], width)).withColumn("_v", value)
+    sliced = df.withColumn("_slice", _slice(order, width, by)).withColumn("_v", value)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, "_slice").agg(F.sum("_v").alias("_t"))
@@ -92,6 +97,7 @@ def true_runs(
     flag: Column,
     width: int | None = DAY,
     name: str = "run_id",
+    by: Column | None = None,
 ) -> DataFrame:
     """Rows where `flag` holds, numbered by contiguous run.
 
@@ -100,6 +106,27 @@ def true_runs(
     """
     marked = df.withColumn("_on", F.coalesce(flag, F.lit(False)))
     numbered = running_total(
-        marked, keys, order, F.when(F.col("_on"), 0).otherwise(1).cast("bigint"), name, width
+        marked, keys, order, F.when(F.col("_on"), 0).otherwise(1).cast("bigint"), name, width, by
     )
     return numbered.filter("_on").drop("_on")
+
+
+def last_known_before(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+    width: int | None = DAY,
+    by: Column | None = None,
+) -> DataFrame:
+    """Last non-NULL `value` strictly before each row in order per key."""
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sliced = df.withColumn("_slice", _slice(order, width, by))
+    edge = F.max_by(value, F.when(F.col(value).isNotNull(), _order_struct(order)))
+    carry = sliced.groupBy(*keys, "_slice").agg(edge.alias("_edge")).select(
+        *keys, "_slice", F.last("_edge", ignorenulls=True).over(earlier).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return sliced.join(carry, [*keys, "_slice"], "left").withColumn(
+        name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carry"))
+    ).select(*df.columns, name)

@@ -66,16 +66,17 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     width: float = 1.0,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles per key, spread over value slices of `width`.
 
     Equal values are counted before the shuffle; a table with one row per (key, value slice) tells
     which slices hold the wanted ranks, and only those slices are ordered. No task ever holds all
-    values of a key. Keys without values give no row.
+    values of a key. Keys without values give no row. `weight` says how often a row's value counts.
     """
     counted = (
         df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
         .withColumn("_slice", F.floor(F.col("_v") / F.lit(width)).cast("bigint"))
     )
     per_key = Window.partitionBy(*keys)
