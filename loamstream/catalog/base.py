@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..plans.slices import shift
 from ..session import prepare
 
-# counts to engineering units; also keeps means of two-digit numbers off exact rounding ties, where
+# counts to engineering units; also keeps means of two-digit numbers off exact rounding ties (the factor is irrational), where
 # the order of a floating-point sum would decide the last digit
-UNIT = 1.7
+UNIT = 1.7320508075688772
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -62,7 +62,7 @@ READINGS = """readings AS (
     CAST((user_id // 12) % 3 + 1 AS VARCHAR) AS depth,
     CASE event_type WHEN 'click' THEN 'VWC' WHEN 'view' THEN 'precip' WHEN 'purchase' THEN 'EC'
       WHEN 'error' THEN 'BattV_Min' ELSE 'T' END AS variable,
-    value / 1.7::DOUBLE AS value, event_id AS row_no
+    value / 1.7320508075688772::DOUBLE AS value, event_id AS row_no
   FROM events)"""
 
 
@@ -84,7 +84,7 @@ IRRIGATION = """irrigation AS (
   SELECT event_id, 'S' || CAST(user_id % 4 + 1 AS VARCHAR) AS strip,
     CASE (user_id // 4) % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'M' ELSE 'B' END AS location,
     ts AS start, ts + to_hours(CAST(floor(value) AS BIGINT) % 12 + 1) AS "end",
-    value / 1.7::DOUBLE * 1000.0 AS gallons_strip, year(ts) AS year
+    value / 1.7320508075688772::DOUBLE * 1000.0 AS gallons_strip, year(ts) AS year
   FROM events WHERE event_type = 'purchase')"""
 
 
@@ -96,12 +96,12 @@ def order_times(spark: SparkSession, sf: str) -> DataFrame:
         shift("o_orderdate", key % 24 * 3600 + F.floor(key / 24) % 4 * 900).alias("ts"),
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("variable"),
-        (F.col("o_totalprice") / 7.0).alias("value"),
+        (F.col("o_totalprice") / 3.141592653589793).alias("value"),
     )
 
 
 ORDER_TIMES = """order_times AS (
   SELECT o_orderkey AS row_no,
     o_orderdate + to_hours(o_orderkey % 24) + to_minutes((o_orderkey // 24) % 4 * 15) AS ts,
-    o_orderstatus AS status, o_orderpriority AS variable, o_totalprice / 7.0::DOUBLE AS value
+    o_orderstatus AS status, o_orderpriority AS variable, o_totalprice / 3.141592653589793::DOUBLE AS value
   FROM orders)"""

@@ -276,6 +276,10 @@ def meter_events(df: DataFrame, keys: Sequence[str] = (), min_gallons: float = 2
     ).filter(F.col("computed_gallons") >= min_gallons).drop("_event")
 
 
+def spark_empty(df: DataFrame, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], schema)
+
+
 PAIR_ROWS = "_slice bigint, _start_id bigint, _end_id bigint, _end_slice bigint"
 
 
@@ -308,32 +312,44 @@ def _pair_slices(keys: Sequence[str], schema: str, max_hours: float, min_gallons
     return pair
 
 
-def greedy_pairs(df: DataFrame, keys: Sequence[str], max_hours: float = 24.0, min_gallons: float = 20000.0, ts: str = "ts", reading: str = "reading", row_id: str = "row_id", order: str = "filename") -> DataFrame:
+def greedy_pairs(df: DataFrame, keys: Sequence[str], max_hours: float = 24.0, min_gallons: float = 20000.0, ts: str = "ts", reading: str = "reading", row_id: str = "row_id", order: str = "filename", slice_days: float = 30.0) -> DataFrame:
     """Each reading, in order, takes the next unused later one with enough volume within `max_hours`.
 
-    The rule is sequential, but a pair reaches at most one slice of `max_hours` ahead. Slices are
-    paired in parallel, each seeing the next one's rows; which rows an earlier slice used up is
-    passed on and slices are redone until nothing changes. The fixed point is the sequential
-    result, and a task holds two slices of one meter, never its history.
+    The rule is sequential, but a pair reaches at most `max_hours` ahead, so what one slice of
+    `slice_days` can do to the next is use up some of its first rows. Slices are paired in parallel,
+    each also seeing the first `max_hours` of the next one; the rows they use there are handed on,
+    and only slices whose hand-over changed are paired again, until none does. That fixed point is
+    the sequential result, and a task holds one slice of one meter, never its history.
     """
-    width = max(int(max_hours * 3600) + 1, HOUR)
+    width = max(int(max_hours * 3600) + 1, int(slice_days * DAY))
     ks = list(keys)
-    base = df.filter(F.col(reading).isNotNull()).select(
+    base = cut_lineage(df.filter(F.col(reading).isNotNull()).select(
         *ks, F.col(row_id).cast("bigint").alias("_id"), micros(ts).alias("_us"), F.col(reading).cast("double").alias("_r"),
-        F.col(order).cast("string").alias("_ord"), slice_of(ts, width).alias("_home"))
-    base = cut_lineage(base)
-    copies = base.withColumn("_slice", F.explode(F.array(F.col("_home"), F.col("_home") - 1))).withColumn("_own", F.col("_home") == F.col("_slice"))
+        F.col(order).cast("string").alias("_ord"), slice_of(ts, width).alias("_home")))
+    early = F.col("_us") - F.col("_home") * F.lit(width * 1_000_000) <= F.lit(int(max_hours * 3.6e9))
+    homes = F.when(early, F.array(F.col("_home"), F.col("_home") - 1)).otherwise(F.array("_home"))
+    copies = base.withColumn("_slice", F.explode(homes)).withColumn("_own", F.col("_home") == F.col("_slice"))
     kinds = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in ks)
     schema = f"{kinds}, {PAIR_ROWS}" if ks else PAIR_ROWS
-    used = base.select(*ks, "_home", "_id").limit(0)
+    pair = _pair_slices(ks, schema, max_hours, min_gallons)
+
+    def pair_up(rows: DataFrame, used: DataFrame) -> DataFrame:
+        marked = rows.join(used, [*ks, "_slice", "_id"], "left").withColumn("_used", F.coalesce("_u", F.lit(False))).drop("_u")
+        return marked.groupBy(*ks, "_slice").applyInPandas(pair, schema)
+
+    def handed_on(pairs: DataFrame) -> DataFrame:
+        return pairs.filter("_end_slice > _slice").select(*ks, F.col("_end_slice").alias("_slice"), F.col("_end_id").alias("_id"), F.lit(True).alias("_u"))
+
+    used = handed_on(spark_empty(df, schema))
+    pairs = cut_lineage(pair_up(copies, used))
     while True:
-        marks = used.select(*ks, F.col("_home").alias("_slice"), "_id", F.lit(True).alias("_u"))
-        marked = copies.join(marks, [*ks, "_slice", "_id"], "left").withColumn("_used", F.coalesce("_u", F.lit(False))).drop("_u")
-        pairs = cut_lineage(marked.groupBy(*ks, "_slice").applyInPandas(_pair_slices(ks, schema, max_hours, min_gallons), schema))
-        spilled = pairs.filter("_end_slice > _slice").select(*ks, F.col("_end_slice").alias("_home"), F.col("_end_id").alias("_id"))
-        if spilled.exceptAll(used).isEmpty() and used.exceptAll(spilled).isEmpty():
+        fresh = handed_on(pairs)
+        changed = cut_lineage(fresh.exceptAll(used).unionByName(used.exceptAll(fresh)).select(*ks, "_slice").distinct())
+        if changed.isEmpty():
             break
-        used = spilled
+        used = fresh
+        again = pair_up(copies.join(changed, [*ks, "_slice"], "left_semi"), used)
+        pairs = cut_lineage(pairs.join(changed, [*ks, "_slice"], "left_anti").unionByName(again))
     a = base.select(*ks, F.col("_id").alias("_start_id"), F.col("_us").alias("_a"), F.col("_r").alias("start_reading_x100"), F.col("_ord").alias("start_filename"))
     b = base.select(*ks, F.col("_id").alias("_end_id"), F.col("_us").alias("_b"), F.col("_r").alias("end_reading_x100"), F.col("_ord").alias("end_filename"))
     out = pairs.join(a, [*ks, "_start_id"]).join(b, [*ks, "_end_id"])
