@@ -308,7 +308,7 @@ def agg_06(spark, sf):
 
 @query("AGG-07", f"""WITH {READINGS}, ok AS (SELECT * FROM readings WHERE NOT ({BAD}) AND abs(value) < 10000),
 d AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS bin, strip, location, depth, variable,
-  round_even(CASE WHEN variable = 'precip' THEN sum(value) ELSE avg(value) END, 6) AS value FROM ok GROUP BY 1, 2, 3, 4, 5),
+  CASE WHEN variable = 'precip' THEN sum(value) ELSE avg(value) END AS value FROM ok GROUP BY 1, 2, 3, 4, 5),
 v AS (SELECT strip, location, depth, variable, count(*) AS violations FROM readings WHERE {BAD} GROUP BY ALL)
 SELECT strip, location, depth, variable, round_even(min(value), 4) AS min, round_even(avg(value), 4) AS mean, round_even(max(value), 4) AS max,
   round_even(stddev_samp(value), 4) AS std, CAST(coalesce(any_value(violations), 0) AS BIGINT) AS violations
@@ -316,7 +316,7 @@ FROM d LEFT JOIN v USING (strip, location, depth, variable) GROUP BY strip, loca
 def agg_07(spark, sf):
     """Flagship: mask, bound with report, daily means, statistics per series."""
     raw = clean.mask_sentinels(readings(spark, sf))
-    daily = rs.resample(clean.enforce_bounds(raw), "daily", digits=6)
+    daily = rs.resample(clean.enforce_bounds(raw), "daily", digits=None)
     report = clean.bounds_report(raw, SERIES).drop("low", "high")
     return rs.summary_stats(daily, SERIES).join(report, SERIES, "left").withColumn(
         "violations", F.coalesce("violations", F.lit(0)).cast("bigint"))

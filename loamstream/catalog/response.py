@@ -86,8 +86,7 @@ def evt_02(spark, sf):
 
 @query("EVT-03", PLATEAU + " SELECT event_id, depth, plateau_method, plateau_time, round(plateau_vwc, 6) AS plateau_vwc FROM pl")
 def evt_03(spark, sf):
-    rows = joined(spark, sf)
-    out = ev.plateau(rows, ev.baseline_and_peak(rows))
+    out = ev.event_measures(joined(spark, sf)).select("event_id", "depth", "plateau_method", "plateau_time", "plateau_vwc")
     return out.withColumn("plateau_vwc", r6(F.col("plateau_vwc")))
 
 

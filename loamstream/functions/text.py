@@ -54,5 +54,12 @@ def normalize_line(c: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+def normalize_lines(c: Column) -> Column:
+    """The same for a whole text at once; line breaks (`\\n`) stay where they are."""
+    s = F.regexp_replace(F.lower(c), r"[_\-/]+", " ")
+    s = F.regexp_replace(s, r"[^a-z0-9%\n]+", " ")
+    return F.regexp_replace(F.regexp_replace(s, r" *\n *", "\n"), "^ +| +$", "")
+
+
 def human_name(c: Column) -> Column:
     return normalize_text(_replace_all(c, HUMAN_TOKENS))

@@ -39,8 +39,9 @@ class EventConfig:
 def unique_readings(readings: DataFrame, keys: Sequence[str] = (*PLACE, "depth"), ts: str = "ts", value: str = "value") -> DataFrame:
     """One value per sensor and instant, the last in file order; combines before the shuffle."""
     order = [c for c in ("source_rank", "row_no") if c in readings.columns]
-    picked = F.max_by(F.struct(value), F.struct(*order)) if order else F.max(F.struct(value))
-    return readings.groupBy(*keys, ts).agg(picked.alias("_v")).select(*keys, ts, F.col(f"_v.{value}").alias(value))
+    # one plain order column keeps the buffer primitive, so Spark hashes instead of sorting
+    by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    return readings.groupBy(*keys, ts).agg((F.max_by(value, by) if order else F.max(value)).alias(value))
 
 
 def window_join(events: DataFrame, readings: DataFrame, before_h: float, after_h: float, keys: Sequence[str] = PLACE, ts: str = "ts", start: str = "start", anchor_end: str | None = None) -> DataFrame:
@@ -90,82 +91,107 @@ def baseline_and_peak(joined: DataFrame, cfg: EventConfig = EventConfig(), keys:
 
 
 def plateau(joined: DataFrame, peaks: DataFrame, cfg: EventConfig = EventConfig(), keys: Sequence[str] = ("event_id", "depth")) -> DataFrame:
-    """Level the series settles on after its peak.
+    """Level the series settles on after its peak, and by which rule.
 
     Smoothed over `points` centred rows, slope per hour by the median step; the first of at least
     `run` flat rows starts the plateau, the median of `points` rows is its level. Otherwise the
     rows from `fallback_hours` on. `plateau_method` tells which, or why there is none.
     """
-    after = joined.filter("value IS NOT NULL").join(
-        peaks.filter("peak_found").select(*keys, "peak_time"), list(keys)
-    ).filter((F.col("ts") >= F.col("peak_time")) & (F.col("ts") <= shift("peak_time", cfg.plateau_hours * 3600)))
+    known = peaks.select(*keys, "peak_time", "peak_found")
+    return _settle(joined.join(known, list(keys)), cfg, keys, ())
+
+
+def event_measures(joined: DataFrame, cfg: EventConfig = EventConfig(), keys: Sequence[str] = ("event_id", "depth")) -> DataFrame:
+    """Baseline, peak and plateau of every (event, depth) in one pass over the joined readings.
+
+    All windows and the last aggregation are clustered by the same keys, so the joined set is
+    shuffled once, and nothing is joined back to it.
+    """
     whole = Window.partitionBy(*keys)
+    low = _in_window(F.col("value"), F.col("start"), -cfg.baseline_hours, 0.0)
+    high = _in_window(F.col("value"), F.col("start"), 0.0, cfg.peak_hours)
+    rows = joined.withColumns({"_low": low, "_high": high}).withColumns({
+        "baseline_vwc": _median(F.col("_low")).over(whole),
+        "baseline_time": F.max(F.when(F.col("_low").isNotNull(), F.col("ts"))).over(whole),
+        "peak_vwc": F.max("_high").over(whole),
+    })
+    rows = rows.withColumn("peak_time", F.min(F.when(F.col("_high") == F.col("peak_vwc"), F.col("ts"))).over(whole))
+    rise = F.col("peak_vwc") - F.col("baseline_vwc")
+    rows = rows.withColumns({
+        "peak_increase": rise,
+        "peak_found": F.col("peak_vwc").isNotNull() & (rise.isNull() | (rise >= cfg.min_increase)),
+    })
+    return _settle(rows, cfg, keys, ("baseline_vwc", "baseline_time", "peak_vwc", "peak_time", "peak_increase"))
+
+
+def _settle(rows: DataFrame, cfg: EventConfig, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """Plateau of rows that know their `peak_time` and `peak_found`; `carry` is constant per key."""
+    t = F.col("ts")
+    later = (t >= F.col("peak_time")) & (t <= shift("peak_time", cfg.plateau_hours * 3600))
+    rows = rows.withColumn("_after", F.coalesce(F.col("peak_found") & F.col("value").isNotNull() & later, F.lit(False)))
+    # rows after the peak are windowed apart from the others of their key
+    whole = Window.partitionBy(*keys, "_after")
     ordered = whole.orderBy("ts")
     half = cfg.points // 2
-    smooth = F.avg("value").over(ordered.rowsBetween(-half, cfg.points - half - 1))
-    rows = after.withColumns({
+    rows = rows.withColumns({
         "_rn": F.row_number().over(ordered),
         "_step": (micros("ts") - F.lag(micros("ts")).over(ordered)) / F.lit(3.6e9),
-        "_smooth": smooth,
+        "_smooth": F.avg("value").over(ordered.rowsBetween(-half, cfg.points - half - 1)),
     })
-    rows = rows.withColumn("_step_h", _median(F.col("_step")).over(whole))
+    rows = rows.withColumns({"_step_h": _median(F.col("_step")).over(whole), "_n": F.count("value").over(whole)})
     slope = (F.col("_smooth") - F.lag("_smooth").over(ordered)) / F.when(F.col("_step_h") > 0, F.col("_step_h"))
     rows = rows.withColumn("_flat", F.coalesce(F.abs(slope) <= cfg.slope, F.lit(False)))
     # rows of one flat run share the number of rows before them that are not flat
     rows = rows.withColumn("_run", F.sum(F.when(F.col("_flat"), 0).otherwise(1)).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    run_rows = F.sum(F.col("_flat").cast("int")).over(Window.partitionBy(*keys, "_run"))
+    run_rows = F.sum(F.col("_flat").cast("int")).over(Window.partitionBy(*keys, "_after", "_run"))
     rows = rows.withColumn("_ok", F.col("_flat") & (run_rows >= cfg.run))
-    fall_from = F.col("ts") >= shift("peak_time", cfg.fallback_hours * 3600)
+    fall_from = t >= shift("peak_time", cfg.fallback_hours * 3600)
     rows = rows.withColumns({
         "_first": F.min(F.when(F.col("_ok"), F.col("_rn"))).over(whole),
         "_fall": F.min(F.when(fall_from, F.col("_rn"))).over(whole),
     })
 
     def part(first: str) -> Column:
-        return (F.col("_rn") >= F.col(first)) & (F.col("_rn") < F.col(first) + cfg.points)
+        return F.col("_after") & F.coalesce((F.col("_rn") >= F.col(first)) & (F.col("_rn") < F.col(first) + cfg.points), F.lit(False))
 
-    stats = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_step_h").alias("_step_h"), F.max("_first").alias("_first"),
-        F.max("_fall").alias("_fall"),
+    def after(c: str) -> Column:
+        return F.max(F.when(F.col("_after"), F.col(c))).alias(c)
+
+    # a key's first rows carry its constants, the rest of the rows have done their work
+    stats = rows.filter((F.col("_rn") == 1) | part("_first") | part("_fall")).groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in (*carry, "peak_found")],
+        *[after(c) for c in ("_n", "_step_h", "_first", "_fall")],
         _median(F.when(part("_first"), F.col("value"))).alias("_flat_v"),
-        F.min(F.when(part("_first"), F.col("ts"))).alias("_flat_t"),
+        F.min(F.when(part("_first"), t)).alias("_flat_t"),
         _median(F.when(part("_fall"), F.col("value"))).alias("_fall_v"),
-        F.min(F.when(part("_fall"), F.col("ts"))).alias("_fall_t"),
+        F.min(F.when(part("_fall"), t)).alias("_fall_t"),
     )
-    need = max(cfg.points, cfg.run)
     method = (
         F.when(~F.col("peak_found"), "no_peak")
-        .when(F.coalesce(F.col("_n"), F.lit(0)) < need, "insufficient_data")
+        .when(F.coalesce(F.col("_n"), F.lit(0)) < max(cfg.points, cfg.run), "insufficient_data")
         .when(~F.coalesce(F.col("_step_h") > 0, F.lit(False)), "unknown_step")
         .when(F.col("_first").isNotNull(), "flat_segment")
         .when(F.col("_fall").isNotNull(), "fallback_window").otherwise("fallback_empty")
     )
-    named = peaks.select(*keys, "peak_found").join(stats, list(keys), "left").withColumn("plateau_method", method)
+    named = stats.withColumn("plateau_method", method)
 
     def choose(kind: str) -> Column:
         m = F.col("plateau_method")
         return F.when(m == "flat_segment", F.col(f"_flat_{kind}")).when(m == "fallback_window", F.col(f"_fall_{kind}"))
 
-    return named.select(*keys, choose("v").alias("plateau_vwc"), choose("t").alias("plateau_time"), "plateau_method")
+    own = (*carry, "peak_found") if carry else ()
+    return named.select(*keys, *own, choose("v").alias("plateau_vwc"), choose("t").alias("plateau_time"), "plateau_method")
 
 
 def analyze_events(readings: DataFrame, events: DataFrame, depths: Sequence[str] = fv.DEPTHS, cfg: EventConfig = EventConfig(), variable: str = "VWC") -> DataFrame:
-    """One row per event and depth: baseline, peak, plateau, timing, duration and flow.
-
-    All three measures read the same joined set; both joins back are on (event, depth).
-    """
+    """One row per event and depth: baseline, peak, plateau, timing, duration and flow."""
     keys = ("event_id", "depth")
     vwc = unique_readings(readings.filter((F.col("variable") == variable) & F.col("depth").isin(*depths) & F.col("value").isNotNull()))
     spans = events.select("event_id", *PLACE, "start")
-    joined = window_join(spans, vwc, cfg.baseline_hours, cfg.peak_hours + cfg.plateau_hours).select(
-        *keys, "start", "ts", "value"
-    )
-    # both passes read the joined set by (event, depth): one partitioning serves them
-    joined = joined.repartition(*[F.col(k) for k in keys])
-    peaks = baseline_and_peak(joined, cfg)
-    levels = plateau(joined, peaks, cfg)
+    joined = window_join(spans, vwc, cfg.baseline_hours, cfg.peak_hours + cfg.plateau_hours).select(*keys, "start", "ts", "value")
+    measures = event_measures(joined, cfg, keys)
     sensors = events.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths])))
-    out = sensors.join(peaks, list(keys), "left").join(levels, list(keys), "left")
+    out = sensors.join(measures, list(keys), "left")
     hours = hours_between("end", "start")
     return out.withColumns({
         "peak_found": F.coalesce("peak_found", F.lit(False)),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import padded_range
-from ..plans import exact_quantiles, interval_join, nearest_join
+from ..plans import exact_quantiles, latest_before, nearest_join
 from ..plans.slices import DAY, as_col, floor_to, micros, shift
 
 GRAIN_SECONDS = {"15min": 900, "hourly": 3600, "daily": DAY}
@@ -180,13 +180,13 @@ def event_window_range(
 ) -> DataFrame:
     """Common sensor range of the windows around event starts, padded by 5 % (by 1 if flat).
 
-    Windows that share a slice of readings are pre-reduced per event start, so overlapping events
-    add work with their number, never with their product.
+    All windows are equally long, so a reading lies in one of them exactly when the last start up to
+    `hours_before` after it is not older than `hours_after`: an as-of join, however many events overlap.
     """
-    windows = events.select(
-        *keys, shift(start, -hours_before * 3600).alias("_from"), shift(start, hours_after * 3600).alias("_to"),
-    ).distinct()
-    seen = interval_join(readings.filter(F.col(value).isNotNull()), windows, keys, ts, "_from", "_to")
+    starts = events.select(*keys, F.col(start).alias("_start")).distinct().withColumn("_at", F.col("_start"))
+    probe = readings.filter(F.col(value).isNotNull()).withColumn("_probe", shift(ts, hours_before * 3600))
+    seen = latest_before(probe, starts, keys, "_probe", "_at", ["_start"]).filter(
+        F.col("_start") >= shift(ts, -hours_after * 3600))
     ends = seen.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     extra = F.when(width <= 0, F.lit(1.0)).otherwise(width * F.lit(pad))

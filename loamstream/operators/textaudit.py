@@ -9,12 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize_text
-from ..functions.text import normalize_line
-
-
-def _lines(text: Column) -> Column:
-    """Lines of a text without a trailing empty one, with or without carriage returns."""
-    return F.split(F.regexp_replace(text, r"(\r\n|\n|\r)$", ""), r"\r\n|\n|\r")
+from ..functions.text import normalize_lines
 
 
 def _pattern(term: str, case_sensitive: bool, whole_word: bool) -> str:
@@ -34,19 +29,22 @@ def term_search(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text
     A document is searched in its own row, whole; nothing is shuffled. Hits come in line order, then
     term order, and a document reports at most `max_matches`.
     """
-    rows = docs.filter(F.col(text).isNotNull() & (F.col(text) != "")).withColumn("_lines", _lines(F.col(text)))
+    # line breaks are made alike and the whole text is normalised once, then both are cut into lines
+    plain = F.regexp_replace(F.regexp_replace(F.col(text), r"\r\n|\r", "\n"), r"\n$", "")
+    rows = docs.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(key, plain.alias("_text"))
+    wanted = {t: (_pattern(t, case_sensitive, whole_word), _normal(t)) for t in terms}
+    rows = rows.select(key, F.split("_text", "\n").alias("_lines"), F.split(normalize_lines(F.col("_text")), "\n").alias("_norms"))
     n = F.size("_lines")
 
     def hits_of(line: Column, i: Column) -> Column:
-        norm = normalize_line(line)
+        norm = F.get("_norms", i)
         before = F.slice("_lines", F.greatest(i - context + 1, F.lit(1)), F.least(i, F.lit(context)))
         after = F.slice("_lines", i + 2, F.least(F.lit(context), F.greatest(n - i - 1, F.lit(0))))
         out = []
-        for t in terms:
-            found = line.rlike(_pattern(t, case_sensitive, whole_word))
-            plain = _normal(t)
-            if plain:
-                found = found | norm.contains(plain)
+        for t, (pattern, words) in wanted.items():
+            found = line.rlike(pattern)
+            if words:
+                found = norm.contains(words) | found
             out.append(F.when(found, F.struct(
                 (i + 1).alias("line_no"), F.lit(t).alias("term"), line.alias("line_text"),
                 F.array_join(before, "\n").alias("context_before"), F.array_join(after, "\n").alias("context_after"))))
