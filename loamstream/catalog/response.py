@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..operators import events as ev
 from ..plans.slices import shift
+from ..session import cut_lineage
 from .base import IRRIGATION, READINGS, irrigation, query, readings, table
 
 AREA = 4293.33
@@ -69,6 +70,14 @@ def derived(spark, sf):
     return ev.derive_event_fields(results(spark, sf))
 
 
+def derived_once(spark, sf):
+    """For reports that read the results several times: stored once in the shared folder.
+
+    The results are events times depths, tiny next to the readings they come from.
+    """
+    return cut_lineage(derived(spark, sf))
+
+
 @query("EVT-00", JOINED + " SELECT event_id, depth, ts, value FROM j")
 def evt_00(spark, sf):
     return joined(spark, sf).select("event_id", "depth", "ts", "value")
@@ -128,15 +137,16 @@ PROFILE_COLS = ("profile_baseline_storage_in", "profile_plateau_storage_in", "ev
                 "profile_plateau_storage_gal", "event_storage_gal", "estimated_loss_gal_strip")
 
 
-def full(spark, sf):
+def full(spark, sf, rows=None):
     group = F.when(F.col("strip").isin("S1", "S2"), "S1_S2").otherwise("S3_S4")
-    return ev.profile_storage(derived(spark, sf), AREA).withColumn("strip_group", group)
+    rows = rows if rows is not None else derived(spark, sf)
+    return ev.profile_storage(rows, AREA).withColumn("strip_group", group)
 
 
 @query("EVT-06", RESULTS + PROFILE + " SELECT event_id, depth, CAST(n_profile_depths_used AS BIGINT) AS n_profile_depths_used, round(efficiency_strip, 9) AS efficiency_strip, " +
        ", ".join(f"round({c}, 5) AS {c}" for c in PROFILE_COLS) + " FROM full_")
 def evt_06(spark, sf):
-    return full(spark, sf).select("event_id", "depth", "n_profile_depths_used", F.round("efficiency_strip", 9).alias("efficiency_strip"),
+    return full(spark, sf, derived_once(spark, sf)).select("event_id", "depth", "n_profile_depths_used", F.round("efficiency_strip", 9).alias("efficiency_strip"),
                                   *[F.round(c, 5).alias(c) for c in PROFILE_COLS])
 
 
@@ -169,7 +179,7 @@ FROM full_ WHERE plateau_vwc IS NOT NULL GROUP BY {keys}"""
 
 @query("EVT-09", RESULTS + PROFILE + TARGET_SQL.format(keys="strip, depth_inches"))
 def evt_09(spark, sf):
-    out = ev.statistical_target(derived(spark, sf), ["strip", "depth_inches"])
+    out = ev.statistical_target(derived_once(spark, sf), ["strip", "depth_inches"])
     cols = ("mean_value", "sd_value", "raw_target_value", "quantile_cap", "target_value")
     return out.withColumns({c: r6(F.col(c)) for c in cols})
 
@@ -177,7 +187,7 @@ def evt_09(spark, sf):
 @query("EVT-10", RESULTS + PROFILE + """ SELECT strip, depth_inches, CAST(count(*) AS BIGINT) AS n_events, round(quantile_cont(time_to_plateau_hours, 0.75), 6) AS runtime_hours,
   round(quantile_cont(time_to_plateau_hours, 0.75) * 60, 6) AS runtime_minutes, count(*) >= 3 AS runtime_is_trustworthy FROM full_ WHERE time_to_plateau_hours IS NOT NULL GROUP BY strip, depth_inches""")
 def evt_10(spark, sf):
-    out = ev.recommend_runtime(derived(spark, sf), ["strip", "depth_inches"], "p75")
+    out = ev.recommend_runtime(derived_once(spark, sf), ["strip", "depth_inches"], "p75")
     return out.withColumns({c: r6(F.col(c)) for c in ("runtime_hours", "runtime_minutes")})
 
 
@@ -190,7 +200,7 @@ def evt_10(spark, sf):
   round_even(median(avg_flow_gph_strip), 6) AS median_avg_flow_gph_strip FROM full_ GROUP BY strip, sensor_col, depth, depth_inches
 HAVING count(plateau_vwc) > 0 OR count(time_to_plateau_hours) > 0""")
 def evt_11(spark, sf):
-    return ev.target_runtime_summary(derived(spark, sf))
+    return ev.target_runtime_summary(derived_once(spark, sf))
 
 
 @query("EVT-12", RESULTS + PROFILE + """ SELECT strip, depth_inches, CAST(count(time_to_plateau_hours) AS BIGINT) AS n_events, round_even(median(time_to_plateau_hours), 6) AS rec_runtime_hours,
@@ -199,7 +209,7 @@ def evt_11(spark, sf):
   round_even(median(avg_flow_gph_strip), 6) AS median_avg_flow_gph_strip, round_even(median(lag_after_irrigation_hr), 6) AS median_lag_after_irrigation_hr
 FROM full_ GROUP BY strip, depth_inches HAVING count(time_to_plateau_hours) > 0""")
 def evt_12(spark, sf):
-    return ev.runtime_table(derived(spark, sf))
+    return ev.runtime_table(derived_once(spark, sf))
 
 
 def batt_sql(a: str, b: str, p: str) -> str:
@@ -289,8 +299,8 @@ IN_COLS = ", ".join(
 @query("EVT-16", RESULTS + PROFILE + f""" SELECT strip_group, location, strip, sensor_col, depth_inches, CAST(count(DISTINCT event_id) AS BIGINT) AS n_trustworthy_events, {MEAN_SD},
   {AREA}e0 AS profile_area_sqft, round_even({GAL_IN!r}e0, 4) AS gallons_per_profile_inch, {IN_COLS} FROM full_ WHERE bottom_response_delay_hr >= 0.5 GROUP BY strip_group, location, strip, sensor_col, depth_inches""")
 def evt_16(spark, sf):
-    rows = full(spark, sf)
-    return ev.holding_capacity(rows, simple_trust(derived(spark, sf)), AREA)
+    rows = derived_once(spark, sf)
+    return ev.holding_capacity(full(spark, sf, rows), simple_trust(rows), AREA)
 
 
 WB = ("gallons_strip", "event_storage_gal", "event_storage_in", "profile_area_sqft", "bottom_response_delay_hr", "time_to_peak_hours", "time_to_plateau_hours", "event_duration_hours")
@@ -302,7 +312,8 @@ WB = ("gallons_strip", "event_storage_gal", "event_storage_in", "profile_area_sq
   round_even(CASE WHEN avg(gallons_strip) > 0 THEN (avg(gallons_strip) - avg(event_storage_gal)) / avg(gallons_strip) END, 4) AS estimated_surplus_fraction
 FROM full_ WHERE bottom_response_delay_hr >= 0.5 GROUP BY strip_group, location, strip, event_id, start, "end" """)
 def evt_17(spark, sf):
-    return ev.water_balance(full(spark, sf), simple_trust(derived(spark, sf)))
+    rows = derived_once(spark, sf)
+    return ev.water_balance(full(spark, sf, rows), simple_trust(rows))
 
 
 @query("EVT-18", RESULTS + PROFILE + f""", s AS (SELECT event_id, depth, gallons_strip, baseline_vwc / 100 * depth_inches AS b, plateau_vwc / 100 * depth_inches AS p FROM full_)
