@@ -1,4 +1,8 @@
-"""Registry, and the trial's tables as views of the driver's tables (Spark and SQL side by side)."""
+"""Registry, and the trial's tables as views of the driver's tables (Spark and SQL side by side).
+
+Every query reads its tables whole. Remainders of ids only shape what the tables stand for: which
+logger a user is, which cells a second source lacks or alters. They never shrink the work.
+"""
 
 from __future__ import annotations
 

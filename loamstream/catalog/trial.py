@@ -293,11 +293,9 @@ h AS (SELECT field, CASE WHEN aa = nn THEN 0 WHEN starts_with(nn, aa) OR starts_
 SELECT q.field, r.actual, CAST(r.kind AS INTEGER) AS match_kind FROM q LEFT JOIN r ON q.field = r.field AND r.k = 1""")
 def lab_05(spark, sf):
     """Raw headers are brand and name; a field is a part name with three spellings."""
-    from pyspark.sql import Window
-
     part = table(spark, sf, "part")
     names = part.select(F.concat_ws(" ", "p_brand", "p_name").alias("actual")).distinct()
-    columns = names.withColumn("ord", F.row_number().over(Window.orderBy("actual")))
+    columns = names.withColumn("ord", F.col("actual"))
     f = part.select(F.col("p_name").alias("field")).distinct()
     noun = F.split_part("field", F.lit(" "), F.lit(2))
     spell = F.array(F.concat(F.lit("brand7"), F.replace("field", F.lit(" "), F.lit("_"))), F.concat(noun, F.lit(" of Brand")), F.concat(noun, F.lit(" 12")))

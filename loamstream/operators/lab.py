@@ -108,7 +108,7 @@ def standardize_lab(df: DataFrame, id_columns: Sequence[str], dates: Mapping[str
 def resolve_headers(columns: DataFrame, aliases: DataFrame) -> DataFrame:
     """Actual header for every field: exact, then prefix, then all words of an alias.
 
-    `columns` has `ord, actual`, `aliases` has `field, alias_ord, alias`. Exact and prefix matches
+    `columns` has `ord` (anything sortable) and `actual`, `aliases` has `field, alias_ord, alias`. Exact and prefix matches
     share the first character, word matches share the alias's longest word, so both are equi-joins.
     """
     def squeezed(c: str) -> Column:

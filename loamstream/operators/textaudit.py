@@ -23,11 +23,11 @@ def _normal(term: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9% ]+", " ", s)).strip()
 
 
-def term_search(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str = "text", context: int = 1, max_matches: int = 200, case_sensitive: bool = False, whole_word: bool = True) -> DataFrame:
+def term_search(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str = "text", context: int = 1, max_matches: int | None = 200, case_sensitive: bool = False, whole_word: bool = True) -> DataFrame:
     """Lines that contain a term, as written or after normalising, with lines around them.
 
     A document is searched in its own row, whole; nothing is shuffled. Hits come in line order, then
-    term order, and a document reports at most `max_matches`.
+    term order, and a document reports at most `max_matches` (`None`: all of them).
     """
     # line breaks are made alike and the whole text is normalised once, then both are cut into lines
     plain = F.regexp_replace(F.regexp_replace(F.col(text), r"\r\n|\r", "\n"), r"\n$", "")
@@ -50,8 +50,9 @@ def term_search(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text
                 F.array_join(before, "\n").alias("context_before"), F.array_join(after, "\n").alias("context_after"))))
         return F.filter(F.array(*out), lambda h: h.isNotNull())
 
-    # only lines that hit keep their structs; slicing cuts at the per-document limit
-    hits = F.slice(F.flatten(F.transform("_lines", hits_of)), 1, max_matches)
+    hits = F.flatten(F.transform("_lines", hits_of))
+    if max_matches is not None:
+        hits = F.slice(hits, 1, max_matches)
     return rows.select(key, F.explode(hits).alias("_h")).select(key, "_h.*")
 
 
