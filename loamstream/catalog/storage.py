@@ -86,7 +86,7 @@ def src_04(spark, sf):
     value = [F.coalesce(F.col(cells[h]).cast("string"), F.lit("")) if h in cells else F.lit("-999") for h in heads[2:]]
     data = weather(spark, sf).select(
         F.date_format("ts", "yyyyMMdd").alias("file"), F.col("event_id").alias("ord"),
-        F.concat_ws(",", F.lit("frt03"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm"), *value).alias("line"))
+        F.concat_ws(",", F.lit("st01"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm"), *value).alias("line"))
     path = scratch_path(spark, "weather")
     tf.write_line_files(_header(data.select("file").distinct(), [",".join(heads), ",".join(["", ""] + ["unit"] * 10)]).unionByName(data), path)
     return tf.read_weather_csv(spark, path).select("timestamp", "precip_in", "temp_air_degF")
