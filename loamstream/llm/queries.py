@@ -1,6 +1,6 @@
 """Imports every query module of the package so that its registry is complete."""
 
-from . import queries_quality  # noqa: F401
+from . import queries_contamination, queries_quality  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
