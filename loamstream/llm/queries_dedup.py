@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import simhash, substring_dedup
 from .registry import query, table
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -29,3 +29,10 @@ def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col(substring_dedup.RESULT)
     return substring_dedup.dedup_substrings(docs, with_text=False).select(
         "doc_id", d.n_words.alias("n_words"), d.n_removed.alias("n_removed"), d.kept_sha256.alias("kept_sha256"))
+
+
+@query("op9_simhash_near_dedup")
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select(
+        "doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
