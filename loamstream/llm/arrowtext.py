@@ -36,7 +36,7 @@ def texts(batch: pa.RecordBatch, text: str) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for frequent words; emptied when it holds too many."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
