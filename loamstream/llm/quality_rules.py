@@ -83,15 +83,16 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size(F.filter("_w", lambda w: (w == F.upper(w)) & (w != F.lower(w)))).cast("long").alias("n_upper_words"),
     )
-    return df.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
+    # inline() keeps later filters from being pushed below, where each measure would be computed anew
+    return df.select(*keep, F.inline(F.array(F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
         (F.col("word_chars") / words).alias("mean_word_chars"),
         (F.col("n_symbols") / words).alias("symbol_ratio"),
         (F.col("n_dup_lines") / F.when(F.col("n_lines") > 0, F.col("n_lines"))).alias("dup_line_ratio"),
         (F.col("n_repeat_words") / words).alias("repeat_word_ratio"),
         (F.col("n_upper_words") / words).alias("upper_word_ratio"),
         (F.col("n_stop_words") / words).alias("stop_word_ratio"),
-    )
+    ))))
 
 
 MEASURES = (
