@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash, substring_dedup
+from . import line_dedup, simhash, substring_dedup, suffix_dedup
 from .registry import query, table
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -62,3 +62,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select(
         "doc_id", d.n_lines.alias("n_lines"), d.n_removed.alias("n_removed"), d.n_runs.alias("n_runs"),
         F.sha2(d.clean_text, 256).alias("kept_sha256"))
+
+
+@query("op6_suffix_dedup")
+def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = F.col(suffix_dedup.RESULT)
+    return suffix_dedup.dedup_suffixes(docs, with_text=False).select(
+        "doc_id", d.n_bytes.alias("n_bytes"), d.n_removed.alias("n_removed"), d.n_spans.alias("n_spans"),
+        d.kept_sha256.alias("kept_sha256"))
