@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import cols, others
+
 CHUNK_BYTES = 16 << 20
 
 
@@ -51,8 +53,7 @@ def word_hashes(words: list[bytes], seen: WordHashes) -> np.ndarray:
 
 def append_struct(df: DataFrame, name: str, fields: T.StructType, fn, sized_by: str) -> DataFrame:
     """All columns of df and one struct column that `fn(batch) -> pa.Array` makes; a clash is replaced."""
-    keep = [c for c in df.columns if c != name]
-    df = df.select(*keep)
+    df = df.select(*cols(others(df, name)))
     schema = T.StructType([*df.schema.fields, T.StructField(name, fields, True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

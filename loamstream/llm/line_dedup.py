@@ -14,7 +14,7 @@ meet its own deletions.
 Defined results: a null or empty text has no lines; texts of fewer than WINDOW lines keep all; order
 is (id, line), a null id comes last; rows that share an id count as one place and lose the same lines;
 an empty table gives an empty result. Extra columns pass through; one named like the result column
-is replaced.
+is replaced, and the working names _id and _starts are left out.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import append_struct, chunks, texts
+from .shared import cols, others
 
 WINDOW = 3
 LAST = 2**63 - 1
@@ -104,7 +105,7 @@ def later_runs(docs: DataFrame, w: int = WINDOW) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", w: int = WINDOW) -> DataFrame:
     """Every document with a `line_dedup` struct: n_lines, n_removed, n_runs, clean_text."""
-    keep = [c for c in docs.columns if c != RESULT]
+    keep = cols(others(docs, RESULT, "_id", "_starts"))
     key = F.coalesce(F.col(id).cast("long"), F.lit(LAST))
     late = later_runs(docs.select(key.alias("id"), F.col(text).alias("t")), w)
     told = docs.select(*keep, key.alias("_id")).join(

@@ -16,7 +16,7 @@ Values without a stated share keep their observed share of what the stated ones
 Defined results: a null source, language or topic is a class of its own; a null text has no tokens; a
 class without tokens has factor 1; without any tokens all weights are 1; repeated rows are drawn alike;
 an empty table gives an empty result. Extra columns pass through; `topic`, `n_tokens`, `weight` and
-`copies` are replaced when they exist.
+`copies` are replaced when they exist, and the working names _source, _lang and _factor are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import cols, others, settle
 
 CLASSES = 4096
 ROUNDS, TOLERANCE = 40, 1e-6
@@ -142,7 +142,7 @@ def mix(docs: DataFrame, source: Target = 0.7, lang: Target = 0.7, topic: Target
     """
     topic_of = form_topic(F.col(text)) if topic_of is None else topic_of
     tokens_of = word_count(F.col(text)) if tokens_of is None else tokens_of
-    keep = [c for c in docs.columns if c not in OUT]
+    keep = cols(others(docs, *OUT, "_source", "_lang", "_factor"))
     own = F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("_source")
     df = docs.select(
         *keep, own, F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("_lang"),

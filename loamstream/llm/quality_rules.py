@@ -6,7 +6,7 @@ words (the sort that finds repeated word windows).
 
 Defined results: a null text counts as empty (0 words, base failed); an empty text fails the base
 rule; repeated rows are judged alike, each on its own; other columns pass through untouched, and
-those that clash with a measure's name are replaced by the measure.
+those that clash with a measure's name are replaced by the measure, and working names (WORKING) are left out.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cols, others
+
 SPACES = " \t\n\x0b\f\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -59,7 +61,7 @@ RULES = (
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the base counts and the ratios the rules use. Intermediate arrays are dropped again."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    keep = [c for c in docs.columns if c not in MEASURES]
+    keep = cols(others(docs, *MEASURES, *WORKING))
     df = docs.select(
         *keep,
         raw.alias("_t"),
@@ -101,6 +103,9 @@ MEASURES = (
 )
 
 
+WORKING = ("_t", "_w", "_l", "_g", "_dl", "n_stop_words", "n_upper_words", "base_failed", "kept")
+
+
 def _windows(words: str) -> Column:
     """All windows of WINDOW words, joined by a space (words have none, so the text is the sequence)."""
     n = F.size(words)

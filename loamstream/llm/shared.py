@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
 
+def others(df: DataFrame, *taken: str) -> list[str]:
+    """The columns of df but those whose names an operator uses itself (case aside, as Spark resolves names)."""
+    names = {t.lower() for t in taken}
+    return [c for c in df.columns if c.lower() not in names]
+
+
+def cols(names: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder that `spark.checkpoint.dir` names; lost executors do not matter."""
     sc = df.sparkSession.sparkContext

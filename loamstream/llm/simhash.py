@@ -11,7 +11,7 @@ links, never its pairs, so what it sends is linear in what it got.
 Defined results: letters A-Z are lower-cased; a text of fewer words than a shingle is one shingle; a
 null or empty text has fingerprint zero and links like any other; repeated rows share a class; the
 class id is the smallest non-null id (null if there is none); an empty table gives an empty result.
-Extra columns pass through; `simhash` and `component_id` are replaced when they exist.
+`fingerprints` passes extra columns through and replaces `simhash`; `near_duplicates` returns three columns.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import chunks, texts
-from .shared import components, settle
+from .shared import cols, components, others, settle
 
 SHINGLE = 3
 BUDGET = 2
@@ -61,9 +61,9 @@ def fingerprint_of(lists: list[list[bytes]]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """All columns but the text's own copy stays as it is, and `simhash` as a signed long."""
-    keep = [c for c in docs.columns if c != "simhash"]
-    df = docs.select(*keep)
+    """All columns, and `simhash` as a signed long."""
+    keep = others(docs, "simhash")
+    df = docs.select(*cols(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text, 4 << 20):

@@ -15,7 +15,7 @@ all three passes read the same exchange.
 Defined results: a null or empty text has no words; texts shorter than the window keep everything;
 a null id counts as larger than every other id; repeated rows with one id do not remove each other;
 an empty table gives an empty result. Extra columns pass through; one named like the result column is
-replaced.
+replaced, and the working names _block, _id and _text are left out.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import WordHashes, texts, word_hashes
+from .shared import cols, others
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_BITS = 22
 LOAD = 4  # cells per window and sketch row, at least
 ROWS = 2
@@ -141,8 +142,8 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     blocks = max(1, -(-size // block_bytes))
     bits = min(63, max(SHARD_BITS, int(LOAD * size // 5).bit_length()))
     hash_bits = max(1, bits - SHARD_BITS - 2)
-    keep = [c for c in docs.columns if c not in (RESULT, "_block")]
-    dealt = docs.select(*keep, F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(blocks)).alias("_block"))
+    keep = others(docs, RESULT, "_block", "_id", "_text")
+    dealt = docs.select(*cols(keep), F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(blocks)).alias("_block"))
     narrow = dealt.select(F.col(id).alias("_id"), F.col(text).alias("_text"), "_block") if len(keep) > 2 else dealt
     n_id, n_text = ("_id", "_text") if len(keep) > 2 else (id, text)
 

@@ -22,7 +22,7 @@ keep="none" removes every copy; keep="first" leaves what starts first in (id, by
 results: a null text counts as empty; texts shorter than SIZE keep all; a null id comes last; repeated
 rows are copies of each other (under keep="first" rows that share id and text share one place, and all
 of them stay); an empty table gives an empty result. Extra columns pass through; a column named like
-the result is replaced. Removed bytes may cut a character; clean_text shows such cuts as U+FFFD.
+the result is replaced, and the working name _block is left out. Removed bytes may cut a character; clean_text shows such cuts as U+FFFD.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import texts
-from .shared import settle
+from .shared import cols, others, settle
 from .substring_dedup import LAST, _mix, _slices, pack, pack_sorted, unpack, unpack_sorted
 
 SIZE = 400
@@ -198,8 +198,8 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
         raise ValueError(keep)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    columns = [c for c in docs.columns if c not in (RESULT, "_block")]
-    dealt = docs.select(*columns, F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(blocks)).alias("_block"))
+    columns = others(docs, RESULT, "_block")
+    dealt = docs.select(*cols(columns), F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(blocks)).alias("_block"))
 
     def listed(batch: pa.Table) -> pa.Table:
         ids = _ids(batch, id)

@@ -17,7 +17,7 @@ each read whole in the task that holds it; no text is shuffled.
 Defined results: a null or empty text scores like a text without any known word; a null label is no
 label; a document labelled twice is toxic if one label says so; repeated rows score alike; words over
 64 characters are taken as they stand; without toxic labels every score is 0; an empty table gives an
-empty result. Extra columns pass through; `toxicity` is replaced when it exists.
+empty result. Extra columns pass through; `toxicity` is replaced when it exists, and the working name _s is left out.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import chunks
+from .shared import cols, others
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿ"
 EDGE, OTHER, SIZE = 0, 63, 64
@@ -251,7 +252,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
                    sample: int = SAMPLE) -> DataFrame:
     """Every document with `toxicity`, 0 to 1. `labels` are the rows that may be learned from."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.drop("toxicity", "_s")
+    docs = docs.select(*cols(others(docs, "toxicity", "_s")))
     lm = source_model(trigram_counts(docs, text))
     rows = labelled(docs, labels, id, text, label, sample)
     counts = feature_counts(rows.filter("fold < 3"), sc.broadcast(lm))
