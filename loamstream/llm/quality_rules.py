@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .shared import cols, others
 
-SPACES = " \t\n\x0b\f\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+NO_SPACE_RE = r"[^\x20\x09-\x0D]"
+SYMBOLS_RE = r"[#*$%&|<>]"
 WINDOW = 5
 
 # Frequent function words of the four languages of the corpus.
@@ -66,22 +66,22 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         *keep,
         raw.alias("_t"),
         F.filter(F.split(raw, SPACE_RE), lambda w: w != "").alias("_w"),
-        F.filter(F.split(raw, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("_l"),
+        F.filter(F.split(raw, "\n"), lambda x: x.rlike(NO_SPACE_RE)).alias("_l"),
     )
     df = df.select(
         "*",
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_t", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_t", F.lit(SYMBOLS_RE)).cast("long").alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         F.size(F.array_distinct("_l")).cast("long").alias("_dl"),
-        _windows("_w").alias("_g"),
+        _window_hashes("_w").alias("_g"),
     )
     words = F.when(F.col("n_words") > 0, F.col("n_words"))
     df = df.select(
         "*",
         (F.col("n_lines") - F.col("_dl")).alias("n_dup_lines"),
-        _repeated_words("_g").alias("n_repeat_words"),
+        _repeated_words("_w", "_g").alias("n_repeat_words"),
         F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size(F.filter("_w", lambda w: (w == F.upper(w)) & (w != F.lower(w)))).cast("long").alias("n_upper_words"),
     )
@@ -106,18 +106,26 @@ MEASURES = (
 WORKING = ("_t", "_w", "_l", "_g", "_dl", "n_stop_words", "n_upper_words", "base_failed", "kept")
 
 
+def _starts(words: str) -> Column:
+    n = F.size(words)
+    return F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
+
+
+def _window_hashes(words: str) -> Column:
+    """A hash per window: where all differ no window repeats, and nothing dearer need be made."""
+    return F.transform(_starts(words), lambda i: F.xxhash64(*[F.get(words, i + (j - 1)) for j in range(WINDOW)]))
+
+
 def _windows(words: str) -> Column:
     """All windows of WINDOW words, joined by a space (words have none, so the text is the sequence)."""
-    n = F.size(words)
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(WINDOW))))
+    return F.transform(_starts(words), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(WINDOW))))
 
 
-def _repeated_words(windows: str) -> Column:
-    """Words covered by windows that occur twice or more. Texts without such a window skip the sort."""
-    ranked = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+def _repeated_words(words: str, hashes: str) -> Column:
+    """Words covered by windows that occur twice or more. Texts whose window hashes all differ have none."""
+    ranked = F.sort_array(F.transform(_windows(words), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     # the sorted array is bound once, by an outer transform over one element
-    starts = F.element_at(F.transform(F.array(ranked), lambda r: F.array_sort(F.filter(
+    starts = F.element_at(F.transform(F.array(ranked), lambda r: F.sort_array(F.filter(
         F.transform(r, lambda x, k: F.when(
             (x["w"] == F.get(r, k - 1)["w"]) | (x["w"] == F.get(r, k + 1)["w"]), x["i"])),
         lambda i: i.isNotNull()))), 1)
@@ -128,7 +136,7 @@ def _repeated_words(windows: str) -> Column:
             (a["n"] + (i + WINDOW - F.greatest(a["end"], i))).alias("n"), (i + WINDOW).alias("end")),
         lambda a: a["n"],
     )
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(covered)
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered)
 
 
 def passes(rules: tuple[Rule, ...]) -> Column:
