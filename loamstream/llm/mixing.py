@@ -42,8 +42,8 @@ def form_topic(text: Column) -> Column:
     n = F.length(text)
     return (
         F.when(F.coalesce(n, F.lit(0)) == 0, "empty")
-        .when(F.length(F.translate(text, "|", "")) * 50 < n * 49, "table")
-        .when(F.length(F.translate(text, "#*$%&<>", "")) * 50 < n * 49, "marks")
+        .when(F.regexp_count(text, F.lit("[|]")) * 50 > n, "table")
+        .when(F.regexp_count(text, F.lit("[#*$%&<>]")) * 50 > n, "marks")
         .when(text.rlike(r"[0-9@]"), "record")
         .when(n >= 8000, "long")
         .when(n >= 800, "prose")
