@@ -56,9 +56,9 @@ def cln_04(spark, sf):
 
 @query("CLN-04:examples", f"""WITH {READINGS}, b AS (SELECT *,
   row_number() OVER (PARTITION BY strip, location, depth, variable ORDER BY ts, row_no) AS rank FROM readings WHERE {BAD})
-SELECT strip, location, depth, variable, ts, value, CAST(rank AS INTEGER) AS rank FROM b WHERE rank <= 5""")
+SELECT strip, location, depth, variable, ts, value, CAST(rank AS INTEGER) AS rank FROM b""")
 def cln_04_examples(spark, sf):
-    found = clean.bounds_examples(readings(spark, sf), SERIES, ["ts", "row_no"], 5)
+    found = clean.bounds_examples(readings(spark, sf), SERIES, ["ts", "row_no"])
     return found.select(*SERIES, "ts", "value", "rank")
 
 
@@ -68,35 +68,42 @@ def cln_05(spark, sf):
     return clean.scale_units(readings(spark, sf)).select("row_no", r6(F.col("value")).alias("value"))
 
 
-WIDE = [f"VWC_{d}_raw_{s}_{l}" for d in "123" for s in ("S1", "S2", "S3", "S4") for l in "TMB"]
+STRIPS = ("S1", "S2", "S3", "S4")
+WIDE = [f"{v}_{d}_raw_{s}_{l}" for v in ("VWC", "T", "EC", "precip") for d in "123" for s in STRIPS for l in "TMB"] + [
+    f"BattV_Min_{s}_{l}" for s in STRIPS for l in "TMB"]
+
+
+def _wide_test(name):
+    where = f"strip = '{name[-4:-2]}' AND location = '{name[-1]}'"
+    if name.startswith("BattV_Min"):
+        return f"variable = 'BattV_Min' AND {where}"
+    variable, depth = name.split("_")[:2]
+    return f"variable = '{variable}' AND depth = '{depth}' AND {where}"
 
 
 @query("CLN-06", f"""WITH {READINGS}
-SELECT ts, strip, location, depth, variable, max(value) AS value FROM readings WHERE variable = 'VWC' GROUP BY ALL""")
+SELECT ts, strip, location, CASE WHEN variable <> 'BattV_Min' THEN depth END AS depth, variable, max(value) AS value FROM readings GROUP BY ALL""")
 def cln_06(spark, sf):
     """Long to wide and back; names are built and parsed on the way."""
-    vwc = readings(spark, sf).filter("variable = 'VWC'")
-    return schema.to_long(schema.to_wide(vwc, WIDE))
+    return schema.to_long(schema.to_wide(readings(spark, sf), WIDE))
 
 
 @query("CLN-06:wide", f"""WITH {READINGS}
-SELECT ts, {', '.join(f"max(CASE WHEN strip = '{n[-4:-2]}' AND location = '{n[-1]}' AND depth = '{n[4]}' THEN value END) AS {n}" for n in WIDE)}
-FROM readings WHERE variable = 'VWC' GROUP BY ts""")
+SELECT ts, {', '.join(f"max(CASE WHEN {_wide_test(n)} THEN value END) AS {n}" for n in WIDE)}
+FROM readings GROUP BY ts""")
 def cln_06_wide(spark, sf):
-    return schema.to_wide(readings(spark, sf).filter("variable = 'VWC'"), WIDE)
+    return schema.to_wide(readings(spark, sf), WIDE)
 
 
 @query("CLN-07", f"""WITH {READINGS}
-SELECT ts, max(CASE WHEN strip = 'S1' THEN value END) AS s1, max(CASE WHEN strip = 'S2' THEN value END) AS s2
-FROM (SELECT * REPLACE (time_bucket(INTERVAL 15 MINUTE, ts) AS ts) FROM readings WHERE strip IN ('S1', 'S2') AND variable = 'VWC') GROUP BY ts""")
+SELECT ts, variable, {', '.join(f"max(CASE WHEN strip = '{s}' THEN value END) AS {s.lower()}" for s in STRIPS)}
+FROM (SELECT * REPLACE (time_bucket(INTERVAL 15 MINUTE, ts) AS ts) FROM readings) GROUP BY ts, variable""")
 def cln_07(spark, sf):
-    """Two loggers aligned on time: the union is the outer join, the aggregation the alignment."""
-    r = readings(spark, sf).filter("variable = 'VWC'").withColumn("ts", floor_to("ts", 900))
-    merged = schema.merge_loggers([r.filter("strip = 'S1'"), r.filter("strip = 'S2'")])
-    return merged.groupBy("ts").agg(
-        F.max(F.when(F.col("strip") == "S1", F.col("value"))).alias("s1"),
-        F.max(F.when(F.col("strip") == "S2", F.col("value"))).alias("s2"),
-    )
+    """Loggers aligned on time: the union is the outer join, the aggregation the alignment."""
+    r = readings(spark, sf).withColumn("ts", floor_to("ts", 900))
+    merged = schema.merge_loggers([r.filter(F.col("strip") == s) for s in STRIPS])
+    return merged.groupBy("ts", "variable").agg(*[
+        F.max(F.when(F.col("strip") == s, F.col("value"))).alias(s.lower()) for s in STRIPS])
 
 
 WEATHER = """weather AS (SELECT event_id, ts,
@@ -330,9 +337,9 @@ def agg_08(spark, sf):
     return out.withColumns({c: r6(F.col(c)) for c in ("mean", "std", "p25", "p50", "p75")})
 
 
-@query("AGG-09", f"""WITH {ORDER_TIMES} SELECT CASE WHEN ts >= TIMESTAMP '1996-11-01' AND ts <= TIMESTAMP '1997-03-31 23:59:59' THEN 'Q1_Winter' ELSE 'Q2_Early_Growing' END AS period_code,
+@query("AGG-09", f"""WITH {ORDER_TIMES} SELECT CASE WHEN ts >= TIMESTAMP '1996-11-01' AND ts <= TIMESTAMP '1997-03-31 23:59:59.999999' THEN 'Q1_Winter' ELSE 'Q2_Early_Growing' END AS period_code,
   status, variable, round(sum(value * value) / count(*), 2) AS mean_square, CAST(count(*) AS BIGINT) AS n
-FROM order_times WHERE ts >= TIMESTAMP '1996-11-01' AND ts <= TIMESTAMP '1997-10-31 23:59:59' GROUP BY ALL""")
+FROM order_times WHERE ts >= TIMESTAMP '1996-11-01' AND ts <= TIMESTAMP '1997-10-31 23:59:59.999999' GROUP BY ALL""")
 def agg_09(spark, sf):
     return rs.build_summary(
         order_times(spark, sf), seasons.assign_season("ts", 1997), ["status", "variable"],

@@ -81,12 +81,12 @@ def dq_04(spark, sf):
   max(CASE variable WHEN 'EC' THEN value END) AS EC, max(CASE variable WHEN 'BattV_Min' THEN value END) AS BattV_Min, max(CASE variable WHEN 'precip' THEN value END) AS precip FROM readings GROUP BY 1, strip, location),
 c AS (SELECT 'VWC' AS "column", count(*) - count(VWC) AS n, count(*) AS t FROM w UNION ALL SELECT 'T', count(*) - count(T), count(*) FROM w UNION ALL SELECT 'EC', count(*) - count(EC), count(*) FROM w
   UNION ALL SELECT 'BattV_Min', count(*) - count(BattV_Min), count(*) FROM w UNION ALL SELECT 'precip', count(*) - count(precip), count(*) FROM w)
-SELECT "column", CAST(n AS BIGINT) AS nan_count, round(n / t, 6) AS nan_fraction FROM c ORDER BY n DESC, "column" LIMIT 3""")
+SELECT "column", CAST(n AS BIGINT) AS nan_count, round(n / t, 6) AS nan_fraction FROM c""")
 def dq_05(spark, sf):
     names = ["VWC", "T", "EC", "BattV_Min", "precip"]
     wide = readings(spark, sf).groupBy(floor_to("ts", 3600).alias("bin"), *LOGGER).agg(
         *[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
-    return dq.missingness(wide, names, 3).withColumn("nan_fraction", r6(F.col("nan_fraction")))
+    return dq.missingness(wide, names).withColumn("nan_fraction", r6(F.col("nan_fraction")))
 
 
 def volts(spark, sf):
@@ -103,10 +103,9 @@ def dq_06(spark, sf):
     return dq.battery_health(volts(spark, sf), LOGGER).withColumns({c: r6(F.col(c)) for c in ("out_of_range_fraction", "p01", "p50", "p99")})
 
 
-@query("DQ-06:violations", f"""WITH {VOLTS} SELECT strip, location, ts, value, reason FROM (SELECT *, CASE WHEN value < 11 THEN 'below_min' ELSE 'above_max' END AS reason,
-  row_number() OVER (PARTITION BY strip, location ORDER BY ts, row_no) AS k FROM volts WHERE value < 11 OR value > 13) WHERE k <= 10""")
+@query("DQ-06:violations", f"""WITH {VOLTS} SELECT strip, location, ts, value, CASE WHEN value < 11 THEN 'below_min' ELSE 'above_max' END AS reason FROM volts WHERE value < 11 OR value > 13""")
 def dq_06_violations(spark, sf):
-    return dq.battery_violations(volts(spark, sf), LOGGER, ["ts", "row_no"], n=10).select(*LOGGER, "ts", "value", "reason")
+    return dq.battery_violations(volts(spark, sf), LOGGER, ["ts", "row_no"]).select(*LOGGER, "ts", "value", "reason")
 
 
 @query("DQ-07", f"""WITH {VOLTS}, y AS (SELECT *, CAST(year(ts) AS INTEGER) AS year FROM readings WHERE ts >= TIMESTAMP '2024-01-03'), t AS (SELECT year, count(DISTINCT ts) AS n_total FROM y GROUP BY year),

@@ -17,14 +17,14 @@ def r6(c):
 
 def two_copies(spark, sf):
     """Readings and a copy that misses some rows, has some extra and differs in every ninth value."""
-    r = readings(spark, sf).filter("variable IN ('VWC', 'T')").select("row_no", "ts", "variable", "value", (F.col("value") * 2).alias("twice"))
+    r = readings(spark, sf).select("row_no", "ts", "variable", "value", (F.col("value") * 2).alias("twice"))
     k = F.col("row_no")
     a = r.filter(k % 10 != 0)
     b = r.filter(k % 7 != 0).withColumn("value", F.when(k % 9 == 0, F.col("value") + 0.5).otherwise(F.col("value") * 1.003))
     return a, b
 
 
-COPIES = f"""{READINGS}, r AS (SELECT row_no, ts, variable, value, value * 2 AS twice FROM readings WHERE variable IN ('VWC', 'T')), a AS (SELECT * FROM r WHERE row_no % 10 <> 0),
+COPIES = f"""{READINGS}, r AS (SELECT row_no, ts, variable, value, value * 2 AS twice FROM readings), a AS (SELECT * FROM r WHERE row_no % 10 <> 0),
 b AS (SELECT row_no, ts, variable, CASE WHEN row_no % 9 = 0 THEN value + 0.5 ELSE value * 1.003 END AS value, twice FROM r WHERE row_no % 7 <> 0)"""
 
 
@@ -148,9 +148,9 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, term, line AS line_text, coa
   coalesce(array_to_string(list_slice(ls, line_no + 1, line_no + {context}), chr(10)), '') AS context_after FROM r{f' WHERE k <= {cap}' if cap else ''}"""
 
 
-@query("TXT-01", term_sql(TERMS, 20))
+@query("TXT-01", term_sql(TERMS, None))
 def txt_01(spark, sf):
-    return tx.term_search(table(spark, sf, "documents"), TERMS, max_matches=20)
+    return tx.term_search(table(spark, sf, "documents"), TERMS)
 
 
 KEYS = {"articles": ["the", "Ing"], "spanish": ["not to be found", "que los"], "nothing": ["zzzz qqqq"]}
@@ -162,7 +162,7 @@ s AS (SELECT schema_key, sum(CASE WHEN p THEN coalesce(n, 0) ELSE 0 END) AS a, s
 SELECT schema_key, CAST(a AS BIGINT) AS primary_hits, CAST(b AS BIGINT) AS total_hits, CASE WHEN a > 0 THEN 'primary' WHEN b > 0 THEN 'fallback_only' ELSE 'missing' END AS status FROM s""")
 def txt_02(spark, sf):
     terms = [t for ts in KEYS.values() for t in ts]
-    return tx.term_coverage(tx.term_search(table(spark, sf, "documents"), terms, max_matches=None), KEYS)
+    return tx.term_coverage(tx.term_search(table(spark, sf, "documents"), terms), KEYS)
 
 
 @query("TXT-03", """WITH c AS (SELECT DISTINCT p_brand AS family, p_name AS "column" FROM part), m AS (SELECT DISTINCT p_brand AS family, p_name AS "column" FROM part WHERE p_partkey % 3 <> 0 UNION SELECT DISTINCT p_brand, 'old ' || p_type FROM part),
@@ -198,7 +198,7 @@ def txt_04(spark, sf):
 
 @query("TXT-04:suggestions", ANCHOR + """, s AS (SELECT DISTINCT page_id, fragment, unnest(ids) AS c FROM b WHERE len(ids) > 0), z AS (SELECT page_id, fragment, c, lower(c) AS x, lower(fragment) AS f FROM s),
 q AS (SELECT page_id, fragment, c AS suggestion, CASE WHEN x = f THEN 1000 ELSE 0 END + CASE WHEN starts_with(x, f) THEN 300 ELSE 0 END + CASE WHEN contains(x, f) THEN 150 ELSE 0 END - greatest(length(x) - length(f), 0) AS score FROM z),
-r AS (SELECT *, row_number() OVER (PARTITION BY page_id, fragment ORDER BY score DESC, suggestion) AS rank FROM q WHERE score > 0) SELECT page_id, fragment, CAST(rank AS INTEGER) AS rank, suggestion, CAST(score AS INTEGER) AS score FROM r WHERE rank <= 5""")
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id, fragment ORDER BY score DESC, suggestion) AS rank FROM q WHERE score > 0) SELECT page_id, fragment, CAST(rank AS INTEGER) AS rank, suggestion, CAST(score AS INTEGER) AS score FROM r""")
 def txt_04_suggestions(spark, sf):
     return tx.anchor_audit(*anchored(spark, sf))[1]
 

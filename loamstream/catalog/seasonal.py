@@ -33,7 +33,7 @@ def period_sql(rows: list[tuple[str, str, str, str, bool]]) -> str:
 
 DEFAULT_SQL = period_sql([("Q1_Winter", "Winter", "11-01", "03-31", True), ("Q2_Early_Growing", "Growing Season", "04-01", "10-31", False)])
 CUSTOM_SQL = period_sql([("spring", "spring", "03-01", "05-31", False), ("wet_time", "Wet", "10-15", "02-28", True), ("year", "year", "01-01", "12-31", False)])
-IN = "ts >= a AND ts <= b + to_seconds(86399)"
+IN = "ts >= a AND ts < b + INTERVAL 1 DAY"
 
 
 def daily(spark, sf):
@@ -41,8 +41,8 @@ def daily(spark, sf):
     return rs.resample(order_times(spark, sf), "daily", ["status", "variable"], digits=None).drop("n").withColumnRenamed("bin", "ts")
 
 
-@query("GS-01", f"""WITH {ORDER_TIMES} SELECT row_no, CASE WHEN ts >= TIMESTAMP '1996-11-01' AND ts <= TIMESTAMP '1997-03-31 23:59:59' THEN 'Q1_Winter'
-  WHEN ts >= TIMESTAMP '1997-04-01' AND ts <= TIMESTAMP '1997-10-31 23:59:59' THEN 'Q2_Early_Growing' END AS season FROM order_times""")
+@query("GS-01", f"""WITH {ORDER_TIMES} SELECT row_no, CASE WHEN ts >= TIMESTAMP '1996-11-01' AND ts <= TIMESTAMP '1997-03-31 23:59:59.999999' THEN 'Q1_Winter'
+  WHEN ts >= TIMESTAMP '1997-04-01' AND ts <= TIMESTAMP '1997-10-31 23:59:59.999999' THEN 'Q2_Early_Growing' END AS season FROM order_times""")
 def gs_01(spark, sf):
     return order_times(spark, sf).select("row_no", seasons.assign_season("ts", 1997).alias("season"))
 
@@ -76,8 +76,8 @@ def gs_03_rain(spark, sf):
 STATS = """round_even(min(value), 4) AS min, round_even(avg(value), 4) AS mean, round_even(max(value), 4) AS max, round_even(stddev_samp(value), 4) AS std"""
 
 
-@query("GS-04", f"""WITH {ORDER_TIMES} SELECT CASE WHEN ts <= TIMESTAMP '1997-03-31 23:59:59' THEN 'Q1_Winter' ELSE 'Q2_Early_Growing' END AS period_code,
-  status, variable, {STATS} FROM order_times WHERE ts >= TIMESTAMP '1996-11-01' AND ts <= TIMESTAMP '1997-10-31 23:59:59' GROUP BY ALL""")
+@query("GS-04", f"""WITH {ORDER_TIMES} SELECT CASE WHEN ts <= TIMESTAMP '1997-03-31 23:59:59.999999' THEN 'Q1_Winter' ELSE 'Q2_Early_Growing' END AS period_code,
+  status, variable, {STATS} FROM order_times WHERE ts >= TIMESTAMP '1996-11-01' AND ts <= TIMESTAMP '1997-10-31 23:59:59.999999' GROUP BY ALL""")
 def gs_04(spark, sf):
     return seasons.season_stats(order_times(spark, sf), 1997, keys=["status", "variable"])
 
@@ -86,9 +86,9 @@ def _flat_parts(spark, sf):
     """Orders as a sensor set: status is the strip, priority digit the depth, hour parity the location."""
     from ..operators import derive
 
-    rows = order_times(spark, sf).filter("status IN ('F', 'O')").select(
+    rows = order_times(spark, sf).select(
         floor_to("ts", 86400).alias("ts"),
-        F.when(F.col("status") == "F", "S1").otherwise("S2").alias("strip"),
+        F.when(F.col("status") == "F", "S1").when(F.col("status") == "O", "S2").otherwise("S3").alias("strip"),
         F.when(F.col("row_no") % 2 == 0, "T").otherwise("B").alias("location"),
         F.substring("variable", 1, 1).alias("depth"), F.lit("VWC").alias("variable"), "value",
     )
@@ -99,13 +99,13 @@ def _flat_parts(spark, sf):
     return raw.unionByName(ratio)
 
 
-FLAT = f"""WITH {ORDER_TIMES}, m AS (SELECT date_trunc('day', ts) AS ts, CASE status WHEN 'F' THEN 'S1' ELSE 'S2' END AS strip,
+FLAT = f"""WITH {ORDER_TIMES}, m AS (SELECT date_trunc('day', ts) AS ts, CASE status WHEN 'F' THEN 'S1' WHEN 'O' THEN 'S2' ELSE 'S3' END AS strip,
     CASE WHEN row_no % 2 = 0 THEN 'T' ELSE 'B' END AS location, substr(variable, 1, 1) AS depth, avg(value) AS value
-  FROM order_times WHERE status IN ('F', 'O') GROUP BY ALL),
+  FROM order_times GROUP BY ALL),
 p AS (SELECT ts, location, depth, max(CASE strip WHEN 'S1' THEN value END) / max(CASE strip WHEN 'S2' THEN value END) AS value FROM m GROUP BY ALL),
 u AS (SELECT ts, strip, location, depth, value, 'raw' AS kind FROM m UNION ALL SELECT ts, 'S1_S2', location, depth, value, 'ratio' FROM p),
-s AS (SELECT CASE WHEN ts <= TIMESTAMP '1997-03-31 23:59:59' THEN 'Q1_Winter' ELSE 'Q2_Early_Growing' END AS period_code, strip, location, depth, kind, {STATS}
-  FROM u WHERE ts >= TIMESTAMP '1996-11-01' AND ts <= TIMESTAMP '1997-10-31 23:59:59' AND value IS NOT NULL GROUP BY ALL)"""
+s AS (SELECT CASE WHEN ts <= TIMESTAMP '1997-03-31 23:59:59.999999' THEN 'Q1_Winter' ELSE 'Q2_Early_Growing' END AS period_code, strip, location, depth, kind, {STATS}
+  FROM u WHERE ts >= TIMESTAMP '1996-11-01' AND ts <= TIMESTAMP '1997-10-31 23:59:59.999999' AND value IS NOT NULL GROUP BY ALL)"""
 
 
 @query("GS-05", FLAT + """ SELECT period_code, 'VWC' AS variable, strip, depth, location, """ + ", ".join(

@@ -78,7 +78,7 @@ def qry_06_periods(spark, sf):
 
 
 @query("QRY-07", f"""WITH {READINGS}, v AS (SELECT 'all' AS p, strip, location, depth, round_even(avg(value / 100 * {CYLINDER_GAL!r}), 3) AS value FROM readings
-  WHERE variable = 'VWC' AND ts >= TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '2024-03-31 23:59:59' GROUP BY ALL),
+  WHERE variable = 'VWC' AND ts >= TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '2024-03-31 23:59:59.999999' GROUP BY ALL),
 s AS (SELECT location, depth, treated, max(CASE WHEN strip = treated THEN value END) AS a, max(CASE WHEN strip <> treated THEN value END) AS b
   FROM (SELECT *, CASE WHEN strip IN ('S1', 'S2') THEN 'S1' ELSE 'S3' END AS treated FROM v) GROUP BY ALL)
 SELECT 'Q1_Winter' AS period_code, location, depth, treated, CASE treated WHEN 'S1' THEN 'S2' ELSE 'S4' END AS control, a AS treated_value, b AS control_value, round(a / nullif(b, 0), 6) AS ratio FROM s

@@ -127,11 +127,11 @@ def tim_08(spark, sf):
 
 
 @query("TIM-09", f"""WITH {READINGS}, seen AS (
-  SELECT strip || location AS tag, max(ts) AS last_seen FROM readings WHERE variable = 'VWC' GROUP BY 1)
+  SELECT strip || location AS tag, max(ts) AS last_seen FROM readings GROUP BY 1)
 SELECT tag, last_seen, TIMESTAMP '2024-01-31 00:00:00' AS pull_end,
   greatest(TIMESTAMP '2024-01-30 00:00:00', last_seen) AS pull_start FROM seen""")
 def tim_09(spark, sf):
-    seen = readings(spark, sf).filter("variable = 'VWC'").groupBy(
+    seen = readings(spark, sf).groupBy(
         F.concat("strip", "location").alias("tag")
     ).agg(F.max("ts").alias("last_seen"))
     return tm.pull_window(seen, tm.ntz("2024-01-31 00:07:30"))

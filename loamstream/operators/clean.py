@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import BOUNDS, SENTINEL
 from ..functions import bounded, converted, nan_to_null, to_celsius, to_fahrenheit
-from ..plans import keep_latest, top_rows
+from ..plans import keep_latest, running_total, top_rows
 
 
 def dedupe_last(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("source_rank", "row_no")) -> DataFrame:
@@ -70,12 +70,14 @@ def bounds_report(
 
 
 def bounds_examples(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 5, rules: Rules = BOUNDS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int | None = None, rules: Rules = BOUNDS,
     key: str = "variable", value: str = "value",
 ) -> DataFrame:
-    """The first `n` violations per series, the report's examples."""
+    """Violations per series, ranked; all, or the first `n` as examples."""
     bad = violations(df, rules, key, value).filter("violation")
-    return top_rows(bad, keys, [F.col(c) for c in order], n)
+    if n is not None:
+        return top_rows(bad, keys, [F.col(c) for c in order], n)
+    return running_total(bad, keys, order, F.lit(1).cast("bigint"), "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def clean_weather(df: DataFrame, rain: str = "precip_in", missing: float = -999.0) -> DataFrame:

@@ -105,12 +105,12 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
     return exact_quantiles(df, keys, value, {name: 0.5}, width, weight)
 
 
-def missingness(df: DataFrame, columns: Sequence[str], n: int = 20) -> DataFrame:
-    """Columns with the most missing values."""
+def missingness(df: DataFrame, columns: Sequence[str], n: int | None = None) -> DataFrame:
+    """Missing values per column; all columns, or the `n` with most."""
     counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     long = counts.unpivot(["_n"], list(columns), "column", "nan_count")
     out = long.select("column", "nan_count", (F.col("nan_count") / F.when(F.col("_n") > 0, F.col("_n"))).alias("nan_fraction"))
-    return worst(out, "nan_count", n, ["column"])
+    return out if n is None else worst(out, "nan_count", n, ["column"])
 
 
 BATTERY_QUANTILES = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
@@ -128,11 +128,11 @@ def battery_health(df: DataFrame, keys: Sequence[str], low: float = 11.0, high:
     return null_safe_join(base, exact_quantiles(rows, keys, value, BATTERY_QUANTILES, width), keys)
 
 
-def battery_violations(df: DataFrame, keys: Sequence[str], order: Sequence[str], low: float = 11.0, high: float = 13.0, n: int = 50, value: str = "value") -> DataFrame:
-    """The first `n` out-of-range readings per battery with the side they fall on."""
+def battery_violations(df: DataFrame, keys: Sequence[str], order: Sequence[str], low: float = 11.0, high: float = 13.0, n: int | None = None, value: str = "value") -> DataFrame:
+    """Out-of-range readings per battery with the side they fall on; all, or the first `n` in order."""
     v = F.col(value)
     bad = df.filter((v < low) | (v > high)).withColumn("reason", F.when(v < low, "below_min").otherwise("above_max"))
-    return top_rows(bad, keys, [F.col(c) for c in order], n)
+    return bad if n is None else top_rows(bad, keys, [F.col(c) for c in order], n)
 
 
 def logger_health(df: DataFrame, keys: Sequence[str], since: str, min_volts: float = 11.5, max_gap_min: float = 60.0, ts: str = "ts", value: str = "value") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import div
@@ -96,13 +96,17 @@ def magnitude_compare(a: DataFrame, b: DataFrame, fields: Sequence[str], width:
 def column_signatures(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """One fingerprint per column over all (row key, text) cells.
 
-    Cells are hashed twice and folded by xor, so partial fingerprints combine on the map side;
-    row keys must be unique, otherwise equal cells would cancel.
+    Cells are hashed twice and the hashes are added up, so partial fingerprints combine on the map side
+    and repeated rows count as often as they occur. NULL differs from empty text.
     """
-    cells = df.select(F.col(key).cast("string").alias("_k"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
+    cells = df.select(F.col(key).cast("string").alias("_k"), *[F.col(c).cast("string").alias(c) for c in columns])
     long = cells.unpivot(["_k"], list(columns), "column", "cell")
+
+    def total(*parts: Column) -> Column:
+        return F.sum(F.xxhash64(*parts, F.col("_k").isNull(), F.col("cell").isNull()).cast("decimal(28,0)"))
+
     return long.groupBy("column").agg(
-        F.bit_xor(F.xxhash64("_k", "cell")).alias("_h1"), F.bit_xor(F.xxhash64(F.lit("b"), "cell", "_k")).alias("_h2"),
+        total(F.col("_k"), F.col("cell")).alias("_h1"), total(F.lit("b"), F.col("cell"), F.col("_k")).alias("_h2"),
         F.count(F.lit(1)).alias("_n"))
 
 

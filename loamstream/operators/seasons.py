@@ -54,7 +54,7 @@ def _bounds(period: Mapping[str, str], year: Column) -> tuple[Column, Column]:
     zero = F.lit(0)
     return (
         F.try_make_timestamp_ntz(first, F.lit(sm), F.lit(sd), zero, zero, zero),
-        F.try_make_timestamp_ntz(year, F.lit(em), F.lit(ed), F.lit(23), F.lit(59), F.lit(59)),
+        F.try_make_timestamp_ntz(year, F.lit(em), F.lit(ed), F.lit(23), F.lit(59), F.lit(59.999999)),
     )
 
 

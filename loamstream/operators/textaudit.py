@@ -23,17 +23,22 @@ def _normal(term: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9% ]+", " ", s)).strip()
 
 
-def term_search(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str = "text", context: int = 1, max_matches: int | None = 200, case_sensitive: bool = False, whole_word: bool = True) -> DataFrame:
+def term_search(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str = "text", context: int = 1, max_matches: int | None = None, case_sensitive: bool = False, whole_word: bool = True) -> DataFrame:
     """Lines that contain a term, as written or after normalising, with lines around them.
 
     A document is searched in its own row, whole; nothing is shuffled. Hits come in line order, then
-    term order, and a document reports at most `max_matches` (`None`: all of them).
+    term order, all of them; a caller that wants a preview sets `max_matches` per document.
     """
     # line breaks are made alike and the whole text is normalised once, then both are cut into lines
     plain = F.regexp_replace(F.regexp_replace(F.col(text), r"\r\n|\r", "\n"), r"\n$", "")
     rows = docs.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(key, plain.alias("_text"))
     wanted = {t: (_pattern(t, case_sensitive, whole_word), _normal(t)) for t in terms}
-    rows = rows.select(key, F.split("_text", "\n").alias("_lines"), F.split(normalize_lines(F.col("_text")), "\n").alias("_norms"))
+    rows = rows.select(key, "_text", F.split("_text", "\n").alias("_lines"), F.split(normalize_lines(F.col("_text")), "\n").alias("_norms"))
+    # most documents hold no term at all: one test of the whole text spares them the search by line
+    some = F.lit(False)
+    for pattern, words in wanted.values():
+        some = some | F.col("_text").rlike(pattern) | (F.array_join("_norms", "\n").contains(words) if words else F.lit(False))
+    rows = rows.filter(some).drop("_text")
     n = F.size("_lines")
 
     def hits_of(line: Column, i: Column) -> Column:
@@ -101,8 +106,8 @@ def _slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def anchor_audit(pages: DataFrame, links: DataFrame, key: str = "page_id", limit: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(broken links, suggestions): fragments their page does not define, and its best-scored ids.
+def anchor_audit(pages: DataFrame, links: DataFrame, key: str = "page_id", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(broken links, suggestions): fragments their page does not define, and its ids that score, ranked.
 
     `links` has `page_id, fragment` and optionally `table_number, table_title`. A page's ids stay an
     array next to its broken links, so candidates are scored in the row.
@@ -127,7 +132,9 @@ def anchor_audit(pages: DataFrame, links: DataFrame, key: str = "page_id", limit
 
     ranked = F.array_sort(F.filter(
         F.transform(F.array_distinct("ids"), lambda c: F.struct((-score(c)).alias("neg"), c.alias("suggestion"))), lambda s: s["neg"] < 0))
-    best = broken.select(key, "fragment", F.posexplode(F.slice(ranked, 1, limit)).alias("_i", "_s")).select(
+    if limit is not None:
+        ranked = F.slice(ranked, 1, limit)
+    best = broken.select(key, "fragment", F.posexplode(ranked).alias("_i", "_s")).select(
         key, "fragment", (F.col("_i") + 1).alias("rank"), F.col("_s.suggestion").alias("suggestion"), (-F.col("_s.neg")).alias("score"))
     return broken.select(key, "fragment"), best
 

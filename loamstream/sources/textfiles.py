@@ -139,16 +139,16 @@ def read_two_header_csv(spark: SparkSession, path: str, key_columns: Sequence[st
     return rows.select(*[F.coalesce(F.get("_cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)]), human
 
 
-def detect_header(rows: DataFrame, tokens: Sequence[str], cells: str = "cells", row_no: str = "row_no", scan: int = 30) -> DataFrame:
-    """The row among the first `scan` that mentions most tokens, with clean, distinct names.
+def detect_header(rows: DataFrame, tokens: Sequence[str], cells: str = "cells", row_no: str = "row_no") -> DataFrame:
+    """The first of the rows that mention most tokens, with clean, distinct names.
 
-    One row: header_row, names. Repeats of a name get `_1`, `_2`, … in order.
+    One row: header_row, names. Repeats of a name get `_1`, `_2`, … in order; `&` is spelled `and`. Every
+    row is scored where it is and the best one is kept by a combining maximum.
     """
-    head = rows.orderBy(row_no).limit(scan)
-    clean = F.transform(cells, lambda c: machine_name(F.coalesce(c, F.lit(""))))
+    clean = F.transform(cells, lambda c: machine_name(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit(" and "))))
     text = F.array_join(F.col("_m"), " ")
     score = sum((F.when(text.contains(t), 1).otherwise(0) for t in tokens), F.lit(0))
-    best = head.withColumn("_m", clean).withColumn("_score", score).groupBy().agg(
+    best = rows.withColumn("_m", clean).withColumn("_score", score).groupBy().agg(
         F.max_by(F.struct(F.col(row_no).alias("header_row"), F.col("_m").alias("m")), F.struct("_score", -F.col(row_no))).alias("_b"))
     m = F.col("_b.m")
 

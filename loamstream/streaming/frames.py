@@ -14,7 +14,6 @@ FIELDS = ("BattV_Min", "VWC_1_Avg", "EC_1_Avg", "T_1_Avg", "VWC_2_Avg", "EC_2_Av
 SANE = {"BattV": (8.0, 16.0), "VWC": (0.0, 1.2), "EC": (0.0, 5.0), "T": (-20.0, 80.0)}
 TIMED = {"BattV": (9.0, 16.0), "VWC": (0.0, 0.6), "EC": (0.0, 5.0), "T": (-40.0, 60.0)}
 EPOCH_RANGE = (900_000_000, 1_600_000_000)
-SCAN = (16, 256)
 
 
 def _bounds(ranges: dict[str, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,13 +40,14 @@ def first_sane(block: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nd
     return at, values[np.arange(len(block)), np.maximum(at, 0)]
 
 
-def best_timed(block: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_timed(block: np.ndarray, lo: np.ndarray, hi: np.ndarray, scan: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(offset or −1, epoch seconds, values) of the best record with a quarter-hour time.
 
     At least eight fields must be in range; more fields win, then the smaller distance outside.
     """
     n, length = block.shape
-    start, stop = SCAN[0], max(SCAN[0], min(length, SCAN[1]) - 44)
+    first, last = scan or (0, length)
+    start, stop = first, max(first, min(length, last) - 43)
     if stop <= start:
         return np.full(n, -1), np.zeros(n, "int64"), np.zeros((n, 10))
     w = np.ascontiguousarray(_windows(block, 44)[:, start:stop])
@@ -69,11 +69,12 @@ def best_timed(block: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nd
     return at, seconds[rows, pick], values[rows, pick]
 
 
-def decode_frames(df: DataFrame, keep: Sequence[str], payload: str = "PayloadHex", timed: bool = False, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def decode_frames(df: DataFrame, keep: Sequence[str], payload: str = "PayloadHex", timed: bool = False, scan: tuple[int, int] | None = None, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Frames to fields; frames without a plausible record are dropped.
 
     Hex is unpacked by Spark; each Arrow batch is decoded in blocks of equally long payloads. With
-    `timed` the record brings its own time as `epoch_s` (seconds since 1990).
+    `timed` the record brings its own time as `epoch_s` (seconds since 1990). The whole payload is
+    searched unless `scan` names a range of bytes.
     """
     lo, hi = _bounds(ranges or (TIMED if timed else SANE))
     rows = df.select(*keep, F.try_to_binary(F.regexp_replace(payload, "[ :]", ""), F.lit("hex")).alias("_b")).filter("_b IS NOT NULL")
@@ -94,7 +95,7 @@ def decode_frames(df: DataFrame, keep: Sequence[str], payload: str = "PayloadHex
                     block = np.frombuffer(b"".join(bytes(x) for x in piece["_b"]), dtype="u1").reshape(len(piece), length)
                     out = piece[list(keep)].reset_index(drop=True)
                     if timed:
-                        at, seconds, values = best_timed(block, lo, hi)
+                        at, seconds, values = best_timed(block, lo, hi, scan)
                         out["epoch_s"] = seconds
                     else:
                         at, values = first_sane(block, lo, hi)
