@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import scratch_path, shared_dir
 
 
 def others(df: DataFrame, *taken: str) -> list[str]:
@@ -27,6 +27,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_table(df: DataFrame) -> DataFrame:
+    """The same as a compressed table in the shared folder, for rows too many for a checkpoint's plain form."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "llm")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node each linked node can reach. Alternating large and small stars.
 

@@ -5,18 +5,21 @@ must meet. Of the GRAM-byte strings inside a window of SIZE bytes the one with t
 its anchor; equal windows have equal anchors at equal places. The windows of one anchor occurrence
 follow each other; together they are a context of less than twice SIZE bytes.
 
-1. Every block of documents lists its contexts as (anchor hash, context hash, count). Anchors met once
-   are done. A context met twice repeats as a whole.
+1. Contexts are listed as (anchor hash, context hash, count). Anchors met once are done. A context met
+   twice repeats as a whole.
 2. Where an anchor has different contexts, one copy of each is sent to the anchor's bucket. The bucket
-   builds the suffix array of its contexts by prefix doubling to depth SIZE. In a run of suffixes that
-   agree on SIZE bytes the order goes on by place, so a suffix's previous smaller place is its
-   neighbour in the run (a next smaller one cannot follow), and its longest previous factor reaches
-   SIZE if it has such a neighbour; longest following factors read the run the other way.
+   sorts the suffixes that start at its anchors and, read backwards, the prefixes that end there, both
+   with the lengths of common prefixes of neighbours. Two windows are equal if the suffix order names
+   their right parts alike and the prefix order their left parts. A run of equal windows goes on by
+   place: the previous smaller place is the neighbour before (a next smaller one cannot follow), so the
+   longest previous factor of a window reaches SIZE if it has such a neighbour, and its longest
+   following factor if there is one after it.
 3. An anchor with more than HOT different contexts (a passage in very many texts) has no bucket: its
    windows go by their own hash, so its work is dealt by content again and equal windows of a block
    collapse before they travel.
 
-Blocks take the verdicts back and cut the text. The text is shuffled once and read three times.
+Blocks of documents take the verdicts back and cut the text. The text is shuffled once, for the sending
+and the cutting, which read the same exchange.
 
 keep="none" removes every copy; keep="first" leaves what starts first in (id, byte) order. Defined
 results: a null text counts as empty; texts shorter than SIZE keep all; a null id comes last; repeated
@@ -28,6 +31,7 @@ the result is replaced, and the working name _block is left out. Removed bytes m
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +41,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import texts
-from .shared import cols, others, settle
+from .shared import cols, others, settle_table
 from .substring_dedup import LAST, _mix, _slices, pack, pack_sorted, unpack, unpack_sorted
 
 SIZE = 400
 GRAM = 32
 BLOCK_BYTES = 16 << 20
-CHUNK = 1 << 20
-BUCKET_BYTES = 4 << 20
+CHUNK = 1 << 18
+BUCKET = 8192
 HOT = 256
 RESULT = "suffix_dedup"
 FIELDS = T.StructType([
@@ -85,7 +89,8 @@ class Chunk:
         up, self.down = _powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[self.data] * up[:n], out=self.sums[1:])
-        self.lo = self.n = self.anchor = self.a = np.zeros(0, np.int64)
+        self.lo = self.n = self.anchor = np.zeros(0, np.int64)
+        self.a = np.zeros(0, np.uint64)
         edge = np.zeros(n + 1, np.int64)
         long_ = self.lengths >= size
         if long_.any():
@@ -147,39 +152,37 @@ def _ids(batch: pa.Table, id_: str) -> np.ndarray:
 
 
 # --- suffix order of a bucket ---------------------------------------------------------------------
-def _named(key: np.ndarray) -> np.ndarray:
-    return np.unique(key, return_inverse=True)[1]
-
-
-def suffix_names(data: np.ndarray, size: int) -> np.ndarray:
-    """Prefix doubling to depth `size`: equal names where the next `size` bytes agree, in suffix order."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    depth = min(8, size)
-    word = np.zeros(n, np.uint64)
-    for j in range(depth):
-        word = word << _U(8) | padded[j : j + n].astype(np.uint64)
-    name = _named(word)
-    while depth < size:
-        step = min(depth, size - depth)
-        after = np.zeros(n, np.int64)
-        after[: n - step] = name[step:] + 1
-        name = _named(name * (n + 2) + after)
-        depth += step
-    return name
-
-
-def factors(contexts: list[bytes], size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per context, in place order: which windows have an earlier match, and which have any."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    lengths = np.array([len(c) for c in contexts], np.int64)
-    n = lengths - size + 1
-    begin = np.cumsum(lengths) - lengths
-    start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-    name = suffix_names(data, size)[start]
-    order = np.argsort(name, kind="stable")  # suffix order; runs of agreeing suffixes by place
+def order_names(group: np.ndarray, strings: list[bytes], depth: int) -> np.ndarray:
+    """names[i, d]: equal for strings of one group that agree on d bytes, from their order and common prefixes."""
+    n = len(strings)
+    order = sorted(range(n), key=lambda i: (group[i], strings[i]))
+    table = np.frombuffer(b"".join([strings[i].ljust(depth, b"\0") for i in order]), np.uint8).reshape(n, depth)
+    common = np.full(n, -1)
+    unlike = table[1:] != table[:-1]
+    common[1:] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), depth)
+    sorted_group = group[order]
+    common[1:][sorted_group[1:] != sorted_group[:-1]] = -1
+    names = np.empty((n, depth + 1), np.int32)
+    names[order] = np.cumsum(common[:, None] < np.arange(depth + 1), axis=0, dtype=np.int32)
+    return names
+
+
+def factors(anchors: np.ndarray, places: np.ndarray, contexts: list[bytes], size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per context, in place order: which windows have an earlier match, and which have any.
+
+    `places` is where the anchor stands in each context.
+    """
+    gram = min(GRAM, size)
+    right = order_names(anchors, [c[p : p + size] for c, p in zip(contexts, places.tolist(), strict=True)], size)
+    left = order_names(anchors, [c[max(0, p - size) : p][::-1] for c, p in zip(contexts, places.tolist(), strict=True)], size - gram)
+    n = np.array([len(c) for c in contexts], np.int64) - size + 1
+    which = np.repeat(np.arange(len(contexts)), n)
+    before = places[which] - (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))  # bytes ahead of the anchor
+    k = len(contexts) + 1
+    name = (before * k + left[which, before]) * k + right[which, size - before]
+    order = np.argsort(name, kind="stable")  # runs of equal windows, each by place
     same = name[order][1:] == name[order][:-1]
-    earlier, later = np.zeros(len(start), bool), np.zeros(len(start), bool)
+    earlier, later = np.zeros(len(name), bool), np.zeros(len(name), bool)
     earlier[order[1:]] = same
     later[order[:-1]] = same
     cut = np.cumsum(n)[:-1]
@@ -188,7 +191,7 @@ def factors(contexts: list[bytes], size: int) -> tuple[list[np.ndarray], list[np
 
 # --- the operator ---------------------------------------------------------------------------------
 def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, keep: str = "none",
-                   block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, with_text: bool = True) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET, hot: int = HOT, with_text: bool = True) -> DataFrame:
     """Every document with a `suffix_dedup` struct: n_bytes, n_removed, n_spans, spans, clean_text, kept_sha256.
 
     A byte goes if a string of `size` bytes that covers it also starts anywhere else (keep="none"), or
@@ -200,33 +203,36 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     blocks = max(1, -(-total // block_bytes))
     columns = others(docs, RESULT, "_block")
     dealt = docs.select(*cols(columns), F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(blocks)).alias("_block"))
-
-    def listed(batch: pa.Table) -> pa.Table:
-        ids = _ids(batch, id)
-        parts = []
-        for row, chunk in _chunks(batch, text, size):
-            doc = np.searchsorted(chunk.begins + chunk.lengths, chunk.lo, "right")
-            parts.append((chunk.a, chunk.contexts(), ids[row + doc], chunk.lo - chunk.begins[doc], chunk.n))
-        a, c, who, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, who, c, a))
-        a, c, who, at, n = a[order], c[order], who[order], at[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])) if len(a) else np.zeros(0, np.int64)
-        return pa.table({
-            "_block": np.full(len(first), batch["_block"][0].as_py() if batch.num_rows else 0),
-            "a": a[first].view(np.int64), "c": c[first].view(np.int64),
-            "n": np.diff(np.append(first, len(a))), "id": who[first], "at": at[first], "windows": n[first]})
-
-    found = settle(dealt.groupBy("_block").applyInArrow(listed, "_block long, a long, c long, n long, id long, at long, windows long"))
+    first = keep == "first"
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.table(batch)
+            ids, block = _ids(rows, id), rows["_block"].to_numpy()
+            for row, chunk in _chunks(rows, text, size):
+                doc = np.searchsorted(chunk.begins + chunk.lengths, chunk.lo, "right")
+                zero = np.zeros(len(doc), np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(block[row + doc]), pa.array(chunk.a.view(np.int64)), pa.array(chunk.contexts().view(np.int64)),
+                    pa.array(ids[row + doc] if first else zero), pa.array(chunk.lo - chunk.begins[doc] if first else zero),
+                    pa.array(chunk.n.astype(np.int32))], names=["_block", "a", "c", "id", "at", "windows"])
+
+    found = settle_table(dealt.select(id, text, "_block").mapInArrow(listed, "_block long, a long, c long, id long, at long, windows int"))
+    met = found.groupBy("a").count().filter("count > 1").select("a")
+    found = settle_table(found.join(met, "a", "left_semi"))
     contexts = found.groupBy("a", "c").agg(
-        F.sum("n").alias("n"), F.min(F.struct("id", "at")).alias("place"), F.min("_block").alias("_block"), F.max("windows").alias("windows"))
-    anchors = contexts.groupBy("a").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum(F.col("windows") + size).alias("bytes")).filter(F.col("all") > 1)
-    repeated = settle(contexts.join(anchors, "a"))
-    unlike = repeated.filter((F.col("kinds") > 1) & (F.col("kinds") <= hot))
-    busy = repeated.filter(F.col("kinds") > hot)
-    nothing = F.lit(None).cast("binary")
-    asks = unlike.select("_block", F.lit(0).alias("kind"), "a", "c").unionByName(
-        found.join(busy.select("a", "c"), ["a", "c"], "left_semi").select("_block", F.lit(1).alias("kind"), "a", "c"))
-    shards = max(1, (busy.agg(F.sum(F.col("n") * F.col("windows"))).first()[0] or 0) >> 21)
+        F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("place"), F.min("_block").alias("_block"), F.max("windows").alias("windows"))
+    kinds = contexts.groupBy("a").agg(F.count("*").alias("kinds"))
+    repeated = settle_table(contexts.join(kinds, "a").filter("n > 1 OR kinds > 1"))
+    spot = [F.col("place.id").alias("id"), F.col("place.at").alias("at")]
+    busy = found.join(repeated.filter(F.col("kinds") > hot).select("a", "c"), ["a", "c"], "left_semi").select("_block", "a", "c").distinct()
+    none = F.lit(None).cast("long")
+    asks = repeated.filter((F.col("kinds") > 1) & (F.col("kinds") <= hot)).select("_block", F.lit(0).alias("kind"), "a", "c", *spot, "n").unionByName(
+        busy.select("_block", F.lit(1).alias("kind"), "a", "c", none.alias("id"), none.alias("at"), none.alias("n")))
+    sizes = repeated.agg(
+        F.count_if((F.col("kinds") > 1) & (F.col("kinds") <= hot)).alias("unlike"),
+        F.sum(F.when(F.col("kinds") > hot, F.col("n") * F.col("windows"))).alias("busy")).first()
+    buckets, shards = max(1, sizes.unlike // bucket), max(1, (sizes.busy or 0) >> 21)
 
     def send(batch: pa.Table, ask: pa.Table) -> pa.Table:
         """Bytes of one copy of each asked context, and window hashes of busy ones."""
@@ -236,51 +242,54 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
             ids = _ids(batch, id)
             for row, chunk in _chunks(batch, text, size):
                 c = chunk.contexts()
-                kind = _kind(wanted, chunk.a, c)
+                known, kind, who, at, times = wanted.find(chunk.a, c)
+                kind = np.where(known, kind, -1)
                 for r in np.flatnonzero(kind == 0).tolist():
                     if (key := (int(chunk.a[r]), int(c[r]))) not in seen:
                         seen.add(key)
                         lo = int(chunk.lo[r])
-                        out.append((0, 0, *key, chunk.data[lo : lo + int(chunk.n[r]) + size - 1].tobytes(), None, None))
+                        out.append((0, _bucket(key[0], buckets), *key, int(chunk.anchor[r]) - lo, int(who[r]), int(at[r]), int(times[r]),
+                                    chunk.data[lo : lo + int(chunk.n[r]) + size - 1].tobytes(), None, None))
                 start, h, g = chunk.windows(np.flatnonzero(kind == 1))
                 doc = np.searchsorted(chunk.begins + chunk.lengths, start, "right")
                 hashes.append((h, g, ids[row + doc], start - chunk.begins[doc]))
             h, g, who, at = (np.concatenate(x) for x in zip(*hashes, strict=True))
             order = np.lexsort((at, who, g, h))
             h, g, who, at = h[order], g[order], who[order], at[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])) if len(h) else np.zeros(0, np.int64)
-            twice = np.diff(np.append(first, len(h))) > 1
-            h, g, who, at = h[first], g[first], who[first], at[first]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])) if len(h) else np.zeros(0, np.int64)
+            twice = np.diff(np.append(new, len(h))) > 1
+            h, g, who, at = h[new], g[new], who[new], at[new]
             shard = (h >> _U(32)) * _U(shards) >> _U(32)
             for s, lo, hi in _slices(shard):
                 body = pack_sorted(h[lo:hi]), pack(g[lo:hi]), b"".join(
                     len(x).to_bytes(4, "little") + x for x in (pack(np.packbits(twice[lo:hi])), pack(who[lo:hi]), pack(at[lo:hi])))
-                out.append((1, s, 0, 0, *body))
+                out.append((1, s, 0, 0, 0, 0, 0, 0, *body))
         block = batch["_block"][0].as_py() if batch.num_rows else None
         return pa.table({
             "_block": pa.array([block] * len(out), pa.int64()), "kind": pa.array([r[0] for r in out], pa.int32()),
-            "shard": pa.array([r[1] for r in out], pa.int64()),
+            "part": pa.array([r[1] for r in out], pa.int64()),
             "a": np.array([r[2] for r in out], np.uint64).view(np.int64), "c": np.array([r[3] for r in out], np.uint64).view(np.int64),
-            **{k: pa.array([r[i] for r in out], pa.binary()) for i, k in enumerate(("x", "y", "z"), 4)}})
+            **{k: pa.array([r[i] for r in out], pa.int64()) for i, k in enumerate(("p", "id", "at", "n"), 4)},
+            **{k: pa.array([r[i] for r in out], pa.binary()) for i, k in enumerate(("x", "y", "z"), 8)}})
 
-    sent = settle(dealt.groupBy("_block").cogroup(asks.groupBy("_block")).applyInArrow(
-        send, "_block long, kind int, shard long, a long, c long, x binary, y binary, z binary"))
+    sent = dealt.groupBy("_block").cogroup(asks.groupBy("_block")).applyInArrow(
+        send, "_block long, kind int, part long, a long, c long, p long, id long, at long, n long, x binary, y binary, z binary")
 
-    def ordered(batch: pa.Table) -> pa.Table:
+    def judge(batch: pa.Table) -> pa.Table:
+        if batch["kind"][0].as_py():
+            return exact(batch)
         batch = batch.take(pc.sort_indices(batch, sort_keys=[("id", "ascending"), ("at", "ascending")]))
-        earlier, some = factors(batch["x"].to_pylist(), size)
-        told = earlier if keep == "first" else some
-        hit = np.array([m.any() for m in told], bool)
+        earlier, some = factors(batch["a"].to_numpy(), batch["p"].to_numpy(), batch["x"].to_pylist(), size)
+        told = earlier if first else some
+        # where every copy goes, a context met twice goes as a whole
+        hit = np.array([m.any() for m in told], bool) & (first | (batch["n"].to_numpy() < 2))
         kept = batch.filter(pa.array(hit))
-        return pa.table({"a": kept["a"], "c": kept["c"], "x": pa.array([pack(np.packbits(m)) for m, y in zip(told, hit, strict=True) if y], pa.binary())})
-
-    buckets = max(1, (unlike.agg(F.sum(F.col("windows") + size)).first()[0] or 0) // bucket_bytes)
-    masks = sent.filter("kind = 0").join(unlike.select("a", "c", "place.id", "place.at"), ["a", "c"]).select(
-        F.pmod(F.xxhash64("a"), F.lit(buckets)).alias("bucket"), "a", "c", "id", "at", "x",
-    ).groupBy("bucket").applyInArrow(ordered, "a long, c long, x binary")
+        empty = pa.nulls(kept.num_rows, pa.binary())
+        return pa.table({"_block": kept["_block"], "kind": pa.array([1] * kept.num_rows, pa.int32()), "a": kept["a"], "c": kept["c"],
+                         "x": pa.array([pack(np.packbits(m)) for m, y in zip(told, hit, strict=True) if y], pa.binary()), "y": empty, "z": empty})
 
     def exact(batch: pa.Table) -> pa.Table:
-        """Of the window hashes of one range: which repeat, or for keep="first" where each starts first."""
+        """Of the window hashes of one range: which repeat, and where each starts first."""
         hs = [unpack_sorted(x, np.uint64) for x in batch["x"].to_pylist()]
         h, g = np.concatenate(hs), np.concatenate([unpack(x, np.uint32) for x in batch["y"].to_pylist()])
         rest = [_three(z) for z in batch["z"].to_pylist()]
@@ -290,10 +299,10 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
         owner = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
         order = np.lexsort((at, who, g, h))
         new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
-        first = np.flatnonzero(new)
+        start = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        many = (np.diff(np.append(first, len(h))) > 1) | np.logical_or.reduceat(twice[order], first)
-        lead = order[first][group]
+        many = (np.diff(np.append(start, len(h))) > 1) | np.logical_or.reduceat(twice[order], start)
+        lead = order[start][group]
         hit, w0, a0 = np.zeros(len(h), bool), np.empty_like(who), np.empty_like(at)
         hit[order], w0[order], a0[order] = many[group], who[lead], at[lead]
         names, rows = batch["_block"].to_pylist(), []
@@ -301,33 +310,34 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
             y = hit[lo:hi]
             if y.any():
                 rows.append((names[b], pack_sorted(h[lo:hi][y]), pack(w0[lo:hi][y]), pack(a0[lo:hi][y])))
-        return pa.table({"_block": pa.array([r[0] for r in rows], pa.int64()),
+        return pa.table({"_block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([2] * len(rows), pa.int32()),
+                         "a": pa.array([0] * len(rows), pa.int64()), "c": pa.array([0] * len(rows), pa.int64()),
                          **{k: pa.array([r[i] for r in rows], pa.binary()) for i, k in enumerate(("x", "y", "z"), 1)}})
 
-    hashed = sent.filter("kind = 1").groupBy("shard").applyInArrow(exact, "_block long, x binary, y binary, z binary")
+    verdicts = sent.groupBy("kind", "part").applyInArrow(judge, "_block long, kind int, a long, c long, x binary, y binary, z binary")
+    if first:  # a mask holds for every copy of its context
+        masks = found.select("_block", "a", "c").distinct().join(verdicts.filter("kind = 1").drop("_block"), ["a", "c"])
+        verdicts = verdicts.filter("kind = 2").unionByName(masks)
 
-    # what each block is told: 0 a whole context (with its first place), 1 the windows of a context, 2 window hashes
-    none = F.lit(None).cast("long")
-    whole = repeated.filter("n > 1").select("a", "c", "place.id", "place.at")
-    told = found.select("_block", "a", "c").join(whole, ["a", "c"]).select(
-        "_block", F.lit(0).alias("kind"), "a", "c", "id", "at", nothing.alias("x"), nothing.alias("y"), nothing.alias("z"),
-    ).unionByName(found.select("_block", "a", "c").join(masks, ["a", "c"]).select(
-        "_block", F.lit(1).alias("kind"), "a", "c", none.alias("id"), none.alias("at"), "x", nothing.alias("y"), nothing.alias("z"),
-    )).unionByName(hashed.select(
-        "_block", F.lit(2).alias("kind"), none.alias("a"), none.alias("c"), none.alias("id"), none.alias("at"), "x", "y", "z"))
+    # what each block is told: 0 a whole context (with its first place), 1 windows of a context, 2 window hashes, 3 busy contexts
+    nothing = [F.lit(None).cast("binary").alias(x) for x in "xyz"]
+    whole = repeated.filter("n > 1").select("a", "c", *spot)
+    told = found.select("_block", "a", "c").distinct().join(whole, ["a", "c"]).select("_block", F.lit(0).alias("kind"), "a", "c", "id", "at", *nothing)
+    told = told.unionByName(verdicts.withColumns({"id": none, "at": none})).unionByName(
+        busy.select("_block", F.lit(3).alias("kind"), "a", "c", none.alias("id"), none.alias("at"), *nothing))
 
     schema = T.StructType([*[f for f in docs.schema.fields if f.name in columns], T.StructField(RESULT, FIELDS, True)])
 
     def cut(batch: pa.Table, tell: pa.Table) -> pa.Table:
         ids = _ids(batch, id)
-        place, mask, late = _told(tell)
+        place, mask, late, crowd = _told(tell)
         rows = []
         for row, chunk in _chunks(batch, text, size):
             c = chunk.contexts()
             edge = np.zeros(len(chunk.data) + 1, np.int64)
             known, p_id, p_at = place.find(chunk.a, c)
             doc = np.searchsorted(chunk.begins + chunk.lengths, chunk.lo, "right")
-            if keep == "first":
+            if first:
                 known &= (p_id != ids[row + doc]) | (p_at != chunk.lo - chunk.begins[doc])
             np.add.at(edge, chunk.lo[known], 1)
             np.add.at(edge, (chunk.lo + chunk.n + size - 1)[known], -1)
@@ -338,10 +348,10 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
                         np.add.at(edge, s, 1)
                         np.add.at(edge, s + size, -1)
             if late is not None:
-                start, h, _ = chunk.windows(np.arange(len(chunk.lo)))
+                start, h, _ = chunk.windows(np.flatnonzero(crowd.find(chunk.a, c)[0]))
                 at = np.minimum(np.searchsorted(late[0], h), len(late[0]) - 1)
                 hit = late[0][at] == h
-                if keep == "first":
+                if first:
                     doc = np.searchsorted(chunk.begins + chunk.lengths, start, "right")
                     hit &= (late[1][at] != ids[row + doc]) | (late[2][at] != start - chunk.begins[doc])
                 np.add.at(edge, start[hit], 1)
@@ -392,28 +402,28 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _wanted(ask: pa.Table) -> _Pairs:
-    return _Pairs(_column(ask, "a").view(np.uint64), _column(ask, "c").view(np.uint64), _column(ask, "kind"))
+    return _Pairs(_column(ask, "a").view(np.uint64), _column(ask, "c").view(np.uint64), *[_column(ask, x) for x in ("kind", "id", "at", "n")])
 
 
-def _kind(wanted: _Pairs, a: np.ndarray, c: np.ndarray) -> np.ndarray:
-    known, kind = wanted.find(a.astype(np.uint64), c)
-    return np.where(known, kind, -1)
+def _bucket(anchor: int, buckets: int) -> int:
+    return (anchor >> 32) * buckets >> 32
 
 
-def _told(tell: pa.Table) -> tuple[_Pairs, dict, tuple | None]:
+def _told(tell: pa.Table) -> tuple[_Pairs, dict, tuple | None, _Pairs]:
     kind = _column(tell, "kind") if tell.num_rows else np.zeros(0, np.int32)
     a, c = (_column(tell, x).view(np.uint64) if tell.num_rows else np.zeros(0, np.uint64) for x in ("a", "c"))
     who, at = (_column(tell, x) if tell.num_rows else np.zeros(0, np.int64) for x in ("id", "at"))
     place = _Pairs(a[kind == 0], c[kind == 0], who[kind == 0], at[kind == 0])
+    crowd = _Pairs(a[kind == 3], c[kind == 3])
     mask: dict = {}
     parts = []
-    for i in np.flatnonzero(kind > 0).tolist():
+    for i in np.flatnonzero((kind == 1) | (kind == 2)).tolist():
         if kind[i] == 1:
             mask[int(a[i]), int(c[i])] = np.unpackbits(unpack(tell["x"][i].as_py(), np.uint8))
         else:
             parts.append((unpack_sorted(tell["x"][i].as_py(), np.uint64), unpack(tell["y"][i].as_py(), np.int64), unpack(tell["z"][i].as_py(), np.int64)))
     if not parts:
-        return place, mask, None
+        return place, mask, None, crowd
     h, w, p = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(h)
-    return place, mask, (h[order], w[order], p[order])
+    return place, mask, (h[order], w[order], p[order]), crowd

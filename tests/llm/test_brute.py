@@ -49,19 +49,21 @@ def test_substrings(spark, block):
 def test_suffixes(spark, hot, keep):
     docs = _texts(2, 100, letters="ab é")
     df = suffix_dedup.dedup_suffixes(
-        spark.createDataFrame(docs, "doc_id long, text string"), size=40, keep=keep, block_bytes=1500, bucket_bytes=2000, hot=hot)
+        spark.createDataFrame(docs, "doc_id long, text string"), size=40, keep=keep, block_bytes=1500, bucket=8, hot=hot)
     got = sorted((r.doc_id, r.d.n_bytes, r.d.n_removed, r.d.n_spans, r.d.kept_sha256)
                  for r in df.select("doc_id", F.col("suffix_dedup").alias("d")).collect())
     assert got == plain.suffixes(docs, 40, keep) and sum(x[2] for x in got)
 
 
-def test_suffix_names_are_suffix_order():
+def test_order_names_tell_common_prefixes():
     rng = np.random.default_rng(0)
-    data = rng.integers(0, 3, 300).astype(np.uint8)
-    names = suffix_dedup.suffix_names(data, 13)
-    cut = [bytes(data[i : i + 13]) for i in range(len(data) - 12)]
-    order = sorted(range(len(cut)), key=lambda i: cut[i])
-    assert all((names[a] == names[b]) == (cut[a] == cut[b]) and names[a] <= names[b] for a, b in zip(order, order[1:], strict=False))
+    strings = [bytes(rng.integers(97, 99, rng.integers(0, 12)).astype(np.uint8)) for _ in range(60)]
+    group = rng.integers(0, 3, 60)
+    names = suffix_dedup.order_names(group, strings, 12)
+    for i, x in enumerate(strings):
+        for j, y in enumerate(strings):
+            for d in range(min(len(x), len(y)) + 1):
+                assert (names[i, d] == names[j, d]) == (group[i] == group[j] and x[:d] == y[:d])
 
 
 def test_lines(spark):
