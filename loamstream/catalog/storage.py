@@ -104,6 +104,22 @@ def src_05(spark, sf):
     return tf.read_two_header_csv(spark, path)[0]
 
 
+@query("SRC-05:mixed", """SELECT CASE WHEN p_partkey % 3 = 2 THEN 's' || p_partkey ELSE '' END AS strip, CASE WHEN p_partkey % 3 = 2 THEN '2024-01-01' ELSE '' END AS date_rec,
+  CASE WHEN p_partkey % 3 = 2 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS row_no, CAST(p_size AS VARCHAR) AS ph FROM part""")
+def src_05_mixed(spark, sf):
+    """Three files: two header lines, the same columns swapped, and one header line."""
+    k = F.col("p_partkey")
+    size, key = F.col("p_size").cast("string"), k.cast("string")
+    line = F.when(k % 3 == 0, F.concat_ws(",", key, size)).when(k % 3 == 1, F.concat_ws(",", size, key)).otherwise(
+        F.concat_ws(",", F.concat(F.lit("s"), key), F.lit("2024-01-01"), size))
+    data = table(spark, sf, "part").select(F.concat(F.lit("kind_"), (k % 3).cast("string")).alias("file"), k.alias("ord"), line.alias("line"))
+    heads = {"kind_0": ["Row No,1:1 Soil pH", "row_no,ph"], "kind_1": ["1:1 Soil pH,Row No", "ph,row_no"], "kind_2": ["strip,date_rec,ph"]}
+    head = spark.createDataFrame([(f, i - 10, x) for f, xs in heads.items() for i, x in enumerate(xs)], "file string, ord long, line string")
+    path = scratch_path(spark, "mixed")
+    tf.write_line_files(head.unionByName(data), path)
+    return tf.read_two_header_csv(spark, path)[0]
+
+
 @query("SRC-06", "SELECT p_partkey + 10 AS row_no, CAST(p_size AS VARCHAR) AS date, p_name AS location, p_type AS gal_used_x_100, p_brand AS location_1 FROM part")
 def src_06(spark, sf):
     """A sheet whose header is the seventh row; two columns have one name."""
@@ -191,31 +207,44 @@ def snk_05(spark, sf):
 
 # ------------------------------------------------------------------ streams
 
-# days on which a new slice of the month begins
-CUTS = ("2024-01-01", "2024-01-09", "2024-01-17", "2024-01-24", "2025-01-01")
+def increments(spark, df, name, start, again=None, shuffled=False, parts=4):
+    """Land a table slice by slice and resume the same stream after each; returns the sink's path.
 
-
-def increments(spark, df, name, transform, again=None):
-    """Land a table slice by slice and resume the same stream after each; returns what its sink holds.
-
-    Rows matching `again` arrive a second time with the next slice.
+    Slices are equal stretches of the table's own time. Rows matching `again` arrive a second time with
+    the next slice; with `shuffled` the newest slice comes first, so all others are late.
     """
     source, sink = scratch_path(spark, name), scratch_path(spark, f"{name}-sink")
+    lo, hi = df.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    width = max(1, ((hi or 0) - (lo or 0)) // parts + 1)
     late = None
-    for a, b in zip(CUTS, CUTS[1:]):
-        part = df.filter((F.col("ts") >= tm.ntz(a)) & (F.col("ts") < tm.ntz(b)))
+    for i in reversed(range(parts)) if shuffled else range(parts):
+        part = df.filter(F.coalesce(F.floor((at - F.lit(lo or 0)) / width), F.lit(0)) == i)
         (part if late is None else part.unionByName(late)).write.mode("append").parquet(source)
         late = part.filter(again) if again else None
-        out = transform(spark.readStream.schema(df.schema).parquet(source))
-        ig.start_append(out, sink, f"{sink}-checkpoint").awaitTermination()
-    return spark.read.schema(out.schema).parquet(sink)
+        start(spark.readStream.schema(df.schema).parquet(source), sink, f"{sink}-checkpoint").awaitTermination()
+    return sink
+
 
+ARRIVED = f"WITH {READINGS} SELECT strip, location, depth, variable, ts, value, row_no FROM readings"
 
-@query("ING-01", f"WITH {READINGS} SELECT strip, location, depth, variable, ts, value, row_no FROM readings")
+
+def _arrive(spark, sf, name, **how):
+    r = readings(spark, sf)
+    sink = increments(spark, r, name, lambda s, to, mark: ig.start_append_new(s, to, mark, ["row_no"], "ts"), "row_no % 5 = 0", **how)
+    return spark.read.parquet(sink).select("strip", "location", "depth", "variable", "ts", "value", "row_no")
+
+
+@query("ING-01", ARRIVED)
 def ing_01(spark, sf):
     """Every fifth row is delivered again with the next slice; the stream keeps one."""
-    seen = increments(spark, readings(spark, sf), "arrivals", lambda s: ig.append_new(s, ["row_no"], "ts"), "row_no % 5 = 0")
-    return seen.select("strip", "location", "depth", "variable", "ts", "value", "row_no")
+    return _arrive(spark, sf, "arrivals")
+
+
+@query("ING-01:late", ARRIVED)
+def ing_01_late(spark, sf):
+    """The newest slice arrives first: nothing that comes weeks late is lost."""
+    return _arrive(spark, sf, "late", shuffled=True)
 
 
 @query("ING-01:batch", f"WITH {READINGS}, e AS (SELECT strip, location, max(ts) AS m FROM readings WHERE ts < TIMESTAMP '2024-01-12' AND strip <> 'S4' GROUP BY ALL) SELECT row_no, ts FROM readings r LEFT JOIN e USING (strip, location) WHERE r.ts >= TIMESTAMP '2024-01-03' AND r.ts <= TIMESTAMP '2024-01-20' AND (m IS NULL OR r.ts > m)")
@@ -226,11 +255,13 @@ def ing_01_batch(spark, sf):
     return fresh.select("row_no", "ts")
 
 
-@query("ING-02", f"""WITH {READINGS}, m AS (SELECT date_trunc('millisecond', max(ts)) - to_hours(2) AS w FROM readings) SELECT strip, variable, time_bucket(INTERVAL 1 HOUR, ts) AS bin,
-  round_even(CASE WHEN variable = 'precip' THEN sum(value) ELSE avg(value) END, 3) AS value, CAST(count(value) AS BIGINT) AS n FROM readings, m WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= w GROUP BY 1, 2, 3""")
+@query("ING-02", f"""WITH {READINGS} SELECT strip, variable, time_bucket(INTERVAL 1 HOUR, ts) AS bin,
+  round_even(CASE WHEN variable = 'precip' THEN sum(value) ELSE avg(value) END, 3) AS value, CAST(count(value) AS BIGINT) AS n FROM readings GROUP BY 1, 2, 3""")
 def ing_02(spark, sf):
-    """Hourly means as a stream; bins the watermark has not passed are still open."""
-    return increments(spark, readings(spark, sf), "hourly", lambda s: ig.stream_resample(s, "hourly", ["strip", "variable"]))
+    """Hourly values as a stream, newest slice first; late rows still reach their bins."""
+    keys = ["strip", "variable"]
+    sink = increments(spark, readings(spark, sf), "hourly", lambda s, to, mark: ig.start_resample(s, to, mark, "hourly", keys), shuffled=True)
+    return ig.read_resampled(spark, sink, keys)
 
 
 def messages(spark, sf):
@@ -248,7 +279,8 @@ SESSIONS = f"""WITH {IRRIGATION}, s AS (SELECT event_id, start, "end", CASE WHEN
 @query("ING-03", SESSIONS + """ SELECT event_id, start AS start_timestamp, "end" AS end_timestamp, CASE WHEN g >= 0 THEN g END AS total_meter_gallons, CASE WHEN g >= 0 THEN g * f END AS gallons_group, 12.0::DOUBLE * f AS avg_flow_gpm_group, CASE WHEN g < 0 THEN 'rejected' ELSE 'complete' END AS status FROM s""")
 def ing_03(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    done = increments(spark, messages(spark, sf), "messages", ss.stream_meter_sessions)
+    sink = increments(spark, messages(spark, sf), "messages", lambda s, to, mark: ig.start_append(ss.stream_meter_sessions(s), to, mark))
+    done = spark.read.parquet(sink)
     # how many open events the clock has given up on depends on where the input ends
     return done.filter("status <> 'unfinished'")
 

@@ -382,22 +382,19 @@ def lab_11(spark, sf):
     return cells(spark, sf).withColumn("value", r6(F.col("value")))
 
 
-DATES = ("2022-06-16", "2022-08-30", "2022-09-29", "2023-04-27", "2023-12-23")
+LAB_MATRIX = f"""WITH {CELLS}, c AS (SELECT * FROM cell WHERE year(sampled_on) >= 2022), p AS (SELECT analyte, sampled_on, max(CASE strip WHEN 'strip_1' THEN value END) AS a, max(CASE strip WHEN 'strip_2' THEN value END) AS b, max(CASE strip WHEN 'strip_3' THEN value END) AS c3, max(CASE strip WHEN 'strip_4' THEN value END) AS d FROM c GROUP BY ALL),
+u AS (SELECT analyte, strip AS row_key, sampled_on, value FROM c UNION ALL SELECT analyte, 's1_s2', sampled_on, a / nullif(b, 0) FROM p UNION ALL SELECT analyte, 's3_s4', sampled_on, c3 / nullif(d, 0) FROM p)"""
 
 
-@query("LAB-12", f"""WITH {CELLS}, c AS (SELECT * FROM cell WHERE year(sampled_on) >= 2022), p AS (SELECT analyte, sampled_on, max(CASE strip WHEN 'strip_1' THEN value END) AS a, max(CASE strip WHEN 'strip_2' THEN value END) AS b, max(CASE strip WHEN 'strip_3' THEN value END) AS c3, max(CASE strip WHEN 'strip_4' THEN value END) AS d FROM c GROUP BY ALL),
-u AS (SELECT analyte, strip AS row_key, sampled_on, value FROM c UNION ALL SELECT analyte, 's1_s2', sampled_on, a / nullif(b, 0) FROM p UNION ALL SELECT analyte, 's3_s4', sampled_on, c3 / nullif(d, 0) FROM p)
-SELECT analyte, row_key, """ + ", ".join(f"round(max(CASE WHEN sampled_on = DATE '{d}' THEN value END), 6) AS \"{d}\"" for d in DATES) + " FROM u GROUP BY analyte, row_key")
+@query("LAB-12", LAB_MATRIX + " SELECT analyte, row_key, sampled_on, round(value, 6) AS value FROM u")
 def lab_12(spark, sf):
-    out = lab.lab_matrix(cells(spark, sf), DATES, min_year=2022)
-    return out.withColumns({d: r6(F.col(f"`{d}`")) for d in DATES})
+    return lab.lab_matrix(cells(spark, sf), min_year=2022).withColumn("value", r6(F.col("value")))
 
 
-@query("LAB-13", f"WITH {CELLS}, v AS (SELECT analyte AS row_key, sampled_on, TRY_CAST(raw AS DOUBLE) AS x FROM raw) SELECT row_key, 'x' AS variable, " + ", ".join(f"round(avg(CASE WHEN sampled_on = DATE '{d}' THEN x END), 6) AS \"{d}\"" for d in DATES) + " FROM v GROUP BY row_key")
+@query("LAB-13", f"WITH {CELLS} SELECT analyte AS row_key, 'x' AS variable, sampled_on, round(avg(TRY_CAST(raw AS DOUBLE)), 6) AS value FROM raw GROUP BY analyte, sampled_on")
 def lab_13(spark, sf):
     rows = cells_raw(spark, sf).withColumn("X", F.col("raw").try_cast("double"))
-    out = lab.lab_long_matrix(rows, "analyte", "sampled_on", {"x": ["unknown"]}, DATES)
-    return out.withColumns({d: r6(F.col(f"`{d}`")) for d in DATES})
+    return lab.lab_long_matrix(rows, "analyte", "sampled_on", {"x": ["unknown"]}).withColumn("value", r6(F.col("value")))
 
 
 @query("LAB-13:wide", """WITH w AS (SELECT p_name || '' AS location, sum(CASE WHEN p_size % 3 = 0 THEN p_retailprice END) AS a, sum(CASE WHEN p_size % 3 = 1 THEN p_retailprice END) AS b, sum(p_retailprice) AS c FROM part GROUP BY 1)

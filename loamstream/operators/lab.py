@@ -218,8 +218,8 @@ def lab_cell(df: DataFrame, keys: Sequence[str], raw: str = "raw") -> DataFrame:
 PAIR_ROWS = (("s1_s2", "strip_1", "strip_2"), ("s3_s4", "strip_3", "strip_4"))
 
 
-def lab_matrix(cells: DataFrame, dates: Sequence[str], date: str = "sampled_on", min_year: int | None = None, years: tuple[int, int] | None = None, ratios: bool = True) -> DataFrame:
-    """Strip rows and treated/control ratio rows by analyte, one column per listed date.
+def lab_matrix(cells: DataFrame, date: str = "sampled_on", min_year: int | None = None, years: tuple[int, int] | None = None, ratios: bool = True) -> DataFrame:
+    """Strip rows and treated/control ratio rows by analyte and date: (analyte, row_key, date, value).
 
     `cells` has `strip, analyte, value` and the date. The ratio comes from one conditional
     aggregation over the strips, not from a self-join.
@@ -229,24 +229,34 @@ def lab_matrix(cells: DataFrame, dates: Sequence[str], date: str = "sampled_on",
         rows = rows.filter(F.year(date) >= min_year)
     if years is not None:
         rows = rows.filter(F.year(date).between(*years))
-    out = rows.select("analyte", F.col("strip").alias("row_key"), F.col(date).alias("_d"), "value")
+    out = rows.select("analyte", F.col("strip").alias("row_key"), date, "value")
     if ratios:
-        by = rows.groupBy("analyte", F.col(date).alias("_d")).agg(*[
+        by = rows.groupBy("analyte", date).agg(*[
             F.max(F.when(F.col("strip") == s, F.col("value"))).alias(s) for _, a, b in PAIR_ROWS for s in (a, b)])
-        pairs = by.select("analyte", "_d", F.explode(F.array(*[
-            F.struct(F.lit(k).alias("row_key"), div(F.col(a), F.col(b)).alias("value")) for k, a, b in PAIR_ROWS])).alias("_p")).select("analyte", "_d", "_p.*")
+        pairs = by.select("analyte", date, F.explode(F.array(*[
+            F.struct(F.lit(k).alias("row_key"), div(F.col(a), F.col(b)).alias("value")) for k, a, b in PAIR_ROWS])).alias("_p")).select("analyte", date, "_p.*")
         out = out.unionByName(pairs)
-    return out.groupBy("analyte", "row_key").agg(*[
-        F.max(F.when(F.col("_d") == F.lit(d).cast("date"), F.col("value"))).alias(d) for d in dates])
+    return out
+
+
+def by_dates(matrix: DataFrame, rows: Sequence[str], dates: Sequence[str], date: str = "sampled_on", value: str = "value") -> DataFrame:
+    """The long matrix with one column per listed date; a date outside the list fails the job."""
+    listed = F.col(date).isNull() | F.col(date).isin(*[F.lit(d).cast("date") for d in dates])
+    checked = matrix.withColumn(value, F.when(listed, F.col(value)).otherwise(
+        F.raise_error(F.concat(F.lit("date outside the list: "), F.col(date).cast("string"))).cast("double")))
+    return checked.groupBy(*rows).agg(*[F.max(F.when(F.col(date) == F.lit(d).cast("date"), F.col(value))).alias(d) for d in dates])
 
 
-def lab_long_matrix(df: DataFrame, row_key: str, period: str, variables: Mapping[str, Sequence[str]], periods: Sequence[str]) -> DataFrame:
-    """Mean of each variable by row and sampling date; a variable is the first column it is known by."""
+def lab_long_matrix(df: DataFrame, row_key: str, period: str, variables: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Mean of each variable by row and sampling date: (row_key, variable, sampled_on, value).
+
+    A variable is the first column it is known by.
+    """
     chosen = {k: pick_column(df, [k, *names]) for k, names in variables.items()}
     cells = F.array(*[F.struct(F.lit(k).alias("variable"), F.col(c).cast("double").alias("value")) for k, c in chosen.items() if c])
-    rows = df.withColumn("_d", F.col(period).try_cast("date")).filter("_d IS NOT NULL").select(F.col(row_key).alias("row_key"), "_d", F.explode(cells).alias("_c"))
-    return rows.groupBy("row_key", "_c.variable").agg(*[
-        F.avg(F.when(F.col("_d") == F.lit(p).cast("date"), F.col("_c.value"))).alias(p) for p in periods])
+    rows = df.withColumn("sampled_on", F.col(period).try_cast("date")).filter("sampled_on IS NOT NULL").select(
+        F.col(row_key).alias("row_key"), "sampled_on", F.explode(cells).alias("_c"))
+    return rows.groupBy("row_key", "_c.variable", "sampled_on").agg(F.avg("_c.value").alias("value"))
 
 
 def lab_wide_matrix(df: DataFrame, row_key: str, min_year: int | None = None, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import DEPTHS, LOCATIONS
 from ..operators.timeops import ntz
 from ..schema import series_name, to_wide
+from ..session import path_exists
 
 
 def union_sources(sources: Sequence[tuple[DataFrame, int]], year: int, ts: str = "ts") -> DataFrame:
@@ -48,11 +48,9 @@ def load_summary(spark: SparkSession, roots: Sequence[str] | str, year: int, gra
     The three conditions are partition filters, so other files are not opened.
     """
     for root in [roots] if isinstance(roots, str) else roots:
-        try:
-            df = spark.read.parquet(root)
-        except AnalysisException:
+        if not path_exists(spark, root):
             continue
-        found = df.filter((F.col("kind") == kind) & (F.col("granularity") == granularity) & (F.col("year") == year))
+        found = spark.read.parquet(root).filter((F.col("kind") == kind) & (F.col("granularity") == granularity) & (F.col("year") == year))
         if not found.isEmpty():
             return found.drop("kind", "granularity", "year")
     return None

@@ -6,6 +6,7 @@ order inside a file is (block start, line id): the id grows along a split and ne
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,30 +114,36 @@ def read_weather_csv(spark: SparkSession, path: str, units: str = "us", missing:
         "timestamp", *[F.when(c != F.lit(float(missing)), c).alias(n) for n, c in number.items()])
 
 
-def _clean_names(cells: Sequence[str | None]) -> list[str]:
-    while cells and (cells[-1] is None or cells[-1] == ""):
-        cells = cells[:-1]
-    return [c or f"column_{i}" for i, c in enumerate(cells)]
-
-
 def read_two_header_csv(spark: SparkSession, path: str, key_columns: Sequence[str] = ("strip", "date_rec"), suffix: str = "_pct_db") -> tuple[DataFrame, dict[str, str]]:
     """Lab files, all text, with the human header of each machine name.
 
-    One header line is enough when it already has a key column or a dry-basis name; otherwise line 1
-    is for people and line 2 for machines. Only the two header lines reach the driver.
+    Every file follows its own header. One line is enough when it already has a key column or a
+    dry-basis name; otherwise line 1 is for people and line 2 for machines. Columns are the union of
+    all names, in the order files and columns first show them; a file without a column has "" there.
+    Only distinct header pairs reach the driver.
     """
     lines = read_lines(spark, path)
-    heads = file_headers(lines, 2).withColumn("cells", split_cells(F.col("line")))
-    first = heads.groupBy().agg(*[F.min_by("cells", F.when(F.col("line_no") == i, F.col("file"))).alias(f"h{i}") for i in (1, 2)]).first()
-    h1, h2 = list(first["h1"] or []), list(first["h2"] or [])
-    one = bool(set(key_columns) & set(h1)) or any((c or "").endswith(suffix) for c in h1)
-    names = _clean_names(h1 if one else h2)
-    human = {m: (h1[i] if i < len(h1) and h1[i] else m) for i, m in enumerate(names)}
-    n = 1 if one else 2
-    last = heads.filter(F.col("line_no") <= n).groupBy("file").agg(F.max("line_id").alias("_last"))
-    body = lines.join(last, "file").filter((F.col("block") > 0) | (F.col("line_id") > F.col("_last"))).filter(F.trim("line") != "")
-    rows = body.select(split_cells(F.col("line")).alias("_cells"))
-    return rows.select(*[F.coalesce(F.get("_cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)]), human
+    heads = file_headers(lines, 2).groupBy("file").agg(*[
+        F.max(F.when(F.col("line_no") == i, F.col("line"))).alias(f"l{i}") for i in (1, 2)],
+        *[F.max(F.when(F.col("line_no") == i, F.col("line_id"))).alias(f"at{i}") for i in (1, 2)])
+    h1, h2 = split_cells(F.col("l1")), F.coalesce(split_cells(F.col("l2")), F.array().cast("array<string>"))
+    one = F.arrays_overlap(h1, F.array(*[F.lit(k) for k in key_columns])) | F.exists(h1, lambda c: c.endswith(suffix))
+    named = F.transform(F.when(one, h1).otherwise(h2), lambda c, i: F.when(c == "", F.concat(F.lit("column_"), i.cast("string"))).otherwise(c))
+    heads = heads.select("file", named.alias("_names"), h1.alias("_h1"), F.when(one, F.col("at1")).otherwise(F.coalesce("at2", "at1")).alias("_last"))
+    pairs = heads.groupBy("_names", "_h1").agg(F.min("file").alias("file")).orderBy("file").collect()
+    human: dict[str, str] = {}
+    for r in pairs:
+        names = list(r["_names"])
+        while names and re.fullmatch(r"column_\d+", names[-1]):
+            names.pop()
+        for i, m in enumerate(names):
+            human.setdefault(m, r["_h1"][i] if i < len(r["_h1"]) and r["_h1"][i] else m)
+    body = lines.join(heads, "file").filter((F.col("block") > 0) | (F.col("line_id") > F.col("_last"))).filter(F.trim("line") != "")
+    cells = F.filter(F.arrays_zip(F.col("_names").alias("n"), split_cells(F.col("line")).alias("c")), lambda p: p["n"].isNotNull())
+    # a name used twice in one file means its first column
+    firsts = F.filter(cells, lambda p, i: F.array_position(F.transform(F.slice(cells, 1, i + 1), lambda q: q["n"]), p["n"]) == i + 1)
+    rows = body.select(F.map_from_entries(firsts).alias("_m"))
+    return rows.select(*[F.coalesce(F.col("_m")[m], F.lit("")).alias(m) for m in human]), human
 
 
 def detect_header(rows: DataFrame, tokens: Sequence[str], cells: str = "cells", row_no: str = "row_no") -> DataFrame:

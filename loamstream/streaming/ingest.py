@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.resample import GRAIN_SECONDS, _is_rain
-
-
-def append_new(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "2 days") -> DataFrame:
-    """Rows not seen before per (keys, ts); state is dropped once the watermark has passed."""
-    timed = stream.withColumn("_event_time", F.col(ts).cast("timestamp")).withWatermark("_event_time", delay)
-    return timed.dropDuplicatesWithinWatermark([*keys, "_event_time"]).drop("_event_time")
+from ..operators.timeops import floor_to
+from ..session import path_exists
 
 
 def start_append(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> StreamingQuery:
@@ -25,6 +21,31 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, partition_by: Se
     return writer.start(path)
 
 
+def start_append_new(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], ts: str) -> StreamingQuery:
+    """Append rows whose (keys, ts) the sink does not hold yet, however late they come.
+
+    The sink is laid out by day; a batch is compared with the days it touches only. No watermark is
+    involved, so a device that was offline for weeks loses nothing, and a batch that is run again
+    after a failure finds its own rows. Rows without a time lie in a day of their own.
+    """
+    same = [*keys, ts]
+
+    def land(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.dropDuplicates(same).withColumn("_day", F.coalesce(F.to_date(ts), F.lit("1900-01-01").cast("date")))
+        if path_exists(spark, path):
+            days = [r["_day"] for r in rows.select("_day").distinct().collect()]
+            held = spark.read.schema(rows.schema).parquet(path).filter(F.col("_day").isin(days)).select(
+                *[F.col(c).alias(f"_held_{c}") for c in same], F.col("_day").alias("_held_day"))
+            match = F.col("_day") == F.col("_held_day")
+            for c in same:
+                match = match & F.col(c).eqNullSafe(F.col(f"_held_{c}"))
+            rows = rows.join(held, match, "left_anti")
+        rows.write.mode("append").partitionBy("_day").parquet(path)
+
+    return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_new_batch(new: DataFrame, existing: DataFrame, keys: Sequence[str], ts: str, start: Column | None = None, end: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Batch twin: (rows in the window newer than the last seen per device, new last-seen table).
 
@@ -42,15 +63,27 @@ def append_new_batch(new: DataFrame, existing: DataFrame, keys: Sequence[str], t
     return fresh, last
 
 
-def stream_resample(stream: DataFrame, grain: str, keys: Sequence[str], ts: str = "ts", value: str = "value", delay: str = "2 hours", digits: int = 3) -> DataFrame:
-    """The batch resample as a stream: a bin is emitted once the watermark has passed its end.
+def start_resample(stream: DataFrame, path: str, checkpoint: str, grain: str, keys: Sequence[str], ts: str = "ts", value: str = "value") -> StreamingQuery:
+    """The batch resample as a stream: every batch adds its part of each bin to the sink.
 
-    Month bins are not windows; they group by the month's last day next to a one-day window.
+    Parts are sums and counts, so a row counts whenever it comes; `read_resampled` adds them up. A batch
+    that is run again replaces its own parts.
     """
-    timed = stream.withColumn("_event_time", F.col(ts).cast("timestamp")).withWatermark("_event_time", delay)
     if grain == "monthly":
         raise ValueError("resample to days as a stream and to months from the daily table")
-    sums = timed.withColumn("_sum", _is_rain()).groupBy(F.window("_event_time", f"{GRAIN_SECONDS[grain]} seconds"), *keys).agg(
-        F.max("_sum").alias("_sum"), F.sum(value).alias("_s"), F.count(value).alias("n"))
-    out = F.when(F.col("_sum"), F.col("_s")).otherwise(F.col("_s") / F.when(F.col("n") > 0, F.col("n")))
-    return sums.filter("n > 0").select(*keys, F.col("window.start").cast("timestamp_ntz").alias("bin"), F.bround(out, digits).alias(value), "n")
+    names = [f.name for f in stream.schema.fields if f.name in keys]
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        parts = batch.withColumn("_rain", _is_rain()).groupBy(*names, floor_to(ts, GRAIN_SECONDS[grain]).alias("bin")).agg(
+            F.max("_rain").alias("_rain"), F.sum(value).alias("_s"), F.count(value).alias("n"))
+        parts.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path)
+
+    return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_resampled(spark: SparkSession, path: str, keys: Sequence[str], value: str = "value", digits: int = 3) -> DataFrame:
+    """Bins from the parts the stream has landed so far."""
+    sums = spark.read.parquet(path).groupBy(*keys, "bin").agg(F.max("_rain").alias("_rain"), F.sum("_s").alias("_s"), F.sum("n").alias("n"))
+    out = F.when(F.col("_rain"), F.col("_s")).otherwise(F.col("_s") / F.when(F.col("n") > 0, F.col("n")))
+    return sums.filter("n > 0").select(*keys, "bin", F.bround(out, digits).alias(value), "n")

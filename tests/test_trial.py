@@ -292,3 +292,12 @@ def test_frames(spark):
     assert got == {1: 12.5, 4: 12.5}
     got = [(r.i, r.epoch_s, r.T_3_Avg) for r in fr.decode_frames(df, ["i"], timed=True).collect()]
     assert got == [(4, 1_000_000_800, 20.0)]
+
+
+def test_repeated_rows_do_not_cancel_in_column_signatures(spark):
+    from loamstream.operators import reconcile as rc
+
+    old = spark.createDataFrame([("k", 5), ("k", 5), ("j", 1), ("n", None)], "k string, a int")
+    new = spark.createDataFrame([("k", 9, 5, None), ("k", 9, 5, None), ("j", 1, 1, None), ("n", None, None, "")], "k string, x int, y int, z string")
+    got = {r.old_column: (r.candidates, r.status) for r in rc.match_columns(old, new, "k", ["a"], ["x", "y", "z"]).collect()}
+    assert got == {"a": ("y", "mapped")}
