@@ -41,12 +41,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import texts
-from .shared import cols, others, settle_table
+from .shared import cols, others, settle_table, small_batches
 from .substring_dedup import LAST, _mix, _slices, pack, pack_sorted, unpack, unpack_sorted
 
 SIZE = 400
 GRAM = 32
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 CHUNK = 1 << 18
 BUCKET = 8192
 HOT = 256
@@ -217,7 +217,8 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
                     pa.array(ids[row + doc] if first else zero), pa.array(chunk.lo - chunk.begins[doc] if first else zero),
                     pa.array(chunk.n.astype(np.int32))], names=["_block", "a", "c", "id", "at", "windows"])
 
-    found = settle_table(dealt.select(id, text, "_block").mapInArrow(listed, "_block long, a long, c long, id long, at long, windows int"))
+    with small_batches(docs.sparkSession):
+        found = settle_table(dealt.select(id, text, "_block").mapInArrow(listed, "_block long, a long, c long, id long, at long, windows int"))
     met = found.groupBy("a").count().filter("count > 1").select("a")
     found = settle_table(found.join(met, "a", "left_semi"))
     contexts = found.groupBy("a", "c").agg(
