@@ -22,8 +22,11 @@ def vwc(spark, sf):
     return readings(spark, sf)
 
 
-JOINED = f"""WITH {READINGS}, {IRRIGATION}, sensors AS (SELECT i.*, d.depth FROM irrigation i, (SELECT unnest(['1', '2', '3']) AS depth) d),
-j AS (SELECT s.event_id, s.depth, s.start, r.ts, r.value FROM sensors s JOIN readings r ON r.strip = s.strip AND r.location = s.location AND r.depth = s.depth
+GRID = READINGS + """, grid AS (SELECT strip, location, depth, variable, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, avg(value) AS value FROM readings GROUP BY ALL),
+volts AS (SELECT strip, location, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, avg(value) AS value FROM readings WHERE variable = 'BattV_Min' GROUP BY ALL)"""
+
+JOINED = f"""WITH {GRID}, {IRRIGATION}, sensors AS (SELECT i.*, d.depth FROM irrigation i, (SELECT unnest(['1', '2', '3']) AS depth) d),
+j AS (SELECT s.event_id, s.depth, s.start, r.ts, r.value FROM sensors s JOIN grid r ON r.strip = s.strip AND r.location = s.location AND r.depth = s.depth
   AND r.variable = 'VWC' AND r.ts >= s.start - to_hours(2) AND r.ts <= s.start + to_hours(40)),
 bp AS (SELECT event_id, depth, any_value(start) AS start, median(value) FILTER (ts <= start) AS baseline_vwc, max(ts) FILTER (ts <= start) AS baseline_time,
   max(value) FILTER (ts >= start AND ts <= start + to_hours(24)) AS peak_vwc FROM j GROUP BY event_id, depth),
@@ -57,7 +60,7 @@ RESULTS = PLATEAU + """, res AS (SELECT s.event_id, s.strip, s.location, s.start
 
 
 def joined(spark, sf, cfg=ev.EventConfig()):
-    rows = ev.unique_readings(vwc(spark, sf).filter("variable = 'VWC'"))
+    rows = ev.on_grid(vwc(spark, sf).filter("variable = 'VWC'"))
     spans = irrigation(spark, sf).select("event_id", "strip", "location", "start")
     return ev.window_join(spans, rows, cfg.baseline_hours, cfg.peak_hours + cfg.plateau_hours)
 
@@ -110,7 +113,7 @@ def evt_04(spark, sf):
                       *[r6(F.col(c)).alias(c) for c in ROW_NUMBERS])
 
 
-STORE = f""", vol AS (SELECT strip, location, ts, sum(value / 100 * {fv.CYLINDER_GAL!r}) AS gal FROM readings WHERE variable = 'VWC' GROUP BY ALL),
+STORE = f""", vol AS (SELECT strip, location, ts, sum(value / 100 * {fv.CYLINDER_GAL!r}) AS gal FROM grid WHERE variable = 'VWC' GROUP BY ALL),
 st AS (SELECT res.*, b.gal AS b_gal, p.gal AS p_gal FROM res LEFT JOIN vol b ON b.strip = res.strip AND b.location = res.location AND b.ts = res.baseline_time
   LEFT JOIN vol p ON p.strip = res.strip AND p.location = res.location AND p.ts = res.plateau_time)"""
 
@@ -215,10 +218,10 @@ def evt_12(spark, sf):
 def batt_sql(a: str, b: str, p: str) -> str:
     return f"""(SELECT i.event_id, min(value) AS {p}min_v, median(value) AS {p}median_v, max(value) AS {p}max_v, count(*) FILTER (value < 11) AS {p}low_count, count(*) FILTER (value > 13) AS {p}high_count,
   count(*) FILTER (value < 11 OR value > 13) AS {p}out_of_range_count, avg(CASE WHEN value < 11 OR value > 13 THEN 1.0 ELSE 0.0 END) AS {p}out_of_range_fraction
-  FROM irrigation i JOIN readings r ON r.strip = i.strip AND r.location = i.location AND r.variable = 'BattV_Min' AND r.ts >= {a} AND r.ts <= {b} GROUP BY i.event_id)"""
+  FROM irrigation i JOIN volts r ON r.strip = i.strip AND r.location = i.location AND r.ts >= {a} AND r.ts <= {b} GROUP BY i.event_id)"""
 
 
-@query("EVT-13", f"""WITH {READINGS}, {IRRIGATION} SELECT i.event_id, round(battery_min_v, 6) AS battery_min_v, round(battery_median_v, 6) AS battery_median_v, round(battery_max_v, 6) AS battery_max_v,
+@query("EVT-13", f"""WITH {GRID}, {IRRIGATION} SELECT i.event_id, round(battery_min_v, 6) AS battery_min_v, round(battery_median_v, 6) AS battery_median_v, round(battery_max_v, 6) AS battery_max_v,
   CAST(battery_low_count AS BIGINT) AS battery_low_count, CAST(battery_high_count AS BIGINT) AS battery_high_count, CAST(battery_out_of_range_count AS BIGINT) AS battery_out_of_range_count,
   round(battery_out_of_range_fraction, 6) AS battery_out_of_range_fraction, coalesce(battery_low_count > 0, false) AS flag_battery_low, coalesce(battery_out_of_range_count > 0, false) AS flag_battery_out_of_range
 FROM irrigation i LEFT JOIN {batt_sql('i.start', 'i."end"', 'battery_')} b USING (event_id)""")
@@ -241,13 +244,14 @@ def flags(spark, sf):
     return ev.pre_start_flags(gappy(spark, sf), rain(spark, sf), sensors)
 
 
-FLAGS = f"""WITH {READINGS}, {IRRIGATION}, sensors AS (SELECT i.*, d.depth FROM irrigation i, (SELECT unnest(['1', '2', '3']) AS depth) d),
-w AS (SELECT s.event_id, s.depth, r.ts, CASE WHEN r.row_no % 5 <> 0 THEN r.value END AS value FROM sensors s JOIN readings r ON r.strip = s.strip AND r.location = s.location AND r.depth = s.depth
-  AND r.variable = 'VWC' AND r.ts >= s.start - to_hours(6) AND r.ts <= s.start),
+FLAGS = f"""WITH {GRID}, {IRRIGATION}, wet15 AS (SELECT strip, location, depth, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, avg(CASE WHEN row_no % 5 <> 0 THEN value END) AS value FROM readings WHERE variable = 'VWC' GROUP BY ALL),
+rain15 AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, sum(value / 2100) AS precip FROM readings WHERE variable = 'precip' GROUP BY ALL), sensors AS (SELECT i.*, d.depth FROM irrigation i, (SELECT unnest(['1', '2', '3']) AS depth) d),
+w AS (SELECT s.event_id, s.depth, r.ts, r.value FROM sensors s JOIN wet15 r ON r.strip = s.strip AND r.location = s.location AND r.depth = s.depth
+  AND r.ts >= s.start - to_hours(6) AND r.ts <= s.start),
 p AS (SELECT event_id, depth, arg_min(value, ts) FILTER (value IS NOT NULL) AS first_vwc, arg_max(value, ts) FILTER (value IS NOT NULL) AS last_vwc, max(value) AS max_vwc,
   arg_max(ts, value) FILTER (value IS NOT NULL) AS max_time, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS missing FROM w GROUP BY ALL HAVING count(value) >= 2),
-rn AS (SELECT i.event_id, sum(r.value / 2100) AS total, max(r.value / 2100) AS top, min(r.ts) FILTER (r.value > 0) AS t0, max(r.ts) FILTER (r.value > 0) AS t1 FROM irrigation i
-  JOIN readings r ON r.variable = 'precip' AND r.ts >= i.start - to_hours(6) AND r.ts <= i.start GROUP BY ALL),
+rn AS (SELECT i.event_id, sum(r.precip) AS total, max(r.precip) AS top, min(r.ts) FILTER (r.precip > 0) AS t0, max(r.ts) FILTER (r.precip > 0) AS t1 FROM irrigation i
+  JOIN rain15 r ON r.ts >= i.start - to_hours(6) AND r.ts <= i.start GROUP BY ALL),
 z AS (SELECT s.event_id, s.depth, s.strip, s.location, s.gallons_strip, s.start, s."end", first_vwc, last_vwc, max_vwc, max_time, missing, coalesce(total, 0) AS total, coalesce(top, 0) AS top, t0, t1,
   a.a_min_v, b.b_min_v, coalesce(a.a_out_of_range_count > 0, false) OR coalesce(b.b_out_of_range_count > 0, false) OR missing > 0.25 AS suspect, max_vwc - first_vwc >= 0.5 AS responded, coalesce(total, 0) >= 0.01 AS rained
   FROM sensors s JOIN p USING (event_id, depth) LEFT JOIN rn USING (event_id) LEFT JOIN {batt_sql('i.start - to_hours(6)', 'i.start', 'a_')} a USING (event_id) LEFT JOIN {batt_sql('i.start', 'i."end"', 'b_')} b USING (event_id))"""

@@ -9,6 +9,7 @@ from ..operators import derive, resample as rs, seasons, series
 from .base import IRRIGATION, ORDER_TIMES, READINGS, irrigation, order_times, query, readings
 from .cleaning import CLEAN_WEATHER, HOURLY, hourly, pair_sql, weather
 from ..operators.clean import clean_weather
+from ..operators.events import on_grid
 from .seasonal import CUSTOM, CUSTOM_SQL, IN, YEARS
 
 RATIO = """t AS (SELECT *, CASE WHEN strip IN ('S1', 'S2') THEN 'S1' ELSE 'S3' END AS treated FROM hourly),
@@ -100,10 +101,10 @@ def qry_08(spark, sf):
     return series.summary_query(h, series.ratios_of(h), "VWC", "S1", "1", "2024-01-03", "2024-01-28")
 
 
-@query("QRY-09", f"""WITH {READINGS}, {IRRIGATION} SELECT i.event_id, r.ts, r.depth, r.value, round(date_diff('microsecond', i.start, i."end") / 3.6e9, 6) AS duration_h,
+@query("QRY-09", f"""WITH {READINGS}, {IRRIGATION}, vwc AS (SELECT strip, location, depth, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, avg(value) AS value FROM readings WHERE variable = 'VWC' GROUP BY ALL) SELECT i.event_id, r.ts, r.depth, r.value, round(date_diff('microsecond', i.start, i."end") / 3.6e9, 6) AS duration_h,
   round(gallons_strip / (date_diff('microsecond', i.start, i."end") / 3.6e9), 6) AS avg_flow_gph
-FROM irrigation i JOIN readings r ON i.strip = r.strip AND i.location = r.location AND r.ts >= i.start - to_hours(6) AND r.ts <= i.start + to_hours(36) WHERE r.variable = 'VWC'""")
+FROM irrigation i JOIN vwc r ON i.strip = r.strip AND i.location = r.location AND r.ts >= i.start - to_hours(6) AND r.ts <= i.start + to_hours(36)""")
 def qry_09(spark, sf):
-    vwc = readings(spark, sf).filter("variable = 'VWC'")
+    vwc = on_grid(readings(spark, sf).filter("variable = 'VWC'"))
     out = series.event_extract(vwc, irrigation(spark, sf), ["strip", "location"])
     return out.select("event_id", "ts", "depth", "value", *[F.round(c, 6).alias(c) for c in ("duration_h", "avg_flow_gph")])

@@ -18,7 +18,7 @@ from pyspark.sql import Window
 from .. import fixed_values as fv
 from ..functions import div
 from ..plans import column_quantiles, exact_quantiles, interval_join, null_safe_join
-from ..plans.slices import hours_between, micros, shift
+from ..plans.slices import floor_to, hours_between, micros, shift
 from .derive import CYLINDER_GAL
 
 PLACE = ("strip", "location")
@@ -36,12 +36,16 @@ class EventConfig:
     fallback_hours: float = fv.FALLBACK_HOURS
 
 
-def unique_readings(readings: DataFrame, keys: Sequence[str] = (*PLACE, "depth"), ts: str = "ts", value: str = "value") -> DataFrame:
-    """One value per sensor and instant, the last in file order; combines before the shuffle."""
-    order = [c for c in ("source_rank", "row_no") if c in readings.columns]
-    # one plain order column keeps the buffer primitive, so Spark hashes instead of sorting
-    by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    return readings.groupBy(*keys, ts).agg((F.max_by(value, by) if order else F.max(value)).alias(value))
+GRID_SECONDS = 900
+
+
+def on_grid(readings: DataFrame, keys: Sequence[str] = (*PLACE, "depth"), ts: str = "ts", value: str = "value") -> DataFrame:
+    """The 15-minute series of each sensor: means per bin, combined before the shuffle.
+
+    An event's window then meets a fixed number of rows per sensor, however dense the raw readings are,
+    so what is joined to events grows with the events alone.
+    """
+    return readings.groupBy(*keys, floor_to(ts, GRID_SECONDS).alias(ts)).agg(F.avg(value).alias(value))
 
 
 def window_join(events: DataFrame, readings: DataFrame, before_h: float, after_h: float, keys: Sequence[str] = PLACE, ts: str = "ts", start: str = "start", anchor_end: str | None = None) -> DataFrame:
@@ -186,7 +190,7 @@ def _settle(rows: DataFrame, cfg: EventConfig, keys: Sequence[str], carry: Seque
 def analyze_events(readings: DataFrame, events: DataFrame, depths: Sequence[str] = fv.DEPTHS, cfg: EventConfig = EventConfig(), variable: str = "VWC") -> DataFrame:
     """One row per event and depth: baseline, peak, plateau, timing, duration and flow."""
     keys = ("event_id", "depth")
-    vwc = unique_readings(readings.filter((F.col("variable") == variable) & F.col("depth").isin(*depths) & F.col("value").isNotNull()))
+    vwc = on_grid(readings.filter((F.col("variable") == variable) & F.col("depth").isin(*depths) & F.col("value").isNotNull()))
     spans = events.select("event_id", *PLACE, "start")
     joined = window_join(spans, vwc, cfg.baseline_hours, cfg.peak_hours + cfg.plateau_hours).select(*keys, "start", "ts", "value")
     measures = event_measures(joined, cfg, keys)
@@ -214,7 +218,7 @@ def storage_at(results: DataFrame, readings: DataFrame) -> DataFrame:
         F.struct(F.lit("baseline").alias("which"), F.col("baseline_time").alias("at")),
         F.struct(F.lit("plateau").alias("which"), F.col("plateau_time").alias("at")),
     )).alias("_p")).select("event_id", "depth", *PLACE, "_p.which", F.col("_p.at").alias("ts")).filter("ts IS NOT NULL")
-    vwc = unique_readings(readings.filter("variable = 'VWC' AND value IS NOT NULL")).select(
+    vwc = on_grid(readings.filter("variable = 'VWC' AND value IS NOT NULL")).select(
         *PLACE, "ts", (F.col("value") / 100.0 * F.lit(CYLINDER_GAL)).alias("gal")
     )
     sums = vwc.groupBy(*PLACE, "ts").agg(F.sum("gal").alias("gal"))
@@ -371,7 +375,7 @@ def battery_window(readings: DataFrame, windows: DataFrame, keys: Sequence[str]
 
     Windows without voltage keep NULL numbers and false flags.
     """
-    volts = unique_readings(readings.filter("variable = 'BattV_Min' AND value IS NOT NULL"), PLACE)
+    volts = on_grid(readings.filter("variable = 'BattV_Min' AND value IS NOT NULL"), PLACE)
     spans = windows.select(*keys, *PLACE, F.col(start).alias("_a"), F.col(end).alias("_b"))
     seen = interval_join(volts, spans, PLACE, "ts", "_a", "_b")
     v = F.col("value")
@@ -398,7 +402,7 @@ def pre_start_flags(readings: DataFrame, rain: DataFrame, results: DataFrame, lo
     """
     keys = ("event_id", "depth")
     spans = results.select(*keys, *PLACE, "start", "end").withColumn("window_start", shift("start", -lookback_h * 3600))
-    vwc = unique_readings(readings.filter("variable = 'VWC'"))
+    vwc = on_grid(readings.filter("variable = 'VWC'"))
     seen = interval_join(vwc, spans.drop("end"), (*PLACE, "depth"), "ts", "window_start", "start")
     v, t = F.col("value"), F.when(F.col("value").isNotNull(), F.col("ts"))
     first_max = F.when(v.isNotNull(), F.struct(v, -micros("ts")))
@@ -411,7 +415,7 @@ def pre_start_flags(readings: DataFrame, rain: DataFrame, results: DataFrame, lo
 
     starts = spans.select("start", "window_start").distinct()
     wet = interval_join(
-        rain.groupBy("ts").agg(F.max("precip_in").alias("precip_in")), starts, [], "ts", "window_start", "start"
+        rain.groupBy(floor_to("ts", GRID_SECONDS).alias("ts")).agg(F.sum("precip_in").alias("precip_in")), starts, [], "ts", "window_start", "start"
     )
     falls = F.when(F.col("precip_in") > 0, F.col("ts"))
     rain_sums = wet.groupBy("start").agg(
