@@ -195,6 +195,17 @@ def dq_14(spark, sf):
     return dq.voltage_window(order_times(spark, sf), "1997-12-31 12:00:00", 2).select("row_no", "ts", "year")
 
 
+@query("DQ-14:voltage", f"""WITH {READINGS} SELECT ts, strip, location, max(CASE variable WHEN 'BattV_Min' THEN value END) AS volts, CAST(year(ts) AS INTEGER) AS year FROM readings
+  WHERE ts >= TIMESTAMP '2023-12-15 12:00:00' AND ts <= TIMESTAMP '2024-02-15 12:00:00' GROUP BY ALL HAVING count(*) FILTER (variable = 'BattV_Min' AND value IS NOT NULL) > 0""")
+def dq_14_voltage(spark, sf):
+    """The voltage column of a wide frame is found by its name."""
+    names = ["VWC", "T", "EC", "BattV_Min", "precip"]
+    wide = readings(spark, sf).groupBy("ts", *LOGGER).agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
+    column = dq.pick_voltage_column(wide.columns)
+    out = dq.voltage_window(wide.filter(F.col(column).isNotNull()), "2024-01-15 12:00:00", 1)
+    return out.select("ts", *LOGGER, F.col(column).alias("volts"), "year")
+
+
 KIND = """CASE WHEN step BETWEEN 65 AND 95 THEN 'setclock_forward' WHEN step BETWEEN -95 AND -35 THEN 'setclock_backward' WHEN step = 0 THEN 'duplicate_timestamp' WHEN step < 0 AND abs(step) <= 30 THEN 'out_of_order'
   WHEN step < 0 THEN 'nonmonotonic' WHEN step >= 120 THEN 'downtime_gap' END"""
 CLOCKED = f"""WITH {SHUFFLED}, ev AS (SELECT strip, location, row_no, prev_ts, ts, step, {KIND} AS event_type FROM fs WHERE {KIND} IS NOT NULL)"""

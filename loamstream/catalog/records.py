@@ -111,16 +111,26 @@ def doc_lines(spark, sf):
     return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.concat(lines, half)).alias("pos", "line"))
 
 
-@query("REC-07", """WITH d AS (SELECT doc_id, list_concat(string_split(text, chr(10)), list_slice(string_split(text, chr(10)), 1, greatest(CAST(trunc(len(string_split(text, chr(10))) / 2) AS BIGINT), 1))) AS ls FROM documents WHERE text IS NOT NULL),
+BLOCKS = """WITH d AS (SELECT doc_id, list_concat(string_split(text, chr(10)), list_slice(string_split(text, chr(10)), 1, greatest(CAST(trunc(len(string_split(text, chr(10))) / 2) AS BIGINT), 1))) AS ls FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM d), p AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, a.line FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.line = b.line AND b.pos > a.pos),
 g AS (SELECT doc_id, j - i AS lag, i, i - row_number() OVER (PARTITION BY doc_id, j - i ORDER BY i) AS isl FROM p), r AS (SELECT doc_id, lag, min(i) AS s, count(*) AS n FROM g GROUP BY doc_id, lag, isl),
 f AS (SELECT doc_id, line, min(pos) AS first FROM l GROUP BY ALL), m AS (SELECT r.*, max(n) OVER (PARTITION BY r.doc_id) AS mx FROM r),
-q AS (SELECT m.doc_id, m.s, m.lag, m.n, row_number() OVER (PARTITION BY m.doc_id ORDER BY f.first, m.s, m.lag) AS k FROM m JOIN l ON l.doc_id = m.doc_id AND l.pos = m.s JOIN f ON f.doc_id = l.doc_id AND f.line = l.line WHERE n = mx)
+q AS (SELECT m.doc_id, m.s, m.lag, m.n, row_number() OVER (PARTITION BY m.doc_id ORDER BY f.first, m.s, m.lag) AS k FROM m JOIN l ON l.doc_id = m.doc_id AND l.pos = m.s JOIN f ON f.doc_id = l.doc_id AND f.line = l.line WHERE n = mx)"""
+
+
+@query("REC-07", BLOCKS + """
 SELECT doc_id, CAST(s AS BIGINT) AS first_start, CAST(s + lag AS BIGINT) AS second_start, CAST(n AS BIGINT) AS block_len FROM q WHERE k = 1""")
 def rec_07(spark, sf):
     return rc.duplicate_blocks(doc_lines(spark, sf), ["doc_id"])
 
 
+@query("REC-07:dropped", BLOCKS + """ SELECT l.doc_id, CAST(l.pos AS INTEGER) AS pos, l.line FROM l LEFT JOIN q ON q.doc_id = l.doc_id AND q.k = 1 AND l.pos >= s + lag AND l.pos < s + lag + n WHERE q.doc_id IS NULL""")
+def rec_07_dropped(spark, sf):
+    """The files without the second copy of their repeated block."""
+    lines = doc_lines(spark, sf)
+    return rc.drop_block(lines, rc.duplicate_blocks(lines, ["doc_id"]), ["doc_id"])
+
+
 @query("REC-08", """WITH g AS (SELECT event_id, value * 1000 * CASE event_id % 4 WHEN 0 THEN 2.02 WHEN 1 THEN 1.3 ELSE 1.05 END AS gallons_group, CASE WHEN event_id % 10 = 9 THEN 0 ELSE value * 1000 / 325851.0 END AS acre_ft FROM events),
 r AS (SELECT *, gallons_group / CASE WHEN acre_ft > 0 THEN acre_ft * 325851.0 END AS x FROM g)
 SELECT event_id, CASE WHEN x BETWEEN 1.9 AND 2.1 THEN 'halved' WHEN abs(x - 1) > 0.15 THEN 'mismatch' ELSE 'ok' END AS volume_check, round(CASE WHEN x BETWEEN 1.9 AND 2.1 THEN gallons_group / 2 ELSE gallons_group END, 4) AS gallons_group FROM r""")

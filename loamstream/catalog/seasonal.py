@@ -115,7 +115,11 @@ def gs_05(spark, sf):
     return seasons.season_stats_flat(_flat_parts(spark, sf))
 
 
-@query("GS-05:nested")
+SERIES_KEY = "strip || '_' || location || '_' || depth || '_' || kind"
+
+
+@query("GS-05:nested", FLAT + f""" SELECT period_code, 'VWC' AS variable, '{{' || string_agg('"' || {SERIES_KEY} || '":{{' || concat_ws(',', '"min":' || min, '"mean":' || mean, '"max":' || max, '"std":' || std) || '}}', ',' ORDER BY {SERIES_KEY}) || '}}' AS stats
+FROM s GROUP BY period_code""")
 def gs_05_nested(spark, sf):
     """The same statistics as one JSON object per period and variable."""
     return seasons.season_nested(_flat_parts(spark, sf))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import resample as rs, timeops as tm
+from ..operators import resample as rs, seasons, timeops as tm
 from ..plans.slices import shift
 from ..session import scratch_path
 from ..sources import summary as sm, textfiles as tf
@@ -151,6 +151,13 @@ def src_09(spark, sf):
     return sm.date_ranges(spark.read.parquet(stored(spark, sf)))
 
 
+@query("SRC-09:seasons", f"WITH {ORDER_TIMES} SELECT DISTINCT CAST(year(ts) AS INTEGER) AS season_year, make_date(year(ts) - 1, 11, 1) AS min, make_date(year(ts), 10, 31) AS max FROM order_times")
+def src_09_seasons(spark, sf):
+    """First and last day of the seasons of every year in the data."""
+    years = order_times(spark, sf).select(F.year("ts").alias("season_year")).distinct()
+    return sm.season_ranges(seasons.period_rows(years, seasons.SEASONS))
+
+
 @query("SRC-10", f"WITH {ORDER_TIMES} SELECT DISTINCT 'raw' AS kind, unnest(['daily', 'monthly']) AS granularity, CAST(year(ts) AS INTEGER) AS year FROM order_times")
 def src_10(spark, sf):
     return sm.manifest(spark, stored(spark, sf))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import div
-from ..plans import keep_latest, null_safe_join
+from ..plans import keep_latest
 from .timeops import parse_ts_formats
 
 # fixed values: texts that mean zero, texts that mean nothing
@@ -294,8 +294,3 @@ def lab_report(df: DataFrame, expected: Sequence[str], by: Sequence[str] = ("str
     have = set(df.columns)
     rows = [("missing", c) for c in expected if c not in have] + [("unmatched", c) for c in df.columns if c not in set(expected)]
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), spark.createDataFrame(rows, "issue string, column string")
-
-
-def cell_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join in which missing keys meet missing keys."""
-    return null_safe_join(left, right, keys, "left")
