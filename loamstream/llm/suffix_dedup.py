@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -407,7 +408,8 @@ def _wanted(ask: pa.Table) -> _Pairs:
 
 
 def _bucket(anchor: int, buckets: int) -> int:
-    return (anchor >> 32) * buckets >> 32
+    """Anchors are the smallest hashes of their windows, so they are hashed again before they are dealt."""
+    return xxhash.xxh3_64_intdigest(anchor.to_bytes(8, "little")) % buckets
 
 
 def _told(tell: pa.Table) -> tuple[_Pairs, dict, tuple | None, _Pairs]:
