@@ -227,10 +227,10 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     kinds = contexts.groupBy("a").agg(F.count("*").alias("kinds"))
     repeated = settle_table(contexts.join(kinds, "a").filter("n > 1 OR kinds > 1"))
     spot = [F.col("place.id").alias("id"), F.col("place.at").alias("at")]
-    busy = found.join(repeated.filter(F.col("kinds") > hot).select("a", "c"), ["a", "c"], "left_semi").select("_block", "a", "c").distinct()
+    busy = found.select("_block", "a").distinct().join(repeated.filter(F.col("kinds") > hot).select("a").distinct(), "a").select("_block", "a")
     none = F.lit(None).cast("long")
     asks = repeated.filter((F.col("kinds") > 1) & (F.col("kinds") <= hot)).select("_block", F.lit(0).alias("kind"), "a", "c", *spot, "n").unionByName(
-        busy.select("_block", F.lit(1).alias("kind"), "a", "c", none.alias("id"), none.alias("at"), none.alias("n")))
+        busy.select("_block", F.lit(1).alias("kind"), "a", none.alias("c"), none.alias("id"), none.alias("at"), none.alias("n")))
     sizes = repeated.agg(
         F.count_if((F.col("kinds") > 1) & (F.col("kinds") <= hot)).alias("unlike"),
         F.sum(F.when(F.col("kinds") > hot, F.col("n") * F.col("windows"))).alias("busy")).first()
@@ -240,19 +240,18 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
         """Bytes of one copy of each asked context, and window hashes of busy ones."""
         out, seen, hashes = [], set(), []
         if batch.num_rows and ask.num_rows:
-            wanted = _wanted(ask)
+            wanted, crowd = _wanted(ask)
             ids = _ids(batch, id)
             for row, chunk in _chunks(batch, text, size):
                 c = chunk.contexts()
-                known, kind, who, at, times = wanted.find(chunk.a, c)
-                kind = np.where(known, kind, -1)
-                for r in np.flatnonzero(kind == 0).tolist():
+                known, who, at, times = wanted.find(chunk.a, c)
+                for r in np.flatnonzero(known).tolist():
                     if (key := (int(chunk.a[r]), int(c[r]))) not in seen:
                         seen.add(key)
                         lo = int(chunk.lo[r])
                         out.append((0, _bucket(key[0], buckets), *key, int(chunk.anchor[r]) - lo, int(who[r]), int(at[r]), int(times[r]),
                                     chunk.data[lo : lo + int(chunk.n[r]) + size - 1].tobytes(), None, None))
-                start, h, g = chunk.windows(np.flatnonzero(kind == 1))
+                start, h, g = chunk.windows(np.flatnonzero(np.isin(chunk.a, crowd)))
                 doc = np.searchsorted(chunk.begins + chunk.lengths, start, "right")
                 hashes.append((h, g, ids[row + doc], start - chunk.begins[doc]))
             h, g, who, at = (np.concatenate(x) for x in zip(*hashes, strict=True))
@@ -321,12 +320,12 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
         masks = found.select("_block", "a", "c").distinct().join(verdicts.filter("kind = 1").drop("_block"), ["a", "c"])
         verdicts = verdicts.filter("kind = 2").unionByName(masks)
 
-    # what each block is told: 0 a whole context (with its first place), 1 windows of a context, 2 window hashes, 3 busy contexts
+    # what each block is told: 0 a whole context (with its first place), 1 windows of a context, 2 window hashes, 3 busy anchors
     nothing = [F.lit(None).cast("binary").alias(x) for x in "xyz"]
     whole = repeated.filter("n > 1").select("a", "c", *spot)
     told = found.select("_block", "a", "c").distinct().join(whole, ["a", "c"]).select("_block", F.lit(0).alias("kind"), "a", "c", "id", "at", *nothing)
     told = told.unionByName(verdicts.withColumns({"id": none, "at": none})).unionByName(
-        busy.select("_block", F.lit(3).alias("kind"), "a", "c", none.alias("id"), none.alias("at"), *nothing))
+        busy.select("_block", F.lit(3).alias("kind"), "a", none.alias("c"), none.alias("id"), none.alias("at"), *nothing))
 
     schema = T.StructType([*[f for f in docs.schema.fields if f.name in columns], T.StructField(RESULT, FIELDS, True)])
 
@@ -350,7 +349,7 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
                         np.add.at(edge, s, 1)
                         np.add.at(edge, s + size, -1)
             if late is not None:
-                start, h, _ = chunk.windows(np.flatnonzero(crowd.find(chunk.a, c)[0]))
+                start, h, _ = chunk.windows(np.flatnonzero(np.isin(chunk.a, crowd)))
                 at = np.minimum(np.searchsorted(late[0], h), len(late[0]) - 1)
                 hit = late[0][at] == h
                 if first:
@@ -403,8 +402,11 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table[name].fill_null(0).to_numpy()
 
 
-def _wanted(ask: pa.Table) -> _Pairs:
-    return _Pairs(_column(ask, "a").view(np.uint64), _column(ask, "c").view(np.uint64), *[_column(ask, x) for x in ("kind", "id", "at", "n")])
+def _wanted(ask: pa.Table) -> tuple[_Pairs, np.ndarray]:
+    """Contexts whose bytes are asked for, and busy anchors."""
+    whole = _column(ask, "kind") == 0
+    a, c = _column(ask, "a").view(np.uint64), _column(ask, "c").view(np.uint64)
+    return _Pairs(a[whole], c[whole], *[_column(ask, x)[whole] for x in ("id", "at", "n")]), a[~whole]
 
 
 def _bucket(anchor: int, buckets: int) -> int:
@@ -412,12 +414,12 @@ def _bucket(anchor: int, buckets: int) -> int:
     return xxhash.xxh3_64_intdigest(anchor.to_bytes(8, "little")) % buckets
 
 
-def _told(tell: pa.Table) -> tuple[_Pairs, dict, tuple | None, _Pairs]:
+def _told(tell: pa.Table) -> tuple[_Pairs, dict, tuple | None, np.ndarray]:
     kind = _column(tell, "kind") if tell.num_rows else np.zeros(0, np.int32)
     a, c = (_column(tell, x).view(np.uint64) if tell.num_rows else np.zeros(0, np.uint64) for x in ("a", "c"))
     who, at = (_column(tell, x) if tell.num_rows else np.zeros(0, np.int64) for x in ("id", "at"))
     place = _Pairs(a[kind == 0], c[kind == 0], who[kind == 0], at[kind == 0])
-    crowd = _Pairs(a[kind == 3], c[kind == 3])
+    crowd = a[kind == 3]
     mask: dict = {}
     parts = []
     for i in np.flatnonzero((kind == 1) | (kind == 2)).tolist():
