@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import resample as rs, seasons, timeops as tm
-from ..plans.slices import shift
 from ..session import scratch_path
 from ..sources import summary as sm, textfiles as tf
 from ..streaming import frames as fr, ingest as ig, sessions as ss
@@ -15,6 +14,11 @@ from .serving import RATIO
 from ..operators import series
 
 
+def write_line_files(df, path):
+    """Write `file, ord, line` as one text file per `file`, lines in order."""
+    df.select("file", "ord", "line").repartition("file").sortWithinPartitions("file", "ord").drop("ord").write.mode("overwrite").partitionBy("file").text(path)
+
+
 
 def second(c="ts"):
     return F.date_trunc("second", c).cast("timestamp_ntz")
@@ -44,7 +48,7 @@ def toa5_lines(spark, sf):
 
 def toa5(spark, sf):
     path = scratch_path(spark, "toa5")
-    tf.write_line_files(toa5_lines(spark, sf), path)
+    write_line_files(toa5_lines(spark, sf), path)
     return tf.read_toa5(spark, path, r"(S\d)([TMB])_Table1")
 
 
@@ -88,7 +92,7 @@ def src_04(spark, sf):
         F.date_format("ts", "yyyyMMdd").alias("file"), F.col("event_id").alias("ord"),
         F.concat_ws(",", F.lit("st01"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm"), *value).alias("line"))
     path = scratch_path(spark, "weather")
-    tf.write_line_files(_header(data.select("file").distinct(), [",".join(heads), ",".join(["", ""] + ["unit"] * 10)]).unionByName(data), path)
+    write_line_files(_header(data.select("file").distinct(), [",".join(heads), ",".join(["", ""] + ["unit"] * 10)]).unionByName(data), path)
     return tf.read_weather_csv(spark, path).select("timestamp", "precip_in", "temp_air_degF")
 
 
@@ -100,7 +104,7 @@ def src_05(spark, sf):
         F.concat(F.lit("lab_"), F.floor(F.col("p_partkey") / 100000).cast("string")).alias("file"), F.col("p_partkey").alias("ord"),
         F.concat_ws(",", F.col("p_partkey").cast("string"), quoted, F.col("p_size").cast("string")).alias("line"))
     path = scratch_path(spark, "lab")
-    tf.write_line_files(_header(data.select("file").distinct(), ["Row No,Sample ID,1:1 Soil pH", "row_no,sample_id,ph"]).unionByName(data), path)
+    write_line_files(_header(data.select("file").distinct(), ["Row No,Sample ID,1:1 Soil pH", "row_no,sample_id,ph"]).unionByName(data), path)
     return tf.read_two_header_csv(spark, path)[0]
 
 
@@ -116,7 +120,7 @@ def src_05_mixed(spark, sf):
     heads = {"kind_0": ["Row No,1:1 Soil pH", "row_no,ph"], "kind_1": ["1:1 Soil pH,Row No", "ph,row_no"], "kind_2": ["strip,date_rec,ph"]}
     head = spark.createDataFrame([(f, i - 10, x) for f, xs in heads.items() for i, x in enumerate(xs)], "file string, ord long, line string")
     path = scratch_path(spark, "mixed")
-    tf.write_line_files(head.unionByName(data), path)
+    write_line_files(head.unionByName(data), path)
     return tf.read_two_header_csv(spark, path)[0]
 
 

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import machine_name, nan_to_null
 from ..operators.timeops import parse_ts
@@ -26,13 +25,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-# a comma outside quotes: an even number of quotes follows it
-COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# a comma and the cell after it; quoted cells are taken whole, in one pass over the line
+CELL = r',[ \t]*("(?:[^"]++|"")*+"|[^,]*)'
 
 
 def split_cells(line: Column) -> Column:
     """Cells of a CSV line as trimmed text; quoted cells may hold commas and doubled quotes."""
-    bare = F.transform(F.split(line, COMMA, -1), lambda c: F.regexp_replace(F.trim(c), r'^"|"$', ""))
+    bare = F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1)), lambda c: F.regexp_replace(F.trim(c), r'^"|"$', ""))
     return F.transform(bare, lambda c: F.trim(F.replace(c, F.lit('""'), F.lit('"'))))
 
 
@@ -173,11 +172,3 @@ def apply_header(rows: DataFrame, header: DataFrame, cells: str = "cells", row_n
     below = rows.filter(F.col(row_no) > found["header_row"])
     out = below.select(row_no, *[F.nullif(F.trim(F.get(F.col(cells), F.lit(i))), F.lit("")).alias(n) for i, n in enumerate(names) if n])
     return out.filter(F.coalesce(*[F.col(n) for n in names if n]).isNotNull())
-
-
-LINES = T.StructType([T.StructField("file", T.StringType()), T.StructField("ord", T.LongType()), T.StructField("line", T.StringType())])
-
-
-def write_line_files(df: DataFrame, path: str) -> None:
-    """Write `file, ord, line` as one text file per `file`, lines in order."""
-    df.select("file", "ord", "line").repartition("file").sortWithinPartitions("file", "ord").drop("ord").write.mode("overwrite").partitionBy("file").text(path)
