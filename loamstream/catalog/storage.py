@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import resample as rs, seasons, timeops as tm
 from ..session import scratch_path
-from ..sources import summary as sm, textfiles as tf
+from ..sources import etl, summary as sm, textfiles as tf
 from ..streaming import frames as fr, ingest as ig, sessions as ss
 from .base import IRRIGATION, ORDER_TIMES, READINGS, irrigation, order_times, query, readings, table
 from .cleaning import HOURLY, WEATHER, hourly, weather
 from .serving import RATIO
+from .timing import STEPS
 from ..operators import series
 
 
@@ -66,6 +67,41 @@ def src_01_rejects(spark, sf):
     return toa5(spark, sf)[1].groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
 
 
+ETL = f"""WITH {FILES}, c1 AS (SELECT *, CASE WHEN strip || location = 'S1T' AND ts >= TIMESTAMP '2024-01-10 00:00:00' THEN ts + to_minutes(60)
+    WHEN strip || location = 'S2M' AND ts >= TIMESTAMP '2024-01-05 12:00:00' THEN ts - to_minutes(60)
+    WHEN strip || location = 'S3B' AND ts >= TIMESTAMP '2024-01-08 06:00:00' THEN ts + to_minutes(90) ELSE ts END AS t1
+  FROM f WHERE variable <> 'precip' AND value IS NOT NULL),
+c2 AS (SELECT *, CASE WHEN strip || location = 'S2M' AND t1 >= TIMESTAMP '2024-01-20 00:00:00' THEN t1 - to_minutes(120)
+    WHEN strip || location = 'S3B' AND t1 >= TIMESTAMP '2024-01-08 07:00:00' THEN t1 - to_minutes(30) ELSE t1 END AS t2 FROM c1),
+once AS (SELECT strip, location, depth, variable, t2 AS ts, CASE variable WHEN 'VWC' THEN value * 100 WHEN 'T' THEN value * 9 / 5 + 32 ELSE value END AS value FROM c2 WHERE abs(value) < 10000
+  QUALIFY row_number() OVER (PARTITION BY strip, location, depth, variable, t2 ORDER BY strftime(c2.ts, '%Y%m%d') DESC, row_no DESC) = 1),
+ok AS (SELECT * FROM once WHERE NOT coalesce(CASE variable WHEN 'VWC' THEN value < 1 OR value > 80 WHEN 'T' THEN value < -30 OR value > 110 WHEN 'EC' THEN value < -0.05 OR value > 20 END, false)),
+day AS (SELECT strip, location, depth, variable, date_trunc('day', ts) AS bin, round_even(avg(value), 3) AS value, CAST(count(value) AS BIGINT) AS n FROM ok GROUP BY ALL)"""
+
+
+def stored_days(spark, sf):
+    """Logger files, through the whole chain, to the daily summary on disk and back."""
+    path, root = scratch_path(spark, "etl"), scratch_path(spark, "etl-store")
+    write_line_files(toa5_lines(spark, sf), path)
+    etl.store_summaries(spark, path, root, tag_pattern=r"(S\d)([TMB])_Table1", steps=STEPS)
+    return spark.read.parquet(root)
+
+
+@query("ETL-01", ETL + " SELECT strip, location, depth, variable, CAST(bin AS TIMESTAMP) AS bin, value, n FROM day")
+def etl_01(spark, sf):
+    return stored_days(spark, sf).select("strip", "location", "depth", "variable", "bin", "value", "n")
+
+
+@query("ETL-01:seasons", ETL + """ SELECT 'Q1_Winter' AS period_code, strip, location, depth, variable, round_even(min(value), 4) AS min, round_even(max(value), 4) AS max, CAST(count(value) AS BIGINT) AS n
+FROM day WHERE bin >= TIMESTAMP '2023-11-01' AND bin < TIMESTAMP '2024-04-01' GROUP BY ALL""")
+def etl_01_seasons(spark, sf):
+    """The season table of the stored days."""
+    days = stored_days(spark, sf).withColumnRenamed("bin", "ts")
+    coded = days.withColumn("period_code", seasons.assign_season("ts", 2024)).filter("period_code = 'Q1_Winter'")
+    return coded.groupBy("period_code", "strip", "location", "depth", "variable").agg(
+        F.bround(F.min("value"), 4).alias("min"), F.bround(F.max("value"), 4).alias("max"), F.count("value").alias("n"))
+
+
 @query("SRC-02", f"WITH {ORDER_TIMES} SELECT row_no, ts, CAST(CASE WHEN row_no % 3 = 0 THEN 2 WHEN year(ts) = 1997 THEN 0 ELSE 1 END AS INTEGER) AS source_rank FROM order_times WHERE ts < TIMESTAMP '1998-01-01' AND (row_no % 3 = 0 OR year(ts) IN (1997, 1998))")
 def src_02(spark, sf):
     """A year's file, the next year's file, and a late copy; nothing after the year stays."""
