@@ -12,9 +12,9 @@ of a third of all documents costs rows in proportion to its occurrences. The tex
 meet its own deletions.
 
 Defined results: a null or empty text has no lines; texts of fewer than WINDOW lines keep all; order
-is (id, line), a null id comes last; rows that share an id count as one place and lose the same lines;
-an empty table gives an empty result. Extra columns pass through; one named like the result column
-is replaced, and the working names _id and _starts are left out.
+is (id, text hash, line), a null id comes last; rows of one id and one text count as one place and lose
+the same lines, rows of one id and different texts are different documents; an empty table gives an empty result. Extra columns pass through; one named like the result column
+is replaced, and the working names _id, _s and _starts are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import append_struct, chunks, texts
-from .shared import cols, others
+from .shared import cols, others, text_hash
 
 WINDOW = 3
 LAST = 2**63 - 1
@@ -66,11 +66,10 @@ def winnow(h: np.ndarray, doc: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarr
 
 
 def selected(docs: DataFrame, w: int) -> DataFrame:
-    """(f, id, first, around): fingerprint, document, first window's line number, hashes of all its windows."""
+    """(f, id, s, first, around): fingerprint, document, first window's line number, hashes of all its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "t"):
-            ids = part.column("id").to_numpy(zero_copy_only=False)
             hashes, owner, number = [], [], []
             for d, t in enumerate(texts(part, "t")):
                 lines, full = lines_of(t)
@@ -80,36 +79,37 @@ def selected(docs: DataFrame, w: int) -> DataFrame:
             h = np.array(hashes, np.uint64).view(np.int64)
             doc, number = np.array(owner, np.int64), np.array(number, np.int64)
             at, first, runs = winnow(h, doc, w)
+            whose = pa.array(doc[at])
             size = runs + w - 1
             place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
             offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
-                pa.array(h[at]), pa.array(ids[doc[at]]), pa.array(number[first]),
-                pa.ListArray.from_arrays(offsets, pa.array(h[place]))], names=["f", "id", "first", "around"])
+                pa.array(h[at]), part.column("id").take(whose), part.column("s").take(whose), pa.array(number[first]),
+                pa.ListArray.from_arrays(offsets, pa.array(h[place]))], names=["f", "id", "s", "first", "around"])
 
-    return docs.mapInArrow(run, "f long, id long, first long, around array<long>")
+    return docs.mapInArrow(run, "f long, id long, s binary, first long, around array<long>")
 
 
 def later_runs(docs: DataFrame, w: int = WINDOW) -> DataFrame:
-    """(id, starts): the w-line runs of each document that also start at an earlier place."""
+    """(id, s, starts): the w-line runs of each document that also start at an earlier place."""
     seeds = selected(docs, w)
     met = seeds.groupBy("f").count().filter("count > 1").select("f")
     runs = seeds.join(met, "f", "left_semi").select(
-        "id", "first", F.posexplode(F.transform(
+        "id", "s", "first", F.posexplode(F.transform(
             F.sequence(F.lit(1), F.size("around") - (w - 1)), lambda i: F.slice("around", i, F.lit(w)))).alias("j", "run"),
-    ).select("run", F.struct("id", (F.col("first") + F.col("j")).alias("start")).alias("place"))
+    ).select("run", F.struct("id", "s", (F.col("first") + F.col("j")).alias("start")).alias("place"))
     first = runs.groupBy("run").agg(F.min("place").alias("earliest"), F.max("place").alias("last")).filter("last > earliest")
     late = runs.join(first.select("run", "earliest"), "run").filter(F.col("place") > F.col("earliest"))
-    return late.groupBy(F.col("place.id").alias("id")).agg(F.collect_set("place.start").alias("starts"))
+    return late.groupBy("place.id", "place.s").agg(F.collect_set("place.start").alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", w: int = WINDOW) -> DataFrame:
     """Every document with a `line_dedup` struct: n_lines, n_removed, n_runs, clean_text."""
-    keep = cols(others(docs, RESULT, "_id", "_starts"))
+    keep = cols(others(docs, RESULT, "_id", "_s", "_starts"))
     key = F.coalesce(F.col(id).cast("long"), F.lit(LAST))
-    late = later_runs(docs.select(key.alias("id"), F.col(text).alias("t")), w)
-    told = docs.select(*keep, key.alias("_id")).join(
-        late.select(F.col("id").alias("_id"), F.col("starts").alias("_starts")), "_id", "left").drop("_id")
+    late = later_runs(docs.select(key.alias("id"), text_hash(text).alias("s"), F.col(text).alias("t")), w)
+    told = docs.select(*keep, key.alias("_id"), text_hash(text).alias("_s")).join(
+        late.select(F.col("id").alias("_id"), F.col("s").alias("_s"), F.col("starts").alias("_starts")), ["_id", "_s"], "left").drop("_id", "_s")
 
     def delete(batch: pa.RecordBatch) -> pa.Array:
         rows = []

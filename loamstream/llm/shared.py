@@ -22,6 +22,11 @@ def cols(names: list[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def text_hash(text: str) -> Column:
+    """128 bits that stand for a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder that `spark.checkpoint.dir` names; lost executors do not matter."""
     sc = df.sparkSession.sparkContext
