@@ -58,12 +58,43 @@ FROM t LEFT JOIN kept USING (row_id) LEFT JOIN starts USING (row_id)"""
 @query("op4_line_dedup", LINES_SQL)
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _told(line_dedup.dedup_lines(docs))
+
+
+def _told(df: DataFrame) -> DataFrame:
     d = F.col(line_dedup.RESULT)
-    return line_dedup.dedup_lines(docs).select(
+    return df.select(
         "doc_id", d.n_lines.alias("n_lines"), d.n_removed.alias("n_removed"), d.n_runs.alias("n_runs"),
         F.sha2(d.clean_text, 256).alias("kept_sha256"))
 
 
+PASSAGES_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT row_id, doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM t),
+f AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY n) AS i, len([y FOR y IN regexp_split_to_array(line, '{_SPACE}') IF y <> '']) AS c
+  FROM x WHERE regexp_replace(line, '{_SPACE}', '', 'g') <> ''),
+run AS (SELECT row_id, doc_id, i, size, count(*) OVER r AS have, sum(c) OVER r AS words, string_agg(line, chr(10)) OVER r AS g
+  FROM f, range(1, {line_dedup.WINDOW + 1}) AS s(size)
+  WINDOW r AS (PARTITION BY row_id, size ORDER BY i ROWS BETWEEN CURRENT ROW AND size - 1 FOLLOWING)),
+late AS (SELECT row_id, i, size FROM (SELECT *, row_number() OVER (PARTITION BY size, g ORDER BY doc_id, i) AS k FROM run
+  WHERE have = size AND (size = {line_dedup.WINDOW} OR words >= {line_dedup.PASSAGE})) WHERE k > 1),
+gone AS (SELECT DISTINCT row_id, i + k AS i FROM late, range(0, {line_dedup.WINDOW}) AS s(k) WHERE k < size),
+kept AS (SELECT x.row_id, string_agg(x.line, chr(10) ORDER BY x.n) FILTER (WHERE gone.i IS NULL) AS s,
+    count(f.i) AS n_lines, count(gone.i) AS n_removed
+  FROM x LEFT JOIN f USING (row_id, n) LEFT JOIN gone ON f.row_id = gone.row_id AND f.i = gone.i GROUP BY x.row_id),
+starts AS (SELECT row_id, count(*) AS n_runs FROM (SELECT *, i - lag(i, 1, -9) OVER (PARTITION BY row_id ORDER BY i) AS step FROM gone)
+  WHERE step > 1 GROUP BY row_id)
+SELECT doc_id, n_lines, n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs, sha256(coalesce(s, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (row_id) LEFT JOIN starts USING (row_id)"""
+
+
+@query("op4_passage_dedup", PASSAGES_SQL)
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three lines, or of at least fifty words in one or two."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _told(line_dedup.dedup_lines(docs, words=line_dedup.PASSAGE))
+
+
 SUFFIX_SQL = f"""
 WITH t AS (SELECT row_number() OVER () AS row_id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 n AS (SELECT *, (length(h) // 2)::BIGINT AS n_bytes FROM t),
