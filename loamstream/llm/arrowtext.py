@@ -61,3 +61,8 @@ def append_struct(df: DataFrame, name: str, fields: T.StructType, fn, sized_by:
             yield pa.RecordBatch.from_arrays([*part.columns, fn(part)], names=[*part.schema.names, name])
 
     return df.mapInArrow(run, schema)
+
+
+def fold_table(digits: bool) -> bytes:
+    """For bytes.translate: A-Z lower-cased, a-z, bytes beyond ASCII and, if asked, digits kept, all else a blank."""
+    return bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 or digits and 48 <= c <= 57 else 32 for c in range(256))
