@@ -15,7 +15,8 @@ its labels is; of several texts with one labelled id the smallest is learned fro
 
 Defined results: null and empty texts, and texts whose terms occur in no or in all documents, have no
 direction and score the share of label 1 in the sample; without labels every score is 0.5; null labels
-and ids teach nothing; repeated rows score alike; an empty table gives an empty result. Extra columns
+and ids teach nothing; repeated rows score alike up to the last of
+`DIGITS` digits (single-precision products); an empty table gives an empty result. Extra columns
 pass through; `quality_score` is replaced where it exists.
 """
 
@@ -43,6 +44,7 @@ NEAR = 30
 POWER = 8
 BLOCK = 512
 SHAPE = 8
+DIGITS = 6
 _KINDS = bytes(85 if 65 <= c <= 90 else 108 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
@@ -199,6 +201,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
         for part in chunks(batches, text, 4 << 20):
             raw = texts(part, text)
             scores = [vote(placed([cells(t) for t in raw[i : i + BLOCK]], idf, directions), known, y, near, power) for i in range(0, len(raw), BLOCK)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(scores))], names=[*part.schema.names, RESULT])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(scores).round(DIGITS))], names=[*part.schema.names, RESULT])
 
     return docs.mapInArrow(run, schema)
