@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,23 @@ def build_session(app: str = "loamstream", master: str | None = None, **conf: st
     return prepare(builder.getOrCreate())
 
 
+def ship_library(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark application, whenever its session began."""
+    sc = spark.sparkContext
+    here = os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_loamstream_sent", False) or not os.path.isdir(here):  # inside an archive the workers have it already
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="loamstream-"), "loamstream.zip")  # served by the driver, never read elsewhere
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(here)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join(os.path.basename(here), os.path.relpath(path, here)))
+    sc.addPyFile(archive)
+    sc._loamstream_sent = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir`, set by the cluster.
 
