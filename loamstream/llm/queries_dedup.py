@@ -100,7 +100,11 @@ WITH t AS (SELECT row_number() OVER () AS row_id, doc_id, hex(encode(coalesce(te
 n AS (SELECT *, (length(h) // 2)::BIGINT AS n_bytes FROM t),
 win AS (SELECT row_id, i, md5(substr(h, 2 * i + 1, 2 * {suffix_dedup.SIZE})) AS g
   FROM n, LATERAL (SELECT unnest(range(0, greatest(0, n_bytes - {suffix_dedup.SIZE - 1}))) AS i)),
-rep AS (SELECT row_id, i FROM win QUALIFY count(*) OVER (PARTITION BY g) > 1),
+told AS (SELECT row_id, i, count(*) OVER (PARTITION BY g) > 1 AS twice,
+  (doc_id, i) IS DISTINCT FROM first_value((doc_id, i)) OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, i) AS later FROM win JOIN t USING (row_id)),
+rep AS (SELECT row_id, i FROM told WHERE twice),
+lat AS (SELECT row_id, i, lead(i) OVER (PARTITION BY row_id ORDER BY i) AS j FROM told WHERE later),
+lats AS (SELECT row_id, sum(least({suffix_dedup.SIZE}, coalesce(j - i, {suffix_dedup.SIZE})))::BIGINT AS n_removed_later FROM lat GROUP BY row_id),
 new AS (SELECT *, CASE WHEN i - lag(i) OVER w <= {suffix_dedup.SIZE} THEN 0 ELSE 1 END AS b FROM rep WINDOW w AS (PARTITION BY row_id ORDER BY i)),
 isl AS (SELECT *, sum(b) OVER (PARTITION BY row_id ORDER BY i) AS k FROM new),
 span AS (SELECT row_id, k, min(i) AS s, max(i) + {suffix_dedup.SIZE} AS e FROM isl GROUP BY row_id, k),
@@ -108,14 +112,14 @@ gap AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY row_id ORDER BY s), 0) AS p
 cut AS (SELECT row_id, string_agg(substr(h, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) AS head, max(e) AS tail,
     sum(e - s)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM gap JOIN n USING (row_id) GROUP BY row_id)
 SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
-FROM n LEFT JOIN cut USING (row_id)"""
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256, coalesce(n_removed_later, 0)::BIGINT AS n_removed_later
+FROM n LEFT JOIN cut USING (row_id) LEFT JOIN lats USING (row_id)"""
 
 
 @query("op6_suffix_dedup", SUFFIX_SQL)
 def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     d = F.col(suffix_dedup.RESULT)
-    return suffix_dedup.dedup_suffixes(docs, with_text=False).select(
+    return suffix_dedup.dedup_suffixes(docs, with_text=False, later=True).select(
         "doc_id", d.n_bytes.alias("n_bytes"), d.n_removed.alias("n_removed"), d.n_spans.alias("n_spans"),
-        d.kept_sha256.alias("kept_sha256"))
+        d.kept_sha256.alias("kept_sha256"), d.n_removed_later.alias("n_removed_later"))

@@ -21,8 +21,8 @@ follow each other; together they are a context of less than twice SIZE bytes.
 Blocks of documents take the verdicts back and cut the text. The text is shuffled once, for the sending
 and the cutting, which read the same exchange.
 
-keep="none" removes every copy; keep="first" leaves what starts first in (id, byte) order. Defined
-results: a null text counts as empty; texts shorter than SIZE keep all; a null id comes last; repeated
+keep="none" removes every copy; keep="first" leaves what starts first in (id, byte) order; `later=True` also
+counts what keep="first" would remove (n_removed_later, else null), from the same pass. Defined results: a null text counts as empty; texts shorter than SIZE keep all; a null id comes last; repeated
 rows are copies of each other (under keep="first" rows that share id and text share one place, and all
 of them stay); an empty table gives an empty result. Extra columns pass through; a column named like
 the result is replaced, and the working name _block is left out. Removed bytes may cut a character; clean_text shows such cuts as U+FFFD.
@@ -55,13 +55,14 @@ RESULT = "suffix_dedup"
 FIELDS = T.StructType([
     T.StructField("n_bytes", T.LongType()),
     T.StructField("n_removed", T.LongType()),
+    T.StructField("n_removed_later", T.LongType()),
     T.StructField("n_spans", T.LongType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     T.StructField("clean_text", T.StringType()),
     T.StructField("kept_sha256", T.StringType()),
 ])
 _ARROW = pa.struct([
-    ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+    ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_removed_later", pa.int64()), ("n_spans", pa.int64()),
     ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
     ("clean_text", pa.string()), ("kept_sha256", pa.string())])
 _U = np.uint64
@@ -192,8 +193,8 @@ def factors(anchors: np.ndarray, places: np.ndarray, contexts: list[bytes], size
 
 # --- the operator ---------------------------------------------------------------------------------
 def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, keep: str = "none",
-                   block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET, hot: int = HOT, with_text: bool = True) -> DataFrame:
-    """Every document with a `suffix_dedup` struct: n_bytes, n_removed, n_spans, spans, clean_text, kept_sha256.
+                   block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET, hot: int = HOT, with_text: bool = True, later: bool = False) -> DataFrame:
+    """Every document with a `suffix_dedup` struct: n_bytes, n_removed, n_removed_later, n_spans, spans, clean_text, kept_sha256.
 
     A byte goes if a string of `size` bytes that covers it also starts anywhere else (keep="none"), or
     also starts earlier (keep="first"). `with_text=False` leaves clean_text and spans null.
@@ -205,6 +206,8 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     columns = others(docs, RESULT, "_block")
     dealt = docs.select(*cols(columns), F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(blocks)).alias("_block"))
     first = keep == "first"
+    placed = first or later  # first places are needed
+    modes = [first, True] if later else [first]  # whether the first place stays, for each result
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +218,7 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
                 zero = np.zeros(len(doc), np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(block[row + doc]), pa.array(chunk.a.view(np.int64)), pa.array(chunk.contexts().view(np.int64)),
-                    pa.array(ids[row + doc] if first else zero), pa.array(chunk.lo - chunk.begins[doc] if first else zero),
+                    pa.array(ids[row + doc] if placed else zero), pa.array(chunk.lo - chunk.begins[doc] if placed else zero),
                     pa.array(chunk.n.astype(np.int32))], names=["_block", "a", "c", "id", "at", "windows"])
 
     with small_batches(docs.sparkSession):
@@ -281,13 +284,13 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
             return exact(batch)
         batch = batch.take(pc.sort_indices(batch, sort_keys=[("id", "ascending"), ("at", "ascending")]))
         earlier, some = factors(batch["a"].to_numpy(), batch["p"].to_numpy(), batch["x"].to_pylist(), size)
-        told = earlier if first else some
         # where every copy goes, a context met twice goes as a whole
-        hit = np.array([m.any() for m in told], bool) & (first | (batch["n"].to_numpy() < 2))
+        hit = np.array([m.any() for m in some], bool) & (placed | (batch["n"].to_numpy() < 2))
         kept = batch.filter(pa.array(hit))
         empty = pa.nulls(kept.num_rows, pa.binary())
+        masks = [pa.array([pack(np.packbits(m)) for m, y in zip(told, hit, strict=True) if y], pa.binary()) for told in (some, earlier)]
         return pa.table({"_block": kept["_block"], "kind": pa.array([1] * kept.num_rows, pa.int32()), "a": kept["a"], "c": kept["c"],
-                         "x": pa.array([pack(np.packbits(m)) for m, y in zip(told, hit, strict=True) if y], pa.binary()), "y": empty, "z": empty})
+                         "x": masks[0], "y": masks[1] if placed else empty, "z": empty})
 
     def exact(batch: pa.Table) -> pa.Table:
         """Of the window hashes of one range: which repeat, and where each starts first."""
@@ -316,7 +319,7 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
                          **{k: pa.array([r[i] for r in rows], pa.binary()) for i, k in enumerate(("x", "y", "z"), 1)}})
 
     verdicts = sent.groupBy("kind", "part").applyInArrow(judge, "_block long, kind int, a long, c long, x binary, y binary, z binary")
-    if first:  # a mask holds for every copy of its context
+    if placed:  # a mask holds for every copy of its context
         masks = found.select("_block", "a", "c").distinct().join(verdicts.filter("kind = 1").drop("_block"), ["a", "c"])
         verdicts = verdicts.filter("kind = 2").unionByName(masks)
 
@@ -335,41 +338,44 @@ def dedup_suffixes(docs: DataFrame, id: str = "doc_id", text: str = "text", size
         rows = []
         for row, chunk in _chunks(batch, text, size):
             c = chunk.contexts()
-            edge = np.zeros(len(chunk.data) + 1, np.int64)
+            edges = [np.zeros(len(chunk.data) + 1, np.int64) for _ in modes]
             known, p_id, p_at = place.find(chunk.a, c)
             doc = np.searchsorted(chunk.begins + chunk.lengths, chunk.lo, "right")
-            if first:
-                known &= (p_id != ids[row + doc]) | (p_at != chunk.lo - chunk.begins[doc])
-            np.add.at(edge, chunk.lo[known], 1)
-            np.add.at(edge, (chunk.lo + chunk.n + size - 1)[known], -1)
+            other = (p_id != ids[row + doc]) | (p_at != chunk.lo - chunk.begins[doc])
+            for edge, stays in zip(edges, modes, strict=True):
+                gone = known & other if stays else known
+                np.add.at(edge, chunk.lo[gone], 1)
+                np.add.at(edge, (chunk.lo + chunk.n + size - 1)[gone], -1)
             if mask:
                 for r, key in enumerate(zip(chunk.a.tolist(), c.tolist(), strict=True)):
                     if (m := mask.get(key)) is not None:
-                        s = chunk.lo[r] + np.flatnonzero(m[: chunk.n[r]])
-                        np.add.at(edge, s, 1)
-                        np.add.at(edge, s + size, -1)
+                        for edge, stays in zip(edges, modes, strict=True):
+                            s = chunk.lo[r] + np.flatnonzero(m[int(stays)][: chunk.n[r]])
+                            np.add.at(edge, s, 1)
+                            np.add.at(edge, s + size, -1)
             if late is not None:
                 start, h, _ = chunk.windows(np.flatnonzero(np.isin(chunk.a, crowd)))
                 at = np.minimum(np.searchsorted(late[0], h), len(late[0]) - 1)
                 hit = late[0][at] == h
-                if first:
-                    doc = np.searchsorted(chunk.begins + chunk.lengths, start, "right")
-                    hit &= (late[1][at] != ids[row + doc]) | (late[2][at] != start - chunk.begins[doc])
-                np.add.at(edge, start[hit], 1)
-                np.add.at(edge, start[hit] + size, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+                doc = np.searchsorted(chunk.begins + chunk.lengths, start, "right")
+                other = (late[1][at] != ids[row + doc]) | (late[2][at] != start - chunk.begins[doc])
+                for edge, stays in zip(edges, modes, strict=True):
+                    gone = hit & other if stays else hit
+                    np.add.at(edge, start[gone], 1)
+                    np.add.at(edge, start[gone] + size, -1)
+            gone = [np.cumsum(edge[:-1]) > 0 for edge in edges]
             for b, n in zip(chunk.begins.tolist(), chunk.lengths.tolist(), strict=True):
-                rows.append(_row(chunk.data[b : b + n], gone[b : b + n], with_text))
+                rows.append(_row(chunk.data[b : b + n], gone[0][b : b + n], gone[1][b : b + n] if later else None, with_text))
         return pa.table([*[batch.column(x) for x in columns], pa.array(rows, _ARROW)], names=[*columns, RESULT])
 
     return dealt.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(cut, schema)
 
 
-def _row(data: np.ndarray, gone: np.ndarray, with_text: bool) -> dict:
+def _row(data: np.ndarray, gone: np.ndarray, later: np.ndarray | None, with_text: bool) -> dict:
     kept = data[~gone].tobytes()
     step = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
     spans = [{"start": s, "end": e} for s, e in zip(step[::2].tolist(), step[1::2].tolist(), strict=True)]
-    return {"n_bytes": len(data), "n_removed": int(gone.sum()), "n_spans": len(spans), "spans": spans if with_text else None,
+    return {"n_bytes": len(data), "n_removed": int(gone.sum()), "n_removed_later": None if later is None else int(later.sum()), "n_spans": len(spans), "spans": spans if with_text else None,
             "clean_text": kept.decode("utf-8", "replace") if with_text else None, "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
 
@@ -424,7 +430,7 @@ def _told(tell: pa.Table) -> tuple[_Pairs, dict, tuple | None, np.ndarray]:
     parts = []
     for i in np.flatnonzero((kind == 1) | (kind == 2)).tolist():
         if kind[i] == 1:
-            mask[int(a[i]), int(c[i])] = np.unpackbits(unpack(tell["x"][i].as_py(), np.uint8))
+            mask[int(a[i]), int(c[i])] = tuple(np.unpackbits(unpack(m, np.uint8)) if (m := tell[k][i].as_py()) else None for k in "xy")
         else:
             parts.append((unpack_sorted(tell["x"][i].as_py(), np.uint64), unpack(tell["y"][i].as_py(), np.int64), unpack(tell["z"][i].as_py(), np.int64)))
     if not parts:

@@ -49,10 +49,12 @@ def test_substrings(spark, block):
 def test_suffixes(spark, hot, keep):
     docs = _texts(2, 100, letters="ab é")
     df = suffix_dedup.dedup_suffixes(
-        spark.createDataFrame(docs, "doc_id long, text string"), size=40, keep=keep, block_bytes=1500, bucket=8, hot=hot)
+        spark.createDataFrame(docs, "doc_id long, text string"), size=40, keep=keep, block_bytes=1500, bucket=8, hot=hot, later=True).cache()
     got = sorted((r.doc_id, r.d.n_bytes, r.d.n_removed, r.d.n_spans, r.d.kept_sha256)
                  for r in df.select("doc_id", F.col("suffix_dedup").alias("d")).collect())
     assert got == plain.suffixes(docs, 40, keep) and sum(x[2] for x in got)
+    later = sorted((r.doc_id, r.n) for r in df.select("doc_id", F.col("suffix_dedup.n_removed_later").alias("n")).collect())
+    assert later == [(x[0], x[2]) for x in plain.suffixes(docs, 40, "first")]
 
 
 def test_order_names_tell_common_prefixes():
