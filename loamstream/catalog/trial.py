@@ -138,9 +138,14 @@ def mgt_08(spark, sf):
     return mg.meter_events(meter(spark, sf), ["user_id"], 8000.0, 600.0, order=["event_id"])
 
 
-@query("MGT-09")
+@query("MGT-09", f"""WITH RECURSIVE {METER}, m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, filename, event_id) AS n FROM meter),
+step AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::STRUCT(t TIMESTAMP, r DOUBLE, f VARCHAR)[] AS waiting, NULL::STRUCT(t TIMESTAMP, r DOUBLE, f VARCHAR) AS taken FROM meter
+  UNION ALL SELECT user_id, n, CASE WHEN taken IS NULL THEN list_append(live, {{'t': ts, 'r': reading, 'f': filename}}) ELSE list_filter(live, lambda x: x.f <> taken.f) END, taken
+  FROM (SELECT *, list_filter(live, lambda x: x.t < ts AND (reading - x.r) * 100 >= 8000)[1] AS taken
+    FROM (SELECT m.user_id, m.n, m.ts, m.reading, m.filename, list_filter(step.waiting, lambda x: x.t >= m.ts - to_hours(24)) AS live FROM step JOIN m ON m.user_id = step.user_id AND m.n = step.n + 1)))
+SELECT s.user_id, s.taken.t AS start_timestamp, m.ts AS end_timestamp, round_even(date_diff('microsecond', s.taken.t, m.ts) / 3.6e9, 3) AS duration_hours, s.taken.r AS start_reading_x100, m.reading AS end_reading_x100,
+  (m.reading - s.taken.r) * 100 AS computed_gallons, s.taken.f AS start_filename, m.filename AS end_filename FROM step s JOIN m ON m.user_id = s.user_id AND m.n = s.n WHERE s.taken IS NOT NULL""")
 def mgt_09(spark, sf):
-    """Sequential by rule, checked against a brute-force loop in the tests."""
     return mg.greedy_pairs(meter(spark, sf), ["user_id"], 24.0, 8000.0, row_id="event_id")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,80 +277,101 @@ def meter_events(df: DataFrame, keys: Sequence[str] = (), min_gallons: float = 2
     ).filter(F.col("computed_gallons") >= min_gallons).drop("_event")
 
 
-def spark_empty(df: DataFrame, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)
-
-
 PAIR_ROWS = "_slice bigint, _start_id bigint, _end_id bigint, _end_slice bigint"
 
 
-def _pair_slices(keys: Sequence[str], schema: str, max_hours: float, min_gallons: float):
-    limit = max_hours * 3.6e9
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", "_ord", "_id"])
-        us, reading, used, own = pdf["_us"].to_numpy(), pdf["_r"].to_numpy(), pdf["_used"].to_numpy().copy(), pdf["_own"].to_numpy()
-        ids, home = pdf["_id"].to_numpy(), pdf["_home"].to_numpy()
-        found = []
-        for i in range(len(us)):
-            if used[i] or not own[i]:
-                continue
-            for j in range(i + 1, len(us)):
-                gap = us[j] - us[i]
-                if gap > limit:
-                    break
-                if used[j] or gap <= 0 or (reading[j] - reading[i]) * 100.0 < min_gallons:
-                    continue
-                used[i] = used[j] = True
-                found.append((ids[i], ids[j], home[j]))
-                break
-        out = pd.DataFrame(found, columns=["_start_id", "_end_id", "_end_slice"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        out["_slice"] = pdf["_slice"].iloc[0]
-        return out[[*keys, "_slice", "_start_id", "_end_id", "_end_slice"]]
+def _greedy_runs(rows: DataFrame, keys: Sequence[str], max_hours: float, min_gallons: float) -> DataFrame:
+    """Pairs inside every (keys, _run), from rows marked `_own` (may start a pair) and `_used` (taken by an earlier run).
 
-    return pair
+    Each row goes to the earliest start still open that it fits, which is the pair the rule gives start by start: both
+    sides prefer what is earlier. Rows stream through in order, so a task holds the open starts of `max_hours`, not its runs.
+    """
+    ks, limit = list(keys), max_hours * 3.6e9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, open_ = None, deque()
+        for batch in batches:
+            names = ("_us", "_r", "_id", "_home", "_own", "_used")
+            places = zip(*(batch.column(k).to_pylist() for k in [*ks, "_run"]), strict=True)
+            found = []
+            for n, (place, us, reading, row, home, own, used) in enumerate(zip(places, *(batch.column(c).to_pylist() for c in names), strict=True)):
+                if place != group:
+                    group, open_ = place, deque()
+                if used:
+                    continue
+                while open_ and us - open_[0][0] > limit:
+                    open_.popleft()
+                for at, start in enumerate(open_):
+                    if us > start[0] and (reading - start[1]) * 100.0 >= min_gallons:
+                        found.append((n, start[3], start[2], row, home))
+                        del open_[at]
+                        break
+                else:
+                    if own:
+                        open_.append((us, reading, row, home))
+            where = pa.array([f[0] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(where) for k in ks), *(pa.array([f[i] for f in found], pa.int64()) for i in range(1, 5))],
+                                             names=[*ks, "_slice", "_start_id", "_end_id", "_end_slice"])
+
+    kinds = [f"`{k}` {kind}" for k, kind in rows.dtypes if k in ks]
+    ordered = rows.repartition(*ks, "_run").sortWithinPartitions(*ks, "_run", "_us", "_ord", "_id")
+    return ordered.mapInArrow(run, ", ".join([*kinds, PAIR_ROWS]))
 
 
 def greedy_pairs(df: DataFrame, keys: Sequence[str], max_hours: float = 24.0, min_gallons: float = 20000.0, ts: str = "ts", reading: str = "reading", row_id: str = "row_id", order: str = "filename", slice_days: float = 30.0) -> DataFrame:
     """Each reading, in order, takes the next unused later one with enough volume within `max_hours`.
 
-    The rule is sequential, but a pair reaches at most `max_hours` ahead, so what one slice of
-    `slice_days` can do to the next is use up some of its first rows. Slices are paired in parallel,
-    each also seeing the first `max_hours` of the next one; the rows they use there are handed on,
-    and only slices whose hand-over changed are paired again, until none does. That fixed point is
-    the sequential result, and a task holds one slice of one meter, never its history.
+    The rule is sequential, but a pair reaches at most `max_hours` ahead: what the slices before do to a slice is
+    a set of its first rows they used up. All slices are paired at once as if nothing was handed over. Then aligned
+    blocks of 1, 2, 4, ... slices are put together: the right block is paired again with what the left one hands
+    over, first its first slice alone, and as a whole only if that slice now hands over something else. So the
+    rounds are the logarithm of the slices, whatever the chain, and the result is the sequential one.
     """
     width = max(int(max_hours * 3600) + 1, int(slice_days * DAY))
     ks = list(keys)
-    base = cut_lineage(df.filter(F.col(reading).isNotNull()).select(
+    base = cut_lineage(df.filter(F.col(reading).isNotNull() & F.col(ts).isNotNull()).select(
         *ks, F.col(row_id).cast("bigint").alias("_id"), micros(ts).alias("_us"), F.col(reading).cast("double").alias("_r"),
         F.col(order).cast("string").alias("_ord"), slice_of(ts, width).alias("_home")))
+    low, high = base.agg(F.min("_home"), F.max("_home")).first()
+    first = F.col("_home") - F.lit(low or 0)
     early = F.col("_us") - F.col("_home") * F.lit(width * 1_000_000) <= F.lit(int(max_hours * 3.6e9))
-    homes = F.when(early, F.array(F.col("_home"), F.col("_home") - 1)).otherwise(F.array("_home"))
-    copies = base.withColumn("_slice", F.explode(homes)).withColumn("_own", F.col("_home") == F.col("_slice"))
-    kinds = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in ks)
-    schema = f"{kinds}, {PAIR_ROWS}" if ks else PAIR_ROWS
-    pair = _pair_slices(ks, schema, max_hours, min_gallons)
-
-    def pair_up(rows: DataFrame, used: DataFrame) -> DataFrame:
-        marked = rows.join(used, [*ks, "_slice", "_id"], "left").withColumn("_used", F.coalesce("_u", F.lit(False))).drop("_u")
-        return marked.groupBy(*ks, "_slice").applyInPandas(pair, schema)
-
-    def handed_on(pairs: DataFrame) -> DataFrame:
-        return pairs.filter("_end_slice > _slice").select(*ks, F.col("_end_slice").alias("_slice"), F.col("_end_id").alias("_id"), F.lit(True).alias("_u"))
-
-    used = handed_on(spark_empty(df, schema))
-    pairs = cut_lineage(pair_up(copies, used))
-    while True:
-        fresh = handed_on(pairs)
-        changed = cut_lineage(fresh.exceptAll(used).unionByName(used.exceptAll(fresh)).select(*ks, "_slice").distinct())
-        if changed.isEmpty():
-            break
-        used = fresh
-        again = pair_up(copies.join(changed, [*ks, "_slice"], "left_semi"), used)
-        pairs = cut_lineage(pairs.join(changed, [*ks, "_slice"], "left_anti").unionByName(again))
+    own, ahead = base.withColumn("_own", F.lit(True)), base.filter(early).withColumn("_own", F.lit(False))
+
+    def paired(blocks: DataFrame | None, size: int, used: DataFrame | None) -> DataFrame:
+        """Pairs of the blocks that start at slices (keys, _from) and have `size` slices; all slices where None is given."""
+        run = lambda back: (first - back - (first - back) % size + F.lit(low or 0)).alias("_run")
+        cols = [*ks, "_id", "_us", "_r", "_ord", "_home", "_own"]
+        # a block sees the first rows of the block after it
+        rows = own.select(*cols, run(0)).unionByName(ahead.filter(first % size == 0).select(*cols, run(1)))
+        if blocks is None:
+            return _greedy_runs(rows.withColumn("_used", F.lit(False)), ks, max_hours, min_gallons)
+        rows = rows.join(blocks.withColumnRenamed("_from", "_run"), [*ks, "_run"], "left_semi")
+        marked = rows.join(used.withColumn("_u", F.lit(True)), [*ks, "_id"], "left").withColumn("_used", F.col("_own") & F.coalesce("_u", F.lit(False)))
+        return _greedy_runs(marked.drop("_u"), ks, max_hours, min_gallons)
+
+    def handed(pairs: DataFrame) -> DataFrame:
+        return pairs.filter("_end_slice > _slice").select(*ks, "_slice", "_end_slice", F.col("_end_id").alias("_id"))
+
+    pairs = cut_lineage(paired(None, 1, None))
+    for level in range((high - low).bit_length() if high is not None else 0):
+        size = 1 << level
+        at = F.col("_end_slice") - F.lit(low)
+        into = cut_lineage(handed(pairs).filter((at % size == 0) & (at / size % 2 == 1)).select(*ks, F.col("_end_slice").alias("_from"), "_id"))
+        if into.isEmpty():
+            continue
+        blocks, used = into.select(*ks, "_from").distinct(), into.select(*ks, "_id")
+        again = cut_lineage(paired(blocks, 1, used))
+        heads = blocks.withColumnRenamed("_from", "_slice")
+        kept = pairs.join(heads, [*ks, "_slice"], "left_anti")
+        if level:
+            before, after = handed(pairs.join(heads, [*ks, "_slice"], "left_semi")), handed(again)
+            moved = cut_lineage(before.exceptAll(after).unionByName(after.exceptAll(before)).select(*ks, F.col("_slice").alias("_from")).distinct())
+            if not moved.isEmpty():
+                whole = cut_lineage(paired(moved, size, used))
+                block = (F.col("_slice") - (F.col("_slice") - F.lit(low)) % size).alias("_from")
+                kept = kept.select("*", block).join(moved, [*ks, "_from"], "left_anti").drop("_from")
+                again = again.select("*", block).join(moved, [*ks, "_from"], "left_anti").drop("_from").unionByName(whole)
+        pairs = cut_lineage(kept.unionByName(again))
     a = base.select(*ks, F.col("_id").alias("_start_id"), F.col("_us").alias("_a"), F.col("_r").alias("start_reading_x100"), F.col("_ord").alias("start_filename"))
     b = base.select(*ks, F.col("_id").alias("_end_id"), F.col("_us").alias("_b"), F.col("_r").alias("end_reading_x100"), F.col("_ord").alias("end_filename"))
     out = pairs.join(a, [*ks, "_start_id"]).join(b, [*ks, "_end_id"])

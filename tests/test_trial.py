@@ -137,6 +137,19 @@ def test_greedy_pairs_equal_the_sequential_rule(spark):
     df = spark.createDataFrame(rows, "meter int, ts timestamp_ntz, reading double, row_id bigint, filename string")
     got = sorted((r.meter, r.start_filename, r.end_filename) for r in mg.greedy_pairs(df, ["meter"], 24.0, 10000.0, slice_days=1.0).collect())
     assert got == greedy_twin(rows, 24.0, 10000.0) and len(got) > 20
+    assert mg.greedy_pairs(df.limit(0), ["meter"]).collect() == []
+
+
+def test_greedy_chain_over_a_thousand_slices_takes_logarithmic_rounds(spark, monkeypatch):
+    """Every slice hands its first rows on, and the first pair shifts all that follow."""
+    rows = [("hot", T0 + 12 * 60 * i * M, 10.0 * i, i, f"f{i:05d}") for i in range(1, 2200)]
+    rows += [("hot", T0 - 30 * M, 10.0, 0, "f00000"), ("b", T0, 1.0, 5000, "x"), ("b", T0 + 600 * M, 900.0, 5001, "y"), (None, T0, 1.0, 5002, "z"), ("b", None, 1.0, 5003, "w")]
+    df = spark.createDataFrame(rows, "meter string, ts timestamp_ntz, reading double, row_id bigint, filename string")
+    rounds, real = [], mg._greedy_runs
+    monkeypatch.setattr(mg, "_greedy_runs", lambda *a: rounds.append(1) or real(*a))
+    got = sorted((r.meter, r.start_filename, r.end_filename) for r in mg.greedy_pairs(df, ["meter"], 24.0, 1500.0, slice_days=1.0).collect())
+    assert got == greedy_twin([r for r in rows if r[0] and r[1]], 24.0, 1500.0) and len(got) > 1000
+    assert len(rounds) <= 1 + 2 * 11
 
 
 def block_twin(lines):
