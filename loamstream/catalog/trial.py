@@ -157,15 +157,18 @@ def known(spark, sf):
 
 KNOWN = "known AS (SELECT event_id, user_id, ts AS start, ts + to_hours(6) AS \"end\", CAST(floor(value) * 100 AS DOUBLE) AS gallons FROM events WHERE event_type = 'purchase')"
 
-PAIRS = f"""WITH {METER}, {KNOWN}, c AS (SELECT k.event_id, k.gallons, s.ts AS st, e.ts AS et, s.filename AS sn, e.filename AS en, (e.reading - s.reading) * 100 AS gal, abs(date_diff('microsecond', k.start, s.ts)) / 3.6e9 AS sd, abs(date_diff('microsecond', k."end", e.ts)) / 3.6e9 AS ed
+PAIRS = f"""WITH {METER}, {KNOWN}, c AS (SELECT k.event_id, k.gallons, s.reading AS sr, e.reading AS er, s.ts AS st, e.ts AS et, s.filename AS sn, e.filename AS en, (e.reading - s.reading) * 100 AS gal, abs(date_diff('microsecond', k.start, s.ts)) / 3.6e9 AS sd, abs(date_diff('microsecond', k."end", e.ts)) / 3.6e9 AS ed
   FROM known k JOIN meter s ON s.user_id = k.user_id AND s.ts BETWEEN k.start - to_hours(4) AND k.start + to_hours(4) JOIN meter e ON e.user_id = k.user_id AND e.ts BETWEEN k."end" - to_hours(4) AND k."end" + to_hours(4) WHERE e.ts > s.ts AND e.reading > s.reading),
 b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(gal - gallons) + (sd + ed) * 1000, st, et) AS k FROM c),
-res AS (SELECT k.event_id, k.user_id, k.start, k."end", k.gallons, st AS start_timestamp, et AS end_timestamp, sn AS start_filename, en AS end_filename, gal AS computed_gallons, round_even(gal - k.gallons, 0) AS gallons_difference, round_even(gal / nullif(k.gallons, 0), 3) AS gallons_ratio,
+res AS (SELECT k.event_id, k.user_id, k.start, k."end", k.gallons, 'S' || (k.user_id % 2 * 2 + 1) || '_S' || (k.user_id % 2 * 2 + 2) AS strip_group, 'S' || (k.user_id % 2 * 2 + 1) || '_S' || (k.user_id % 2 * 2 + 2) AS matched_strip_group, st AS start_timestamp, et AS end_timestamp,
+  round_even(date_diff('microsecond', st, et) / 3.6e9, 3) AS duration_hours, sr AS start_reading_x100, er AS end_reading_x100, round_even((sd + ed) / 2, 2) AS time_diff_hours, CASE WHEN b.event_id IS NULL THEN 'No valid start/end photo pair found within search windows.' ELSE '' END AS notes, sn AS start_filename, en AS end_filename, gal AS computed_gallons, round_even(gal - k.gallons, 0) AS gallons_difference, round_even(gal / nullif(k.gallons, 0), 3) AS gallons_ratio,
   round_even(sd, 2) AS start_time_diff_hours, round_even(ed, 2) AS end_time_diff_hours, CASE WHEN b.event_id IS NULL THEN 'no_photo_pair_found' ELSE 'event_driven_suggested' END AS review_status FROM known k LEFT JOIN b ON b.event_id = k.event_id AND b.k = 1)"""
 
 
 def pairs(spark, sf):
-    return mg.match_event_pairs(known(spark, sf), meter(spark, sf), ["user_id"])
+    first = (F.col("user_id") % 2 * 2 + 1).cast("int")
+    events = known(spark, sf).withColumn("strip_group", F.format_string("S%d_S%d", first, first + 1))
+    return mg.match_event_pairs(events, meter(spark, sf), ["user_id"], group="strip_group")
 
 
 @query("MGT-10", PAIRS + " SELECT * FROM res")
@@ -204,7 +207,7 @@ def mgt_12(spark, sf):
 
 
 @query("MGT-13", PAIRS + """, u AS (SELECT start_filename AS f FROM res UNION SELECT end_filename FROM res)
-SELECT review_status, event_id, CAST(NULL AS VARCHAR) AS photo_filename, CAST(NULL AS VARCHAR) AS notes FROM res UNION ALL SELECT CASE WHEN event_id % 9 = 0 THEN 'video_unmatched' ELSE 'unmatched_photo' END, NULL, filename, CASE WHEN event_id % 9 = 0 THEN 'video; possible mid-event/test; timestamp source: exif' ELSE '' END FROM meter WHERE filename NOT IN (SELECT f FROM u WHERE f IS NOT NULL)""")
+SELECT review_status, event_id, CAST(NULL AS VARCHAR) AS photo_filename, notes FROM res UNION ALL SELECT CASE WHEN event_id % 9 = 0 THEN 'video_unmatched' ELSE 'unmatched_photo' END, NULL, filename, CASE WHEN event_id % 9 = 0 THEN 'video; possible mid-event/test; timestamp source: exif' ELSE '' END FROM meter WHERE filename NOT IN (SELECT f FROM u WHERE f IS NOT NULL)""")
 def mgt_13(spark, sf):
     return mg.append_unmatched(pairs(spark, sf), meter(spark, sf)).select("review_status", "event_id", "photo_filename", "notes")
 

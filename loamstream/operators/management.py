@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ TREATMENTS = {
     "S1": "biochar_half_water", "S2": "control_half_water", "S3": "biochar_full_water", "S4": "control_full_water",
 }
 
+# fixed value: note of an event without a reading pair
+NO_PAIR = "No valid start/end photo pair found within search windows."
+
 # fixed values: decimals kept in the clean table
 ROUNDING = {
     "total_meter_gallons": 0, "flow_allocation_fraction": 3, "strip_allocation_fraction": 3, "gallons_group": 0,
@@ -381,39 +385,142 @@ def greedy_pairs(df: DataFrame, keys: Sequence[str], max_hours: float = 24.0, mi
         ((F.col("end_reading_x100") - F.col("start_reading_x100")) * 100.0).alias("computed_gallons"), "start_filename", "end_filename")
 
 
-def match_event_pairs(events: DataFrame, readings: DataFrame, keys: Sequence[str] = (), start_hours: float = 4.0, end_hours: float = 4.0, event_id: str = "event_id", start: str = "start", end: str = "end", gallons: str = "gallons", ts: str = "ts", reading: str = "reading", name: str = "filename") -> DataFrame:
-    """For each known event the reading pair that fits best by volume error plus 1000 per hour off.
+def best_pair(starts: Sequence[np.ndarray], ends: Sequence[np.ndarray], gallons: float) -> tuple[int, int] | None:
+    """Indexes of the (start, end) with end later and higher that fits the volume best, or None.
 
-    Readings near the start and near the end are gathered per event (a window's worth each) and the
-    best pair is found inside the row, so pairs are never rows. Events without a pair are kept.
+    `starts` and `ends` are arrays (time, reading, hours off), each in order of time. The score is the volume error
+    plus 1000 per hour off; the first start, then the first end, wins a tie. Time is halved again and again: starts
+    of the earlier half meet ends of the later half sorted by reading, where the wanted reading is found by binary
+    search; above it the end with the least 100 r + 1000 d, below it (but above the start) the one with the least
+    1000 d - 100 r is best, from suffix minima and a table of range minima. (S + E) log^2 steps instead of S x E.
     """
-    ks = list(keys)
-    usable = readings.filter(F.col(reading).isNotNull() & F.col(ts).isNotNull()).select(*ks, ts, F.col(reading).cast("double").alias("_r"), F.col(name).alias("_n"))
-    known = events.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & F.col(gallons).isNotNull())
+    (st, sr, sd), (et, er, ed) = starts, ends
+    best, found = np.full(len(st), np.inf), np.zeros(len(st), np.int64)
+
+    def take(s: np.ndarray, e: np.ndarray, ok: np.ndarray) -> None:
+        score = np.where(ok, np.abs((er[e] - sr[s]) * 100.0 - gallons) + (sd[s] + ed[e]) * 1000.0, np.inf)
+        better = (score < best[s]) | ((score == best[s]) & (e < found[s]))
+        best[s[better]], found[s[better]] = score[better], e[better]
+
+    todo = [(0, len(st), 0, len(et))]
+    while todo:
+        s0, s1, e0, e1 = todo.pop()
+        if s0 >= s1 or e0 >= e1:
+            continue
+        if (s1 - s0) * (e1 - e0) <= 1024 or st[s0] >= et[e1 - 1]:
+            s, e = (x.ravel() for x in np.meshgrid(np.arange(s0, s1), np.arange(e0, e1), indexing="ij")) if st[s0] < et[e1 - 1] else (np.zeros(0, np.int64),) * 2
+            if len(s):
+                ok = (et[e] > st[s]) & (er[e] > sr[s])
+                score = np.where(ok, np.abs((er[e] - sr[s]) * 100.0 - gallons) + (sd[s] + ed[e]) * 1000.0, np.inf).reshape(s1 - s0, e1 - e0)
+                at = score.argmin(axis=1)
+                take(np.arange(s0, s1), at + e0, np.isfinite(score[np.arange(s1 - s0), at]))
+            continue
+        times = np.concatenate([st[s0:s1], et[e0:e1]])
+        cut = np.partition(times, len(times) // 2)[len(times) // 2]
+        if cut == times.min():
+            cut = times[times > cut].min()
+        # earlier half: times below the cut
+        sm, em = s0 + int(np.searchsorted(st[s0:s1], cut)), e0 + int(np.searchsorted(et[e0:e1], cut))
+        todo += [(s0, sm, e0, em), (sm, s1, em, e1)]
+        if s0 == sm or em == e1:
+            continue
+        s, e = np.arange(s0, sm), np.arange(em, e1)
+        e = e[np.argsort(er[e], kind="stable")]
+        r, m = er[e], len(e)
+        lo = np.searchsorted(r, sr[s], "right")
+        mid = np.maximum(lo, np.searchsorted(r, sr[s] + gallons / 100.0))
+        up = 100.0 * r + 1000.0 * ed[e]
+        record = np.where(up == np.minimum.accumulate(up[::-1])[::-1], np.arange(m), m)
+        ahead = np.append(np.minimum.accumulate(record[::-1])[::-1], 0)
+        take(s, e[np.minimum(ahead[mid], m - 1)], mid < m)
+        down = 1000.0 * ed[e] - 100.0 * r
+        table = [np.arange(m)]
+        while (half := 1 << len(table) - 1) * 2 <= m:
+            x, y = table[-1][:-half], table[-1][half:]
+            table.append(np.where(down[x] <= down[y], x, y))
+        size = mid - lo
+        level = np.frexp(np.maximum(size, 1))[1] - 1
+        for k in np.unique(level):
+            on = (level == k) & (size > 0)
+            x, y = table[k][lo[on]], table[k][mid[on] - (1 << int(k))]
+            take(s[on], e[np.where(down[x] <= down[y], x, y)], np.ones(int(on.sum()), bool))
+    if not np.isfinite(best).any():
+        return None
+    k = int(best.argmin())
+    return k, int(found[k])
+
+
+_PAIR = "a int, s_t long, s_n string, s_r double, s_d double, e_t long, e_n string, e_r double, e_d double"
+
+
+def _best_pairs(rows: DataFrame) -> DataFrame:
+    """The best pair of each event `_e`, from its start candidates (`side` 0) and end candidates; one event in memory at a time."""
+    kind = dict(rows.dtypes)["_e"]
+
+    def of(event: pa.Table) -> tuple | None:
+        side = event.column("side").to_numpy()
+        us, r, d = (event.column(c).to_numpy() for c in ("us", "r", "d"))
+        s, e = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(s) or not len(e) or (found := best_pair((us[s], r[s], d[s]), (us[e], r[e], d[e]), event.column("g")[0].as_py())) is None:
+            return None
+        return tuple(event.column(c)[int(at)].as_py() for at in (s[found[0]], e[found[1]]) for c in ("us", "n", "r", "d"))
 
-    def near(anchor: str, hours: float, out: str) -> DataFrame:
-        spans = known.select(event_id, *ks, F.col(anchor).alias("_at"), shift(anchor, -hours * 3600).alias("_from"), shift(anchor, hours * 3600).alias("_to"))
-        hits = interval_join(usable, spans, ks, ts, "_from", "_to", width=2 * HOUR)
-        item = F.struct(F.col(ts).alias("t"), F.col("_n").alias("n"), F.col("_r").alias("r"), (F.abs(micros(ts) - micros("_at")) / F.lit(3.6e9)).alias("d"))
-        return hits.groupBy(event_id).agg(F.array_sort(F.collect_list(item)).alias(out))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-    rows = known.join(near(start, start_hours, "_s"), event_id, "left").join(near(end, end_hours, "_e"), event_id, "left")
+        def done(events: list[list[pa.RecordBatch]]) -> pa.RecordBatch:
+            told = [(x[0].column("_e")[0], p) for x in events if (p := of(pa.Table.from_batches(x).combine_chunks())) is not None]
+            kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64()) * 2
+            return pa.RecordBatch.from_arrays([pa.array([e.as_py() for e, _ in told], event_type), *(pa.array([p[i] for _, p in told], k) for i, k in enumerate(kinds))],
+                                              names=["_e", "s_t", "s_n", "s_r", "s_d", "e_t", "e_n", "e_r", "e_d"])
 
-    def best_end(s: Column) -> Column:
-        fits = F.filter("_e", lambda e: (e["t"] > s["t"]) & (e["r"] > s["r"]))
-        scored = F.transform(fits, lambda e: F.struct(
-            (F.abs((e["r"] - s["r"]) * 100.0 - F.col(gallons)) + (s["d"] + e["d"]) * 1000.0).alias("score"), s.alias("s"), e.alias("e")))
-        return F.array_min(scored)
+        for batch in batches:
+            event_type = batch.schema.field("_e").type
+            ids = batch.column("_e").to_pylist()
+            cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+            ready = []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and hi > lo and held[0].column("_e")[0].as_py() != ids[lo]:
+                    ready.append(held)
+                    held = []
+                held = [*held, batch.slice(lo, hi - lo)] if hi > lo else held
+            if ready:
+                yield done(ready)
+        if held:
+            yield done([held])
+
+    ordered = rows.repartition("_e").sortWithinPartitions("_e", "side", "us", "n", "r")
+    return ordered.mapInArrow(run, _PAIR.replace("a int", f"_e {kind}"))
+
+
+def match_event_pairs(events: DataFrame, readings: DataFrame, keys: Sequence[str] = (), start_hours: float = 4.0, end_hours: float = 4.0, event_id: str = "event_id", start: str = "start", end: str = "end", gallons: str = "gallons", ts: str = "ts", reading: str = "reading", name: str = "filename", group: str | None = None, place: str | None = None) -> DataFrame:
+    """For each known event the reading pair that fits best by volume error plus 1000 per hour off.
 
-    out = rows.withColumn("_m", F.array_min(F.filter(F.transform("_s", best_end), lambda m: m.isNotNull())))
-    m = F.col("_m")
-    computed = (m["e"]["r"] - m["s"]["r"]) * 100.0
-    return out.select(
-        *events.columns, m["s"]["t"].alias("start_timestamp"), m["e"]["t"].alias("end_timestamp"), m["s"]["n"].alias("start_filename"), m["e"]["n"].alias("end_filename"),
+    Readings near the start and near the end are rows (event, side, reading), never pairs; an event's rows are sorted in its
+    task and searched (`best_pair`). Events without a pair are kept with a status and a note. `group` and `place` name
+    columns of the events that are repeated as `matched_strip_group` and `matched_location`.
+    """
+    ks = list(keys)
+    usable = readings.filter(F.col(reading).isNotNull() & F.col(ts).isNotNull()).select(*ks, ts, F.col(reading).cast("double").alias("_r"), F.col(name).alias("_n"))
+    known = events.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & F.col(gallons).isNotNull())
+    anchors = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("at"), F.lit(float(h)).alias("h")) for k, (c, h) in enumerate(((start, start_hours), (end, end_hours))))))
+    spans = known.select(F.col(event_id).alias("_e"), *ks, F.col(gallons).cast("double").alias("g"), anchors.alias("_a")).select(
+        "_e", *ks, "g", "_a.side", F.col("_a.at").alias("_at"), shift("_a.at", F.col("_a.h") * -3600).alias("_from"), shift("_a.at", F.col("_a.h") * 3600).alias("_to"))
+    hits = interval_join(usable, spans, ks, ts, "_from", "_to", width=2 * HOUR)
+    m = _best_pairs(hits.select("_e", "side", "g", micros(ts).alias("us"), F.col("_n").alias("n"), F.col("_r").alias("r"), (F.abs(micros(ts) - micros("_at")) / F.lit(3.6e9)).alias("d")))
+    found = F.col("s_t").isNotNull()
+    computed = (F.col("e_r") - F.col("s_r")) * 100.0
+    matched = [F.col(c).alias(n) for c, n in ((group, "matched_strip_group"), (place, "matched_location")) if c]
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return known.join(m, F.col(event_id) == F.col("_e"), "left").select(
+        *events.columns, *matched, at("s_t").alias("start_timestamp"), at("e_t").alias("end_timestamp"),
+        F.bround((F.col("e_t") - F.col("s_t")) / F.lit(3.6e9), 3).alias("duration_hours"), F.col("s_r").alias("start_reading_x100"), F.col("e_r").alias("end_reading_x100"),
+        F.col("s_n").alias("start_filename"), F.col("e_n").alias("end_filename"),
         computed.alias("computed_gallons"), F.bround(computed - F.col(gallons), 0).alias("gallons_difference"),
         F.bround(computed / F.when(F.col(gallons) != 0, F.col(gallons)), 3).alias("gallons_ratio"),
-        F.bround(m["s"]["d"], 2).alias("start_time_diff_hours"), F.bround(m["e"]["d"], 2).alias("end_time_diff_hours"),
-        F.when(m.isNotNull(), "event_driven_suggested").otherwise("no_photo_pair_found").alias("review_status"))
+        F.bround((F.col("s_d") + F.col("e_d")) / 2.0, 2).alias("time_diff_hours"), F.bround("s_d", 2).alias("start_time_diff_hours"), F.bround("e_d", 2).alias("end_time_diff_hours"),
+        F.when(found, "event_driven_suggested").otherwise("no_photo_pair_found").alias("review_status"),
+        F.when(found, "").otherwise(NO_PAIR).alias("notes"))
 
 
 def _midpoint(start: str, end: str) -> Column:

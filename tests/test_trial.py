@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,53 @@ def test_greedy_chain_over_a_thousand_slices_takes_logarithmic_rounds(spark, mon
     assert len(rounds) <= 1 + 2 * 11
 
 
+def pair_twin(starts, ends, gallons):
+    best = None
+    for i, (t, r, d) in enumerate(starts):
+        for j, (u, q, e) in enumerate(ends):
+            if u > t and q > r:
+                key = (abs((q - r) * 100.0 - gallons) + (d + e) * 1000.0, i, j)
+                best = min(best or key, key)
+    return best
+
+
+def test_best_pair_equals_all_pairs():
+    rnd = random.Random(21)
+    for case in range(400):
+        steps = [rnd.choice([-3, 0, 0, 1, 2, 5]) for _ in range(rnd.choice([3, 40, 160]))]
+        at, line = 100, []
+        for i, x in enumerate(steps):
+            at += x if case % 3 else abs(x)
+            line.append((i if case % 2 else i // 3, float(at)))
+        cut = rnd.randint(0, len(line))
+        sides = [[(t, r, abs(t - mid) * 0.013) for t, r in part] for part, mid in ((line[: cut + 30], 5), (line[max(0, cut - 30) :], 60))]
+        gallons = rnd.choice([0.0, 150.0, 500.0, 4000.0, -200.0])
+        want = pair_twin(*sides, gallons)
+        arrays = [tuple(np.array(x) for x in zip(*side, strict=True)) if side else (np.zeros(0),) * 3 for side in sides]
+        got = mg.best_pair(*arrays, gallons)
+        assert (got is None) == (want is None)
+        if want:
+            (t, r, d), (u, q, e) = sides[0][got[0]], sides[1][got[1]]
+            assert u > t and q > r and abs(abs((q - r) * 100.0 - gallons) + (d + e) * 1000.0 - want[0]) < 1e-6
+
+
+def test_hot_window_is_searched_without_its_pairs(spark):
+    """20,000 readings around one event: 10^8 pairs by brute force."""
+    rows = [("m", T0 + dt.timedelta(seconds=i), 1000.0 + i // 2, f"f{i:05d}") for i in range(20_000)] + [("n", T0, 5.0, "a"), ("n", T0 + 60 * M, 9.0, "b"), ("n", T0 + 70 * M, None, "c")]
+    events = [(1, "m", T0 + 60 * M, T0 + 200 * M, 400_000.0), (2, "n", T0, T0 + 60 * M, 399.0), (3, "n", T0 + 9000 * M, T0 + 9100 * M, 1.0), (4, "x", T0, T0, 1.0), (5, "m", None, T0, 1.0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3000")
+    try:
+        got = {r.event_id: r for r in mg.match_event_pairs(
+            spark.createDataFrame(events, "event_id int, meter string, start timestamp_ntz, end timestamp_ntz, gallons double"),
+            spark.createDataFrame(rows, "meter string, ts timestamp_ntz, reading double, filename string"), ["meter"], place="meter").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    r = got[1]
+    assert sorted(got) == [1, 2, 3, 4] and abs(r.computed_gallons - 400_000.0) <= 200 and r.start_time_diff_hours + r.end_time_diff_hours <= 0.12
+    assert (got[2].start_filename, got[2].end_filename, got[2].duration_hours, got[2].matched_location) == ("a", "b", 1.0, "n")
+    assert got[3].review_status == got[4].review_status == "no_photo_pair_found" and got[3].notes == mg.NO_PAIR
+
+
 def block_twin(lines):
     best = (0, None, None)
     first = {}
