@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import cut_lineage
 from .slices import DAY, HOUR, micros, slice_of
 
 
@@ -37,6 +38,49 @@ def interval_join(
     return pairs
 
 
+EVEN_ROWS = 1 << 16
+_BITS = 20
+
+
+def _evenly(sides: Sequence[DataFrame], width: int, rows: int) -> list[DataFrame]:
+    """The sides with `_slice`, an order-preserving number of (slice of `width`, part): full slices are cut into parts.
+
+    Rows per slice are counted first (one row per slice is kept); a slice with more than `rows` is cut into as many
+    equal parts of time, up to 2^20, so that one hot day is spread over tasks like many quiet ones.
+    """
+    at = slice_of("_t", width).alias("_c")
+    counted = [side.select(at) for side in sides]
+    every = counted[0]
+    for c in counted[1:]:
+        every = every.unionByName(c)
+    parts = F.ceil(F.log2(F.col("count") / F.lit(rows))).cast("bigint")
+    cuts = cut_lineage(every.filter("_c IS NOT NULL").groupBy("_c").count().select("_c", F.least(F.greatest(parts, F.lit(0)), F.lit(_BITS)).alias("_k")))
+    span = F.lit(width * 1_000_000)
+    piece = F.call_function("div", F.call_function("shiftleft", micros("_t") - F.col("_c") * span, F.col("_k").cast("int")), span)
+    number = F.col("_c") * (1 << _BITS) + F.call_function("shiftleft", piece, (F.lit(_BITS) - F.col("_k")).cast("int"))
+    return [side.withColumn("_c", at).join(cuts, "_c", "left").withColumn("_slice", number).drop("_c", "_k") for side in sides]
+
+
+def _carried(marks: DataFrame, level: int = 0) -> DataFrame:
+    """(_slice, _before, _after): the last `_last` before and the first `_first` after each slice.
+
+    A window sees 1024 slices; what lies further comes from the same rule on groups of 1024 slices, four levels up.
+    """
+    group = F.shiftright("_slice", 10)
+    w = Window.partitionBy(group)
+    near = marks.select(
+        "_slice", group.alias("_up"),
+        F.last("_last", ignorenulls=True).over(w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.last("_first", ignorenulls=True).over(w.orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    if level == 4:
+        return near.select("_slice", "_before", "_after")
+    above = marks.groupBy(group.alias("_slice")).agg(
+        F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col("_slice"))).alias("_first"),
+        F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_slice"))).alias("_last"))
+    far = _carried(above, level + 1).select(F.col("_slice").alias("_up"), F.col("_before").alias("_b"), F.col("_after").alias("_a"))
+    return near.join(far, "_up", "left").select("_slice", F.coalesce("_before", "_b").alias("_before"), F.coalesce("_after", "_a").alias("_after"))
+
+
 def _merge_order(
     left: DataFrame,
     right: DataFrame,
@@ -52,7 +96,8 @@ def _merge_order(
 
     Both sides are laid on one time line per (keys, slice) and scanned once; nothing is paired.
     A slice also receives the last right row before it and the first after it, found on a table
-    with one row per (keys, slice).
+    with one row per (keys, slice). Without keys, slices are cut evenly (`_evenly`) and that table is
+    written once and carried in levels, so that no task sees the whole time line.
     """
     right_row = F.struct(
         F.col(right_ts).alias("_ts"),
@@ -60,16 +105,14 @@ def _merge_order(
         *[F.col(c) for c in take],
     )
     left_row = F.struct(*[F.col(c) for c in left.columns])
-    r = right.filter(F.col(right_ts).isNotNull()).select(
-        *keys, slice_of(right_ts, width).alias("_slice"), F.col(right_ts).alias("_t"),
-        right_row.alias("_r"),
-    )
+    r = right.filter(F.col(right_ts).isNotNull()).select(*keys, F.col(right_ts).alias("_t"), right_row.alias("_r"))
+    l = left.select(*keys, F.col(left_ts).alias("_t"), left_row.alias("_l"))
+    if keys:
+        r, l = (side.withColumn("_slice", slice_of("_t", width)) for side in (r, l))
+    else:
+        r, l = _evenly([r, l], width, EVEN_ROWS)
     # copies of one instant carry no information: the lowest tie-break wins before the shuffle
     r = r.groupBy(*keys, "_slice", "_t").agg(F.min("_r").alias("_r"))
-    l = left.select(
-        *keys, slice_of(left_ts, width).alias("_slice"), F.col(left_ts).alias("_t"),
-        left_row.alias("_l"),
-    )
     marks = (
         r.groupBy(*keys, "_slice")
         .agg(F.min_by("_r", "_t").alias("_first"), F.max_by("_r", "_t").alias("_last"))
@@ -79,14 +122,17 @@ def _merge_order(
         .groupBy(*keys, "_slice")
         .agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"),)
     )
-    w = Window.partitionBy(*keys)
-    rows_before = w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    rows_after = w.orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    edges = marks.select(
-        *keys, "_slice",
-        F.last("_last", ignorenulls=True).over(rows_before).alias("_before"),
-        F.last("_first", ignorenulls=True).over(rows_after).alias("_after"),
-    )
+    if keys:
+        w = Window.partitionBy(*keys)
+        rows_before = w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        rows_after = w.orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        edges = marks.select(
+            *keys, "_slice",
+            F.last("_last", ignorenulls=True).over(rows_before).alias("_before"),
+            F.last("_first", ignorenulls=True).over(rows_after).alias("_after"),
+        )
+    else:
+        edges = _carried(cut_lineage(marks.filter("_slice IS NOT NULL")))
     carried = edges.select(
         *keys, "_slice", F.explode(F.array("_before", "_after")).alias("_r")
     ).filter("_r IS NOT NULL")

@@ -99,6 +99,31 @@ def test_nearest_and_latest(spark, tol):
         assert back[i] == want
 
 
+def _largest_group(df, column):
+    return df.groupBy(column).count().agg(F.max("count")).first()[0]
+
+
+def test_nearest_without_a_key_spreads_a_hot_day(spark, monkeypatch):
+    """A third of the rows on one day, the rest over decades; no task sees the whole line."""
+    from loamstream.plans import ranges
+
+    monkeypatch.setattr(ranges, "EVEN_ROWS", 16)
+    rnd = random.Random(12)
+    times = lambda n: [T0 + dt.timedelta(seconds=rnd.randrange(86400)) if rnd.random() < 0.4 else T0 + dt.timedelta(days=rnd.randrange(-18000, 9000), seconds=rnd.randrange(86400)) for _ in range(n)]
+    left = [(t, i) for i, t in enumerate(times(900))] + [(None, 900)]
+    right = [(t, i) for i, t in enumerate(times(300))] + [(T0 + dt.timedelta(days=5), 300), (T0 + dt.timedelta(days=5), 301), (None, 302)]
+    l, r = spark.createDataFrame(left, "ts timestamp_ntz, id int"), spark.createDataFrame(right, "rts timestamp_ntz, rid int")
+    out = plans.nearest_join(l, r, [], "ts", "rts", ["rid"], None, ["rid"])
+    got = {x.id: x.rid for x in out.collect()}
+    known = [x for x in right if x[0]]
+    for t, i in left:
+        assert got[i] == (min(known, key=lambda x: (abs(x[0] - t), x[0], x[1]))[1] if t else None)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    lines = ranges._evenly([l.withColumnRenamed("ts", "_t"), r.withColumnRenamed("rts", "_t")], 86400, 16)
+    assert _largest_group(lines[0].filter("_t IS NOT NULL"), "_slice") < 60
+    assert lines[0].filter("_t IS NOT NULL").orderBy("_t").agg(F.collect_list("_slice").alias("s")).select((F.col("s") == F.array_sort("s")).alias("ok")).first().ok
+
+
 def test_nearest_at_exact_tolerance_and_tie(spark):
     left = spark.createDataFrame([("a", T0 + HOUR)], "k string, ts timestamp_ntz")
     right = spark.createDataFrame([("a", T0, 1), ("a", T0 + 2 * HOUR, 2)], "k string, rts timestamp_ntz, rid int")
