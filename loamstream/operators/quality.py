@@ -100,9 +100,9 @@ def time_health(df: DataFrame, keys: Sequence[str], ts: str = "ts", row_no: str
     return null_safe_join(found, dupes, keys)
 
 
-def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str, width: float = 60.0) -> DataFrame:
+def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
     """Exact median of values given with their counts."""
-    return exact_quantiles(df, keys, value, {name: 0.5}, width, weight)
+    return exact_quantiles(df, keys, value, {name: 0.5}, weight)
 
 
 def missingness(df: DataFrame, columns: Sequence[str], n: int | None = None) -> DataFrame:
@@ -116,7 +116,7 @@ def missingness(df: DataFrame, columns: Sequence[str], n: int | None = None) ->
 BATTERY_QUANTILES = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
 
 
-def battery_health(df: DataFrame, keys: Sequence[str], low: float = 11.0, high: float = 13.0, value: str = "value", width: float = 0.25) -> DataFrame:
+def battery_health(df: DataFrame, keys: Sequence[str], low: float = 11.0, high: float = 13.0, value: str = "value") -> DataFrame:
     """Range, exact quantiles and share out of range per battery."""
     v = F.col(value)
     rows = df.filter(v.isNotNull())
@@ -125,7 +125,7 @@ def battery_health(df: DataFrame, keys: Sequence[str], low: float = 11.0, high:
         F.count(v).alias("n"), F.min(v).alias("min_v"), F.max(v).alias("max_v"),
         F.count_if(out_of).alias("out_of_range_count"), F.avg(out_of.cast("double")).alias("out_of_range_fraction"),
     )
-    return null_safe_join(base, exact_quantiles(rows, keys, value, BATTERY_QUANTILES, width), keys)
+    return null_safe_join(base, exact_quantiles(rows, keys, value, BATTERY_QUANTILES), keys)
 
 
 def battery_violations(df: DataFrame, keys: Sequence[str], order: Sequence[str], low: float = 11.0, high: float = 13.0, n: int | None = None, value: str = "value") -> DataFrame:

@@ -60,7 +60,7 @@ def error_summary(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
 ERROR_QUANTILES = {"abs_rel_err_p50": 0.5, "abs_rel_err_p95": 0.95, "abs_rel_err_p99": 0.99}
 
 
-def error_quality(aligned: DataFrame, keys: Sequence[str], width: float = 0.01) -> DataFrame:
+def error_quality(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Relative-error quantiles, shares within 0.5, 1 and 2 %, and a verdict."""
     rows = aligned.filter(F.col("rel_err").isNotNull()).withColumn("_r", F.abs("rel_err"))
     r = F.col("_r")
@@ -70,20 +70,20 @@ def error_quality(aligned: DataFrame, keys: Sequence[str], width: float = 0.01)
         F.avg((r <= 0.01).cast("double")).alias("share_within_1pct"),
         F.avg((r <= 0.02).cast("double")).alias("share_within_2pct"),
     )
-    out = null_safe_join(base, exact_quantiles(rows, keys, "_r", ERROR_QUANTILES, width), keys)
+    out = null_safe_join(base, exact_quantiles(rows, keys, "_r", ERROR_QUANTILES), keys)
     p95 = F.col("abs_rel_err_p95")
     good = (p95 <= 0.01) & (F.col("share_within_0p5pct") >= 0.90)
     check = (p95 > 0.02) | (F.col("share_within_1pct") < 0.95)
     return out.withColumn("flag", F.when(good, "GOOD").when(check, "CHECK").otherwise(""))
 
 
-def magnitude_compare(a: DataFrame, b: DataFrame, fields: Sequence[str], width: float = 1.0) -> DataFrame:
+def magnitude_compare(a: DataFrame, b: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Ratio and difference of every descriptive statistic of the common fields."""
     def stats(df: DataFrame, side: str) -> DataFrame:
         rows = _stack(df, [], fields, "v")
         base = rows.filter("v IS NOT NULL").groupBy("field").agg(
             F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
-        out = base.join(exact_quantiles(rows, ["field"], "v", QUARTILES, width), "field")
+        out = base.join(exact_quantiles(rows, ["field"], "v", QUARTILES), "field")
         return out.select("field", *[F.col(c).alias(f"{side}_{c}") for c in names])
 
     names = ("mean", "std", "min", "p25", "p50", "p75", "max")

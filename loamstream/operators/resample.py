@@ -134,7 +134,7 @@ QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def describe_series(
-    df: DataFrame, keys: Sequence[str], value: str = "value", width: float = 1.0,
+    df: DataFrame, keys: Sequence[str], value: str = "value",
     probs: Mapping[str, float] = QUARTILES,
 ) -> DataFrame:
     """count, mean, sd, min, quantiles, max; the quantiles are exact and spread over value slices."""
@@ -143,7 +143,7 @@ def describe_series(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"),
     )
-    return base.join(exact_quantiles(df, keys, value, dict(probs), width), list(keys))
+    return base.join(exact_quantiles(df, keys, value, dict(probs)), list(keys))
 
 
 def build_summary(

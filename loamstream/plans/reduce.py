@@ -60,31 +60,52 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+SLICES = 256
+
+
+def _value_slices(counted: DataFrame, keys: Sequence[str], slices: int) -> DataFrame:
+    """Rows (keys, _v, _n) with `_slice`, which never falls as `_v` rises, and the key's `_total`.
+
+    The slices come from the data: a mergeable quantile sketch of each key's different values gives the cuts, so a
+    slice holds about one of `slices` parts of them, however close the values lie. The place of a value among the
+    cuts is found by halving.
+    """
+    shares = [i / slices for i in range(1, slices)]
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", shares, 4 * slices).alias("_cuts"), F.sum("_n").alias("_total"))
+    out = null_safe_join(counted, cuts, keys).withColumn("_slice", F.lit(0))
+    step = slices // 2
+    while step:
+        ahead = F.element_at("_cuts", F.col("_slice") + step) < F.col("_v")
+        out = out.withColumn("_slice", F.col("_slice") + F.when(ahead, step).otherwise(0))
+        step //= 2
+    return out.drop("_cuts")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
-    width: float = 1.0,
     weight: str | None = None,
+    slices: int = SLICES,
 ) -> DataFrame:
-    """Exact interpolated quantiles per key, spread over value slices of `width`.
+    """Exact interpolated quantiles per key, spread over slices of the key's own values.
 
     Equal values are counted before the shuffle; a table with one row per (key, value slice) tells
     which slices hold the wanted ranks, and only those slices are ordered. No task ever holds all
-    values of a key. Keys without values give no row. `weight` says how often a row's value counts.
+    values of a key. Keys without values give no row. `weight` says how often a row's value counts;
+    `slices` is a power of two.
     """
     counted = (
         df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
-        .withColumn("_slice", F.floor(F.col("_v") / F.lit(width)).cast("bigint"))
     )
+    counted = _value_slices(counted, keys, slices)
     per_key = Window.partitionBy(*keys)
     upto = per_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
     hist = (
-        counted.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_m"))
-        .select(*keys, "_slice", "_m", F.sum("_m").over(upto).alias("_cum"),
-                F.sum("_m").over(per_key).alias("_total"))
+        counted.groupBy(*keys, "_slice", "_total").agg(F.sum("_n").alias("_m"))
+        .select(*keys, "_slice", "_m", F.sum("_m").over(upto).alias("_cum"), "_total")
         .withColumn("_base", F.col("_cum") - F.col("_m"))
     )
     ranks = F.flatten(F.array(*[
@@ -94,7 +115,7 @@ def exact_quantiles(
     wanted = hist.withColumn(
         "_ranks",
         F.array_distinct(F.filter(ranks, lambda r: (r >= F.col("_base")) & (r < F.col("_cum")))),
-    ).filter(F.size("_ranks") > 0).select(*keys, "_slice", "_base", "_total", "_ranks")
+    ).filter(F.size("_ranks") > 0).select(*keys, "_slice", "_base", "_ranks")
     inside = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, 0
     )
@@ -116,7 +137,7 @@ def exact_quantiles(
 
 
 def column_quantiles(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: dict[str, float], width: float = 1.0,
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: dict[str, float],
 ) -> DataFrame:
     """Exact quantiles of several columns in one pass, named `{prob}_{column}`; all-NULL stays NULL.
 
@@ -125,7 +146,7 @@ def column_quantiles(
     stacked = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in columns
     ])).alias("_m")).select(*keys, "_m._c", "_m._x")
-    found = exact_quantiles(stacked, [*keys, "_c"], "_x", probs, width)
+    found = exact_quantiles(stacked, [*keys, "_c"], "_x", probs)
     wide = found.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_c") == c, F.col(p))).alias(f"{p}_{c}") for p in probs for c in columns
     ])

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamstream import plans
+from loamstream.plans import reduce
 from loamstream.session import cut_lineage
 
 T0 = dt.datetime(2024, 1, 1)
@@ -136,13 +137,26 @@ def test_exact_quantiles_equal_numpy(spark):
     rows = [(rnd.choice(["hot", "hot", "hot", None]), rnd.choice([rnd.uniform(-50, 50), 7.0, 7.25])) for _ in range(500)] + [("one", 3.0)]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = {"p01": 0.01, "p50": 0.5, "p95": 0.95}
-    for width in (0.5, 20.0, 1e6):
-        got = {r.k: (r.p01, r.p50, r.p95) for r in plans.exact_quantiles(df, ["k"], "v", probs, width).collect()}
+    for slices in (1, 4, 256):
+        got = {r.k: (r.p01, r.p50, r.p95) for r in plans.exact_quantiles(df, ["k"], "v", probs, slices=slices).collect()}
         for k in ("hot", None, "one"):
             want = np.quantile([v for kk, v in rows if kk == k], list(probs.values()))
             assert np.allclose(got[k], want)
 
 
+def test_value_slices_bound_a_key_inside_one_unit(spark):
+    """All values of the hot key lie within a thousandth; weights sit on one value."""
+    rnd = random.Random(13)
+    rows = [("hot", 7.0 + rnd.random() / 1000, 1) for _ in range(20_000)] + [("hot", 7.0005, 30_000), ("wide", 1e9, 2), ("wide", -1e9, 1), (None, 5.0, 1)]
+    df = spark.createDataFrame(rows, "k string, v double, n int")
+    counted = df.groupBy("k", F.col("v").alias("_v")).agg(F.sum("n").alias("_n"))
+    assert _largest_group(reduce._value_slices(counted, ["k"], 64).filter("k = 'hot'"), "_slice") < 2 * 20_000 / 64
+    got = {r.k: (r.p10, r.p60) for r in plans.exact_quantiles(df, ["k"], "v", {"p10": 0.1, "p60": 0.6}, "n", 64).collect()}
+    for k in ("hot", "wide", None):
+        own = np.repeat(*(np.array(x) for x in zip(*((v, n) for kk, v, n in rows if kk == k), strict=True)))
+        assert np.allclose(got[k], np.quantile(own, [0.1, 0.6]), rtol=1e-12)
+
+
 def test_column_quantiles_keep_empty_groups(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, None)], "k string, x double, y double")
     r = plans.column_quantiles(df, ["k"], ["x", "y"], {"q": 0.5}).first()
