@@ -136,7 +136,7 @@ def runs_sql(src: str, cond: str, part: str = "strip, location") -> str:
 
 @query("DQ-09", f'WITH {VOLTS} SELECT strip, location, start, "end", CAST(n_points AS BIGINT) AS n_points, min_value, max_value FROM {runs_sql("volts", "value < 9.6")}')
 def dq_09(spark, sf):
-    return dq.threshold_runs(volts(spark, sf), LOGGER, F.col("value") < 9.6, ["ts", "row_no"]).drop("run_id", "max_ts")
+    return dq.threshold_runs(volts(spark, sf), LOGGER, F.col("value") < 9.6, ["ts", "row_no"]).drop("max_ts")
 
 
 STEPS = f"""days AS (SELECT strip, location, date_trunc('day', ts) AS day, min(value) AS daily_min FROM volts GROUP BY ALL),

@@ -131,11 +131,12 @@ def meter(spark, sf):
 METER = "meter AS (SELECT user_id, ts, event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS reading, 'photo_' || event_id AS filename FROM events)"
 
 
-@query("MGT-08", f"""WITH {METER}, l AS (SELECT *, lag(ts) OVER w AS pts, lag(reading) OVER w AS pr FROM meter WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, (reading - pr) * 100 AS gal FROM l WHERE reading > pr),
-b AS (SELECT *, CASE WHEN coalesce(date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) / 6e7 > 600, true) THEN 1 ELSE 0 END AS brk FROM r), s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ev FROM b)
-SELECT user_id, arg_min(pts, ts) AS start_timestamp, max(ts) AS end_timestamp, arg_min(pr, ts) AS start_reading_x100, arg_max(reading, ts) AS end_reading_x100, sum(gal) AS computed_gallons FROM s GROUP BY user_id, ev HAVING sum(gal) >= 8000""")
+@query("MGT-08", f"""WITH {METER}, l AS (SELECT *, lag(ts) OVER w AS pts, lag(reading) OVER w AS pr, lag(filename) OVER w AS pn FROM meter WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, (reading - pr) * 100 AS gal FROM l WHERE reading > pr),
+b AS (SELECT *, CASE WHEN coalesce(date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) / 6e7 > 600, true) THEN 1 ELSE 0 END AS brk FROM r), s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ev FROM b),
+e AS (SELECT user_id, ev, arg_min(pts, ts) AS start_timestamp, max(ts) AS end_timestamp, arg_min(pr, ts) AS start_reading_x100, arg_max(reading, ts) AS end_reading_x100, sum(gal) AS computed_gallons, arg_min(pn, ts) AS start_photo, arg_max(filename, ts) AS end_photo FROM s GROUP BY user_id, ev HAVING sum(gal) >= 8000)
+SELECT * EXCLUDE (ev), format('meter_event_{{:03d}}', row_number() OVER (PARTITION BY user_id ORDER BY ev)) AS event_id FROM e""")
 def mgt_08(spark, sf):
-    return mg.meter_events(meter(spark, sf), ["user_id"], 8000.0, 600.0, order=["event_id"])
+    return mg.meter_events(meter(spark, sf), ["user_id"], 8000.0, 600.0, order=["event_id"], name="filename")
 
 
 @query("MGT-09", f"""WITH RECURSIVE {METER}, m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, filename, event_id) AS n FROM meter),

@@ -37,13 +37,13 @@ def _islands(days: DataFrame, keys: Sequence[str], floor: float) -> DataFrame:
 def replacement_steps(days: DataFrame, keys: Sequence[str], step: float = 0.6, stable_days: int = 5, floor: float = 12.0) -> DataFrame:
     """Upward steps followed by at least `stable_days` consecutive good days."""
     w = Window.partitionBy(*keys).orderBy("date")
-    lagged = days.withColumns({"prev_time": F.lag("time").over(w), "prev_v": F.lag("value").over(w)})
-    rest = Window.partitionBy(*keys, "_island").orderBy(F.col("date").desc())
-    streaks = _islands(days, keys, floor).select(*keys, "date", F.row_number().over(rest).alias("stable_streak_days"))
-    rows = lagged.withColumn("delta_v", F.col("value") - F.col("prev_v")).filter(F.col("delta_v") >= step)
-    return rows.join(streaks, [*keys, "date"], "left").withColumn(
-        "stable_streak_days", F.coalesce("stable_streak_days", F.lit(0))
-    ).filter(F.col("stable_streak_days") >= stable_days).select(
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    good = F.coalesce(F.col("value") >= floor, F.lit(False))
+    rows = days.withColumns({"prev_time": F.lag("time").over(w), "prev_v": F.lag("value").over(w), "_good": good, "_no": F.count_if(good).over(upto)})
+    # good days of one island share their date less their number; what is left of it is counted from its end
+    rest = Window.partitionBy(*keys, "_good", F.when(F.col("_good"), F.date_sub("date", F.col("_no").cast("int")))).orderBy(F.col("date").desc())
+    rows = rows.withColumns({"delta_v": F.col("value") - F.col("prev_v"), "stable_streak_days": F.when(F.col("_good"), F.row_number().over(rest)).otherwise(0)})
+    return rows.filter((F.col("delta_v") >= step) & (F.col("stable_streak_days") >= stable_days)).select(
         *keys, "prev_time", "time", "prev_v", F.col("value").alias("v"), "delta_v", "stable_streak_days")
 
 

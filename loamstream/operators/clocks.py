@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import lag_in_time, running_total
-from ..plans.slices import shift
-from .quality import ROW_BLOCK, file_steps
+from ..plans import lag_where, running_total
+from ..plans.slices import minutes_between, shift
+from ..session import cut_lineage
+from .quality import ROW_BLOCK, file_block
 
 
 @dataclass(frozen=True)
@@ -45,17 +46,20 @@ EVENT_CLASS = {
 def clock_events(df: DataFrame, keys: Sequence[str], limits: ClockLimits = ClockLimits(), ts: str = "ts", row_no: str = "row_no") -> DataFrame:
     """Every irregular step of a file with its kind and class."""
     classes = F.create_map(*[F.lit(x) for pair in EVENT_CLASS.items() for x in pair])
-    rows = file_steps(df.select(*keys, ts, row_no), keys, ts, row_no)
-    return rows.withColumn("event_type", classify_step(F.col("step_min"), limits)).filter("event_type IS NOT NULL").select(
-        *keys, row_no, "prev_ts", ts, F.bround("step_min", 3).alias("gap_min"), "event_type",
+    step = minutes_between(ts, "prev_ts")
+    rows = lag_where(df.select(*keys, ts, row_no), keys, [row_no], {ts: "prev_ts"}, classify_step(step, limits).isNotNull(), by=file_block(row_no))
+    return rows.withColumn("event_type", classify_step(step, limits)).select(
+        *keys, row_no, "prev_ts", ts, F.bround(step, 3).alias("gap_min"), "event_type",
         classes[F.col("event_type")].alias("event_class"),
     )
 
 
 def clock_summary(df: DataFrame, keys: Sequence[str], limits: ClockLimits = ClockLimits(), year: str = "year", ts: str = "ts", row_no: str = "row_no") -> DataFrame:
     """Counts, first times, repeated sets and a verdict with reasons per file and year."""
-    ev = clock_events(df, keys, limits, ts, row_no)
     kind = F.col("event_type")
+    # each event with the one before it of its class
+    ev = lag_where(clock_events(df, keys, limits, ts, row_no), [*keys, "event_class"], [row_no], {"event_type": "_before"}, F.lit(True), by=file_block(row_no))
+    same = (F.col("event_class") == "clock") & (F.col("_before") == kind)
     first = {k: F.min_by(ts, F.when(kind == k, F.col(row_no))) for k in ("setclock_forward", "setclock_backward", "out_of_order")}
     counts = ev.groupBy(*keys).agg(
         *[F.count_if(kind == k).alias(n) for k, n in (
@@ -64,16 +68,11 @@ def clock_summary(df: DataFrame, keys: Sequence[str], limits: ClockLimits = Cloc
         F.count_if(kind.isin("duplicate_timestamp", "out_of_order", "nonmonotonic")).alias("nonmonotonic_events"),
         first["setclock_forward"].alias("first_forward_time"), first["setclock_backward"].alias("first_backward_time"),
         first["out_of_order"].alias("first_out_of_order_time"),
-    )
-    block = F.floor(F.col(row_no) / F.lit(ROW_BLOCK)).cast("bigint")
-    sets = lag_in_time(ev.filter("event_class = 'clock'"), keys, [row_no], {"event_type": "_before"}, by=block)
-    same = F.col("_before") == kind
-    repeats = sets.groupBy(*keys).agg(
         F.bool_or(same & (kind == "setclock_forward")).alias("has_FF"),
         F.bool_or(same & (kind == "setclock_backward")).alias("has_BB"),
     )
     rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    out = rows.join(counts, list(keys), "left").join(repeats, list(keys), "left")
+    out = rows.join(counts, list(keys), "left")
     numbers = ("forward_setclock", "backward_setclock", "duplicate_timestamps", "out_of_order", "nonmonotonic_events", "downtime_gaps")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in numbers}).withColumns(
         {c: F.coalesce(c, F.lit(False)) for c in ("has_FF", "has_BB")})
@@ -102,9 +101,8 @@ def clock_offset_timeline(df: DataFrame, keys: Sequence[str] = ("logger",), limi
     also be a forward set and then gives two rows, the gap before the set.
     """
     per_file = [*keys, year]
-    rows = file_steps(df.select(*per_file, ts, row_no), per_file, ts, row_no)
+    step = minutes_between(ts, "prev_ts")
     enough = df.groupBy(*per_file).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 3")
-    step = F.col("step_min")
     forward, backward = step.between(*limits.forward), step.between(*limits.backward)
 
     def event(name: str, delta: int, place: int) -> Column:
@@ -117,8 +115,10 @@ def clock_offset_timeline(df: DataFrame, keys: Sequence[str] = ("logger",), limi
         F.when(~forward & backward, event("BACKWARD_SET_CLOCK", -60, 3)),
         F.when((step < 0) & ~forward & ~backward, event("NONMONOTONIC", 0, 4)),
     ), lambda e: e.isNotNull())
-    events = rows.join(enough, per_file, "left_semi").withColumn("_e", F.explode(found)).select(
-        *per_file, row_no, F.col(ts).alias("event_time"), F.col("step_min").alias("gap_min"), "_e.*")
+    rows = lag_where(df.select(*per_file, ts, row_no), per_file, [row_no], {ts: "prev_ts"}, F.size(found) > 0, by=file_block(row_no))
+    # the running sum reads the events twice: they are few beside the rows, and written once
+    events = cut_lineage(rows.join(enough, per_file, "left_semi").withColumn("_e", F.explode(found)).select(
+        *per_file, row_no, F.col(ts).alias("event_time"), step.alias("gap_min"), "_e.*"))
     block = F.col(year) * F.lit(1_000_000_000).cast("bigint") + F.floor(F.col(row_no) / F.lit(ROW_BLOCK))
     out = running_total(events, keys, [year, row_no, "_place"], F.col("normalized_delta_min").cast("bigint"), "cumulative_offset_min", by=block.cast("bigint"))
     return out.drop("_place").withColumn("implied_mode", implied_mode(F.col("cumulative_offset_min")))
@@ -146,12 +146,11 @@ def offset_by_year(timeline: DataFrame, years: DataFrame, keys: Sequence[str] =
 
 def jump_events(df: DataFrame, keys: Sequence[str], step: float = 15.0, ts: str = "ts", row_no: str = "row_no") -> DataFrame:
     """Steps that look like a clock set on a regular cadence; series of fewer than 3 rows have none."""
-    rows = file_steps(df.select(*keys, ts, row_no), keys, ts, row_no)
     enough = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 3")
-    s = F.col("step_min")
+    s = minutes_between(ts, "prev_ts")
     kind = F.when(s > step + 40, "forward").when(s < -40, "backward")
-    return rows.join(enough, list(keys), "left_semi").withColumn("kind", kind).filter("kind IS NOT NULL").select(
-        *keys, "kind", "prev_ts", ts, F.col("step_min").alias("gap_min"))
+    rows = lag_where(df.select(*keys, ts, row_no), keys, [row_no], {ts: "prev_ts"}, kind.isNotNull(), by=file_block(row_no))
+    return rows.join(enough, list(keys), "left_semi").select(*keys, kind.alias("kind"), "prev_ts", ts, s.alias("gap_min"))
 
 
 def reference_logger(df: DataFrame, logger: str = "logger", year: str = "year") -> DataFrame:

@@ -9,11 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .. import fixed_values as fv
 from ..functions import number
-from ..plans import interval_join, lag_in_time, nearest_join, running_total
-from ..plans.slices import DAY, HOUR, hours_between, micros, minutes_between, shift, slice_of
+from ..plans import gap_sessions, interval_join, lag_where, nearest_join
+from ..plans.slices import DAY, HOUR, hours_between, micros, shift, slice_of
 from ..session import cut_lineage
 
 # fixed values: spellings of groups, strips and places, compared without blanks, `_` and `-`
@@ -262,23 +263,22 @@ def events_from_log(df: DataFrame, date: str = "date", on: str = "time_on", off:
 
 # ------------------------------------------------------------------ meter readings
 
-def meter_events(df: DataFrame, keys: Sequence[str] = (), min_gallons: float = 20000.0, max_gap_minutes: float = 180.0, ts: str = "ts", reading: str = "reading", order: Sequence[str] = ()) -> DataFrame:
+def meter_events(df: DataFrame, keys: Sequence[str] = (), min_gallons: float = 20000.0, max_gap_minutes: float = 180.0, ts: str = "ts", reading: str = "reading", order: Sequence[str] = (), name: str | None = None) -> DataFrame:
     """Irrigation events from rising meters: rises up to `max_gap_minutes` apart are one event.
 
-    The gap is measured between rising readings; an event starts at the reading before its first rise.
+    The gap is measured between rising readings; an event starts at the reading before its first rise. `name` is the
+    column that names a reading's photo. Events are numbered per meter in order. The readings are read once.
     """
-    seq = [ts, *order]
-    steps = lag_in_time(df.filter(F.col(reading).isNotNull()).select(*keys, *seq, reading), keys, seq, {ts: "_pts", reading: "_pr"})
-    rises = steps.withColumn("_gal", (F.col(reading) - F.col("_pr")) * 100.0).filter("_gal > 0")
-    linked = lag_in_time(rises, keys, seq, {ts: "_last"})
-    fresh = F.coalesce(minutes_between(ts, "_last") > max_gap_minutes, F.lit(True))
-    numbered = running_total(linked, keys, seq, fresh.cast("bigint"), "_event")
-    at = F.struct(*seq)
-    return numbered.groupBy(*keys, "_event").agg(
-        F.min_by("_pts", at).alias("start_timestamp"), F.max(ts).alias("end_timestamp"),
-        F.min_by("_pr", at).alias("start_reading_x100"), F.max_by(reading, at).alias("end_reading_x100"),
-        F.sum("_gal").alias("computed_gallons"),
-    ).filter(F.col("computed_gallons") >= min_gallons).drop("_event")
+    seq, names = [ts, *order], [name] if name else []
+    rows = df.filter(F.col(reading).isNotNull() & F.col(ts).isNotNull()).select(*keys, *dict.fromkeys([*seq, reading, *names]))
+    gallons = (F.col(reading) - F.col("_pr")) * 100.0
+    rises = lag_where(rows, keys, seq, {ts: "_pts", reading: "_pr", **{n: "_pn" for n in names}}, gallons > 0).withColumn("_gal", gallons)
+    found = gap_sessions(
+        rises, keys, seq, int(max_gap_minutes * 6e7), {"_pts": "start_timestamp", "_pr": "start_reading_x100", **({"_pn": "start_photo"} if names else {})},
+        {ts: "end_timestamp", reading: "end_reading_x100", **{n: "end_photo" for n in names}}, {"_gal": "computed_gallons"})
+    kept = found.filter(F.col("computed_gallons") >= min_gallons)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_session"))
+    return kept.withColumn("event_id", F.format_string("meter_event_%03d", number)).drop("_session", "start", "end")
 
 
 PAIR_ROWS = "_slice bigint, _start_id bigint, _end_id bigint, _end_slice bigint"

@@ -10,10 +10,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions import bounded
-from ..plans import exact_quantiles, lag_in_time, null_safe_join, top_rows, true_runs
-from ..plans.slices import DAY, floor_to, micros, minutes_between, shift
+from ..plans import exact_quantiles, flag_runs, lag_in_time, lag_where, null_safe_join, top_rows
+from ..plans.slices import DAY, floor_to, micros, minutes_between, shift, slice_of
+from ..session import cut_lineage
 
 ROW_BLOCK = 1_000_000
 
@@ -30,9 +32,10 @@ def steps(df: DataFrame, keys: Sequence[str], ts: str = "ts", width: int = DAY)
 
 
 def gaps(df: DataFrame, keys: Sequence[str], minutes: float = 60.0, ts: str = "ts") -> DataFrame:
-    """Steps of at least `minutes`."""
-    return steps(df, keys, ts).filter(F.col("step_min") >= minutes).select(
-        *keys, F.col("prev_ts").alias("gap_start"), F.col(ts).alias("gap_end"), F.col("step_min").alias("gap_minutes")
+    """Steps of at least `minutes`, a positive number."""
+    step = minutes_between(ts, "prev_ts")
+    return lag_where(df.filter(F.col(ts).isNotNull()).select(*keys, ts), keys, [ts], {ts: "prev_ts"}, step >= minutes).select(
+        *keys, F.col("prev_ts").alias("gap_start"), F.col(ts).alias("gap_end"), step.alias("gap_minutes")
     )
 
 
@@ -68,11 +71,15 @@ def cadence(df: DataFrame, keys: Sequence[str], cadence_min: float, ts: str = "t
     )
 
 
+def file_block(row_no: str) -> Column:
+    """Block of a file's rows; blocks are the slices of file order."""
+    return F.floor(F.col(row_no) / F.lit(ROW_BLOCK)).cast("bigint")
+
+
 def file_steps(df: DataFrame, keys: Sequence[str], ts: str = "ts", row_no: str = "row_no", also: Sequence[str] = ()) -> DataFrame:
     """Rows with the previous row's time in file order and the step in minutes."""
-    block = F.floor(F.col(row_no) / F.lit(ROW_BLOCK)).cast("bigint")
     take = {ts: "prev_ts", **{c: f"prev_{c}" for c in also}}
-    out = lag_in_time(df, keys, [row_no], take, by=block)
+    out = lag_in_time(df, keys, [row_no], take, by=file_block(row_no))
     return out.withColumn("step_min", minutes_between(ts, "prev_ts"))
 
 
@@ -81,8 +88,9 @@ def time_health(df: DataFrame, keys: Sequence[str], ts: str = "ts", row_no: str
 
     Differences are counted by value first; the median and the gap counts then read that histogram.
     """
-    hist = file_steps(df.select(*keys, ts, row_no), keys, ts, row_no).groupBy(*keys, "step_min").agg(
-        F.count(F.lit(1)).alias("n"))
+    # a row per key and step: what follows reads it several times, so it is written once
+    hist = cut_lineage(file_steps(df.select(*keys, ts, row_no), keys, ts, row_no).groupBy(*keys, "step_min").agg(
+        F.count(F.lit(1)).alias("n")))
     rows = hist.groupBy(*keys).agg(F.sum("n").alias("n_rows"))
     positive = hist.filter("step_min > 0")
     step = weighted_median(positive, keys, "step_min", "n", "inferred_step_min")
@@ -176,13 +184,7 @@ def violation_summary(violations: DataFrame, keys: Sequence[str], ts: str = "ts"
 
 def threshold_runs(df: DataFrame, keys: Sequence[str], flag: Column, order: Sequence[str] = ("ts",), value: str = "value", width: int = DAY) -> DataFrame:
     """Contiguous runs of rows satisfying `flag`: start, end, points, range, time of the first maximum."""
-    ts = order[0]
-    rows = true_runs(df.filter(F.col(value).isNotNull()), keys, order, flag, width)
-    tie = F.struct(F.col(value), -micros(ts), *[-F.col(c) for c in order[1:]])
-    return rows.groupBy(*keys, "run_id").agg(
-        F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n_points"),
-        F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.max_by(ts, tie).alias("max_ts"),
-    )
+    return flag_runs(df.filter(F.col(value).isNotNull()), keys, order, {"run": flag}, value, width).drop("kind")
 
 
 def daily_steps(df: DataFrame, keys: Sequence[str], step: float = 0.6, min_days: int = 10, ts: str = "ts", value: str = "value") -> DataFrame:
@@ -191,70 +193,84 @@ def daily_steps(df: DataFrame, keys: Sequence[str], step: float = 0.6, min_days:
     After the daily minimum a series is as long as its days, so one window per key is bounded.
     """
     days = df.filter(F.col(value).isNotNull()).groupBy(*keys, floor_to(ts, DAY).alias("day")).agg(F.min(value).alias("daily_min"))
-    lagged = lag_in_time(days, keys, ["day"], {"daily_min": "_prev"}, width=None)
-    enough = days.groupBy(*keys).agg(F.count(F.lit(1)).alias("_days")).filter(F.col("_days") >= min_days)
-    return lagged.join(enough, list(keys), "left_semi").withColumn("delta_v", F.col("daily_min") - F.col("_prev")).filter(
-        F.col("delta_v") >= step).select(*keys, "day", "daily_min", "delta_v")
+    return _day_steps(days, keys, step, min_days)
+
+
+def _day_steps(days: DataFrame, keys: Sequence[str], step: float, min_days: int) -> DataFrame:
+    key = Window.partitionBy(*keys)
+    lagged = days.withColumns({"_prev": F.lag("daily_min").over(key.orderBy("day")), "_days": F.count(F.lit(1)).over(key)})
+    return lagged.withColumn("delta_v", F.col("daily_min") - F.col("_prev")).filter(
+        (F.col("_days") >= min_days) & (F.col("delta_v") >= step)).select(*keys, "day", "daily_min", "delta_v")
 
 
 def voltage_events(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts",), brownout: float = 9.6, warn: float = 16.0, critical: float = 18.0, gap_minutes: float = 60.0, step: float = 0.6, value: str = "value") -> DataFrame:
-    """One log of gaps, brown-outs, high-voltage runs and replacement steps with severity."""
-    v = F.col(value)
+    """One log of gaps, brown-outs, high-voltage runs and replacement steps with severity.
 
-    def rows(found: DataFrame, kind: str, severity: str, **cols: Column) -> DataFrame:
-        empty = F.lit(None).cast("double")
-        return found.select(
-            *keys, F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), cols["start"].alias("start"),
-            cols["end"].alias("end"), *[cols.get(c, empty).alias(c) for c in ("min_v", "max_v", "gap_minutes", "delta_v")])
-
-    def runs(flag: Column, kind: str, severity: str, side: str) -> DataFrame:
-        found = threshold_runs(df, keys, flag, order, value)
-        return rows(found, kind, severity, start=F.col("start"), end=F.col("end"), **{f"{side}_v": F.col(f"{side}_value")})
-
-    parts = [
-        rows(gaps(df, keys, gap_minutes, order[0]), "gap", "info", start=F.col("gap_start"), end=F.col("gap_end"), gap_minutes=F.col("gap_minutes")),
-        runs(v < brownout, "brownout", "warn", "min"),
-        rows(daily_steps(df, keys, step, value=value), "replacement_step", "info", start=F.col("day"), end=F.col("day"), delta_v=F.col("delta_v")),
-        runs(v >= warn, "high_voltage_warn", "warn", "max"),
-        runs(v >= critical, "high_voltage_critical", "critical", "max"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    Two passes: one for the runs of all three limits, one in which a slice is a day, so that its first and last
+    rows give the gaps and its last row carries the day's minimum.
+    """
+    ts, v, none = order[0], F.col(value), F.lit(None).cast("double")
+    flags = {"brownout": v < brownout, "high_voltage_warn": v >= warn, "high_voltage_critical": v >= critical}
+    critical_run, low = F.col("kind") == "high_voltage_critical", F.col("kind") == "brownout"
+    runs = flag_runs(df.filter(v.isNotNull()), keys, order, flags, value).select(
+        *keys, "kind", F.when(critical_run, "critical").otherwise("warn").alias("severity"), "start", "end",
+        F.when(low, F.col("min_value")).alias("min_v"), F.when(~low, F.col("max_value")).alias("max_v"), none.alias("gap_minutes"), none.alias("delta_v"))
+
+    day = Window.partitionBy(*keys, "day")
+    local = df.filter(F.col(ts).isNotNull()).select(*keys, ts, value, floor_to(ts, DAY).alias("day")).withColumns({
+        "_prev": F.lag(ts).over(day.orderBy(ts)), "_end": F.lead(ts).over(day.orderBy(ts)).isNull(), "_low": F.min(value).over(day)})
+    gap = lambda prev: F.coalesce(minutes_between(ts, prev) >= gap_minutes, F.lit(False))
+    edge = F.col("_prev").isNull() | F.col("_end")
+    cut = local.withColumn("_edge", edge).filter(F.col("_edge") | gap("_prev"))
+    near = Window.partitionBy(*keys, "_edge", F.when(~F.col("_edge"), F.col("day")))
+    days = F.col("_end") & F.col("_low").isNotNull()
+    lows = F.last(F.when(days, F.col("_low")), ignorenulls=True).over(near.orderBy(ts, "_end").rowsBetween(Window.unboundedPreceding, -1))
+    known = cut.withColumns({
+        "_prev": F.coalesce("_prev", F.when(F.col("_edge"), F.lag(ts).over(near.orderBy(ts, "_end")))),
+        "_delta": F.when(days, F.col("_low") - lows), "_days": F.count_if(days).over(near)})
+    entry = lambda kind, start, end, minutes, delta: F.struct(
+        F.lit(kind).alias("kind"), F.lit("info").alias("severity"), start.alias("start"), end.alias("end"), none.alias("min_v"), none.alias("max_v"),
+        minutes.alias("gap_minutes"), delta.alias("delta_v"))
+    found = F.filter(F.array(
+        F.when(gap("_prev"), entry("gap", F.col("_prev"), F.col(ts), minutes_between(ts, "_prev"), none)),
+        F.when(F.col("_end") & (F.col("_days") >= 10) & (F.col("_delta") >= step), entry("replacement_step", F.col("day"), F.col("day"), none, F.col("_delta"))),
+    ), lambda x: x.isNotNull())
+    return runs.unionByName(known.select(*keys, F.explode(found).alias("_e")).select(*keys, "_e.*"))
 
 
 def sensor_qa(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts",), high: float = 50.0, very_high: float = 55.0, low: float = 1.0, jump: float = 10.0, per_hour: float = 4.0, value: str = "value", width: int = DAY) -> DataFrame:
-    """Counts beyond limits, large jumps, number of episodes and the longest one per sensor."""
+    """Counts beyond limits, large jumps, number of episodes and the longest one per sensor.
+
+    Two passes: the runs of all limits give episodes and their lengths; large jumps and the rest come with the lag.
+    """
     v = F.col(value)
     rows = df.filter(v.isNotNull()).select(*keys, *order, value)
-    lagged = lag_in_time(rows, keys, order, {value: "_prev"}, width)
     flags = {f"gt_{high:g}": v > high, f"gt_{very_high:g}": v > very_high, f"lt_{low:g}": v < low}
-
-    def starts(flag: Column, prev: Column) -> Column:
-        return F.count_if(flag & ~F.coalesce(prev, F.lit(False)))
-
-    p = F.col("_prev")
-    before = {f"gt_{high:g}": p > high, f"gt_{very_high:g}": p > very_high, f"lt_{low:g}": p < low}
+    kind, points = F.col("kind"), F.col("n_points")
+    runs = flag_runs(rows, keys, order, flags, value, width).groupBy(*keys).agg(
+        *[F.count_if(kind == n).alias(f"_n_{n}") for n in flags], *[F.max(F.when(kind == n, points)).alias(f"_m_{n}") for n in flags])
+    inside = Window.partitionBy(*keys, "_slice")
+    local = rows.withColumn("_slice", slice_of(order[0], width)).withColumns({
+        "_prev": F.lag(v).over(inside.orderBy(*order)), "_at": F.struct(*order)})
     tie = F.struct(v, -micros(order[0]))
-    base = lagged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_obs"), F.max(v).alias("max_value"), F.max_by(order[0], tie).alias("max_ts"),
-        *[F.count_if(f).alias(f"count_{n}") for n, f in flags.items()],
-        F.count_if(F.abs(v - p) > jump).alias("count_large_jump"),
-        *[starts(f, before[n]).alias(f"episodes_{n}") for n, f in flags.items()],
-    )
-    for limit in (high, very_high):
-        runs = threshold_runs(rows, keys, v > limit, order, value, width).groupBy(*keys).agg(F.max("n_points").alias("_m"))
-        points = F.coalesce(F.col("_m"), F.lit(0)).cast("bigint")
-        base = null_safe_join(base, runs, keys, "left").withColumns({
-            f"longest_pts_gt_{limit:g}": points, f"longest_hrs_gt_{limit:g}": F.bround(points / F.lit(per_hour), 2),
-        }).drop("_m")
-    return base
+    parts = local.groupBy(*keys, "_slice").agg(
+        F.count(F.lit(1)).alias("n_obs"), F.max(F.struct(tie.alias("k"), F.col(order[0]).alias("t"))).alias("_top"), *[F.count_if(f).alias(f"count_{n}") for n, f in flags.items()],
+        F.count_if(F.abs(v - F.col("_prev")) > jump).alias("_jumps"), F.min_by(v, "_at").alias("_first_v"), F.max_by(v, "_at").alias("_last_v"))
+    before = F.lag("_last_v").over(Window.partitionBy(*keys).orderBy("_slice"))
+    parts = parts.withColumn("_jumps", F.col("_jumps") + F.coalesce((F.abs(F.col("_first_v") - before) > jump).cast("int"), F.lit(0)))
+    base = parts.groupBy(*keys).agg(
+        F.sum("n_obs").alias("n_obs"), F.max("_top").alias("_top"), *[F.sum(f"count_{n}").alias(f"count_{n}") for n in flags], F.sum("_jumps").alias("count_large_jump"))
+    joined = null_safe_join(base, runs, keys, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return joined.select(
+        *keys, "n_obs", F.col("_top.k")[value].alias("max_value"), F.col("_top.t").alias("max_ts"), *[f"count_{n}" for n in flags], "count_large_jump",
+        *[zero(f"_n_{n}").alias(f"episodes_{n}") for n in flags],
+        *[c for n in list(flags)[:2] for c in (zero(f"_m_{n}").alias(f"longest_pts_{n}"), F.bround(zero(f"_m_{n}") / F.lit(per_hour), 2).alias(f"longest_hrs_{n}"))])
 
 
 def episodes(df: DataFrame, keys: Sequence[str], threshold: float, order: Sequence[str] = ("ts",), per_hour: float = 4.0, value: str = "value") -> DataFrame:
     """Contiguous stretches above a threshold with length in hours at the logger cadence."""
-    return threshold_runs(df, keys, F.col(value) > threshold, order, value).drop("run_id").withColumn(
+    return threshold_runs(df, keys, F.col(value) > threshold, order, value).withColumn(
         "duration_hours", F.col("n_points") / F.lit(per_hour))
 
 

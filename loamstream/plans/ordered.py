@@ -1,4 +1,9 @@
-"""lag, running totals and runs over series that may be far too long for one task."""
+"""lag, running totals and runs over series that may be far too long for one task.
+
+`lag_where`, `flag_runs` and `gap_sessions` read their input once: each slice is reduced to what its
+rows say alone plus the rows or parts at its two ends, and only those ends meet the neighbouring
+slices. `lag_in_time`, `running_total` and `last_known_before` give every row back and read twice.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .slices import DAY, slice_of
+from .slices import DAY, micros, slice_of
 
 
 def _order_struct(order: Sequence[str]) -> Column:
@@ -130,3 +135,105 @@ def last_known_before(
     return sliced.join(carry, [*keys, "_slice"], "left").withColumn(
         name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carry"))
     ).select(*df.columns, name)
+
+
+def lag_where(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    take: dict[str, str],
+    keep: Column,
+    width: int = DAY,
+    by: Column | None = None,
+) -> DataFrame:
+    """Rows for which `keep` holds, a condition on the row and the previous row's values (`take`), in one pass.
+
+    Inside a slice the previous row is known; only the first row of a slice waits for the last row of the
+    slice before. So after one sort by (keys, slice) just the kept rows and two rows per slice go on.
+    """
+    picked = F.struct(*[F.col(src).alias(dst) for src, dst in take.items()])
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    local = df.withColumn("_slice", _slice(order, width, by)).withColumns({
+        "_lagged": F.lag(picked).over(inside), "_end": F.lead(F.lit(True)).over(inside).isNull()})
+    names = [F.col(f"_lagged.{n}").alias(n) for n in take.values()]
+    cut = local.withColumn("_edge", F.col("_lagged").isNull() | F.col("_end")).select("*", *names).filter(F.col("_edge") | keep).drop(*take.values())
+    # the ends of a key's slices share a partition, other rows stay where they are
+    across = Window.partitionBy(*keys, "_edge", F.when(~F.col("_edge"), F.col("_slice"))).orderBy(*order)
+    known = cut.withColumn("_lagged", F.coalesce("_lagged", F.when(F.col("_edge"), F.lag(picked).over(across))))
+    return known.select(*df.columns, *names).filter(keep)
+
+
+def flag_runs(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    flags: dict[str, Column],
+    value: str,
+    width: int = DAY,
+) -> DataFrame:
+    """Runs of consecutive rows where a flag holds, for several flags in one pass.
+
+    One row per run: keys, `kind` (the flag's name), start, end, n_points, min_value, max_value, max_ts (the first
+    time of the maximum). A slice's runs are summed up where they are; a run that reaches the end of its slice is
+    joined to the one that opens the next slice of the key, so at most two parts per slice and flag meet there.
+    """
+    ts = order[0]
+    inside = Window.partitionBy(*keys, "_slice")
+    upto = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.select(*keys, *order, value, _slice(order, width, None).alias("_slice"), *[F.coalesce(f, F.lit(False)).alias(f"_on{i}") for i, f in enumerate(flags.values())])
+    count = lambda i, w: F.sum(F.when(F.col(f"_on{i}"), 0).otherwise(1)).over(w)
+    rows = rows.withColumns({f"_off{i}": count(i, upto) for i in range(len(flags))} | {f"_all{i}": count(i, inside) for i in range(len(flags))}
+                            | {"_first": F.row_number().over(inside.orderBy(*order)) == 1})
+    # a part: the rows of one run in a slice; the first row of a slice counts as an empty part where the flag is off
+    parts = F.filter(F.array(*[F.when(F.col(f"_on{i}") | F.col("_first"), F.struct(
+        F.lit(name).alias("kind"), F.col(f"_on{i}").alias("on"), F.when(F.col(f"_on{i}"), F.col(f"_off{i}")).otherwise(F.lit(0)).alias("no"), F.col(f"_all{i}").alias("all"),
+    )) for i, name in enumerate(flags)]), lambda x: x.isNotNull())
+    top = F.struct(F.col(value).alias("v"), -micros(ts), *[-F.col(c) for c in order[1:]], F.col(ts).alias("t"))
+    each = rows.withColumn("_p", F.explode(parts))
+    on = F.col("_p.on")
+    summed = each.groupBy(*keys, "_slice", F.col("_p.kind").alias("kind"), F.col("_p.no").alias("_no"), on.alias("_on"), F.col("_p.all").alias("_all")).agg(
+        F.min(ts).alias("start"), F.max(ts).alias("end"), F.sum(on.cast("bigint")).alias("n_points"), F.min(value).alias("min_value"), F.max(top).alias("_top"))
+    head, tail = F.col("_no") == 0, F.col("_on") & (F.col("_no") == F.col("_all"))
+    summed = summed.withColumns({"_head": head, "_tail": tail, "_edge": head | tail})
+    place = [*keys, "kind", "_edge", F.when(~F.col("_edge"), F.col("_slice"))]
+    across = Window.partitionBy(*place).orderBy("_slice", "_no")
+    joins = F.coalesce(F.lag("_tail").over(across), F.lit(False)) & F.col("_head") & F.col("_on")
+    numbered = summed.withColumn("_new", (~joins).cast("int")).withColumn("_run", F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    out = numbered.groupBy(*place, "_run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_points").alias("n_points"), F.min("min_value").alias("min_value"), F.max("_top").alias("_top"))
+    return out.filter("n_points > 0").select(*keys, "kind", "start", "end", "n_points", "min_value", F.col("_top.v").alias("max_value"), F.col("_top.t").alias("max_ts"))
+
+
+def gap_sessions(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    max_gap_us: int,
+    first: dict[str, str],
+    last: dict[str, str],
+    total: dict[str, str],
+    width: int = DAY,
+) -> DataFrame:
+    """Sessions of rows at most `max_gap_us` microseconds apart, in one pass: keys, `start`, `end`, and per session the
+    `first` and `last` row's columns and the `total` of others (maps of source column to new name).
+
+    A slice is reduced to its own sessions; these are joined along the key. Sessions are farther apart than the gap, so
+    a key has no more of these parts than its time span has gaps and slices.
+    """
+    ts = order[0]
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    apart = lambda a, b: F.coalesce(micros(a) - micros(b) > max_gap_us, F.lit(True)).cast("int")
+    rows = df.withColumn("_slice", _slice(order, width, None)).withColumn("_before", F.lag(ts).over(inside))
+    rows = rows.withColumn("_no", F.sum(apart(ts, "_before")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    pick = lambda how, cols: [how(F.struct(*[F.col(c).alias(n) for c, n in cols.items()]), _order_struct(order))] if cols else []
+    parts = rows.groupBy(*keys, "_slice", "_no").agg(
+        F.min(ts).alias("start"), F.max(ts).alias("end"), *[c.alias("_f") for c in pick(F.min_by, first)], *[c.alias("_l") for c in pick(F.max_by, last)],
+        *[F.sum(c).alias(n) for c, n in total.items()])
+    along = Window.partitionBy(*keys).orderBy("_slice", "_no")
+    parts = parts.withColumn("_before", F.lag("end").over(along))
+    parts = parts.withColumn("_session", F.sum(apart("start", "_before")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct("_slice", "_no")
+    return parts.groupBy(*keys, "_session").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), *([F.min_by("_f", at).alias("_f")] if first else []), *([F.max_by("_l", at).alias("_l")] if last else []),
+        *[F.sum(n).alias(n) for n in total.values()],
+    ).select(*keys, "_session", "start", "end", *[F.col(f"_f.{n}").alias(n) for n in first.values()], *[F.col(f"_l.{n}").alias(n) for n in last.values()], *total.values())
