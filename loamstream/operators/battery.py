@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from ..plans import last_known_before, latest_before, nearest_join
 from ..plans.slices import DAY
+from ..session import cut_lineage
 
 
 def predawn(df: DataFrame, keys: Sequence[str], hour: int = 5, minutes: int = 20, ts: str = "ts", value: str = "value") -> DataFrame:
@@ -79,7 +80,8 @@ def match_nearest(manual: DataFrame, candidates: DataFrame, keys: Sequence[str],
     unmatched. The claim is an aggregation, so many entries on one candidate combine early.
     """
     cand = candidates.withColumn("_cand", F.col(candidate_ts))
-    near = nearest_join(manual, cand, keys, manual_ts, candidate_ts, ["_cand", *take], days * DAY, width=width)
+    # the claims and the answer both read the nearest rows, so they are written once
+    near = cut_lineage(nearest_join(manual, cand, keys, manual_ts, candidate_ts, ["_cand", *take], days * DAY, width=width))
     claims = near.filter("_cand IS NOT NULL").groupBy(*keys, "_cand").agg(F.min(manual_order).alias(manual_order))
     won = claims.select(*keys, manual_order, F.lit(True).alias("matched_candidate"))
     out = near.join(won, [*keys, manual_order], "left").withColumn("matched_candidate", F.coalesce("matched_candidate", F.lit(False)))

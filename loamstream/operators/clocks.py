@@ -181,9 +181,9 @@ def overlap_test(df: DataFrame, reference: DataFrame, transitions: DataFrame, lo
     ref_points = points.join(reference, year).filter(F.col(logger) == F.col("ref_logger")).select(
         year, "ref_logger", F.col(ts).alias("t"), F.lit(1).alias("_hit"))
     hits = copies.join(ref_points.drop("ref_logger"), [year, "t"], "left").groupBy(year, logger).agg(
-        *[F.count_if((F.col("v") == v) & F.col("_hit").isNotNull()).alias(f"_{v}") for v in ("base", "mst", "mdt")])
-    total = points.groupBy(year, logger).agg(F.count(F.lit(1)).alias("_n"))
-    out = hits.join(total, [year, logger]).join(reference, year)
+        *[F.count_if((F.col("v") == v) & F.col("_hit").isNotNull()).alias(f"_{v}") for v in ("base", "mst", "mdt")],
+        F.count_if(F.col("v") == "base").alias("_n"))  # one such copy per instant
+    out = hits.join(reference, year)
     share = {v: F.col(f"_{v}") / F.col("_n") for v in ("base", "mst", "mdt")}
     return out.select(
         year, logger, "ref_logger", share["base"].alias("base_overlap"), share["mst"].alias("overlap_shift_mst_minus1h"),

@@ -100,6 +100,54 @@ def test_nearest_and_latest(spark, tol):
         assert back[i] == want
 
 
+def _sorted(rows, k):
+    return sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))
+
+
+@pytest.mark.parametrize("width", [1800, 3600, 86400])
+def test_lag_where_equals_a_filtered_lag(spark, width):
+    rows = [(k if i % 11 else None, t, i, v) for k, t, i, v in series(260, seed=21, step=23)]
+    keep = (F.col("p") != F.col("v")) | (F.col("v").isNull() & (F.col("q") % 3 == 0))
+    got = sorted((r.id, r.q, r.p) for r in plans.lag_where(frame(spark, rows), ["k"], ["ts", "id"], {"v": "p", "id": "q"}, keep, width).collect())
+    want = []
+    for k in ("a", "b", None):
+        own = _sorted(rows, k)
+        want += [(r[2], p[2], p[3]) for p, r in zip(own, own[1:]) if (p[3] is not None and r[3] is not None and p[3] != r[3]) or (r[3] is None and p[2] % 3 == 0)]
+    assert got == sorted(want) and len(got) > 40
+
+
+@pytest.mark.parametrize("width", [1800, 7200, 86400])
+def test_flag_runs_equal_a_loop(spark, width):
+    rows = [(k, t, i, v or 0.5) for k, t, i, v in series(400, seed=22, step=19)]
+    flags = {"high": F.col("v") > 1.5, "low": F.col("v") < 3.0, "all": F.col("v") > 0, "none": F.col("v") > 99}
+    tests = {"high": lambda v: v > 1.5, "low": lambda v: v < 3.0, "all": lambda v: True, "none": lambda v: False}
+    want = []
+    for k in "ab":
+        for kind, test in tests.items():
+            run = []
+            for r in [*_sorted(rows, k), None]:
+                if r and test(r[3]):
+                    run.append(r)
+                elif run:
+                    top = max(x[3] for x in run)
+                    want.append((k, kind, run[0][1], run[-1][1], len(run), min(x[3] for x in run), top, next(x[1] for x in run if x[3] == top)))
+                    run = []
+    got = [tuple(r) for r in plans.flag_runs(frame(spark, rows), ["k"], ["ts", "id"], flags, "v", width).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 50
+
+
+@pytest.mark.parametrize("width", [1800, 86400])
+def test_gap_sessions_equal_a_loop(spark, width):
+    rows = [(k, t, i, v or 0.5) for k, t, i, v in series(300, seed=23, step=31)]
+    want = []
+    for k in "ab":
+        own = _sorted(rows, k)
+        cuts = [0, *(i for i in range(1, len(own)) if own[i][1] - own[i - 1][1] > HOUR), len(own)]
+        want += [(k, own[a][1], own[b - 1][1], own[a][2], own[b - 1][2], sum(r[3] for r in own[a:b])) for a, b in zip(cuts, cuts[1:])]
+    out = plans.gap_sessions(frame(spark, rows), ["k"], ["ts", "id"], 3_600_000_000, {"id": "a"}, {"id": "b"}, {"v": "s"}, width)
+    assert sorted((r.k, r.start, r.end, r.a, r.b, r.s) for r in out.collect()) == sorted(want) and len(want) > 20
+
+
 def _largest_group(df, column):
     return df.groupBy(column).count().agg(F.max("count")).first()[0]
 
