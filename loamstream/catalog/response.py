@@ -23,7 +23,8 @@ def vwc(spark, sf):
 
 
 GRID = READINGS + """, grid AS (SELECT strip, location, depth, variable, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, avg(value) AS value FROM readings GROUP BY ALL),
-volts AS (SELECT strip, location, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, avg(value) AS value FROM readings WHERE variable = 'BattV_Min' GROUP BY ALL)"""
+volts AS (SELECT strip, location, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, avg(value) AS value, min(value) AS lo, max(value) AS hi, count(value) AS n,
+  count(*) FILTER (value < 11) AS nl, count(*) FILTER (value > 13) AS nh FROM readings WHERE variable = 'BattV_Min' GROUP BY ALL)"""
 
 JOINED = f"""WITH {GRID}, {IRRIGATION}, sensors AS (SELECT i.*, d.depth FROM irrigation i, (SELECT unnest(['1', '2', '3']) AS depth) d),
 j AS (SELECT s.event_id, s.depth, s.start, r.ts, r.value FROM sensors s JOIN grid r ON r.strip = s.strip AND r.location = s.location AND r.depth = s.depth
@@ -216,8 +217,8 @@ def evt_12(spark, sf):
 
 
 def batt_sql(a: str, b: str, p: str) -> str:
-    return f"""(SELECT i.event_id, min(value) AS {p}min_v, median(value) AS {p}median_v, max(value) AS {p}max_v, count(*) FILTER (value < 11) AS {p}low_count, count(*) FILTER (value > 13) AS {p}high_count,
-  count(*) FILTER (value < 11 OR value > 13) AS {p}out_of_range_count, avg(CASE WHEN value < 11 OR value > 13 THEN 1.0 ELSE 0.0 END) AS {p}out_of_range_fraction
+    return f"""(SELECT i.event_id, min(lo) AS {p}min_v, median(value) AS {p}median_v, max(hi) AS {p}max_v, sum(nl) AS {p}low_count, sum(nh) AS {p}high_count,
+  sum(nl + nh) AS {p}out_of_range_count, sum(nl + nh) / sum(n) AS {p}out_of_range_fraction
   FROM irrigation i JOIN volts r ON r.strip = i.strip AND r.location = i.location AND r.ts >= {a} AND r.ts <= {b} GROUP BY i.event_id)"""
 
 
@@ -244,8 +245,9 @@ def flags(spark, sf):
     return ev.pre_start_flags(gappy(spark, sf), rain(spark, sf), sensors)
 
 
-FLAGS = f"""WITH {GRID}, {IRRIGATION}, wet15 AS (SELECT strip, location, depth, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, avg(CASE WHEN row_no % 5 <> 0 THEN value END) AS value FROM readings WHERE variable = 'VWC' GROUP BY ALL),
-rain15 AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, sum(value / 2100) AS precip FROM readings WHERE variable = 'precip' GROUP BY ALL), sensors AS (SELECT i.*, d.depth FROM irrigation i, (SELECT unnest(['1', '2', '3']) AS depth) d),
+SENSORS = "sensors AS (SELECT i.*, d.depth FROM irrigation i, (SELECT unnest(['1', '2', '3']) AS depth) d)"
+FLAG_PARTS = f"""wet15 AS (SELECT strip, location, depth, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, avg(CASE WHEN row_no % 5 <> 0 THEN value END) AS value FROM readings WHERE variable = 'VWC' GROUP BY ALL),
+rain15 AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, sum(value / 2100) AS precip FROM readings WHERE variable = 'precip' GROUP BY ALL),
 w AS (SELECT s.event_id, s.depth, r.ts, r.value FROM sensors s JOIN wet15 r ON r.strip = s.strip AND r.location = s.location AND r.depth = s.depth
   AND r.ts >= s.start - to_hours(6) AND r.ts <= s.start),
 p AS (SELECT event_id, depth, arg_min(value, ts) FILTER (value IS NOT NULL) AS first_vwc, arg_max(value, ts) FILTER (value IS NOT NULL) AS last_vwc, max(value) AS max_vwc,
@@ -255,6 +257,7 @@ rn AS (SELECT i.event_id, sum(r.precip) AS total, max(r.precip) AS top, min(r.ts
 z AS (SELECT s.event_id, s.depth, s.strip, s.location, s.gallons_strip, s.start, s."end", first_vwc, last_vwc, max_vwc, max_time, missing, coalesce(total, 0) AS total, coalesce(top, 0) AS top, t0, t1,
   a.a_min_v, b.b_min_v, coalesce(a.a_out_of_range_count > 0, false) OR coalesce(b.b_out_of_range_count > 0, false) OR missing > 0.25 AS suspect, max_vwc - first_vwc >= 0.5 AS responded, coalesce(total, 0) >= 0.01 AS rained
   FROM sensors s JOIN p USING (event_id, depth) LEFT JOIN rn USING (event_id) LEFT JOIN {batt_sql('i.start - to_hours(6)', 'i.start', 'a_')} a USING (event_id) LEFT JOIN {batt_sql('i.start', 'i."end"', 'b_')} b USING (event_id))"""
+FLAGS = f"WITH {GRID}, {IRRIGATION}, {SENSORS}, {FLAG_PARTS}"
 
 
 @query("EVT-14", FLAGS + """ SELECT event_id, depth, round_even(first_vwc, 4) AS first_vwc, round_even(last_vwc, 4) AS last_pre_start_vwc, round_even(max_vwc, 4) AS max_pre_start_vwc, max_time AS max_pre_start_time,
@@ -270,28 +273,25 @@ def evt_14(spark, sf):
         "flag_pre_start_response", "likely_precip_driven_pre_start_response", "possible_battery_or_logger_issue", "flag_unexplained_pre_start_response")
 
 
-TRUST = """SELECT event_id, depth, CASE WHEN r = '' THEN 'ok' ELSE r END AS trustworthy_reason, r = '' AS trustworthy_event FROM (
+# the verdict on every analysed sensor: measured delays, volumes and durations missing from some events
+TRUST = RESULTS + PROFILE + ", " + FLAG_PARTS + """, y AS (SELECT z.*, f.bottom_response_delay_hr AS delay, CASE WHEN event_id % 11 <> 0 THEN f.gallons_strip END AS gal,
+  CASE WHEN event_id % 13 <> 0 THEN f.event_duration_hours END AS dur FROM z JOIN full_ f USING (event_id, depth)),
+trust AS (SELECT event_id, depth, CASE WHEN r = '' THEN 'ok' ELSE r END AS trustworthy_reason, r = '' AS trustworthy_event FROM (
   SELECT event_id, depth, concat_ws('; ', CASE WHEN responded AND NOT rained AND NOT suspect THEN 'unexplained_pre_start_response' END, CASE WHEN suspect THEN 'possible_battery_or_logger_issue' END,
     CASE WHEN delay IS NULL THEN 'missing_bottom_response_delay' WHEN delay < 0.5 THEN 'bottom_response_too_early' END, CASE WHEN gal IS NULL THEN 'missing_gallons_strip' END,
-    CASE WHEN dur IS NULL THEN 'missing_event_duration_hours' END) AS r FROM y)"""
+    CASE WHEN dur IS NULL THEN 'missing_event_duration_hours' END) AS r FROM y)),
+trusted AS (SELECT full_.* FROM full_ SEMI JOIN (SELECT * FROM trust WHERE trustworthy_event) t USING (event_id, depth))"""
 
 
-@query("EVT-15", FLAGS + """, y AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN first_vwc / 20 END AS delay, CASE WHEN event_id % 11 <> 0 THEN gallons_strip END AS gal,
-  CASE WHEN event_id % 13 <> 0 THEN date_diff('microsecond', start, "end") / 3.6e9 END AS dur FROM (SELECT * REPLACE (round_even(first_vwc, 4) AS first_vwc) FROM z)) """ + TRUST)
-def evt_15(spark, sf):
+def trust(spark, sf, rows):
     k = F.col("event_id")
-    irr = irrigation(spark, sf).select("event_id", "gallons_strip")
-    rows = flags(spark, sf).join(irr, "event_id").withColumns({
-        "bottom_response_delay_hr": F.when(k % 7 != 0, F.col("first_vwc") / 20),
-        "gallons_strip": F.when(k % 11 != 0, F.col("gallons_strip")),
-        "event_duration_hours": F.when(k % 13 != 0, F.lit(1.0)),
-    })
-    return ev.classify_trust(rows).select("event_id", "depth", "trustworthy_reason", "trustworthy_event")
+    known = rows.withColumns({"gallons_strip": F.when(k % 11 != 0, F.col("gallons_strip")), "event_duration_hours": F.when(k % 13 != 0, F.col("event_duration_hours"))})
+    return ev.event_trust(gappy(spark, sf), rain(spark, sf), known)
 
 
-# a trust table that needs no second join: response delay and plateau decide
-def simple_trust(rows):
-    return rows.select("event_id", "depth", F.coalesce(F.col("bottom_response_delay_hr") >= 0.5, F.lit(False)).alias("trustworthy_event"))
+@query("EVT-15", TRUST + " SELECT event_id, depth, trustworthy_reason, trustworthy_event FROM trust")
+def evt_15(spark, sf):
+    return trust(spark, sf, derived_once(spark, sf)).select("event_id", "depth", "trustworthy_reason", "trustworthy_event")
 
 
 MEAN_SD = ", ".join(f"round_even(avg({m}), 4) AS mean_{m}, round_even(stddev_samp({m}), 4) AS sd_{m}" for m in ev.CAPACITY_MEASURES)
@@ -300,24 +300,24 @@ IN_COLS = ", ".join(
     for m in ("profile_baseline_storage", "profile_plateau_storage", "event_storage"))
 
 
-@query("EVT-16", RESULTS + PROFILE + f""" SELECT strip_group, location, strip, sensor_col, depth_inches, CAST(count(DISTINCT event_id) AS BIGINT) AS n_trustworthy_events, {MEAN_SD},
-  {AREA}e0 AS profile_area_sqft, round_even({GAL_IN!r}e0, 4) AS gallons_per_profile_inch, {IN_COLS} FROM full_ WHERE bottom_response_delay_hr >= 0.5 GROUP BY strip_group, location, strip, sensor_col, depth_inches""")
+@query("EVT-16", TRUST + f""" SELECT strip_group, location, strip, sensor_col, depth_inches, CAST(count(DISTINCT event_id) AS BIGINT) AS n_trustworthy_events, {MEAN_SD},
+  {AREA}e0 AS profile_area_sqft, round_even({GAL_IN!r}e0, 4) AS gallons_per_profile_inch, {IN_COLS} FROM trusted GROUP BY strip_group, location, strip, sensor_col, depth_inches""")
 def evt_16(spark, sf):
     rows = derived_once(spark, sf)
-    return ev.holding_capacity(full(spark, sf, rows), simple_trust(rows), AREA)
+    return ev.holding_capacity(full(spark, sf, rows), trust(spark, sf, rows), AREA)
 
 
 WB = ("gallons_strip", "event_storage_gal", "event_storage_in", "profile_area_sqft", "bottom_response_delay_hr", "time_to_peak_hours", "time_to_plateau_hours", "event_duration_hours")
 
 
-@query("EVT-17", RESULTS + PROFILE + " SELECT strip_group, location, strip, event_id, start, \"end\", CAST(count(DISTINCT sensor_col) AS BIGINT) AS n_trustworthy_depths, " +
+@query("EVT-17", TRUST + " SELECT strip_group, location, strip, event_id, start, \"end\", CAST(count(DISTINCT sensor_col) AS BIGINT) AS n_trustworthy_depths, " +
        ", ".join(f"round_even(avg({m}), 4) AS mean_{m}" for m in WB) +
        """, round_even(avg(gallons_strip) - avg(event_storage_gal), 4) AS estimated_surplus_gal_strip,
   round_even(CASE WHEN avg(gallons_strip) > 0 THEN (avg(gallons_strip) - avg(event_storage_gal)) / avg(gallons_strip) END, 4) AS estimated_surplus_fraction
-FROM full_ WHERE bottom_response_delay_hr >= 0.5 GROUP BY strip_group, location, strip, event_id, start, "end" """)
+FROM trusted GROUP BY strip_group, location, strip, event_id, start, "end" """)
 def evt_17(spark, sf):
     rows = derived_once(spark, sf)
-    return ev.water_balance(full(spark, sf, rows), simple_trust(rows))
+    return ev.water_balance(full(spark, sf, rows), trust(spark, sf, rows))
 
 
 @query("EVT-18", RESULTS + PROFILE + f""", s AS (SELECT event_id, depth, gallons_strip, baseline_vwc / 100 * depth_inches AS b, plateau_vwc / 100 * depth_inches AS p FROM full_)

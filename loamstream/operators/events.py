@@ -370,66 +370,82 @@ def runtime_table(results: DataFrame, by: Sequence[str] = ("strip", "depth_inche
 BATTERY_FIELDS = ("min_v", "median_v", "max_v", "low_count", "high_count", "out_of_range_count", "out_of_range_fraction")
 
 
+def _bins(readings: DataFrame, keys: Sequence[str], ok: tuple[float, float]) -> DataFrame:
+    """15-minute bins with mean, extremes and counts, so that a short brown-out inside a bin is not averaged away."""
+    v = F.col("value")
+    return readings.groupBy(*keys, floor_to("ts", GRID_SECONDS).alias("ts")).agg(
+        F.avg(v).alias("value"), F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(v).alias("_n"),
+        F.count_if(v < ok[0]).alias("_low"), F.count_if(v > ok[1]).alias("_high"))
+
+
+def _battery_stats(on: Column, prefix: str) -> list[Column]:
+    """Aggregates of the bins for which `on` holds."""
+    take = lambda c: F.when(on, F.col(c))
+    out_of = take("_low") + take("_high")
+    return [
+        F.min(take("_lo")).alias(f"{prefix}min_v"), _median(take("value")).alias(f"{prefix}median_v"), F.max(take("_hi")).alias(f"{prefix}max_v"),
+        F.sum(take("_low")).alias(f"{prefix}low_count"), F.sum(take("_high")).alias(f"{prefix}high_count"), F.sum(out_of).alias(f"{prefix}out_of_range_count"),
+        (F.sum(out_of) / F.sum(take("_n"))).alias(f"{prefix}out_of_range_fraction")]
+
+
+def _battery_flags(prefix: str) -> dict[str, Column]:
+    return {f"flag_{prefix}{name}": F.coalesce(F.col(f"{prefix}{name}_count") > 0, F.lit(False)) for name in ("low", "out_of_range")}
+
+
 def battery_window(readings: DataFrame, windows: DataFrame, keys: Sequence[str] = ("event_id",), start: str = "start", end: str = "end", ok: tuple[float, float] = fv.BATTERY_OK, prefix: str = "battery_") -> DataFrame:
     """Battery voltage of the event's logger in [start, end]: range, counts outside, flags.
 
-    Windows without voltage keep NULL numbers and false flags.
+    Windows without voltage keep NULL numbers and false flags. Extremes and counts are those of the readings.
     """
-    volts = on_grid(readings.filter("variable = 'BattV_Min' AND value IS NOT NULL"), PLACE)
+    volts = _bins(readings.filter("variable = 'BattV_Min' AND value IS NOT NULL"), PLACE, ok)
     spans = windows.select(*keys, *PLACE, F.col(start).alias("_a"), F.col(end).alias("_b"))
-    seen = interval_join(volts, spans, PLACE, "ts", "_a", "_b")
-    v = F.col("value")
-    low, high = v < ok[0], v > ok[1]
-    stats = seen.groupBy(*keys).agg(
-        F.min(v).alias(f"{prefix}min_v"), _median(v).alias(f"{prefix}median_v"), F.max(v).alias(f"{prefix}max_v"),
-        F.count_if(low).alias(f"{prefix}low_count"), F.count_if(high).alias(f"{prefix}high_count"),
-        F.count_if(low | high).alias(f"{prefix}out_of_range_count"),
-        F.avg((low | high).cast("double")).alias(f"{prefix}out_of_range_fraction"),
-    )
+    stats = interval_join(volts, spans, PLACE, "ts", "_a", "_b").groupBy(*keys).agg(*_battery_stats(F.lit(True), prefix))
     out = windows.select(*keys).distinct().join(stats, list(keys), "left")
-    return out.withColumns({
-        f"flag_{prefix}low": F.coalesce(F.col(f"{prefix}low_count") > 0, F.lit(False)),
-        f"flag_{prefix}out_of_range": F.coalesce(F.col(f"{prefix}out_of_range_count") > 0, F.lit(False)),
-    })
+    return out.withColumns(_battery_flags(prefix))
 
 
-def pre_start_flags(readings: DataFrame, rain: DataFrame, results: DataFrame, lookback_h: float = fv.PRE_START_HOURS, min_increase: float = fv.MIN_PEAK_INCREASE, min_rain: float = fv.MIN_RAIN_IN, digits: int = 4) -> DataFrame:
+def pre_start_flags(readings: DataFrame, rain: DataFrame, results: DataFrame, lookback_h: float = fv.PRE_START_HOURS, min_increase: float = fv.MIN_PEAK_INCREASE, min_rain: float = fv.MIN_RAIN_IN, ok: tuple[float, float] = fv.BATTERY_OK, digits: int = 4) -> DataFrame:
     """Did the sensor react before the water came, and is there an excuse?
 
     `readings` may hold NULL values (they make the missing fraction), `rain` has `ts, precip_in`,
     `results` one row per event and depth. Sensors with fewer than two readings in the look-back
     window are left out.
+
+    Water content of all depths and battery voltage meet an event's window in one interval join; one aggregation per
+    (event, sensor) answers for both, and the battery's row is spread over the event's sensors. Rain has no place: it
+    meets the distinct starts.
     """
-    keys = ("event_id", "depth")
-    spans = results.select(*keys, *PLACE, "start", "end").withColumn("window_start", shift("start", -lookback_h * 3600))
-    vwc = on_grid(readings.filter("variable = 'VWC'"))
-    seen = interval_join(vwc, spans.drop("end"), (*PLACE, "depth"), "ts", "window_start", "start")
-    v, t = F.col("value"), F.when(F.col("value").isNotNull(), F.col("ts"))
-    first_max = F.when(v.isNotNull(), F.struct(v, -micros("ts")))
-    pre = seen.groupBy(*keys).agg(
-        F.min_by("value", t).alias("first_vwc"), F.max_by("value", t).alias("last_pre_start_vwc"),
-        F.max(v).alias("max_pre_start_vwc"), F.max_by("ts", first_max).alias("max_pre_start_time"),
-        F.avg(v.isNull().cast("double")).alias("vwc_missing_fraction_pre_start_window"),
-        F.count(v).alias("_n"),
-    ).filter("_n >= 2").drop("_n")
-
-    starts = spans.select("start", "window_start").distinct()
-    wet = interval_join(
-        rain.groupBy(floor_to("ts", GRID_SECONDS).alias("ts")).agg(F.sum("precip_in").alias("precip_in")), starts, [], "ts", "window_start", "start"
-    )
+    spans = results.groupBy("event_id", *PLACE, "start", "end").agg(F.collect_set("depth").alias("_depths")).withColumns({
+        "window_start": shift("start", -lookback_h * 3600), "_end": F.coalesce("end", "start")}).withColumn("_stop", F.greatest("_end", "start"))
+    wet, volt = F.col("variable") == "VWC", F.col("variable") == "BattV_Min"
+    series = _bins(readings.filter(wet | (volt & F.col("value").isNotNull())).withColumn("_depth", F.when(wet, F.col("depth"))), [*PLACE, "variable", "_depth"], ok)
+    seen = interval_join(series, spans, PLACE, "ts", "window_start", "_stop")
+    before, during = F.col("ts") <= F.col("start"), (F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("_end"))
+    seen = seen.filter(volt | (wet & before & F.array_contains("_depths", F.col("_depth"))))
+    v = F.when(wet, F.col("value"))
+    t = F.when(v.isNotNull(), F.col("ts"))
+    constant = [F.first(c).alias(c) for c in (*PLACE, "start", "end", "window_start")]
+    stats = seen.groupBy("event_id", F.col("_depth").alias("depth")).agg(
+        *constant, F.min_by("value", t).alias("first_vwc"), F.max_by("value", t).alias("last_pre_start_vwc"),
+        F.max(v).alias("max_pre_start_vwc"), F.max_by("ts", F.when(v.isNotNull(), F.struct(v, -micros("ts")))).alias("max_pre_start_time"),
+        F.avg(F.when(wet, v.isNull().cast("double"))).alias("vwc_missing_fraction_pre_start_window"), F.count(v).alias("_wet"),
+        *_battery_stats(volt & before, "battery_pre_start_"), *_battery_stats(volt & during, "battery_event_"))
+    # one row of an event is its battery's, with NULL depth
+    event = Window.partitionBy("event_id")
+    fields = [f"{p}{f}" for p in ("battery_pre_start_", "battery_event_") for f in BATTERY_FIELDS]
+    stats = stats.withColumns({f: F.max(F.when(F.col("depth").isNull(), F.col(f))).over(event) for f in fields}).filter("depth IS NOT NULL AND _wet >= 2").drop("_wet")
+    stats = stats.withColumns({**_battery_flags("battery_pre_start_"), **_battery_flags("battery_event_")})
+
+    starts = results.select("start").distinct().withColumn("window_start", shift("start", -lookback_h * 3600))
+    fallen = rain.groupBy(floor_to("ts", GRID_SECONDS).alias("ts")).agg(F.sum("precip_in").alias("precip_in"))
     falls = F.when(F.col("precip_in") > 0, F.col("ts"))
-    rain_sums = wet.groupBy("start").agg(
-        F.sum(F.coalesce("precip_in", F.lit(0.0))).alias("total_precip_in_pre_start_window"),
-        F.max(F.coalesce("precip_in", F.lit(0.0))).alias("max_precip_in_pre_start_window"),
+    zero = F.lit(0.0)
+    rain_sums = interval_join(fallen, starts, [], "ts", "window_start", "start").groupBy("start").agg(
+        F.sum(F.coalesce("precip_in", zero)).alias("total_precip_in_pre_start_window"),
+        F.max(F.coalesce("precip_in", zero)).alias("max_precip_in_pre_start_window"),
         F.min(falls).alias("first_precip_time_pre_start_window"), F.max(falls).alias("last_precip_time_pre_start_window"),
     )
-    windows = spans.select("event_id", *PLACE, "window_start", "start", F.coalesce("end", "start").alias("_end")).distinct()
-    before = battery_window(readings, windows, start="window_start", end="start", prefix="battery_pre_start_")
-    during = battery_window(readings, windows, start="start", end="_end", prefix="battery_event_")
-
-    out = spans.join(pre, list(keys)).join(rain_sums, "start", "left").join(before, "event_id", "left").join(during, "event_id", "left")
-    zero = F.lit(0.0)
-    out = out.withColumns({
+    out = stats.join(rain_sums, "start", "left").withColumns({
         "total_precip_in_pre_start_window": F.coalesce("total_precip_in_pre_start_window", zero),
         "max_precip_in_pre_start_window": F.coalesce("max_precip_in_pre_start_window", zero),
         "pre_start_increase": F.col("max_pre_start_vwc") - F.col("first_vwc"),
@@ -451,6 +467,12 @@ def pre_start_flags(readings: DataFrame, rain: DataFrame, results: DataFrame, lo
     return out.withColumns({c: F.bround(c, digits) for c in numbers})
 
 
+def event_trust(readings: DataFrame, rain: DataFrame, results: DataFrame, min_delay: float = fv.MIN_RESPONSE_DELAY_HOURS) -> DataFrame:
+    """Pre-start flags of every analysed sensor with its measured response delay, volume and duration, and the verdict."""
+    measured = results.select("event_id", "depth", "bottom_response_delay_hr", "gallons_strip", "event_duration_hours")
+    return classify_trust(pre_start_flags(readings, rain, results).join(measured, ["event_id", "depth"]), min_delay)
+
+
 def classify_trust(flags: DataFrame, min_delay: float = fv.MIN_RESPONSE_DELAY_HOURS) -> DataFrame:
     """Trust verdict with every reason against it, joined by `; ` in fixed order."""
     delay = F.col("bottom_response_delay_hr")

@@ -100,6 +100,23 @@ def test_trust_reasons_in_order(spark):
         2: (True, "ok"), 3: (False, "missing_bottom_response_delay; missing_event_duration_hours")}
 
 
+def test_short_brown_out_counts_in_its_bin(spark):
+    """One low reading among many of a quarter hour: the mean is fine, the minimum and the flag are not."""
+    rows = [("S1", "T", None, "BattV_Min", T0 - 60 * M + dt.timedelta(seconds=30 * i), 9.0 if i == 11 else 12.5) for i in range(40)]
+    rows += [("S1", "T", d, "VWC", T0 - m * M, v) for d, m, v in (("1", 90, 20.0), ("1", 60, 21.0), ("1", 15, None), ("2", 30, 5.0), ("2", 15, 5.1), ("3", 15, 7.0))]
+    readings = spark.createDataFrame(rows, "strip string, location string, depth string, variable string, ts timestamp_ntz, value double")
+    events = spark.createDataFrame([(7, "S1", "T", d, T0, T0 + 60 * M) for d in ("1", "2", "3")], "event_id int, strip string, location string, depth string, start timestamp_ntz, end timestamp_ntz")
+    rain = spark.createDataFrame([(T0 - 100 * M, 0.3), (T0 - 400 * M, 9.0)], "ts timestamp_ntz, precip_in double")
+    got = {r.depth: r for r in ev.pre_start_flags(readings, rain, events).collect()}
+    assert sorted(got) == ["1", "2"]  # one reading is too few
+    r = got["1"]
+    assert (r.battery_pre_start_min_v, r.battery_pre_start_low_count, r.battery_event_min_v) == (9.0, 1, None)
+    assert r.possible_battery_or_logger_issue and r.flag_pre_start_response and r.likely_precip_driven_pre_start_response and not r.flag_unexplained_pre_start_response
+    assert (r.total_precip_in_pre_start_window, r.vwc_missing_fraction_pre_start_window, r.pre_start_increase) == (0.3, 0.3333, 1.0)
+    alone = ev.battery_window(readings, events.select("event_id", "strip", "location", F.lit(T0 - 60 * M).cast("timestamp_ntz").alias("start"), F.lit(T0).cast("timestamp_ntz").alias("end")).distinct()).first()
+    assert (alone.battery_min_v, alone.battery_low_count, alone.battery_out_of_range_fraction) == (9.0, 1, 0.025)
+
+
 def test_single_event_target(spark):
     df = spark.createDataFrame([("S1", 30.0)], "strip string, plateau_vwc double")
     r = ev.statistical_target(df, ["strip"]).first()
