@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from ..functions import div
 from ..plans import keep_latest
+from ..plans.words import meet_on_rarest, prefixes
 from .timeops import parse_ts_formats
 
 # fixed values: texts that mean zero, texts that mean nothing
@@ -108,8 +109,8 @@ def standardize_lab(df: DataFrame, id_columns: Sequence[str], dates: Mapping[str
 def resolve_headers(columns: DataFrame, aliases: DataFrame) -> DataFrame:
     """Actual header for every field: exact, then prefix, then all words of an alias.
 
-    `columns` has `ord` (anything sortable) and `actual`, `aliases` has `field, alias_ord, alias`. Exact and prefix matches
-    share the first character, word matches share the alias's longest word, so both are equi-joins.
+    `columns` has `ord` (anything sortable) and `actual`, `aliases` has `field, alias_ord, alias`. Names meet on whole
+    beginnings (of a beginning only its first column matters, so it is one row) and on an alias's rarest word.
     """
     def squeezed(c: str) -> Column:
         return F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "")
@@ -122,13 +123,17 @@ def resolve_headers(columns: DataFrame, aliases: DataFrame) -> DataFrame:
     cols = columns.withColumn("_n", squeezed("actual")).filter("_n <> ''").groupBy("_n").agg(
         F.min_by("actual", "ord").alias("actual"), F.min("ord").alias("ord"))
     al = aliases.withColumn("_a", squeezed("alias"))
-    near = al.filter("_a <> ''").withColumn("_f", F.substring("_a", 1, 1)).join(cols.withColumn("_f", F.substring("_n", 1, 1)), "_f")
-    kind = F.when(F.col("_a") == F.col("_n"), 0).when(F.col("_n").startswith(F.col("_a")) | F.col("_a").startswith(F.col("_n")), 1)
-    by_name = near.withColumn("_k", kind).filter("_k IS NOT NULL").select("field", "_k", "alias_ord", "ord", "actual")
-    longest = F.element_at(F.array_sort(F.transform("_aw", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    aw = al.withColumn("_aw", words("alias")).filter(F.size("_aw") > 0).withColumn("_w", longest)
-    cw = cols.withColumn("_cw", words("actual")).withColumn("_w", F.explode("_cw"))
-    by_word = aw.join(cw, "_w").filter(F.size(F.array_except("_aw", "_cw")) == 0).select("field", F.lit(2).alias("_k"), "alias_ord", "ord", "actual")
+    first = F.min_by("actual", "ord").alias("actual"), F.min("ord").alias("ord")
+    begun = cols.select("ord", "actual", F.explode(prefixes(F.col("_n"))).alias("_a")).groupBy("_a").agg(*first)
+    shown = ("field", "_k", "alias_ord", "ord", "actual")
+    known = al.filter("_a <> ''")
+    exact = known.join(cols.withColumnRenamed("_n", "_a"), "_a").withColumn("_k", F.lit(0)).select(*shown)
+    longer = known.join(begun, "_a").withColumn("_k", F.lit(1)).select(*shown)
+    shorter = known.withColumn("_n", F.explode(prefixes(F.col("_a")))).join(cols, "_n").withColumn("_k", F.lit(1)).select(*shown)
+    by_name = exact.unionByName(longer).unionByName(shorter)
+    aw = al.select("field", "alias_ord", words("alias").alias("_aw")).filter(F.size("_aw") > 0).distinct()
+    cw = cols.select("ord", "actual", words("actual").alias("_cw"))
+    by_word = meet_on_rarest(aw, cw, "_aw", "_cw").withColumn("_k", F.lit(2)).select(*shown)
     best = by_name.unionByName(by_word).groupBy("field").agg(F.min_by("actual", F.struct("_k", "alias_ord", "ord")).alias("actual"), F.min("_k").alias("match_kind"))
     return aliases.select("field").distinct().join(best, "field", "left")
 

@@ -359,6 +359,49 @@ def test_anchor_suggestions(spark):
     assert [(r.rank, r.suggestion, r.score) for r in best.collect()] == [(1, "table-18-nitrate", 300 + 150 + 200 + 100 - 8)]
 
 
+def test_terms_as_written_and_normalised(spark):
+    """Signs only, odd letters, several terms in a line, blank lines, terms across joiners."""
+    text = "\n\n  A--B/c  \nwa\u017f and \u212aelvin\n#tag 5%\nx\u00e9y the\n"
+    df = spark.createDataFrame([("k1", text), ("k2", None), ("k3", ""), ("k4", "none\r\n\r\nhere the-end\rthe")], "doc string, body string")
+    got = sorted((r.doc, r.line_no, r.term, r.line_text) for r in tx.term_search(df, ["a b", "WAS", "kelvin", "#", "5%", "the", "X Y"], key="doc", text="body", whole_word=False).collect())
+    assert got == [
+        ("k1", 3, "a b", "  A--B/c  "), ("k1", 4, "WAS", "wa\u017f and \u212aelvin"), ("k1", 4, "kelvin", "wa\u017f and \u212aelvin"), ("k1", 5, "#", "#tag 5%"), ("k1", 5, "5%", "#tag 5%"),
+        ("k1", 6, "X Y", "x\u00e9y the"), ("k1", 6, "the", "x\u00e9y the"), ("k4", 3, "the", "here the-end"), ("k4", 4, "the", "the")]
+
+
+@pytest.mark.parametrize("hot", [3, 1 << 16])
+def test_names_meet_on_their_rarest_word(spark, hot):
+    """One word is in a third of the names; its postings are dealt to parts."""
+    from loamstream.plans.words import meet_on_rarest
+
+    rnd = random.Random(31)
+    words = ["steel"] * 6 + [f"w{i}" for i in range(12)]
+    entries = [(i, sorted({rnd.choice(words) for _ in range(rnd.randint(1, 4))})) for i in range(150)]
+    queries = [(f"q{i}", [rnd.choice(words) for _ in range(rnd.randint(1, 3))]) for i in range(40)] + [("gone", ["steel", "nowhere"]), ("empty", [])]
+    out = meet_on_rarest(spark.createDataFrame(queries, "q string, qw array<string>"), spark.createDataFrame(entries, "e int, ew array<string>"), "qw", "ew", hot)
+    assert sorted((r.q, r.e) for r in out.collect()) == sorted((q, e) for q, qw in queries for e, ew in entries if qw and set(qw) <= set(ew))
+
+
+def test_many_ids_and_links_on_one_page(spark):
+    """20,000 ids and links: rows are linear in both, no link carries the page's ids."""
+    ids = [f"sec-{i:05d}" for i in range(20_000)]
+    pages = spark.createDataFrame([(1, "".join(f'<a id="{i}">' for i in ids)), (2, '<p id="Top">')], "page_id int, html string")
+    links = [(1, i if n % 2 else i[4:], None) for n, i in enumerate(ids)] + [(2, "top", None), (2, "", None), (3, "x", None), (2, None, "table 9")]
+    broken, best = tx.anchor_audit(pages, spark.createDataFrame(links, "page_id int, fragment string, table_number string"))
+    assert broken.count() == 10_000 + 4
+    got = best.collect()
+    assert {(r.fragment, r.suggestion) for r in got if r.page_id == 1} == {(i[4:], i) for n, i in enumerate(ids) if n % 2 == 0}
+    assert [(r.fragment, r.suggestion, r.score) for r in sorted(got, key=lambda r: r.fragment) if r.page_id == 2] == [("", "Top", 447), ("top", "Top", 1450)]
+
+
+def test_headers_by_exact_prefix_and_words(spark):
+    cols = ["pH", "P.H. ", "Organic Matter LOI %", "Nitrate-N ppm", "CEC/Sum", "cec", "Zinc Zn ppm"]
+    columns = spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "ord int, actual string")
+    al = [("ph", 1, "ph"), ("om", 1, "organic matter"), ("no3", 1, "ppm nitrate"), ("no3", 2, "zinc"), ("cec", 1, "ce"), ("long", 1, "cecxyz"), ("none", 1, "boron"), ("sign", 1, "%")]
+    got = {r.field: (r.actual, r.match_kind) for r in lab.resolve_headers(columns, spark.createDataFrame(al, "field string, alias_ord int, alias string")).collect()}
+    assert got == {"ph": ("pH", 0), "om": ("Organic Matter LOI %", 1), "no3": ("Zinc Zn ppm", 1), "cec": ("CEC/Sum", 1), "long": ("cec", 1), "none": (None, None), "sign": (None, None)}
+
+
 def test_frames(spark):
     import struct
 
