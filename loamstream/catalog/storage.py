@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import resample as rs, seasons, timeops as tm
+from ..plans.slices import shift
 from ..session import scratch_path
 from ..sources import etl, summary as sm, textfiles as tf
 from ..streaming import frames as fr, ingest as ig, sessions as ss
@@ -254,11 +255,11 @@ def snk_05(spark, sf):
 
 # ------------------------------------------------------------------ streams
 
-def increments(spark, df, name, start, again=None, shuffled=False, parts=4):
+def increments(spark, df, name, start, again=None, shuffled=False, parts=4, last=None):
     """Land a table slice by slice and resume the same stream after each; returns the sink's path.
 
     Slices are equal stretches of the table's own time. Rows matching `again` arrive a second time with
-    the next slice; with `shuffled` the newest slice comes first, so all others are late.
+    the next slice; with `shuffled` the newest slice comes first, so all others are late. `last` comes after all.
     """
     source, sink = scratch_path(spark, name), scratch_path(spark, f"{name}-sink")
     lo, hi = df.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
@@ -270,6 +271,9 @@ def increments(spark, df, name, start, again=None, shuffled=False, parts=4):
         (part if late is None else part.unionByName(late)).write.mode("append").parquet(source)
         late = part.filter(again) if again else None
         start(spark.readStream.schema(df.schema).parquet(source), sink, f"{sink}-checkpoint").awaitTermination()
+    if last is not None:
+        last.write.mode("append").parquet(source)
+        start(spark.readStream.schema(df.schema).parquet(source), sink, f"{sink}-checkpoint").awaitTermination()
     return sink
 
 
@@ -312,24 +316,48 @@ def ing_02(spark, sf):
 
 
 def messages(spark, sf):
-    """Start and finish messages of irrigation events; every seventh never finishes, some meters run back."""
+    """Start and finish messages of irrigation events; every seventh never finishes, every 13th lost its start, some meters run back."""
     i = irrigation(spark, sf)
     k = F.col("event_id")
-    start = i.select(k.alias("event_id"), F.lit("start").alias("kind"), F.col("start").alias("ts"), k.cast("double").alias("totalizer"), F.lit(10.0).alias("flow"), F.when(k % 2 == 0, 0.5).otherwise(1.0).alias("fraction"))
+    start = i.filter("event_id % 13 <> 0").select(k.alias("event_id"), F.lit("start").alias("kind"), F.col("start").alias("ts"), k.cast("double").alias("totalizer"), F.lit(10.0).alias("flow"), F.when(k % 2 == 0, 0.5).otherwise(1.0).alias("fraction"))
     end = i.filter("event_id % 7 <> 0").select(k.alias("event_id"), F.lit("finish").alias("kind"), F.col("end").alias("ts"), (k + F.when(k % 11 == 0, -5).otherwise(F.floor(F.col("gallons_strip") / 1000))).cast("double").alias("totalizer"), F.lit(14.0).alias("flow"), F.lit(1.0).alias("fraction"))
     return start.unionByName(end)
 
 
-SESSIONS = f"""WITH {IRRIGATION}, s AS (SELECT event_id, start, "end", CASE WHEN event_id % 11 = 0 THEN -500.0 ELSE floor(gallons_strip / 1000) * 100 END AS g, CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 1.0 END AS f FROM irrigation WHERE event_id % 7 <> 0)"""
+def clock(rows):
+    """One message long after the others, with which every open event's time runs out."""
+    empty = F.lit(None).cast("double")
+    return rows.agg(F.max("ts").alias("_t")).select(
+        F.lit(-1).cast("bigint").alias("event_id"), F.lit("clock").alias("kind"), shift("_t", 365 * 86400).alias("ts"), empty.alias("totalizer"), empty.alias("flow"), empty.alias("fraction"))
+
+
+def sessions(spark, sf, **how):
+    rows = messages(spark, sf)
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, store)
+    try:
+        sink = increments(spark, rows, "messages", lambda s, to, mark: ig.start_append(ss.stream_meter_sessions(s, delay="60 days"), to, mark), last=clock(rows), **how)
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return spark.read.parquet(sink)
+
 
+SESSIONS = f"""WITH {IRRIGATION}, s AS (SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN start END AS a, CASE WHEN event_id % 7 <> 0 THEN "end" END AS b, CASE WHEN event_id % 11 = 0 THEN -500.0 ELSE floor(gallons_strip / 1000) * 100 END AS g, CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 1.0 END AS f FROM irrigation WHERE event_id % 91 <> 0)
+SELECT event_id, a AS start_timestamp, b AS end_timestamp, CASE WHEN both_ AND g >= 0 THEN g END AS total_meter_gallons, CASE WHEN both_ AND g >= 0 THEN g * f END AS gallons_group, CASE WHEN both_ THEN 12.0::DOUBLE * f END AS avg_flow_gpm_group,
+  CASE WHEN b IS NULL THEN 'unfinished' WHEN a IS NULL THEN 'unstarted' WHEN g < 0 THEN 'rejected' ELSE 'complete' END AS status FROM (SELECT *, a IS NOT NULL AND b IS NOT NULL AS both_ FROM s)"""
 
-@query("ING-03", SESSIONS + """ SELECT event_id, start AS start_timestamp, "end" AS end_timestamp, CASE WHEN g >= 0 THEN g END AS total_meter_gallons, CASE WHEN g >= 0 THEN g * f END AS gallons_group, 12.0::DOUBLE * f AS avg_flow_gpm_group, CASE WHEN g < 0 THEN 'rejected' ELSE 'complete' END AS status FROM s""")
+
+@query("ING-03", SESSIONS)
 def ing_03(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    sink = increments(spark, messages(spark, sf), "messages", lambda s, to, mark: ig.start_append(ss.stream_meter_sessions(s), to, mark))
-    done = spark.read.parquet(sink)
-    # how many open events the clock has given up on depends on where the input ends
-    return done.filter("status <> 'unfinished'")
+    """All sessions, those that lack an end included."""
+    return sessions(spark, sf)
+
+
+@query("ING-03:late", SESSIONS)
+def ing_03_late(spark, sf):
+    """The newest messages come first: finishes wait for their starts, and meters that were offline lose nothing."""
+    return sessions(spark, sf, shuffled=True)
 
 
 def hex32(c):

@@ -441,3 +441,10 @@ def lab_15(spark, sf):
 @query("LAB-16", f"WITH {LAB} SELECT strip, date_rec, CAST(count(*) AS BIGINT) AS n FROM lab GROUP BY strip, date_rec")
 def lab_16(spark, sf):
     return lab.lab_report(standard(spark, sf), ["strip", "date_rec", "soil_ph"])[0]
+
+
+@query("LAB-16:columns", f"""WITH {LAB} SELECT 'missing' AS issue, 'boron_ppm' AS "column", 0::BIGINT AS n_values UNION ALL SELECT 'unmatched', 'h2o_no3_n', count(no3) FROM lab UNION ALL SELECT 'unmatched', 'ph', count(ph) FROM lab
+UNION ALL SELECT 'unmatched', 'nitrate_n_ppm', count(no3) FROM lab UNION ALL SELECT 'unmatched', 'texture', count(texture) FROM lab""")
+def lab_16_columns(spark, sf):
+    rows = standard(spark, sf).drop("sample_id")
+    return lab.lab_report(rows, ["strip", "date_rec", "soil_ph", "boron_ppm"], ignore=["row_no", "begin_depth_in", "end_depth_in"])[1]

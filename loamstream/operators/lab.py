@@ -293,9 +293,14 @@ def band_label(df: DataFrame, bands: DataFrame, value: str = "value", key: str =
     return df.join(table, key, "left").withColumn("label", F.when(v.isNotNull(), hit)).drop("_b")
 
 
-def lab_report(df: DataFrame, expected: Sequence[str], by: Sequence[str] = ("strip", "date_rec")) -> tuple[DataFrame, DataFrame]:
-    """(rows per strip and date, columns that are missing or not expected)."""
-    spark = df.sparkSession
-    have = set(df.columns)
-    rows = [("missing", c) for c in expected if c not in have] + [("unmatched", c) for c in df.columns if c not in set(expected)]
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), spark.createDataFrame(rows, "issue string, column string")
+def lab_report(df: DataFrame, expected: Sequence[str], by: Sequence[str] = ("strip", "date_rec"), ignore: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows per strip and date, columns that are missing or unmatched with the number of values they hold).
+
+    A column is unmatched if it is neither expected nor in `ignore`.
+    """
+    missing = [c for c in expected if c not in df.columns]
+    unmatched = [c for c in df.columns if c not in expected and c not in ignore]
+    entry = lambda issue, c, n: F.struct(F.lit(issue).alias("issue"), F.lit(c).alias("column"), n.alias("n_values"))
+    found = [entry("missing", c, F.lit(0).cast("bigint")) for c in missing] + [entry("unmatched", c, F.count(F.col(f"`{c}`"))) for c in unmatched]
+    columns = df.agg(F.array(*found).alias("_c")) if found else df.agg(F.lit(None).cast("array<struct<issue:string,column:string,n_values:bigint>>").alias("_c"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), columns.select(F.inline("_c"))

@@ -32,7 +32,9 @@ def start_append_new(stream: DataFrame, path: str, checkpoint: str, keys: Sequen
 
     def land(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(same).withColumn("_day", F.coalesce(F.to_date(ts), F.lit("1900-01-01").cast("date")))
+        # the source is read once for the days and the rows
+        kept = batch.dropDuplicates(same).withColumn("_day", F.coalesce(F.to_date(ts), F.lit("1900-01-01").cast("date"))).persist()
+        rows = kept
         if path_exists(spark, path):
             days = [r["_day"] for r in rows.select("_day").distinct().collect()]
             held = spark.read.schema(rows.schema).parquet(path).filter(F.col("_day").isin(days)).select(
@@ -41,7 +43,10 @@ def start_append_new(stream: DataFrame, path: str, checkpoint: str, keys: Sequen
             for c in same:
                 match = match & F.col(c).eqNullSafe(F.col(f"_held_{c}"))
             rows = rows.join(held, match, "left_anti")
-        rows.write.mode("append").partitionBy("_day").parquet(path)
+        try:
+            rows.write.mode("append").partitionBy("_day").parquet(path)
+        finally:
+            kept.unpersist()
 
     return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

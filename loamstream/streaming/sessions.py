@@ -18,7 +18,7 @@ STATE = "at_us bigint, totalizer double, flow double, fraction double"
 
 
 class MeterSession(StatefulProcessor):
-    """Holds the start reading of one event until its finish arrives or its time runs out."""
+    """Holds one end of an event until the other arrives, in either order, or its time runs out."""
 
     def __init__(self, max_hours: float) -> None:
         self.max_ms = int(max_hours * 3_600_000)
@@ -26,35 +26,48 @@ class MeterSession(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.begun = handle.getValueState("begun", STATE)
+        self.ended = handle.getValueState("ended", STATE)
+        self.done = handle.getValueState("done", "at_us bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         both = pd.concat(list(rows)).sort_values(["at_us", "kind"], ascending=[True, False])
         out = []
-        for r in both.itertuples():
-            if r.kind == "start":
-                self.begun.update((int(r.at_us), float(r.totalizer), float(r.flow), float(r.fraction)))
-                self.handle.registerTimer(int(r.at_us) // 1000 + self.max_ms)
-            elif self.begun.exists():
-                at, totalizer, flow, fraction = self.begun.get()
-                gallons = (float(r.totalizer) - totalizer) * 100.0
-                falling = gallons < 0
-                flows = [f for f in (flow, float(r.flow)) if not pd.isna(f)]
-                mean = sum(flows) / len(flows) * fraction if flows else None
-                out.append((key[0], at, int(r.at_us), None if falling else gallons, None if falling else gallons * fraction, mean, "rejected" if falling else "complete"))
+        for r in both[both["kind"].isin(["start", "finish"])].itertuples():
+            if self.done.exists():  # the same message once more
+                continue
+            end = self.begun if r.kind == "start" else self.ended
+            end.update((int(r.at_us), float(r.totalizer), float(r.flow), float(r.fraction)))
+            self.handle.registerTimer(int(r.at_us) // 1000 + self.max_ms)
+            if self.begun.exists() and self.ended.exists():
+                out.append(_session(key[0], self.begun.get(), self.ended.get()))
+                self.done.update((int(r.at_us),))
                 self.begun.clear()
+                self.ended.clear()
         yield _frame(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         out = []
         if self.begun.exists():
             out.append((key[0], self.begun.get()[0], None, None, None, None, "unfinished"))
-            self.begun.clear()
+        elif self.ended.exists():
+            out.append((key[0], None, self.ended.get()[0], None, None, None, "unstarted"))
+        for state in (self.begun, self.ended, self.done):
+            if state.exists():
+                state.clear()
         yield _frame(out)
 
     def close(self) -> None:
         pass
 
 
+def _session(event: int, begun: tuple, ended: tuple) -> tuple:
+    gallons = (ended[1] - begun[1]) * 100.0
+    falling = gallons < 0
+    flows = [f for f in (begun[2], ended[2]) if not pd.isna(f)]
+    mean = sum(flows) / len(flows) * begun[3] if flows else None
+    return (event, begun[0], ended[0], None if falling else gallons, None if falling else gallons * begun[3], mean, "rejected" if falling else "complete")
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = [c.split()[0] for c in OUT.split(", ")]
     out = pd.DataFrame(rows, columns=names)
@@ -63,12 +76,14 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out
 
 
-def stream_meter_sessions(stream: DataFrame, max_hours: float = 72.0, delay: str = "1 hour") -> DataFrame:
+def stream_meter_sessions(stream: DataFrame, max_hours: float = 72.0, delay: str = "30 days") -> DataFrame:
     """Start and finish messages to sessions with volume, share and average flow.
 
-    Messages have `event_id, kind ('start' or 'finish'), ts, totalizer, flow, fraction`. State is
-    one small row per open event; an event that never finishes is reported and dropped when event
-    time passes `max_hours`. Needs the RocksDB state store.
+    Messages have `event_id, kind ('start', 'finish' or 'clock'), ts, totalizer, flow, fraction`. The two ends of an event
+    may come in any order and in different batches. State is one small row per open event, so `delay`, how late a
+    message may come, can be as long as a meter may be offline; Spark drops what comes later still. An event with one
+    end is reported as `unfinished` or `unstarted` when event time passes `max_hours`; a `clock` message moves event time
+    at the end of an input. Needs the RocksDB state store.
     """
     timed = stream.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
     rows = timed.select("event_id", "kind", F.unix_micros("event_time").alias("at_us"), "totalizer", "flow", "fraction", "event_time")

@@ -394,6 +394,13 @@ def test_many_ids_and_links_on_one_page(spark):
     assert [(r.fragment, r.suggestion, r.score) for r in sorted(got, key=lambda r: r.fragment) if r.page_id == 2] == [("", "Top", 447), ("top", "Top", 1450)]
 
 
+def test_lab_column_report(spark):
+    df = spark.createDataFrame([("1", None, 2.0, "x"), ("1", "d", None, None)], "strip string, date_rec string, `a.b` double, skip string")
+    counts, columns = lab.lab_report(df, ["strip", "zinc"], ignore=["skip"])
+    assert sorted(tuple(r) for r in columns.collect()) == [("missing", "zinc", 0), ("unmatched", "a.b", 1), ("unmatched", "date_rec", 1)] and counts.count() == 2
+    assert lab.lab_report(df, df.columns)[1].collect() == []
+
+
 def test_headers_by_exact_prefix_and_words(spark):
     cols = ["pH", "P.H. ", "Organic Matter LOI %", "Nitrate-N ppm", "CEC/Sum", "cec", "Zinc Zn ppm"]
     columns = spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "ord int, actual string")
