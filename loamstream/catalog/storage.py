@@ -189,7 +189,7 @@ def src_07(spark, sf):
 
 @query("SRC-09", f"WITH {ORDER_TIMES} SELECT CAST(year(ts) AS INTEGER) AS year, 'daily' AS granularity, min(CAST(ts AS DATE)) AS min, max(CAST(ts AS DATE)) AS max FROM order_times GROUP BY 1 UNION ALL SELECT CAST(year(ts) AS INTEGER), 'monthly', min(last_day(ts)), max(last_day(ts)) FROM order_times GROUP BY 1")
 def src_09(spark, sf):
-    return sm.date_ranges(spark.read.parquet(stored(spark, sf)))
+    return sm.date_ranges(spark, stored(spark, sf))
 
 
 @query("SRC-09:seasons", f"WITH {ORDER_TIMES} SELECT DISTINCT CAST(year(ts) AS INTEGER) AS season_year, make_date(year(ts) - 1, 11, 1) AS min, make_date(year(ts), 10, 31) AS max FROM order_times")
@@ -199,7 +199,8 @@ def src_09_seasons(spark, sf):
     return sm.season_ranges(seasons.period_rows(years, seasons.SEASONS))
 
 
-@query("SRC-10", f"WITH {ORDER_TIMES} SELECT DISTINCT 'raw' AS kind, unnest(['daily', 'monthly']) AS granularity, CAST(year(ts) AS INTEGER) AS year FROM order_times")
+@query("SRC-10", f"""WITH {ORDER_TIMES}, d AS (SELECT DISTINCT status, variable, CAST(ts AS DATE) AS bin FROM order_times WHERE value IS NOT NULL), m AS (SELECT DISTINCT status, variable, last_day(ts) AS bin FROM order_times WHERE value IS NOT NULL)
+SELECT 'raw' AS kind, 'daily' AS granularity, CAST(year(bin) AS INTEGER) AS year, count(*) AS n_rows FROM d GROUP BY year(bin) UNION ALL SELECT 'raw', 'monthly', CAST(year(bin) AS INTEGER), count(*) FROM m GROUP BY year(bin)""")
 def src_10(spark, sf):
     return sm.manifest(spark, stored(spark, sf))
 

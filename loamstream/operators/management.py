@@ -63,6 +63,7 @@ def normalize_place(c: Column) -> Column:
     return F.coalesce(lookup(PLACE_NAMES, s), s)
 
 
+# fixed values: text and number columns of the clean table
 TEXTS = ("date", "strip_group", "location", "strip", "notes", "entered_by", "event_id")
 NUMBERS = (
     "gallons_strip", "strip_allocation_fraction", "start_flow_gpm", "end_flow_gpm", "start_totalizer_gal_x100", "end_totalizer_gal_x100",

@@ -35,9 +35,9 @@ def write_summary(df: DataFrame, root: str, granularity: str, kind: str = "raw",
     """Write one granularity; only the years present are replaced.
 
     Rows are laid out by series and time so that row groups skip, and a hot series is spread over
-    range partitions instead of one file.
+    range partitions instead of one file. `bin_day` is a date, whose extremes the files' footers hold.
     """
-    keyed = df.withColumns({"kind": F.lit(kind), "granularity": F.lit(granularity), "year": F.year(bin_col)})
+    keyed = df.withColumns({"bin_day": F.to_date(bin_col), "kind": F.lit(kind), "granularity": F.lit(granularity), "year": F.year(bin_col)})
     by = [c for c in ("year", "variable", "strip", "treated", "location", "depth", bin_col) if c in keyed.columns]
     keyed.repartitionByRange(*by).sortWithinPartitions(*by).write.mode(mode).partitionBy("kind", "granularity", "year").parquet(root)
 
@@ -52,13 +52,32 @@ def load_summary(spark: SparkSession, roots: Sequence[str] | str, year: int, gra
             continue
         found = spark.read.parquet(root).filter((F.col("kind") == kind) & (F.col("granularity") == granularity) & (F.col("year") == year))
         if not found.isEmpty():
-            return found.drop("kind", "granularity", "year")
+            return found.drop(*PARTITIONS, "bin_day")
     return None
 
 
-def date_ranges(summary: DataFrame, bin_col: str = "bin") -> DataFrame:
-    """First and last day per year and granularity."""
-    return summary.groupBy("year", "granularity").agg(F.min(F.to_date(bin_col)).alias("min"), F.max(F.to_date(bin_col)).alias("max"))
+PARTITIONS = ("kind", "granularity", "year")
+
+
+def _by_footers(spark: SparkSession, root: str) -> DataFrame:
+    """A stored table whose counts, minima and maxima per partition come from the files' footers.
+
+    Spark pushes aggregates into its second Parquet reader only, which is chosen when the table is opened.
+    """
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    key = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ",".join(x for x in before.split(",") if x != "parquet"))
+    try:
+        return spark.read.parquet(root)
+    finally:
+        spark.conf.set(key, before)
+
+
+def date_ranges(spark: SparkSession, root: str) -> DataFrame:
+    """First and last day per year and granularity of the tables in `root`; no row is read."""
+    per = _by_footers(spark, root).groupBy(*PARTITIONS).agg(F.min("bin_day").alias("min"), F.max("bin_day").alias("max"))
+    return per.groupBy("year", "granularity").agg(F.min("min").alias("min"), F.max("max").alias("max"))
 
 
 def season_ranges(summary: DataFrame) -> DataFrame:
@@ -67,8 +86,8 @@ def season_ranges(summary: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Which (kind, granularity, year) exist; reads partition columns only."""
-    return spark.read.parquet(root).select("kind", "granularity", "year").distinct()
+    """Which (kind, granularity, year) exist, with their rows; counted from the files' footers."""
+    return _by_footers(spark, root).groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def export_per_logger(df: DataFrame, path: str, variables: Sequence[str] = ("VWC", "T", "EC"), ts: str = "ts") -> None:
@@ -112,6 +131,7 @@ def export_selection(readings: DataFrame, ratios: DataFrame | None, variable: st
     return wide if kind == "ratio" else raw.join(wide, ts, "full_outer")
 
 
+# fixed values: columns that may date a dataset, in order of preference
 DATE_COLUMNS = ("date_rec", "date", "sample_date", "date_rept", "start_timestamp", "end_timestamp", "application_date", "timestamp", "nir_date")
 
 

@@ -25,3 +25,9 @@ def test_scans_and_exchanges(spark, name):
     most, exchanges = LIMITS[name]
     assert max(scans.values(), default=0) <= most and len(re.findall(r"\bExchange ", plan)) <= exchanges
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", ["SRC-09", "SRC-10"])
+def test_ranges_come_from_footers(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedAggregation: \[(MIN|COUNT)", plan) and "PushedGroupBy: [kind, granularity, year]" in plan
