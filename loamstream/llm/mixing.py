@@ -21,6 +21,7 @@ an empty table gives an empty result. Extra columns pass through; `topic`, `n_to
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import cols, others, settle
 
 CLASSES = 4096
-ROUNDS, TOLERANCE = 40, 1e-6
+ROUNDS, TOLERANCE = 200, 1e-6
 SMALL = 100_000  # sources up to this many are sent to the tasks
 NONE = "\u0000none"
 OUT = ("topic", "n_tokens", "weight", "copies")
@@ -113,6 +114,8 @@ def rake(cells: DataFrame, source_target: Target, lang_target: Target, topic_tar
                     factor[k] *= step
         if moved < TOLERANCE:
             break
+    else:
+        warnings.warn(f"the targets do not fit together: after {ROUNDS} rounds a factor still moves by {moved:.2g}", stacklevel=2)
     return fitted().select("source", "factor"), {p: lang[p[0]] * topic[p[1]] for p in pairs}
 
 

@@ -4,8 +4,8 @@ Base rules (email, ip, card, phone) give spans that always stand. High-recall ge
 overlapping ones. Where a base rule has a say its verdict is the label: a candidate on an accepted
 match is positive, one on a rejected match (a card without its check digit, an address part over 255)
 or a short plain number is negative; all others are unlabelled. Boosted trees learn from at most about
-`SAMPLE` labelled candidates; the fold they did not see sets the lowest threshold whose precision is
-still `PRECISION`. Candidates over it that touch no base span are added.
+`SAMPLE` labelled candidates of three folds; all of the fold they did not see sets the lowest threshold
+whose precision is still `PRECISION`. Candidates over it that touch no base span are added.
 
 The path is column expressions only: matches come from split and extract on one pattern, places from
 running lengths, and the trees are compiled to CASE expressions, so scoring is part of the projection.
@@ -17,7 +17,8 @@ runs neither overflow the stack nor go quadratic), and started only where a run
 match ended.
 
 Defined results: a null or empty text has no spans; places are code points, end exclusive; repeated
-rows are judged each on its own; without enough labelled candidates of both sorts nothing is added; an
+rows are judged each on its own; without labelled candidates of both sorts to fit on, or where no
+threshold reaches the precision, nothing is added; an
 empty table gives an empty result. Extra columns pass through; `private` is replaced when it exists, and working names (WORKING) are left out.
 """
 
@@ -54,7 +55,6 @@ CONTEXT = 24
 SHORT = 7  # a plain number of fewer digits is a negative
 SAMPLE = 20_000
 FOLDS = 4  # one fold in FOLDS calibrates
-LEAST = 50
 PRECISION = 0.9
 TREES, DEPTH = 12, 4
 BINS = 100
@@ -204,13 +204,11 @@ def fit(scanned: DataFrame, sample: int = SAMPLE):
     rows = scanned.select(F.explode("cand").alias("c")).filter("c.label IS NOT NULL").groupBy(
         F.col("c.x").alias("x"), F.col("c.label").alias("label")).agg(F.count("*").alias("weight"))
     rows = settle(rows)
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
-    if min(sizes.get(0, 0), sizes.get(1, 0)) < LEAST:
-        return None
     total = rows.count()
     draw = F.pmod(F.xxhash64("x", "label"), F.lit(1 << 20))
     fold = F.pmod(F.xxhash64("x"), F.lit(FOLDS))
-    rows = rows.filter(draw < int((1 << 20) * min(1.0, sample / total))).select(
+    # only what trees are fitted on is sampled; the threshold counts all rows of the unseen fold
+    rows = rows.filter((fold == 0) | (draw < int((1 << 20) * min(1.0, sample / max(total, 1))))).select(
         "label", F.col("weight").alias("n"), F.log1p("weight").alias("weight"), fold.alias("fold"), "x", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(N_FEATURES)])
     train = VectorAssembler(inputCols=[f"x{i}" for i in range(N_FEATURES)], outputCol="features").transform(rows.filter("fold > 0"))
     if train.select("label").distinct().count() < 2:
@@ -249,7 +247,7 @@ def find_private(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> D
         return scanned.select(*keep, F.struct("base", F.col("base").alias("spans")).alias("private"))
     score, threshold = fitted
     added = F.transform(
-        F.filter("cand", lambda c: ~_touch(c, F.col("base")) & (score(c["x"]) >= threshold) & (c["end"] - c["start"] > 5)),
+        F.filter("cand", lambda c: ~_touch(c, F.col("base")) & (score(c["x"]) >= threshold)),
         lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end")))
     # the earliest of overlapping candidates stands: walk them by start
     walked = F.aggregate(

@@ -18,4 +18,4 @@ def private(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = find_private(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base, spans = F.col("private.base"), F.col("private.spans")
     counts = [_count(base, i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return df.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(spans).alias("spans"))
+    return df.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(spans).alias("spans"), F.size(spans).cast("long").alias("n_private"))

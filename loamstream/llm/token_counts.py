@@ -11,14 +11,17 @@ texts are ordinary text; an empty table gives an empty histogram. Other columns
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import chunks
+from .shared import settle
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024
@@ -30,11 +33,11 @@ _held: dict = {}
 
 
 def encoder(vocabulary: str, pattern: str):
-    """The worker's encoder, loaded once per process from the node's own copy of the vocabulary."""
+    """The worker's encoder, loaded once per process from the file the driver sent."""
     if (vocabulary, pattern) not in _held:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
+        with open(SparkFiles.get(os.path.basename(vocabulary)), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _held[vocabulary, pattern] = tiktoken.Encoding(
             "corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -52,7 +55,8 @@ def count_tokens(encoding, text: str) -> int:
 
 
 def encoded_lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """One row per document: n_tokens."""
+    """One row per document: n_tokens. The driver sends the vocabulary file, nodes need no copy of it."""
+    docs.sparkSession.sparkContext.addFile(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoder(vocabulary, pattern)
@@ -75,6 +79,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     grows by the documents above, so the table answers every limit exactly.
     """
     tokens = F.col("n_tokens") * F.col("n_docs")
+    hist = settle(hist)  # a row per length, read twice: without this all texts are encoded twice
     rows = hist.select("n_tokens", "n_docs", tokens.alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("_b"))
     blocks = rows.groupBy("_b").agg(F.sum("n_docs").alias("_d"), F.sum("tokens").alias("_t"))
     above = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)

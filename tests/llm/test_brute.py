@@ -1,5 +1,7 @@
 """Every operator against its plain version or an exact property."""
 
+import itertools
+import math
 import random
 
 import duckdb
@@ -248,6 +250,26 @@ def test_decoding():
     assert "idiot" in toxicity.tokens("you I D I O T") and "stupid" in toxicity.tokens("s.t.u.p.i.d")
 
 
+def test_decoding_equals_exhaustive_search():
+    """Every path of the lattice, priced one by one; then a word far longer than any."""
+    rng = np.random.default_rng(7)
+    model = np.log(rng.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE))).astype(np.float32)
+    rnd = random.Random(8)
+    for _ in range(150):
+        word = "".join(rnd.choice("ab1!@s6$(|ßж99ooo") for _ in range(rnd.randint(1, 7)))
+        best = None
+        for path in itertools.product(*toxicity.lattice(word)):
+            text, cost, a, b = "".join(p for p, _ in path), sum(c for _, c in path), 0, 0
+            for c in text:
+                z = toxicity.CODE.get(c, toxicity.OTHER if c.isalpha() else toxicity.EDGE)
+                cost, a, b = cost + float(model[a, b, z]), b, z
+            best = max(best or (-math.inf, ""), (cost + float(model[a, b, toxicity.EDGE]), text))
+        got = toxicity.decode(word, model)
+        assert got == best[1]
+    assert len(toxicity.decode("1d!0t@" * 3000, model)) > 3000
+    assert "c@t" in toxicity.tokens("see c @ t now") and "dog" in toxicity.tokens("see d-o-g now")
+
+
 def test_toxicity_on_unseen_documents(spark):
     rng = random.Random(11)
     plain_words = ["tion", "thre", "ing", "and", "hand", "lyst", "ering", "ond", "stat", "hera", "inth", "than"]
