@@ -331,20 +331,28 @@ def recommend_runtime(results: DataFrame, by: Sequence[str], stat: str = "median
 
 
 def target_runtime_summary(results: DataFrame, by: Sequence[str] = ("strip", "sensor_col", "depth", "depth_inches"), min_events: int = 3, k: float = fv.TARGET_K, digits: int = 6) -> DataFrame:
-    """Target and run time per sensor (outer), with median duration, lag and flow."""
-    target = statistical_target(results, by, k=k, min_events=min_events).select(
-        *by, F.col("n_events").alias("n_events_target"), F.col("target_value").alias("target_vwc"), "target_is_trustworthy")
-    runtime = recommend_runtime(results, by, min_events=min_events).select(
-        *by, F.col("n_events").alias("n_events_runtime"), "runtime_hours", "runtime_minutes", "runtime_is_trustworthy")
+    """Target and run time per sensor (outer), with median duration, lag and flow.
+
+    All quantiles of all columns come from one stacked pass, counts and means from one aggregation.
+    """
+    target, runtime = "plateau_vwc", "time_to_plateau_hours"
     names = {
         "event_duration_hours": "median_irrigation_duration_hours",
         "lag_after_irrigation_hr": "median_lag_after_irrigation_hr",
         "avg_flow_gph_strip": "median_avg_flow_gph_strip",
     }
-    aux = column_quantiles(results, by, list(names), {"q": 0.5}).withColumnsRenamed({f"q_{a}": b for a, b in names.items()})
-    # every sensor of `aux` that has a target or a run time
-    out = null_safe_join(null_safe_join(aux, target, by, "left"), runtime, by, "left").filter(
-        "n_events_target IS NOT NULL OR n_events_runtime IS NOT NULL")
+    q = column_quantiles(results, by, [target, runtime, *names], {"q": 0.5, "cap": fv.TARGET_CAP})
+    # every sensor that has a target or a run time
+    base = results.groupBy(*by).agg(
+        F.count(target).alias("_nt"), F.avg(target).alias("_mean"), F.coalesce(F.stddev_samp(target), F.lit(0.0)).alias("_sd"),
+        F.count(runtime).alias("_nr")).filter("_nt > 0 OR _nr > 0")
+    nt, nr = F.nullif("_nt", F.lit(0)), F.nullif("_nr", F.lit(0))
+    out = null_safe_join(base, q, by).select(
+        *by, *[F.col(f"q_{a}").alias(b) for a, b in names.items()],
+        nt.alias("n_events_target"), F.when(nt.isNotNull(), F.least(F.col("_mean") + F.lit(k) * F.col("_sd"), F.col(f"cap_{target}"))).alias("target_vwc"),
+        (nt >= min_events).alias("target_is_trustworthy"),
+        nr.alias("n_events_runtime"), F.col(f"q_{runtime}").alias("runtime_hours"), (F.col(f"q_{runtime}") * 60.0).alias("runtime_minutes"),
+        (nr >= min_events).alias("runtime_is_trustworthy"))
     numbers = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
     return out.withColumns({c: F.bround(c, digits) for c in numbers})
 

@@ -558,7 +558,11 @@ def match_edges(readings: DataFrame, events: DataFrame, keys: Sequence[str] = ()
 
 
 def append_unmatched(events: DataFrame, readings: DataFrame, name: str = "filename", kind: str = "file_type", source: str = "timestamp_source") -> DataFrame:
-    """Events plus one review row for every reading neither end of any event uses."""
+    """Events plus one review row for every reading neither end of any event uses.
+
+    The events, few beside the readings, are both kept and looked through, so they are written once.
+    """
+    events = cut_lineage(events)
     used = events.select(F.explode(F.array("start_filename", "end_filename")).alias(name)).filter(F.col(name).isNotNull()).distinct()
     rest = readings.join(used, name, "left_anti")
     video = F.lower(F.trim(F.coalesce(F.col(kind), F.lit("")))) == "video"

@@ -14,7 +14,7 @@ from loamstream.catalog.all import QUERIES  # noqa: E402
 # most scans of one table, most exchanges
 LIMITS = {
     "MGT-08": (2, 12), "DQ-01": (1, 4), "DQ-04": (1, 26), "DQ-09": (1, 4), "DQ-11": (2, 8), "DQ-12": (2, 10), "DQ-13": (1, 4), "BAT-02": (1, 4),
-    "CLK-01": (1, 4), "CLK-02": (2, 8), "CLK-03": (2, 8), "CLK-04": (2, 6), "EVT-14": (4, 12), "EVT-15": (4, 16),
+    "CLK-01": (1, 4), "CLK-02": (2, 8), "CLK-03": (2, 8), "CLK-04": (2, 6), "EVT-11": (0, 24), "EVT-14": (4, 12), "MGT-13": (2, 8), "EVT-15": (4, 16),
 }
 
 
