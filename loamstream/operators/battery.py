@@ -65,9 +65,10 @@ def active_at(readings: DataFrame, intervals: DataFrame, keys: Sequence[str], ta
     """Reading with the interval valid at its time, `start <= ts < end`, an open end never expires.
 
     For intervals that do not overlap (see `validate_intervals`) the last one begun is the only
-    candidate, so this is an as-of join, not a range join.
+    candidate, so this is an as-of join, not a range join. The join looks at the intervals twice; few
+    beside the readings, they are written once.
     """
-    named = intervals.withColumn("_end", F.col(end))
+    named = cut_lineage(intervals.withColumn("_end", F.col(end)))
     out = latest_before(readings, named, keys, ts, start, [start, "_end", *take], order, width)
     valid = F.col("_end").isNull() | (F.col(ts) < F.col("_end"))
     return out.withColumns({c: F.when(valid, F.col(c)) for c in (*take, start)}).drop("_end")

@@ -70,9 +70,27 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+_written: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh sub-folder of the shared folder; `clear_scratch` removes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the sub-folders this process made, once no result that reads them is needed; how many there were.
+
+    Checkpoints are Spark's own: `spark.cleaner.referenceTracking.cleanCheckpoints` removes them when they are out of use.
+    """
+    gone = 0
+    for path in sorted(_written):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _written.discard(path)
+    return gone
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

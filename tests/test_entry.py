@@ -38,3 +38,12 @@ import __spark_entry__ as e
 print("rows", e.queries()["ING-04"](spark, {SF!r}).count())
 """
     assert int(_run(code, tmp_path).split()[-1]) > 0
+
+
+def test_scratch_folders_can_be_cleared(spark):
+    from loamstream import session
+
+    paths = [session.scratch_path(spark, "kept") for _ in range(2)]
+    spark.range(3).write.parquet(paths[0])
+    assert session.path_exists(spark, paths[0])
+    assert session.clear_scratch(spark) >= 1 and not session.path_exists(spark, paths[0]) and session.clear_scratch(spark) == 0
