@@ -5,19 +5,25 @@ benchmark's vocabulary; words outside it cannot be part of a match, so only runs
 at least as long as the shortest phrase are indexed. All phrases are searched backwards at once
 through wavelet ranks, occurrences are located by sampled suffix positions and merged to spans.
 
-The corpus is read once and never shuffled. The benchmark is the stated query set: its size is
-measured first and it is sent in blocks of at most `BLOCK_BYTES`, each task holding one at a time.
+The benchmark is the stated query set. Its size is measured first. One of at most `BLOCK_BYTES` is sent
+whole, and the corpus is read once and never shuffled. A larger one is searched in blocks, one after
+the other: a block is sent, what it hits is written to the shared folder as rows of texts (by hash)
+that hold a phrase, and the block is taken back; at the end the hits of all blocks meet the documents.
+So neither the driver nor a task holds more than one block, whatever the benchmark.
 
 Defined results: a null or empty text has no words and no hit; an item without words has no phrase;
 an item whose id is null still marks words but is not listed; rows with the same id count as one
 item; repeated documents are judged each on its own; an empty benchmark marks nothing. Extra columns
-pass through; a column that is named like the result is replaced.
+pass through; a column that is named like the result is replaced, and the working names _k, _hits and
+_items are left out where there are several blocks.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import append_struct, texts
+from .arrowtext import append_struct, chunks, texts
 from .fm_index import FmIndex
+from .shared import cols, others, settle_table, text_hash
 
 PHRASE = 10
 BLOCK_BYTES = 8 << 20
@@ -115,46 +122,94 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     `with_text=False` leaves clean_text null where only the counts are wanted.
     """
-    spark = docs.sparkSession
     bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
     size = bench.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     n_blocks = -(-size // BLOCK_BYTES)
-    sent = []
-    for b in range(n_blocks):
-        part = bench if n_blocks == 1 else bench.filter(F.pmod(F.xxhash64("t"), F.lit(n_blocks)) == b)
-        rows = [(r.i, r.t.encode()) for r in part.toLocalIterator()]
-        sent.append((uuid.uuid4().hex, spark.sparkContext.broadcast(rows)))
+    if n_blocks > 1:
+        return _in_blocks(docs, bench, n_blocks, text, k, with_text)
+    sent = _send(docs, bench) if n_blocks else None
 
     def judge(batch: pa.RecordBatch) -> pa.Array:
         raw = texts(batch, text)
         lists = [fold(t).split() for t in raw]
-        counts = np.array([len(x) for x in lists], np.int64)
-        doc = np.repeat(np.arange(len(raw)), counts)
-        hit = np.zeros(len(doc), bool)
-        found: list[set[str]] = [set() for _ in raw]
-        for name, block in sent:
-            phrases = _phrases(name, block, k)
-            if not phrases.by_length:
-                continue
-            get = phrases.ids.get
-            ids = np.fromiter((get(w, 0) for x in lists for w in x), np.int64, len(doc))
-            part, _, owners = occurrences(ids, doc, phrases)
-            hit |= part
-            for where, which, who in owners:
-                for d, p in set(zip(where.tolist(), which.tolist(), strict=True)):
-                    found[d].update(who[p])
-        first = np.cumsum(counts) - counts
-        rows = []
-        for d, t in enumerate(raw):
-            own = hit[first[d] : first[d] + counts[d]]
-            n = int(own.sum())
-            rows.append({"n_words": len(lists[d]), "n_hit": n, "items": sorted(found[d]),
-                         "clean_text": (cut(t, own) if n else t).decode("utf-8", "replace") if with_text else None})
-        return pa.array(rows, _ARROW)
+        hit, found = _search(lists, *sent, k) if sent else (np.zeros(sum(map(len, lists)), bool), [set() for _ in raw])
+        return _results(raw, lists, hit, found, with_text)
 
     return append_struct(docs, RESULT, FIELDS, judge, text)
 
 
+def _send(docs: DataFrame, bench: DataFrame) -> tuple[str, Broadcast]:
+    """One block of the benchmark, with a name under which workers keep its phrases."""
+    rows = [(r.i, r.t.encode()) for r in bench.toLocalIterator()]
+    return uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(rows)
+
+
+def _search(lists: list[list[bytes]], name: str, block: Broadcast, k: int) -> tuple[np.ndarray, list[set[str]]]:
+    """Which words of a shard's documents a block hits, and the items found in each document."""
+    counts = np.array([len(x) for x in lists], np.int64)
+    doc = np.repeat(np.arange(len(lists)), counts)
+    found: list[set[str]] = [set() for _ in lists]
+    phrases = _phrases(name, block, k)
+    if not phrases.by_length:
+        return np.zeros(len(doc), bool), found
+    get = phrases.ids.get
+    ids = np.fromiter((get(w, 0) for x in lists for w in x), np.int64, len(doc))
+    hit, _, owners = occurrences(ids, doc, phrases)
+    for where, which, who in owners:
+        for d, p in set(zip(where.tolist(), which.tolist(), strict=True)):
+            found[d].update(who[p])
+    return hit, found
+
+
+def _results(raw: list[bytes], lists: list[list[bytes]], hit: np.ndarray, found: list[set[str]], with_text: bool) -> pa.Array:
+    rows, at = [], 0
+    for t, words, items in zip(raw, lists, found, strict=True):
+        own = hit[at : at + len(words)]
+        at += len(words)
+        n = int(own.sum())
+        rows.append({"n_words": len(words), "n_hit": n, "items": sorted(items),
+                     "clean_text": (cut(t, own) if n else t).decode("utf-8", "replace") if with_text else None})
+    return pa.array(rows, _ARROW)
+
+
+def _in_blocks(docs: DataFrame, bench: DataFrame, n_blocks: int, text: str, k: int, with_text: bool) -> DataFrame:
+    """The same for a benchmark of several blocks; equal texts share their hits."""
+    held = []
+    for b in range(n_blocks):
+        name, block = _send(docs, bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b))
+
+        def find(batches: Iterator[pa.RecordBatch], name: str = name, block: Broadcast = block) -> Iterator[pa.RecordBatch]:
+            for part in chunks(batches, "t"):
+                lists = [fold(t).split() for t in texts(part, "t")]
+                hit, found = _search(lists, name, block, k)
+                ends = np.cumsum([len(x) for x in lists])
+                marks = np.split(hit, ends[:-1])
+                some = [i for i, m in enumerate(marks) if m.any()]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("_k").take(pa.array(some, pa.int64())), pa.array([np.packbits(marks[i]).tobytes() for i in some], pa.binary()),
+                    pa.array([sorted(found[i]) for i in some], pa.list_(pa.string()))], names=["_k", "_hit", "_items"])
+
+        held.append(settle_table(docs.select(text_hash(text).alias("_k"), F.col(text).alias("t")).mapInArrow(find, "_k binary, _hit binary, _items array<string>").groupBy("_k").agg(
+            F.first("_hit").alias("_hit"), F.first("_items").alias("_items"))))
+        block.destroy()
+    every = reduce(DataFrame.unionByName, held).groupBy("_k").agg(F.collect_list("_hit").alias("_hits"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+    keep = others(docs, RESULT, "_k", "_hits", "_items")
+    told = docs.select(*cols(keep), text_hash(text).alias("_k")).join(every, "_k", "left").select(*cols(keep), "_hits", "_items")
+
+    def judge(batch: pa.RecordBatch) -> pa.Array:
+        raw = texts(batch, text)
+        lists = [fold(t).split() for t in raw]
+        hit = [np.zeros(0, bool)]
+        for words, marks in zip(lists, batch.column("_hits").to_pylist(), strict=True):
+            own = np.zeros(len(words), bool)
+            for m in marks or ():
+                own |= np.unpackbits(np.frombuffer(m, np.uint8))[: len(words)].astype(bool)
+            hit.append(own)
+        return _results(raw, lists, np.concatenate(hit), [set(x or ()) for x in batch.column("_items").to_pylist()], with_text)
+
+    return append_struct(told, RESULT, FIELDS, judge, text).select(*cols(keep), RESULT)
+
+
 _ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("clean_text", pa.string())])
 _held: dict = {}
 

@@ -143,6 +143,27 @@ def test_contamination(spark):
     assert sorted(got) == sorted(plain.contamination(docs, items, 4)) and sum(x[2] for x in got)
 
 
+@pytest.mark.parametrize("block", [8 << 20, 900, 120])
+def test_contamination_in_blocks(spark, monkeypatch, block):
+    """A benchmark of one block, of a few, and of about one item each; repeated rows and copied texts."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rng = random.Random(17)
+    pool = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.choice([3, 10, 14, 25])))) for i in range(40)] + [(40, ""), (41, None), (3, "w1 W2 w3 w4")]
+    docs = []
+    for i in range(120):
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 60))]
+        if i % 3 == 0:
+            words[len(words) // 2 : len(words) // 2] = (rng.choice(items[:40])[1]).upper().split()[: rng.choice([9, 12, 30])]
+        docs.append((i, " ".join(words)))
+    docs += [(200 + i, t) for i, t in docs[:30]]
+    df = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").withColumn("extra", F.lit(1)), spark.createDataFrame(items, "item_id long, text string"))
+    assert df.columns == ["doc_id", "text", "extra", "contamination"]
+    got = sorted((r.doc_id, r.c.n_words, r.c.n_hit, list(r.c["items"]), r.c.clean_text) for r in df.select("doc_id", F.col("contamination").alias("c")).collect())
+    assert got == [(i, n, hit, sorted(map(str, who)), clean) for i, n, hit, who, clean in sorted(plain.contamination(docs, [x for x in items if x[1] is not None]))]
+    assert sum(g[2] > 0 for g in got) > 30
+
+
 def test_private_base(spark):
     rng = random.Random(8)
     bits = ["a.b@c.d", "@", ".", "x", " ", "+1 (017) 555-7713", "4111 1111 1111 1111", "1.2.3.4", "256.1.1.1", "-", "9", "12", "+", "é", "\U0001F600", "a@b", "_q@r.s.t"]
