@@ -51,13 +51,13 @@ def word_hashes(words: list[bytes], seen: WordHashes) -> np.ndarray:
     return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
-def append_struct(df: DataFrame, name: str, fields: T.StructType, fn, sized_by: str) -> DataFrame:
+def append_struct(df: DataFrame, name: str, fields: T.StructType, fn, sized_by: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """All columns of df and one struct column that `fn(batch) -> pa.Array` makes; a clash is replaced."""
     df = df.select(*cols(others(df, name)))
     schema = T.StructType([*df.schema.fields, T.StructField(name, fields, True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, sized_by):
+        for part in chunks(batches, sized_by, limit):
             yield pa.RecordBatch.from_arrays([*part.columns, fn(part)], names=[*part.schema.names, name])
 
     return df.mapInArrow(run, schema)

@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index per training shard, searched for every benchmark phrase.
 
-A shard is a bounded slice of a partition (`CHUNK_BYTES` of text). Its words are mapped to the
+A shard is a bounded slice of a partition (`SHARD_BYTES` of text). Its words are mapped to the
 benchmark's vocabulary; words outside it cannot be part of a match, so only runs of vocabulary words
 at least as long as the shortest phrase are indexed. All phrases are searched backwards at once
 through wavelet ranks, occurrences are located by sampled suffix positions and merged to spans.
@@ -38,6 +38,7 @@ from .shared import cols, others, settle_table, text_hash
 
 PHRASE = 10
 BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 RESULT = "contamination"
 FIELDS = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -135,7 +136,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         hit, found = _search(lists, *sent, k) if sent else (np.zeros(sum(map(len, lists)), bool), [set() for _ in raw])
         return _results(raw, lists, hit, found, with_text)
 
-    return append_struct(docs, RESULT, FIELDS, judge, text)
+    return append_struct(docs, RESULT, FIELDS, judge, text, SHARD_BYTES)
 
 
 def _send(docs: DataFrame, bench: DataFrame) -> tuple[str, Broadcast]:
@@ -179,7 +180,7 @@ def _in_blocks(docs: DataFrame, bench: DataFrame, n_blocks: int, text: str, k: i
         name, block = _send(docs, bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b))
 
         def find(batches: Iterator[pa.RecordBatch], name: str = name, block: Broadcast = block) -> Iterator[pa.RecordBatch]:
-            for part in chunks(batches, "t"):
+            for part in chunks(batches, "t", SHARD_BYTES):
                 lists = [fold(t).split() for t in texts(part, "t")]
                 hit, found = _search(lists, name, block, k)
                 ends = np.cumsum([len(x) for x in lists])
@@ -207,7 +208,7 @@ def _in_blocks(docs: DataFrame, bench: DataFrame, n_blocks: int, text: str, k: i
             hit.append(own)
         return _results(raw, lists, np.concatenate(hit), [set(x or ()) for x in batch.column("_items").to_pylist()], with_text)
 
-    return append_struct(told, RESULT, FIELDS, judge, text).select(*cols(keep), RESULT)
+    return append_struct(told, RESULT, FIELDS, judge, text, SHARD_BYTES).select(*cols(keep), RESULT)
 
 
 _ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("clean_text", pa.string())])
