@@ -37,7 +37,7 @@ from .shared import settle_table
 
 LEAST = 3
 TOP = 200
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 FLUSH = 300_000
 UNIT = 1_000_000_000
 _FOLD = fold_table(digits=False)
