@@ -129,3 +129,21 @@ def test_defined_results(spark):
         [ROWS[0], ROWS[3], (4, "same row"), (4, "another text"), (5, None), ROWS[10]], key=repr)
     assert left.columns == ["doc_id", "text", "k", "S", "root", "n", "text2"]
     assert similar_documents(docs.limit(0)).collect() == [] == one_of_each(docs.limit(0)).collect()
+
+
+def test_stage_links_by_fingerprints(spark, monkeypatch):
+    """With bands that no two texts share, copies within two bits of the SimHash still meet, and only similar ones go."""
+    from loamstream.llm.simhash import fingerprint_of, shingles
+
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(600)]
+    text = " ".join(base)
+    bits = lambda t: int(fingerprint_of([shingles(t.encode(), 5)])[0])
+    near = next(t for t in (_edited(rng, base, [599]) for _ in range(200)) if (bits(t) ^ bits(text)).bit_count() <= 2)
+    docs = [(1, text), (2, near), (3, " ".join(base[::-1])), (4, ""), (5, near)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in docs]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    banded = jaccard_dedup._banded
+    monkeypatch.setattr(jaccard_dedup, "_banded", lambda d: banded(d).withColumn("bands", F.array(F.xxhash64("s"))))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()}
+    assert kept == {1, 3, 4}
