@@ -73,19 +73,24 @@ def parse_series_name(name: Column | str) -> Column:
 def to_long(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Wide sensor frame to long rows; columns outside the naming convention are left out."""
     values = [c for c in df.columns if c != ts]
-    melted = df.unpivot([ts], [F.col(c).cast("double").alias(c) for c in values], "name", "value")
+    # most cells of a wide row are empty: names are parsed for the others only
+    melted = df.unpivot([ts], [F.col(c).cast("double").alias(c) for c in values], "name", "value").filter("value IS NOT NULL")
     return (
-        melted.withColumn("_p", parse_series_name("name")).filter("_p IS NOT NULL AND value IS NOT NULL")
+        melted.withColumn("_p", parse_series_name("name")).filter("_p IS NOT NULL")
         .select(ts, "_p.strip", "_p.location", "_p.depth", "_p.variable", "value")
     )
 
 
 def to_wide(df: DataFrame, names: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Long rows to one column per listed series; the list keeps the schema fixed and the plan one pass."""
-    return (
-        df.withColumn("_name", series_name()).groupBy(ts)
-        .agg(*[F.max(F.when(F.col("_name") == n, F.col("value"))).alias(n) for n in names])
-    )
+    """Long rows to one column per listed series; the list keeps the schema fixed.
+
+    Rows are reduced to one per instant and series first. An instant's cells are a map, bounded by the number of
+    series, and the columns are looked up in it, so a row is not held against every listed name.
+    """
+    cells = df.withColumn("_name", series_name()).groupBy(ts, "_name").agg(F.max("value").alias("_v"))
+    listed = F.col("_name").isin(*names) & F.col("_v").isNotNull()
+    rows = cells.groupBy(ts).agg(F.map_from_entries(F.collect_list(F.when(listed, F.struct("_name", "_v")))).alias("_m"))
+    return rows.select(ts, *[F.try_element_at("_m", F.lit(n)).alias(n) for n in names])
 
 
 def merge_loggers(frames: Sequence[DataFrame]) -> DataFrame:
