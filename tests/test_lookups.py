@@ -58,3 +58,16 @@ def test_events_are_looked_up(spark, monkeypatch):
     cols = ["event_id", "depth", "baseline_vwc", "baseline_time", "peak_vwc", "peak_time", "plateau_vwc", "plateau_time", "plateau_method"]
     assert plain(got.filter("depth <> '3'").select(cols)) == plain(want.filter("depth IS NOT NULL").select(cols))
     assert got.count() == 120 and got.filter("depth = '3' AND plateau_method = 'no_peak'").count() == 40
+
+
+def test_storage_of_repeated_and_missing_ids(spark):
+    """An id's rows share what any of its places stored; no id, no storage."""
+    readings = spark.createDataFrame([("S1", "T", "1", "VWC", at(0), 10.0), ("S1", "T", "2", "VWC", at(1), 20.0), ("S1", "M", "1", "VWC", at(0), 50.0), ("S1", "T", "1", "VWC", at(60), 40.0)],
+                                     "strip string, location string, depth string, variable string, ts timestamp_ntz, value double")
+    results = spark.createDataFrame([(1, "1", "S1", "T", at(0), at(60), 9.0), (2, "1", "S1", "T", at(0), None, 9.0), (2, "1", "S1", "M", at(0), None, 9.0), (None, "1", "S1", "T", at(0), at(60), 9.0), (3, "1", "S1", "T", at(30), None, 0.0)],
+                                    "event_id int, depth string, strip string, location string, baseline_time timestamp_ntz, plateau_time timestamp_ntz, gallons_strip double")
+    gal = lambda v: v / 100 * ev.CYLINDER_GAL
+    got = sorted(((r.event_id, r.location, r.profile_baseline_storage_gal, r.profile_plateau_storage_gal) for r in ev.storage_at(results, readings).collect()), key=repr)
+    near = lambda a, b: a == b or (a is not None and b is not None and abs(a - b) < 1e-9)
+    want = sorted([(1, "T", gal(30), gal(40)), (2, "T", gal(50), None), (2, "M", gal(50), None), (None, "T", None, None), (3, "T", None, None)], key=repr)
+    assert len(got) == 5 and all(a[:2] == b[:2] and near(a[2], b[2]) and near(a[3], b[3]) for a, b in zip(got, want))
