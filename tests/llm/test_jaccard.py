@@ -147,3 +147,37 @@ def test_stage_links_by_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(jaccard_dedup, "_banded", lambda d: banded(d).withColumn("bands", F.array(F.xxhash64("s"))))
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()}
     assert kept == {1, 3, 4}
+
+
+@pytest.mark.parametrize(("make", "family"), [(lambda: _copies(7), 1 << 14), (lambda: _copies(7), 6), (_families, 30)])
+def test_stage_holds_all_of_a_fingerprint_class(spark, monkeypatch, make, family):
+    """Texts of one fingerprint, ruled by a repeated shingle, are one class; near copies in it meet though its first text is like none."""
+    from loamstream.llm.simhash import fingerprint_of, shingles
+
+    docs = [(i, "ha " * 2000 + t) for i, t in make() if t]
+    assert len({int(fingerprint_of([shingles(t.encode(), 5)])[0]) for _, t in docs}) == 1
+    docs += [(2000, ""), (2001, " \n"), (2002, "\t")]
+    want, links = all_pairs(docs)
+    # bands that no two texts share: what meets now meets by the class alone
+    banded = jaccard_dedup._banded
+    monkeypatch.setattr(jaccard_dedup, "_banded", lambda d: banded(d).withColumn("bands", F.array(F.xxhash64("s"))))
+    monkeypatch.setattr(jaccard_dedup, "FAMILY", family)
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()}
+    assert links > 50 and kept == {i for i, root in want.items() if i == root}
+
+
+def test_cut_classes_share_a_bucket(spark):
+    """Two similar texts of a class share a bucket; texts that share only a few common shingles meet in none."""
+    rng = random.Random(3)
+    sets = [[]] * 4 + [[1, 2, 3, 10 + 100 * i, *range(1000 * i, 1000 * i + 40)] for i in range(1, 301)]
+    sets += [sorted(set(x) - set(rng.sample(x, 4))) for x in sets[4:82]]
+    rows = spark.createDataFrame([(i % 2, i, len(x), i) for i, x in enumerate(sets)], "h long, k long, n int, root long")
+    held = spark.createDataFrame(list(enumerate(sets)), "k long, x array<long>")
+    met = {}
+    for r in jaccard_dedup._cut(rows, held).collect():
+        met.setdefault(r.h, set()).add(r.k)
+    pairs = {(a, b) for x in met.values() for a in x for b in x if a < b}
+    want = {(a, b) for b, y in enumerate(sets) for a, x in enumerate(sets[:b])
+            if a % 2 == b % 2 and 5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y))}
+    assert len(want) > 30 and want <= pairs and len(pairs) < 2 * len(want)
